@@ -2,18 +2,124 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .neardup import near_duplicates
+from . import decontam, neardup, packing, quality, sharding, topk, toxicity, urlrules
+from .folds import remainder
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.place(docs, "doc_id", SHARDS)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digest, packing.groups_for(docs.count()))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), quality.quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_url_filter": op2_url_filter,
+    "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_decontamination": op9_decontamination,
+    "op10_topk": op10_topk,
+    "pipeline": pipeline,
+}
+
+_OP1 = f"""
+WITH RECURSIVE
+ shards(i, name) AS (SELECT unnest(range(0, {len(SHARDS)}))::INT, 'shard-' || lpad(unnest(range(0, {len(SHARDS)}))::VARCHAR, 2, '0')),
+ prefs AS (SELECT list(('0x' || substr(md5('offset:' || name), 1, 15))::BIGINT % {sharding.SIZE} ORDER BY i) AS offs,
+                  list(('0x' || substr(md5('skip:' || name), 1, 15))::BIGINT % {sharding.SIZE - 1} + 1 ORDER BY i) AS skips FROM shards),
+ claims(turn, slot, owner) AS (
+  SELECT 0, offs[1], list_transform(range(0, {sharding.SIZE}), lambda s: CASE WHEN s = offs[1] THEN 0 ELSE -1 END) FROM prefs
+  UNION ALL
+  SELECT turn + 1, pick, list_concat(list_concat(owner[1:pick], [((turn + 1) % {len(SHARDS)})]), owner[pick + 2:]) FROM (
+   SELECT turn, owner, list_filter(list_transform(range(0, {sharding.SIZE}), lambda j: (offs[(turn + 1) % {len(SHARDS)} + 1] + j * skips[(turn + 1) % {len(SHARDS)} + 1]) % {sharding.SIZE}),
+                                   lambda s: owner[s + 1] = -1)[1] AS pick FROM claims, prefs WHERE turn + 1 < {sharding.SIZE})),
+ lookup AS (SELECT slot, 'shard-' || lpad((turn % {len(SHARDS)})::VARCHAR, 2, '0') AS shard FROM claims)
+SELECT doc_id, source, k.slot::INT AS slot, shard
+FROM (SELECT doc_id, source, ('0x' || substr(md5('key:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SIZE} AS slot FROM documents) k
+JOIN lookup ON k.slot = lookup.slot
+"""
+
+_OP2 = """
+WITH u AS (
+ SELECT page_id,
+  coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(rhost, rpath, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fit AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(v, length(rhost || rpath)) AS v
+ FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN fit USING (page_id)
+"""
 
+_OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
 
-QUERIES = {"op6_minhash_dedup": op6_minhash_dedup}
-ORACLE_SQL: dict[str, str | None] = {}
+#: The other queries are iterative, trained or approximate; tests/llm holds them against brute force instead.
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op2_url_filter": _OP2, "op10_topk": _OP10}

@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits; words between these are bare of punctuation.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,10 +85,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of some rows: ``start``/``end`` byte positions, ``doc`` row of each word, ``ptr`` words before each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
         self.data, self.offsets, n = data, offsets - offsets[0], len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~breaks[data]
         begins = inside[1:-1] & ~inside[:-2]
         edges = self.offsets[1:-1]
         edges = edges[edges < n]
