@@ -10,8 +10,9 @@ Plan, for ``n`` documents:
    classes become components.
 4. Only buckets that still hold several components are looked at again, and only pairs between components count.  Two
    rounds take each class's best partner by signature; a last round takes every remaining pair, so that no link is
-   lost.  Large buckets are dealt out in blocks: members of the largest component go to one block each, the rest
-   meets every block.
+   lost.  Buckets are dealt out in blocks: all members go to one block each, those outside the largest component meet
+   every block.  In the last round the pairs of large buckets are not listed; their blocks carry the full sets and
+   yield links only.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from .superminhash import band_keys, signatures
 from .wordhash import Words, mix, raw_strings, shingle_sets, slices
 
 POSITIONS, ROWS = 112, 4
-#: Least share of equal signature positions for a verification; at a similarity of 0.8 a pair stays below it about
-#: once in a hundred million cases.
-AGREE = 0.62
+#: Least share of equal signature positions for a verification.  At a similarity of 0.8 the share has a standard deviation
+#: of at most 0.038, less by SuperMinHash's correlation; the least share seen among some ten thousand links was 0.70.
+AGREE = 0.66
 BLOCK = 512
+#: In the last round, pairs are listed in buckets of at most so many classes; larger ones are verified block by block.
+LISTED = 64
 #: Up to so many document ids are broadcast to find the texts to verify; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -134,57 +137,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return durable(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, linked boolean"))
 
 
-def _block_pairs(block: pa.Table, every: bool, a: list, b: list) -> None:
-    """Adds a block's candidates: each guest's best partner in another component, or every agreeing one."""
+def _block_pairs(block: pa.Table, every: bool) -> list[tuple[bytes, bytes]]:
+    """A block's candidates: each guest's best partner in another component, or every agreeing one."""
     guest = np.array(block.column("guest").to_pylist(), bool)
-    if guest.all() or not guest.any():
-        return
     comps, names = (np.array(block.column(c).to_pylist(), object) for c in ("comp", "cls"))
     sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
     hosts = np.flatnonzero(~guest)
     host_sig, host_comp = sig[hosts], comps[hosts]
-    for at in np.flatnonzero(guest):
+    found = []
+    for at in np.flatnonzero(guest) if len(hosts) else ():
         share = (host_sig == sig[at]).mean(axis=1)
         share[host_comp == comps[at]] = 0
         hits = np.flatnonzero(share >= AGREE)
         if not every and len(hits):
             hits = hits[[np.argmax(share[hits])]]
-        for other in names[hosts[hits]]:
-            a.append(min(names[at], other))
-            b.append(max(names[at], other))
-
+        found += [(min(names[at], other), max(names[at], other)) for other in names[hosts[hits]]]
+    return found
 
-def _partners(every: bool):
-    """Walks sorted blocks; a block has at most about two BLOCKs of rows and may span Arrow batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            held = yield from walk(held, last=False)
-        if held is not None and len(held):
-            yield from walk(held, last=True)
+def _block_links(block: pa.Table, num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """One verified link of each guest to every other component in its block, if there is any; rows carry full sets."""
+    guest = np.array(block.column("guest").to_pylist(), bool)
+    comps, names = (np.array(block.column(c).to_pylist(), object) for c in ("comp", "cls"))
+    sets = [np.frombuffer(x, "<u8") for x in block.column("shingles").to_pylist()]
+    hosts = np.flatnonzero(~guest)
+    if guest.all() or not guest.any():
+        return []
+    size = np.array([len(sets[i]) for i in hosts])
+    value, owner = np.concatenate([sets[i] for i in hosts]), np.repeat(np.arange(len(hosts)), size)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    host_comp, found = comps[hosts], []
+    for at in np.flatnonzero(guest):
+        own = sets[at]
+        first, last = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+        runs = last - first
+        index = np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[index], minlength=len(hosts))
+        linked = np.flatnonzero((den * both >= num * (size + len(own) - both)) & (host_comp != comps[at]))
+        seen = set()
+        for host in linked:
+            if host_comp[host] not in seen:
+                seen.add(host_comp[host])
+                found.append((min(names[at], names[hosts[host]]), max(names[at], names[hosts[host]])))
+    return found
+
+
+def _blockwise(dealt: DataFrame, of_block) -> DataFrame:
+    """Distinct (a, b) of ``of_block`` over all blocks (key, i, j); a block has at most about two BLOCKs of rows."""
 
     def walk(table: pa.Table, last: bool):
         table = table.combine_chunks()
         marks = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
         cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
         bounds = [0, *cuts.tolist(), len(table)]
-        a: list[bytes] = []
-        b: list[bytes] = []
+        found = []
         for first, end in zip(bounds[:-1] if last else bounds[:-2], bounds[1:] if last else bounds[1:-1], strict=True):
             if end - first > 1:
-                _block_pairs(table.slice(first, end - first), every, a, b)
-        if a:
+                found += of_block(table.slice(first, end - first))
+        if found:
+            a, b = zip(*found, strict=True)
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         return table.slice(bounds[-2])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last block so far; it may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = yield from walk(table if held is None else pa.concat_tables([held, table]), last=False)
+        if held is not None and len(held):
+            yield from walk(held, last=True)
 
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt into blocks; members: (key, cls, comp, sig).
 
-def _cross_pairs(members: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs between components of the buckets that hold several; members: (key, cls, comp, sig)."""
+    Members of all components are hosts of one block each; those outside the bucket's largest component are also guests and
+    meet all hosts.  Adds guest, i (host block), j (guest block) and n (the bucket's size).
+    """
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     totals = counts.groupBy("key").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")
@@ -192,19 +225,19 @@ def _cross_pairs(members: DataFrame, every: bool) -> DataFrame:
     totals = durable(
         totals.where("comps > 1").select(
             "key",
+            "n",
             F.col("main.comp").alias("main"),
             F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
             F.greatest(F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.lit(1)).cast("int").alias("guest_blocks"),
         )
     )
     rows = members.join(totals, "key").withColumn("h", F.xxhash64("cls"))
-    hosts = rows.select("key", "cls", "comp", "sig", F.lit(False).alias("guest"), F.pmod("h", "blocks").cast("int").alias("i"),
+    columns = ["key", "n", "cls", "comp", "sig"]
+    hosts = rows.select(*columns, F.lit(False).alias("guest"), F.pmod("h", "blocks").cast("int").alias("i"),
                         F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)).alias("j"))
-    guests = rows.where("comp != main").select("key", "cls", "comp", "sig", F.lit(True).alias("guest"),
+    guests = rows.where("comp != main").select(*columns, F.lit(True).alias("guest"),
                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.shiftright("h", 20), "guest_blocks").cast("int").alias("j"))
-    dealt = hosts.unionByName(guests)
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_partners(every), "a binary, b binary").distinct()
+    return hosts.unionByName(guests)
 
 
 def near_duplicates(
@@ -231,16 +264,24 @@ def near_duplicates(
     star = _agreeing(star.join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b"))
     sets = durable(_class_sets(docs, near, width, id_col, text_col))
     checked = _verified(star, sets, num, den)
-    for every in (False, False, True):
-        roots = connected_components(checked.where("linked"))
+    linked = checked.where("linked").select("a", "b")
+    for last in (False, False, True):
+        roots = connected_components(linked)
         owned = near.select("cls", "sig").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         owned = durable(owned.select("cls", "sig", F.coalesce("root", "cls").alias("comp")))
-        pairs = _cross_pairs(members.select("key", "cls").join(owned, "cls"), every)
+        dealt = _dealt(members.select("key", "cls").join(owned, "cls"))
+        if last:
+            dealt = durable(dealt)
+            large = dealt.where(F.col("n") > LISTED).join(sets, "cls")
+            linked = linked.unionByName(durable(_blockwise(large, lambda block: _block_links(block, num, den))))
+            dealt = dealt.where(F.col("n") <= LISTED)
+        pairs = _blockwise(dealt, lambda block, last=last: _block_pairs(block, last))
         fresh = durable(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if fresh.isEmpty() and not every:
-            continue
-        checked = durable(checked.unionByName(_verified(fresh, sets, num, den)))
-    roots = connected_components(checked.where("linked"))
+        if not fresh.isEmpty():
+            more = _verified(fresh, sets, num, den)
+            checked = checked.unionByName(more)
+            linked = linked.unionByName(more.where("linked").select("a", "b"))
+    roots = connected_components(linked)
     several = classes.select("cls", "rep", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     several = durable(several.where("root is not null or copies > 1").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     least = durable(several.groupBy("root").agg(F.min("rep").alias("component")))
