@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, sharding, topk, toxicity, urlrules
+from . import decontam, htmltext, lmscore, neardup, packing, quality, sharding, topk, toxicity, urlrules
 from .folds import remainder
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -40,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest, packing.groups_for(docs.count()))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
@@ -58,6 +62,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    scored = lmscore.score_texts(docs, ~held, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    fold = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", fold, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,9 +88,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_topk": op10_topk,
     "pipeline": pipeline,
