@@ -1,6 +1,8 @@
-"""All queries over the test tables, by name."""
+"""All queries over the test tables, by name, with the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import domain, relational
+
+QUERIES = {**relational.QUERIES, **domain.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **domain.ORACLE_SQL}
