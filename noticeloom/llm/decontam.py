@@ -154,13 +154,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
 
 def contaminated(benchmark: DataFrame, text: str | Column, share: float = EDIT_SHARE) -> Column:
     """Whether a text holds an item of ``benchmark`` within the error budget."""
-    portions = _items(benchmark, "item_id", "text")
-    out = F.lit(False)
-    for items in portions:
-
+    def search(items: tuple[tuple[int, str], ...]):
         @F.arrow_udf("boolean")
-        def hit(column: pa.Array, items=items) -> pa.Array:
+        def hit(column: pa.Array) -> pa.Array:
             return pa.array([bool(t) and bool(matches(t, items, share)) for t in column.to_pylist()], pa.bool_())
 
-        out = out | hit(F.col(text) if isinstance(text, str) else text)
+        return hit(F.col(text) if isinstance(text, str) else text)
+
+    out = F.lit(False)
+    for items in _items(benchmark, "item_id", "text"):
+        out = out | search(items)
     return out
