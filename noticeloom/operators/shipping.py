@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent.parent
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of this package to the application once; executors fetch it from the driver."""
+    """Adds a zip of this package to the application once; executors fetch it from the driver.
+
+    Rows may be whole documents, so the default of 10,000 rows in an Arrow batch is lowered unless it has been changed.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         path = Path(tempfile.mkdtemp(prefix="package-")) / f"{_PACKAGE.name}.zip"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 STATUSES = ("active", "closed", "cancelled", "awarded", "retendered", "unknown")
-CANONICAL = StructType.fromDDL(
-    """
+_CANONICAL = """
 schema_version STRING, canonical_id STRING,
 identity STRUCT<source: STRING, source_portal: STRING, source_tender_id: STRING, tender_number: STRING, reference_number: STRING>,
 procurement STRUCT<title: STRING, description: STRING, procurement_type: STRING, tender_type: STRING, contract_type: STRING, category: STRING, subcategory: STRING>,
@@ -25,7 +26,13 @@ status STRING,
 provenance STRUCT<official_source_url: STRING, source_listing_url: STRING, scraped_at: TIMESTAMP, first_seen_at: TIMESTAMP, last_seen_at: TIMESTAMP, parser_version: STRING, content_hash: STRING>,
 possible_duplicate_group STRING
 """
-)
+
+
+@lru_cache(maxsize=1)
+def canonical_schema() -> StructType:
+    """Parsed on first use: that takes a session."""
+    return StructType.fromDDL(_CANONICAL)
+
 
 #: Sections whose non-null fields overwrite on a merge.
 SECTIONS = ("procurement", "organization", "geography", "financial", "dates", "eligibility", "work")

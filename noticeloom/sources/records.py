@@ -12,10 +12,11 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.dates import portal_timestamp
 from ..functions.ids import canonical_id
-from ..schema import CANONICAL
+from ..schema import canonical_schema
 
 BUYER_STATUS = {"0": "active", "1": "closed", "2": "closed", "3": "awarded"}
 FAMILIES = ("gepnic", "gem", "ireps", "notice_pages", "s3waas", "cppp_state")
@@ -90,9 +91,7 @@ def paged(records: DataFrame, size: int, cap: int) -> DataFrame:
 
 def canonical_json(spark: SparkSession, path: str) -> DataFrame:
     """Canonical rows from (gzip) JSON lines; what does not fit the schema is kept in ``_corrupt_record``."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    schema = StructType([*CANONICAL.fields, StructField("_corrupt_record", StringType())])
+    schema = StructType([*canonical_schema().fields, StructField("_corrupt_record", StringType())])
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
@@ -135,7 +134,7 @@ def workbook_text(content: bytes, max_rows: int = 5000, max_cells: int = 30, max
         return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def workbook_text_column(content: pd.Series) -> pd.Series:
     return content.map(lambda c: workbook_text(c) if c is not None else None)
 
