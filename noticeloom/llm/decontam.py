@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import durable
+
 EDIT_SHARE = 0.08
 #: Items are sent to the tasks in portions of at most so many characters; more of them mean more passes over the texts.
 PORTION_CHARS = 32_000_000
@@ -103,18 +105,19 @@ def matches(text: str, items: tuple[tuple[int, str], ...], share: float) -> dict
     return best
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[tuple[int, str], ...]]:
-    """Portions of (id, plain text), sorted; items without an id or without text match nothing and are left out."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
-    portions, size = [[]], 0
-    for item_id, text in sorted({(r[0], plain(r[1])) for r in rows.toLocalIterator()}):
-        if not text:
-            continue
-        if portions[-1] and size + len(text) > PORTION_CHARS:
-            portions, size = [*portions, []], 0
-        portions[-1].append((item_id, text))
-        size += len(text)
-    return [tuple(p) for p in portions if p]
+def _portions(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+    """(id, plain text) in portions of about PORTION_CHARS, of which the driver holds one at a time.
+
+    Items without an id or without text match nothing and are left out; repeated items count once.
+    """
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // PORTION_CHARS))
+    for i in range(n):
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows
+        items = sorted({(r[0], plain(r[1])) for r in own.collect()})
+        if items := tuple(x for x in items if x[1]):
+            yield items
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +129,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     schema = f"doc_id {id_type}, item_id {item_type}, edits int, n_chars int, end_at int"
-    found = []
-    for items in _items(benchmark, "item_id", "text"):
+    found: DataFrame | None = None
+    for items in _portions(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -143,25 +146,21 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
                         ["doc_id", "item_id", "edits", "n_chars", "end_at"],
                     )
 
-        found.append(texts.mapInArrow(run, schema))
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        hits = texts.mapInArrow(run, schema)
+        found = hits if found is None else durable(found).unionByName(hits)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+    """The rows whose text holds no item of ``benchmark`` within the error budget; all columns are kept."""
 
-def contaminated(benchmark: DataFrame, text: str | Column, share: float = EDIT_SHARE) -> Column:
-    """Whether a text holds an item of ``benchmark`` within the error budget."""
-    def search(items: tuple[tuple[int, str], ...]):
+    def holds(items: tuple[tuple[int, str], ...]) -> Column:
         @F.arrow_udf("boolean")
         def hit(column: pa.Array) -> pa.Array:
             return pa.array([bool(t) and bool(matches(t, items, share)) for t in column.to_pylist()], pa.bool_())
 
-        return hit(F.col(text) if isinstance(text, str) else text)
+        return hit(F.col(text_col))
 
-    out = F.lit(False)
-    for items in _items(benchmark, "item_id", "text"):
-        out = out | search(items)
-    return out
+    for i, items in enumerate(_portions(benchmark)):
+        docs = (durable(docs) if i else docs).where(~holds(items))
+    return docs

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-GROUP = 6000
+GROUP = 4000
 #: Characters below this are classified alike by both tokenizer libraries; other texts take the slower one.
 _PLAIN = 0x250
 

@@ -5,9 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from noticeloom.llm import decontam
-from pyspark.sql import functions as F
-
-from .conftest import DOCS, prose, rows
+from .conftest import prose
 
 
 def least(pattern: str, text: str) -> tuple[int, int]:
@@ -49,8 +47,10 @@ def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert {(4, 5, 0), (5, 5, 0), (6, 1, 0), (9, 4, 0)} <= set(want) and want.count((6, 1, 0)) == 2
     monkeypatch.setattr(decontam, "PORTION_CHARS", 10)  # several passes give the same
     assert sorted((r.doc_id, r.item_id, r.edits) for r in decontam.benchmark_hits(odd_docs, benchmark).collect() if r.doc_id) == want
-    flagged = {r.doc_id for r in odd_docs.where(decontam.contaminated(benchmark, F.col("text"))).collect() if r.doc_id}
-    assert flagged == {d for d, _, _ in want}
+    kept = decontam.without_contaminated(odd_docs, benchmark)
+    assert kept.columns == odd_docs.columns
+    assert {r.doc_id for r in odd_docs.collect()} - {r.doc_id for r in kept.collect()} == {d for d, _, _ in want}
     assert decontam.benchmark_hits(no_docs, benchmark).count() == 0
     assert decontam.benchmark_hits(odd_docs, benchmark.limit(0)).count() == 0
-    assert spark.createDataFrame(rows([]), DOCS).where(decontam.contaminated(benchmark, F.col("text"))).count() == 0
+    assert decontam.without_contaminated(no_docs, benchmark).count() == 0
+    assert decontam.without_contaminated(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
