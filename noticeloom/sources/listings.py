@@ -124,6 +124,77 @@ def largest(found: DataFrame, cap: int) -> DataFrame:
     return found.orderBy(F.desc("n"), "name").limit(cap)
 
 
+def _row_parser(of_page, fields: str):
+    """A parser of landed (url, html) into ``url`` and text ``fields``, one row for each dict that ``of_page`` finds."""
+    names = ["url", *fields.split()]
+    schema = pa.schema([(n, pa.string()) for n in names])
+
+    def parse(pages: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)
+                yield pa.RecordBatch.from_pylist([{"url": u, **row} for u, page in both for row in of_page(page)], schema)
+
+        return pages.select("url", "html").mapInArrow(run, ", ".join(f"{n} string" for n in names))
+
+    return parse
+
+
+def _widget_rows(page: str | None) -> list[dict]:
+    """Four cells: title with a printed serial, reference, closing, opening."""
+    rows = [row for table in tables(page) for row in table if len(row) == 4 and row[0][1]]
+    return [{"title": re.sub(r"^\d+\.\s*", "", r[0][0]), "ref": r[1][0], "closing": r[2][0], "opening": r[3][0], "link": r[0][1]} for r in rows]
+
+
+def _district_rows(page: str | None) -> list[dict]:
+    """Title, description, start, end and file of district-site tables, by their header."""
+    out = []
+    for table in tables(page):
+        header = [c.lower() for c, _ in table[0]] if table else []
+        at = {name: next((i for i, h in enumerate(header) if name in h), None) for name in ("title", "start", "end")}
+        if None in at.values():
+            continue
+        for row in table[1:]:
+            if len(row) > max(at.values()):
+                out.append({"title": row[at["title"]][0], "start": row[at["start"]][0], "end": row[at["end"]][0], "link": next((h for _, h in row if h), None)})
+    return out
+
+
+_STAMPED = re.compile(r"""<a\s[^>]*?href=["']([^"']*?(\d{14})[^"']*)["'][^>]*>(.*?)</a>""", re.I | re.S)
+
+
+def _stamped_rows(page: str | None) -> list[dict]:
+    """Links whose file name carries a 14-digit time."""
+    return [{"title": " ".join(re.sub(r"<[^>]*>", " ", t).split()), "published": f"{d[:4]}-{d[4:6]}-{d[6:8]} {d[8:10]}:{d[10:12]}:{d[12:]}", "link": h} for h, d, t in _STAMPED.findall(page or "")]
+
+
+def _option_rows(page: str | None) -> list[dict]:
+    found = re.findall(r"""<option[^>]*?value=["']?([^"'>]+)["']?[^>]*>([^<]*)""", page or "", re.I)
+    return [{"value": v.strip(), "name": " ".join(n.split())} for v, n in found if v.strip() not in ("", "0", "-1") and n.strip()]
+
+
+def _document_rows(page: str | None) -> list[dict]:
+    """Document links, one for each address."""
+    found = re.findall(r"""<a\s[^>]*?href=["']([^"']+\.(?:pdf|xlsx?|docx?|zip))["'][^>]*>(.*?)</a>""", page or "", re.I | re.S)
+    first: dict[str, str] = {}
+    for href, text in found:
+        first.setdefault(href, " ".join(re.sub(r"<[^>]*>", " ", text).split()))
+    return [{"link": h, "title": t or h.rsplit("/", 1)[-1]} for h, t in first.items()]
+
+
+parse_widget = _row_parser(_widget_rows, "title ref closing opening link")
+parse_district = _row_parser(_district_rows, "title start end link")
+parse_stamped = _row_parser(_stamped_rows, "title published link")
+parse_options = _row_parser(_option_rows, "value name")
+parse_documents = _row_parser(_document_rows, "link title")
+
+
+def has_later_page(page: Column, current: int) -> Column:
+    """Whether a listing links to a page after ``current``."""
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"[?&/](?:page|paged)[=/](\d+)"), 1), lambda n: n.try_cast("int"))
+    return F.coalesce(F.array_max(numbers) > current, F.lit(False))
+
+
 def to_notices(rows: DataFrame, source: str, now: Column) -> DataFrame:
     """Listed rows as notices: title, ids, chain, times, status by deadline."""
     block = split_title_block(F.col("title_block"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, merge, publish, queue, search
+from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, merge, publish, queue, search, workspace
 from noticeloom.sources import listings, records
 from noticeloom.streaming import incremental
 from pyspark.sql import functions as F
@@ -169,3 +169,31 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     incremental.upsert_stream(stream, f"{tmp_path}/out", merged, f"{tmp_path}/state").awaitTermination()
     versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     assert {(r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out/v={versions[-1]}").collect()} == {("a", "z"), ("b", "w"), ("c", "q")}
+
+
+def test_other_grammars(spark):
+    pages = spark.createDataFrame([("u", """<table><tr><td><a href="/t">1. Road</a></td><td>R1</td><td>01-Jan-2026</td><td>02-Jan-2026</td></tr></table>
+      <table><tr><th>Title</th><th>Start Date</th><th>End Date</th><th>File</th></tr><tr><td>Well</td><td>01/01/2026</td><td>05/01/2026</td><td><a href="w.pdf">View</a></td></tr></table>
+      <a href="/f/20260102030405_x.pdf">Pump <b>set</b></a><a href="/f/20260102030405_x.pdf">again</a><select><option value="">All</option><option value="NR"> north  zone</option></select><a href="?page=3">3</a>"""), ("v", None)], "url string, html string")
+    rows = lambda parse: [tuple(r)[1:] for r in parse(pages).collect()]
+    assert rows(listings.parse_widget) == [("Road", "R1", "01-Jan-2026", "02-Jan-2026", "/t")]
+    assert rows(listings.parse_district) == [("Well", "01/01/2026", "05/01/2026", "w.pdf")]
+    assert rows(listings.parse_stamped)[0] == ("Pump set", "2026-01-02 03:04:05", "/f/20260102030405_x.pdf")
+    assert rows(listings.parse_options) == [("NR", "north zone")]
+    assert rows(listings.parse_documents) == [("w.pdf", "View"), ("/f/20260102030405_x.pdf", "Pump set")]
+    assert [r.o for r in pages.select(listings.has_later_page(F.col("html"), 2).alias("o")).collect()] == [True, False]
+
+
+def test_workspace(spark):
+    raw = ['{"bookmarks": [{"id": " a ", "status": "won", "saved_at": "2026-01-01T00:00:00Z"}, {"id": ""}, {"id": "b", "status": "evil"}], "searches": [{"id": "1", "name": "n", "query": "q"}, {"id": "2"}]}', "[]", "junk", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, v string").coalesce(1)
+    got = [r.o for r in df.select(workspace.parse_backup(F.col("v")).alias("o")).collect()]
+    assert [(b.id, b.status) for b in got[0].bookmarks] == [("a", "won"), ("b", "new")] and len(got[0].searches) == 1 and got[1:] == [None, None, None]
+    docs = spark.createDataFrame([(i,) for i in range(9)], "id int")
+    chosen = spark.createDataFrame([(i, i) for i in range(7)], "id int, place int")
+    assert [r.id for r in workspace.compare(docs, chosen).collect()] == [0, 1, 2, 3, 4] and workspace.compare(docs, chosen.limit(1)).count() == 0
+    answer = spark.createDataFrame([('{"summary": " ", "requirements": [{"text": " "}, {"text": "EMD"}], "flags": [{"label": "x"}, {"label": "y", "basis": "p1"}], "confidence": 7}',)], "v string")
+    a = answer.select(workspace.normalised_answer(F.col("v")).alias("a")).first().a
+    assert (a.summary, [r.text for r in a.requirements], [f.label for f in a.flags], a.confidence) == (None, ["EMD"], ["y"], 1.0)
+    urls = spark.createDataFrame([("http://h/a/b.html?x=1", u) for u in ("c d.pdf", "/r", "//o/x", "https://z/")], "b string, h string").coalesce(1)
+    assert [r.u for r in urls.select(workspace.absolute_url(F.col("b"), F.col("h")).alias("u")).collect()] == ["http://h/a/c%20d.pdf", "http://h/r", "http://o/x", "https://z/"]
