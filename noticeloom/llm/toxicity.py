@@ -75,10 +75,10 @@ def _machine(doc: np.ndarray, at: np.ndarray, n: int, weight: np.ndarray, factor
 def train(rows: list[np.ndarray], y: np.ndarray, kept: int = 4096, factors: int = 4, epochs: int = 60, seed: int = 7) -> FactorizationMachine:
     """Adam on the logistic loss; ``rows`` are the distinct terms of each text."""
     n, positives = len(rows), int(y.sum())
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    term = np.concatenate([np.empty(0, np.int64), *rows])
-    p = np.bincount(term, y[doc].astype(float), 1 << BITS)
-    q = np.bincount(term, 1.0 - y[doc], 1 << BITS)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    term = np.concatenate([np.empty(0, np.int32), *rows])
+    p = np.bincount(term[(y == 1)[doc]], minlength=1 << BITS).astype(float)
+    q = np.bincount(term, minlength=1 << BITS) - p
     if not positives or positives == n:
         return FactorizationMachine(np.zeros(0, np.int64), 6.0 if positives else -6.0, np.zeros(0), np.zeros((0, factors)))
     a, b = positives, n - positives
@@ -88,8 +88,11 @@ def train(rows: list[np.ndarray], y: np.ndarray, kept: int = 4096, factors: int
     gain[(p + q) < 3] = 0
     terms = np.sort(np.argsort(-gain, kind="stable")[:kept])
     terms = terms[2 * gain[terms] > 12]
-    keep = np.isin(term, terms)
+    useful = np.zeros(1 << BITS, bool)
+    useful[terms] = True
+    keep = useful[term]
     doc, at = doc[keep], np.searchsorted(terms, term[keep])
+    del term, keep
     random = np.random.Generator(np.random.PCG64(seed))
     weight, factor = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors))
     bias = np.array([np.log(a / b)])
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
     id_type = sample.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"doc_id {id_type}, y int, terms binary").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
-    rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("terms").to_pylist()]
+    rows = [np.frombuffer(x, "<i4") for x in got.column("terms").to_pylist()]
     return train(rows, got.column("y").to_numpy().astype(np.int64))
 
 
