@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Kolkata"
-#: In order of precedence.
+#: The formats that portals print, in order of precedence.
 FORMATS = (
     "d-MMM-yyyy h:m a", "d-MMM-yyyy H:m", "d-MMM-yyyy", "d/M/yyyy h:m a", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy h:m a", "d-M-yyyy H:m",
     "d-M-yyyy", "d.M.yyyy H:m", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d MMM yyyy h:m a", "d MMM yyyy", "d MMMM yyyy",

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import seconds_until
 
 
+# Fixed values below: points and the wording of reasons.
+
+
 @dataclass(frozen=True)
 class Profile:
     industries: tuple[str, ...] = ()
