@@ -4,12 +4,14 @@ Texts are lower-cased (A-Z) words and the end.  The model sees the subword ids o
 steps: its class, by self-attention over the ids before it, and the id within its class given the id before, from
 smoothed counts over all training texts.  Both steps are normalised, so a text's score is a log-probability.  Attention runs in
 overlapping windows: the queries are ``STRIDE`` ids, the keys those and the ``STRIDE`` before them, masked to the past, so each
-id is scored once, with 16 to 31 ids before it.  The network's weights are fitted on a bounded sample of training texts;
-word counts, subword counts and everything that is scored cover all texts whole.
+id is scored once, with 16 to 31 ids before it.  Classes, frequent ids and all counts come from all training texts whole.
+The network starts from weights fitted on a bounded sample, then takes ``STEPS`` steps, each by the summed gradient of a part
+of the training texts; every id of every training text is in one of them.
 """
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import durable
+from ..operators.durable import durable, scratch_root
 from .wordhash import Words, raw_strings, slices
 
 STRIDE, DIM, CLASSES, HIDDEN = 16, 8, 48, 24
 #: Previous ids that are told apart within a class, ids that have counts of their own given them, and the smoothing mass.
 KINDS, COLUMNS, SMOOTH = 512, 4096, 20.0
-#: The network is fitted on at most so many training texts, of which whole texts up to this many ids in all are used.
+#: The network's first weights come from at most so many training texts, of which whole texts up to this many ids in all are used.
 SAMPLE_TEXTS, SAMPLE_IDS = 3000, 1_000_000
+#: Parts into which all training texts are dealt by hash, one for each later step; the first rate of these steps.
+STEPS, STEP_RATE = 24, 0.004
+#: Ids that are classed by their neighbours, the neighbours that are told apart, and the least count of such ids.
+CLASSED, NEIGHBOURS, CLASSED_LEAST = 4000, 256, 5
 #: So many of the most frequent words have their counts sent to the tasks; the counts of all others are joined.
 HEAD_WORDS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -168,21 +174,31 @@ _OFFSET = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
 _MASK = (_OFFSET >= 0).astype(np.float32)
 
 
-def _classes(ids: np.ndarray, size: int, end: int, seed: int) -> np.ndarray:
-    """Classes of ids by their neighbours in the sample: k-means on a reduced co-occurrence matrix; rare ids by two rules."""
-    random = np.random.Generator(np.random.PCG64(seed))
-    count = np.bincount(ids, minlength=size)
-    top = np.argsort(-count, kind="stable")[: min(4000, int((count >= 5).sum()))]
-    place = np.full(size, -1)
+def _classed(count: np.ndarray) -> np.ndarray:
+    """The ids that are frequent enough to be classed by their neighbours, the most frequent first."""
+    return np.argsort(-count, kind="stable")[: min(CLASSED, int((count >= CLASSED_LEAST).sum()))]
+
+
+def _neighbour_keys(ids: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
+    """Cells of the table of neighbours for whole texts: by place, the frequent ids before it, then those after it."""
+    before = np.concatenate([[end], ids[:-1]])
+    a, b = place.take(before), place.take(ids)
+    left, right = (a >= 0) & (a < NEIGHBOURS) & (b >= 0), (b >= 0) & (b < NEIGHBOURS) & (a >= 0)
+    return np.concatenate([b[left] * (2 * NEIGHBOURS) + a[left], a[right] * (2 * NEIGHBOURS) + NEIGHBOURS + b[right]])
+
+
+def _places(top: np.ndarray, size: int) -> np.ndarray:
+    place = np.full(size, -1, np.int64)
     place[top] = np.arange(len(top))
-    group = np.where(np.arange(size) % 2 == 0, CLASSES - 3, CLASSES - 2)
+    return place
+
+
+def _classes(count: np.ndarray, top: np.ndarray, table: np.ndarray, end: int, seed: int) -> np.ndarray:
+    """Classes of ids by their neighbours: k-means on a reduced co-occurrence matrix; rare ids by two rules."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    group = np.where(np.arange(len(count)) % 2 == 0, CLASSES - 3, CLASSES - 2)
     if len(top) > CLASSES:
-        m = min(256, len(top))
-        a, b = place[ids[:-1]], place[ids[1:]]
-        left, right = (a >= 0) & (a < m) & (b >= 0), (b >= 0) & (b < m) & (a >= 0)
-        table = np.zeros((len(top), 2 * m))
-        np.add.at(table, (b[left], a[left]), 1)
-        np.add.at(table, (a[right], m + b[right]), 1)
+        table = table.reshape(len(top), 2 * NEIGHBOURS).astype(np.float64)
         table = np.sqrt(table / np.maximum(table.sum(axis=1, keepdims=True), 1))
         u, s, _ = np.linalg.svd(table - table.mean(axis=0), full_matrices=False)
         point = u[:, :16] * s[:16]
@@ -198,60 +214,140 @@ def _classes(ids: np.ndarray, size: int, end: int, seed: int) -> np.ndarray:
     return group.astype(np.int64)
 
 
-def train(texts: list[np.ndarray], size: int, end: int, epochs: int = 4, seed: int = 5) -> AttentionModel:
-    """Adam on the cross-entropy of classes, over windows of the sampled texts."""
-    random = np.random.Generator(np.random.PCG64(seed))
-    ids = np.concatenate([*texts, np.array([end], np.int32)])
-    text = np.repeat(np.arange(len(texts) + 1), [*(len(t) for t in texts), 1])
-    group = _classes(ids, size, end, seed)
-    count = np.bincount(ids, minlength=size)
+def _layout(count: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, kind and column of every id."""
     frequent = np.argsort(-count, kind="stable")
     kind, column = KINDS - CLASSES + group, COLUMNS - CLASSES + group
     kind[frequent[: KINDS - CLASSES]] = np.arange(KINDS - CLASSES)
     column[frequent[: COLUMNS - CLASSES]] = np.arange(COLUMNS - CLASSES)
+    return group, kind, column
+
+
+def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], group: np.ndarray, kind: np.ndarray, ids: np.ndarray, text: np.ndarray, first: int, last: int) -> dict[str, np.ndarray]:
+    """Sums over ids first..last of the gradients of the cross-entropy; rows of tables are summed by kind first."""
+    _, (context, q, k, v, a, x, h, d, target) = _class_log_probs(w, group, ids, text, first, last, keep=True)
+    n = last - first
+    d[np.arange(n), target] -= 1
+    g = {"O": h.T @ d, "o": d.sum(0)}
+    dh = (d @ w["O"].T) * (1 - h**2)
+    g["H"], g["h"] = x.T @ dh, dh.sum(0)
+    dx = np.zeros((len(q) * STRIDE, 2 * DIM), dh.dtype)
+    dx[:n] = dh @ w["H"].T
+    dx = dx.reshape(-1, STRIDE, 2 * DIM)
+    dm, dcur = dx[:, :, :DIM], dx[:, :, DIM:]
+    da = dm @ v.transpose(0, 2, 1)
+    dv = a.transpose(0, 2, 1) @ dm
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE)
+    of = kind.take(context)
+
+    def by_kind(use: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(use, rows[:, i], KINDS) for i in range(DIM)], axis=1)
+
+    def unfold(y: np.ndarray) -> np.ndarray:  # a context id is a key of two windows
+        out = np.zeros((len(context) // STRIDE, STRIDE, DIM), y.dtype)
+        out[:-1] += y[:, :STRIDE]
+        out[1:] += y[:, STRIDE:]
+        return out.reshape(-1, DIM)
+
+    rows = {"k": by_kind(of, unfold(dk)), "v": by_kind(of, unfold(dv)), "q": by_kind(of[STRIDE:], dq.reshape(-1, DIM)), "x": by_kind(of[STRIDE:], dcur.reshape(-1, DIM))}
+    g["E"] = sum(rows[name] @ p[name].T for name in rows)
+    return {**g, **{name: p["E"].T @ rows[name] for name in rows}}
+
+
+class _Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = p, 0
+        self.m, self.s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], n: int, rate: float) -> None:
+        """``g``: sums of gradients over ``n`` ids."""
+        self.t += 1
+        for key, grad in g.items():
+            grad = grad / n
+            self.m[key] = 0.9 * self.m[key] + 0.1 * grad
+            self.s[key] = 0.99 * self.s[key] + 0.01 * grad * grad
+            self.p[key] -= rate * (self.m[key] / (1 - 0.9**self.t)) / (np.sqrt(self.s[key] / (1 - 0.99**self.t)) + 1e-8)
+
+
+def _model(p: dict[str, np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray]) -> AttentionModel:
+    return AttentionModel({k: x.astype(np.float32) for k, x in _tables(p, layout[1]).items()}, *layout)
+
+
+def train(texts: list[np.ndarray], size: int, end: int, epochs: int = 4, seed: int = 5) -> AttentionModel:
+    """A model of ``texts`` alone: classes and frequent ids are theirs too."""
+    ids = np.concatenate([*texts, np.array([end], np.int32)])
+    count = np.bincount(ids, minlength=size)
+    top = _classed(count)
+    table = np.bincount(_neighbour_keys(ids, _places(top, size), end), minlength=len(top) * 2 * NEIGHBOURS)
+    layout = _layout(count, _classes(count, top, table, end, seed))
+    return _model(train_weights(texts, layout, epochs, seed), layout)
+
+
+def train_weights(texts: list[np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray], epochs: int = 4, seed: int = 5) -> dict[str, np.ndarray]:
+    """Adam on the cross-entropy of classes, over windows of ``texts``."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    group, kind, _ = layout
+    end = len(group) - 1
+    ids = np.concatenate([*texts, np.array([end], np.int32)])
+    text = np.repeat(np.arange(len(texts) + 1), [*(len(t) for t in texts), 1])
     embed = random.normal(0, 0.5, (KINDS, 2 * DIM))  # frequent ids have their own embedding, others that of their class
     p = {"E": embed, "q": random.normal(0, 0.3, (2 * DIM, DIM)), "k": random.normal(0, 0.3, (2 * DIM, DIM)), "v": random.normal(0, 0.3, (2 * DIM, DIM)),
          "x": random.normal(0, 0.3, (2 * DIM, DIM)), "r": np.zeros(2 * STRIDE), "H": random.normal(0, 0.25, (2 * DIM, HIDDEN)), "h": np.zeros(HIDDEN),
          "O": random.normal(0, 0.2, (HIDDEN, CLASSES)), "o": np.log(np.bincount(group[ids], minlength=CLASSES) + 1.0) - np.log(len(ids))}
-    m, s, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    chunk = 2048
+    adam, chunk = _Adam(p), 2048
     starts = np.arange(0, len(ids) - 1, chunk)
     for epoch in range(epochs):
         for first in random.permutation(starts):
             last = min(first + chunk, len(ids))
-            w = _tables(p, kind)
-            _, (context, q, k, v, a, x, h, prob, target) = _class_log_probs(w, group, ids, text, first, last, keep=True)
-            n = last - first
-            d = prob
-            d[np.arange(n), target] -= 1
-            d /= n
-            g = {"O": h.T @ d, "o": d.sum(0)}
-            dh = (d @ p["O"].T) * (1 - h**2)
-            g["H"], g["h"] = x.T @ dh, dh.sum(0)
-            dx = np.zeros((len(q) * STRIDE, 2 * DIM))
-            dx[:n] = dh @ p["H"].T
-            dx = dx.reshape(-1, STRIDE, 2 * DIM)
-            dm, dcur = dx[:, :, :DIM], dx[:, :, DIM:]
-            da = dm @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ dm
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE)
-            spread = np.arange(len(q))[:, None] * STRIDE + np.arange(2 * STRIDE)
-            use, now = kind[context[spread]].ravel(), kind[context[STRIDE:]]
-            dk, dv, dq, dcur = (y.reshape(-1, DIM) for y in (dk, dv, dq, dcur))
-            ek, en = p["E"][use], p["E"][now]
-            g["k"], g["v"], g["q"], g["x"] = ek.T @ dk, ek.T @ dv, en.T @ dq, en.T @ dcur
-            g["E"] = np.zeros_like(p["E"])
-            np.add.at(g["E"], use, dk @ p["k"].T + dv @ p["v"].T)
-            np.add.at(g["E"], now, dq @ p["q"].T + dcur @ p["x"].T)
-            t += 1
-            rate = 0.01 * (1 - epoch / (epochs + 1))
-            for key, grad in g.items():
-                m[key] = 0.9 * m[key] + 0.1 * grad
-                s[key] = 0.99 * s[key] + 0.01 * grad * grad
-                p[key] -= rate * (m[key] / (1 - 0.9**t)) / (np.sqrt(s[key] / (1 - 0.99**t)) + 1e-8)
-    return AttentionModel({k: x.astype(np.float32) for k, x in _tables(p, kind).items()}, group, kind, column)
+            adam.step(_gradient(p, _tables(p, kind), group, kind, ids, text, first, last), last - first, 0.01 * (1 - epoch / (epochs + 1)))
+    return p
+
+
+def _joined(batch: pa.RecordBatch, dtype: str, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and text numbers of some whole texts at a time, from a column of encoded ids."""
+    held, size = [], 0
+    for raw in [*batch.column("ids").to_pylist(), None]:
+        if held and (raw is None or size + len(raw) > most * np.dtype(dtype).itemsize):
+            ids = np.frombuffer(b"".join(held), dtype).astype(np.int32)
+            yield ids, np.repeat(np.arange(len(held)), [len(x) // np.dtype(dtype).itemsize for x in held])
+            held, size = [], 0
+        if raw is not None:
+            held.append(raw)
+            size += len(raw)
+
+
+def fit_steps(p: dict[str, np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray], encoded: DataFrame, dtype: str) -> dict[str, np.ndarray]:
+    """One pass over all training texts (``ids``, ``step``): each step goes by the gradient of all texts of its part."""
+    group, kind, _ = layout
+    names, adam = sorted(p), _Adam(p)
+    sizes = [p[k].size for k in names]
+
+    def gradient_of(p: dict[str, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = {k: x.astype(np.float32) for k, x in p.items()}
+            w, total, n, chunk = _tables(low, kind), np.zeros(sum(sizes)), 0, 1 << 13
+            for batch in batches:
+                for ids, text in _joined(batch, dtype):
+                    for first in range(0, len(ids), chunk):
+                        g = _gradient(low, w, group, kind, ids, text, first, min(first + chunk, len(ids)))
+                        total += np.concatenate([g[k].ravel() for k in names])
+                    n += len(ids)
+            if n:
+                yield pa.record_batch([pa.array(np.arange(-1, len(total))), pa.array(np.concatenate([[n], total]))], ["at", "x"])
+
+        return run
+
+    for step in range(STEPS):
+        part = encoded.where(F.col("step") == step).select("ids")
+        got = part.mapInArrow(gradient_of(p), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        if not len(got):
+            continue
+        x = got.sort_by("at").column("x").to_numpy()
+        parts = np.split(x[1:], np.cumsum(sizes)[:-1])
+        adam.step({k: g.reshape(p[k].shape) for k, g in zip(names, parts, strict=True)}, x[0], STEP_RATE * (1 - step / STEPS))
+    return p
 
 
 def _tables(p: dict[str, np.ndarray], kind: np.ndarray) -> dict[str, np.ndarray]:
@@ -284,33 +380,55 @@ class _Tally:
         return key.astype(np.int64), n
 
 
-WORD, SUBWORD, PAIR = 0, 1, 2
-
-
-def _counts(texts: DataFrame, model: AttentionModel, vocabulary_path: str) -> DataFrame:
-    """``(what, key, n)`` over ``texts`` (t), in one pass: hashed words (ends are none), subword ids, and columns after kinds."""
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """``(word, n)`` of the hashed words of ``texts`` (t); ends are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, tally = Subwords(vocabulary_path), _Tally()
-        of_ids, of_pairs = np.zeros(subwords.size, np.int64), np.zeros(KINDS * COLUMNS, np.int64)
+        tally = _Tally()
 
-        def rows(what: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(key), what, np.int32)), pa.array(key), pa.array(n)], ["what", "key", "n"])
+        def rows() -> pa.RecordBatch:
+            key, n = tally.take()
+            return pa.record_batch([pa.array(key), pa.array(n)], ["word", "n"])
 
         for batch in batches:
             data, offsets = raw_strings(batch.column("t"))
             for a, b in slices(offsets):
-                ids = np.concatenate([subwords.ids(t) for t in batch.column("t").slice(a, b - a).to_pylist()])
-                of_ids += np.bincount(ids, minlength=subwords.size)
-                of_pairs += model.count_pairs(ids)
                 if tally.add(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1]).hashes()):
-                    yield rows(WORD, *tally.take())
-        yield rows(WORD, *tally.take())
-        for what, n in ((SUBWORD, of_ids), (PAIR, of_pairs)):
-            some = np.flatnonzero(n)
-            yield rows(what, some, n[some])
+                    yield rows()
+        yield rows()
+
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _encoded(texts: DataFrame, vocabulary_path: str, dtype: str) -> DataFrame:
+    """``(ids, step)`` of ``texts`` (t, step)."""
 
-    return texts.mapInArrow(run, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(vocabulary_path)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                ids = [subwords.ids(t).astype(dtype).tobytes() for t in some.column("t").to_pylist()]
+                yield pa.record_batch([pa.array(ids, pa.binary()), some.column("step")], ["ids", "step"])
+
+    return texts.select("t", "step").mapInArrow(run, "ids binary, step int")
+
+
+def _counted(encoded: DataFrame, keys, size: int, dtype: str) -> np.ndarray:
+    """How often each of ``size`` keys occurs in all texts; ``keys``: of the ids of whole texts.  At most one row for a key is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for ids, _ in _joined(batch, dtype):
+                n += np.bincount(keys(ids), minlength=size)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], ["key", "n"])
+
+    found = encoded.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,6 +445,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     drawn = rows.where("learn").where(mark < int((1 << 30) * min(1.0, 2 * SAMPLE_TEXTS / max(1, learned))))
     sample = drawn.orderBy(mark, "t").limit(SAMPLE_TEXTS).select("t").toArrow().column("t").to_pylist()
     subwords = Subwords(vocabulary_path)
+    vocabulary, end = subwords.size, subwords.end
     texts, size = [], 0
     for text in sample:
         ids = subwords.ids(text)
@@ -334,19 +453,25 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
             continue
         texts.append(ids)
         size += len(ids)
-    model = train(texts, subwords.size, subwords.end)
-
-    counted = durable(_counts(rows.where("learn").select("t"), model, vocabulary_path))
-    # at most one row for an id and one for a kind and a column, whatever the input
-    found = counted.where(F.col("what") != WORD).toArrow()
-    what, key, n = (found.column(c).to_numpy() for c in ("what", "key", "n"))
-    n_id, n_pair = np.zeros(subwords.size), np.zeros(KINDS * COLUMNS)
-    n_id[key[what == SUBWORD]], n_pair[key[what == PAIR]] = n[what == SUBWORD], n[what == PAIR]
-    model.learn_counts(n_id, n_pair)
 
-    counts = counted.where(F.col("what") == WORD).select(F.col("key").alias("word"), "n")
+    # all training texts are encoded once, in a folder for each step
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    step = F.pmod(F.shiftright(F.xxhash64("id", "t"), 32), F.lit(STEPS)).cast("int")
+    path = f"{scratch_root(docs.sparkSession)}/{uuid.uuid4().hex}"
+    _encoded(rows.where("learn").withColumn("step", step), vocabulary_path, dtype).write.partitionBy("step").parquet(path)
+    encoded = docs.sparkSession.read.schema("ids binary, step int").parquet(path)
+    n_id = _counted(encoded, lambda ids: ids, vocabulary, dtype)
+    top = _classed(n_id)
+    place = _places(top, vocabulary)
+    table = _counted(encoded, lambda ids: _neighbour_keys(ids, place, end), len(top) * 2 * NEIGHBOURS, dtype)
+    layout = _layout(n_id, _classes(n_id, top, table, end, 5))
+    del table
+    model = _model(fit_steps(train_weights(texts, layout), layout, encoded, dtype), layout)
+    model.learn_counts(n_id, _counted(encoded, model.count_pairs, KINDS * COLUMNS, dtype))
+
+    counts = durable(_word_counts(rows.where("learn").select("t")))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    ends = int(n_id[subwords.end])  # one for each training text
+    ends = int(n_id[end])  # one for each training text
     n_train, v_train = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     # the words above a count that at most HEAD_WORDS reach, found from a histogram of some hundred rows
     step = F.floor(F.log2("n") * 8).cast("int")

@@ -108,3 +108,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert lmscore.score_texts(no_docs, F.lit(True), PATH).count() == 0
     untrained = lmscore.score_texts(odd_docs, F.lit(None).cast("boolean"), PATH).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
+
+
+def test_the_model_learns_from_texts_beyond_the_sample(spark, monkeypatch):
+    """With a sample of one text, ids of all others have kinds and columns of their own, and all texts move the network."""
+    seen, learn_counts = [], lmscore.AttentionModel.learn_counts
+    monkeypatch.setattr(lmscore, "SAMPLE_IDS", 1)
+    monkeypatch.setattr(lmscore.AttentionModel, "learn_counts", lambda self, *a: (seen.append(self), learn_counts(self, *a)))
+    common = [prose(1, 12)] * 40
+    for more in ("reservoir turbine " * 30, "turbine reservoir reservoir " * 20):
+        docs = [(i, t) for i, t in enumerate(common)] + [(100 + i, more) for i in range(40)]
+        lmscore.score_texts(spark.createDataFrame(rows(docs), DOCS), F.col("doc_id") < 1000, PATH).collect()
+    subwords = lmscore.Subwords(PATH)
+    for model in seen:
+        for word in (b"reservoir", b"turbine"):
+            ids = np.frombuffer(subwords[word], np.uint32)
+            assert (model.kind[ids] < lmscore.KINDS - lmscore.CLASSES).all() and (model.column[ids] < lmscore.COLUMNS - lmscore.CLASSES).all()
+    assert not np.allclose(seen[0].w["H"], seen[1].w["H"])
+
+
+def test_the_gradient_equals_differences():
+    r = np.random.default_rng(3)
+    group = np.arange(lmscore.COLUMNS) % lmscore.CLASSES
+    layout = lmscore._layout(np.arange(lmscore.COLUMNS)[::-1], group)
+    texts = [r.integers(0, 40, n).astype(np.int32) for n in (50, 21)]
+    p = lmscore.train_weights(texts, layout, epochs=1)
+    ids, text = np.concatenate(texts), np.repeat([0, 1], [50, 21])
+    loss = lambda: -lmscore._class_log_probs(lmscore._tables(p, layout[1]), group, ids, text, 0, len(ids))[0].sum()
+    g = lmscore._gradient(p, lmscore._tables(p, layout[1]), group, layout[1], ids, text, 0, len(ids))
+    for name in p:
+        flat = p[name].reshape(-1)
+        for at in r.integers(0, flat.size, 4):
+            kept, found = flat[at], []
+            for move in (1e-5, -1e-5):
+                flat[at] = kept + move
+                found.append(loss())
+            flat[at] = kept
+            assert abs((found[0] - found[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-3
