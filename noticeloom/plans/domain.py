@@ -151,6 +151,12 @@ def q_title_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.normalise_title(F.substring("text", 1, 200)).alias("title"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
+def q_title_normalize_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As ``q_title_normalize``, but of whole texts."""
+    return table(spark, d, "documents").select("doc_id", text.normalise_title(F.col("text")).alias("title"))
+
+
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def q_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"))
@@ -309,9 +315,9 @@ def q_portal_health(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of whole documents; the fold depends on order, so tests hold golden values instead of SQL."""
+    """Chunks of whole documents, without the surveyed caps; the fold depends on order, so tests hold golden values instead of SQL."""
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
-    return chunks.chunks(pages)
+    return chunks.chunks(pages, most=None)
 
 
 @query("SELECT page_id, list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS found FROM pages")

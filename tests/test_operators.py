@@ -197,3 +197,22 @@ def test_workspace(spark):
     assert (a.summary, [r.text for r in a.requirements], [f.label for f in a.flags], a.confidence) == (None, ["EMD"], ["y"], 1.0)
     urls = spark.createDataFrame([("http://h/a/b.html?x=1", u) for u in ("c d.pdf", "/r", "//o/x", "https://z/")], "b string, h string").coalesce(1)
     assert [r.u for r in urls.select(workspace.absolute_url(F.col("b"), F.col("h")).alias("u")).collect()] == ["http://h/a/c%20d.pdf", "http://h/r", "http://o/x", "https://z/"]
+
+
+def test_chunks_without_caps_hold_the_whole_text(spark):
+    from noticeloom.plans import domain
+
+    long = ["x" * 7001, *(f"{i} " + "P" * 1500 for i in range(90))]
+    got = chunks.chunk_document([(1, "\n\n".join(long))], most=None)
+    assert max(len(t) for _, _, t in got) <= chunks.LONGEST
+    assert "".join(t for _, _, t in got).replace("\n", "") == "".join(long)
+    pages = spark.createDataFrame([(1, 1, "\n\n".join(long))], "doc long, page int, text string")
+    assert chunks.chunks(pages, most=None).count() == len(got) > chunks.MOST
+    assert {"q_chunk_pages", "q_title_normalize_whole"} <= set(domain.QUERIES)
+
+
+def test_whole_titles_are_not_cut(spark, tmp_path):
+    from noticeloom.plans import domain
+
+    spark.createDataFrame([(1, "Word, " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert domain.q_title_normalize_whole(spark, str(tmp_path)).first()["title"] == " ".join(["word"] * 100)
