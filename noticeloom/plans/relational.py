@@ -10,6 +10,7 @@ from ..functions.dates import days_until
 from ..operators import filters as P
 from ..operators import overlay, publish
 from ..operators import queue as Q
+from ..operators.durable import durable
 from .notices import CORRIGENDA, notices, now, sql, table, with_corrigenda
 
 QUERIES: dict = {}
@@ -39,6 +40,13 @@ def q_structured_filter(spark: SparkSession, d: str) -> DataFrame:
     return found.orderBy(*P.ordering("value")).limit(100).select("id", "state", "category", "value", "hidden_unknown")
 
 
+@query(sql("""SELECT id, state, category, value, (SELECT count(*) FROM n WHERE lower(state) = 'nation_3' AND value IS NULL AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household')) AS hidden_unknown
+FROM n WHERE lower(state) = 'nation_3' AND value BETWEEN 100000 AND 400000 AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household') ORDER BY value DESC, id"""))
+def q_structured_filter_whole(spark: SparkSession, d: str) -> DataFrame:
+    found = P.run_query(notices(spark, d), BAND, now())
+    return found.orderBy(*P.ordering("value")).select("id", "state", "category", "value", "hidden_unknown")
+
+
 @query(sql("SELECT id, value, CASE WHEN value IS NULL THEN 'unknown' WHEN value >= 50000 AND value <= 250000 THEN 'ok' ELSE 'fail' END AS verdict FROM n"))
 def q_value_verdict(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).select("id", "value", P.value_verdict(P.Query(min_value=50_000, max_value=250_000)).alias("verdict"))
@@ -120,6 +128,35 @@ def q_sort_newest(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(notices(spark, d), "newest")
 
 
+def _placed(rows: DataFrame, sort: str) -> DataFrame:
+    """All rows with their places: sorted by ranges, a place is the place within its range after the rows of the ranges before."""
+    order = P.ordering(sort)
+    at = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("within"), "id")
+    ordered = durable(ordered)  # ranges are drawn from a sample: the counts and the rows have to be of one run
+    before, total = [], 0
+    for part, n in sorted(ordered.groupBy("part").count().collect()):
+        before.append((part, total))
+        total += n
+    ranges = rows.sparkSession.createDataFrame(before, "part long, before long")  # one row for a partition
+    return ordered.join(F.broadcast(ranges), "part").select((F.col("before") + F.col("within") + 1).cast("int").alias("place"), "id")
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY closing_at ASC NULLS LAST, id)::INT AS place, id FROM n"))
+def q_sort_closing_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(notices(spark, d), "closing")
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY value DESC NULLS LAST, id)::INT AS place, id FROM n"))
+def q_sort_value_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(notices(spark, d), "value")
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY first_seen_at DESC NULLS LAST, id)::INT AS place, id FROM n"))
+def q_sort_newest_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(notices(spark, d), "newest")
+
+
 @query(sql("SELECT id, title FROM n WHERE status = 'active' ORDER BY id LIMIT 100"))
 def q_page_limit(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).where("status = 'active'").orderBy("id").limit(100).select("id", "title")
@@ -240,6 +277,11 @@ def q_field_rows(spark: SparkSession, d: str) -> DataFrame:
     return publish.field_rows(notices(spark, d).where("id % 10 = 1"), ["state", "status", "category"])
 
 
+@query(sql("""SELECT id, 'state' AS field, state AS value FROM n UNION ALL SELECT id, 'status', status FROM n UNION ALL SELECT id, 'category', category FROM n"""))
+def q_field_rows_whole(spark: SparkSession, d: str) -> DataFrame:
+    return publish.field_rows(notices(spark, d), ["state", "status", "category"])
+
+
 @query("""SELECT l.doc_id AS id, CASE WHEN d.n_chars * 100000.0 >= 1e8 THEN least(CASE WHEN toxic = 1 THEN 3 ELSE 4 END, 1) ELSE CASE WHEN toxic = 1 THEN 3 ELSE 4 END END AS priority FROM labels l JOIN documents d USING (doc_id)""")
 def q_queue_priority(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

@@ -216,3 +216,19 @@ def test_whole_titles_are_not_cut(spark, tmp_path):
 
     spark.createDataFrame([(1, "Word, " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert domain.q_title_normalize_whole(spark, str(tmp_path)).first()["title"] == " ".join(["word"] * 100)
+
+
+def test_places_go_over_all_rows_and_ranges(spark):
+    from noticeloom.plans import relational
+
+    r = random.Random(4)
+    rows = [(i, r.choice([None, 1.0, 2.0, r.random() * 9])) for i in range(1000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several ranges
+    try:
+        got = relational._placed(spark.createDataFrame(rows, "id long, value double").repartition(7), "value").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert [x.id for x in sorted(got)] == [i for i, _ in want] and sorted(x.place for x in got) == list(range(1, 1001))
+    assert relational._placed(spark.createDataFrame([], "id long, value double"), "value").count() == 0
