@@ -1,10 +1,10 @@
-"""Main text of web pages: host suffix arrays over token streams, checked by the markup.
+"""Main text of web pages: runs of tokens that repeat on a host, checked by the markup.
 
-Pages of one host, in slices of a few hundred, are laid end to end as one stream of tokens.  Its suffixes are sorted by their
-first ``REPEAT`` tokens (by doubling), so that equal neighbours share a long substring; one that occurs on enough distinct
-pages of the slice is boilerplate, and so is every token it covers.  Blocks keep their unique runs.  The markup then
-corrects what repetition cannot know: blocks in menus, footers, adverts and the like never belong to the article, and
-blocks inside ``<article>`` always do, even if a passage is printed on many pages.
+Every run of ``REPEAT`` tokens is hashed; one that occurs on enough distinct pages of its host is boilerplate, and so is every
+token it covers.  Pages of one host lie in slices of a few hundred: runs are counted by slice, summed by host, and each slice
+gets back those of its runs that are frequent on the host.  The markup then corrects what repetition cannot know: blocks in
+menus, footers, adverts and the like never belong to the article, and blocks inside ``<article>`` always do, even if a passage
+is printed on many pages.  So runs are counted only on hosts that have a page without such an element.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from .urlrules import url_host
 from .wordhash import Words, mix, raw_strings
 
 SLICE_PAGES = 256
-#: A run of so many tokens on at least so many pages of a slice, and on this share of them, is boilerplate.
-REPEAT, MIN_PAGES, MIN_SHARE = 8, 3, 0.02
+#: A run of so many tokens on at least so many distinct pages of a host is boilerplate.
+REPEAT, MIN_PAGES = 8, 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript textarea title template iframe xmp svg math object select".split())
@@ -141,49 +142,60 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-def repeated_tokens(texts: list[str], page: np.ndarray, share: float = MIN_SHARE) -> tuple[np.ndarray, Words]:
-    """Which tokens of the stream of ``texts`` (``page``: the page of each) a long substring of several pages covers."""
+def runs_of(texts: list[str], page: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of the stream of ``texts`` (``page``: the page of each), the first tokens of all runs on one page, and their hashes."""
     data, offsets = raw_strings(pa.array(texts, pa.string()))
     words = Words(data, offsets)
-    n = len(words.start)
-    covered = np.zeros(n, bool)
-    whole = n - REPEAT + 1
-    if whole < 2:
-        return covered, words
+    whole = len(words.start) - REPEAT + 1
+    if whole < 1:
+        return words, np.empty(0, np.int64), np.empty(0, np.int64)
     rank, width = words.hashes(), 1
     while width < REPEAT:  # the rank of a suffix by its first 2, 4, 8 tokens
         rank = mix(rank[: len(rank) - width] * np.uint64(3) + rank[width:])
         width *= 2
     owner = page[words.doc]
-    same = owner[:whole] == owner[REPEAT - 1 :]  # a run lies on one page
-    suffix = np.flatnonzero(same)
-    suffix = suffix[np.argsort(rank[suffix], kind="stable")]
-    if not len(suffix):
-        return covered, words
-    key, pages = rank[suffix], owner[suffix]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(first) - 1
-    fresh = first | np.concatenate([[True], pages[1:] != pages[:-1]])  # suffixes of a group are in page order
-    need = max(MIN_PAGES, int(np.ceil(share * len(np.unique(page)))))
-    often = np.bincount(group, fresh) >= need
-    edge = np.zeros(n + 1, np.int64)
-    hits = suffix[often[group]]
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + REPEAT, -1)
-    return np.cumsum(edge[:-1]) > 0, words
+    first = np.flatnonzero(owner[:whole] == owner[REPEAT - 1 :])
+    return words, first, rank[first].astype(np.int64)
+
+
+def page_counts(words: Words, first: np.ndarray, key: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs, and on how many pages each is."""
+    owner = page[words.doc[first]]
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return np.unique(key[fresh], return_counts=True)
+
+
+def _markup_decides(own: list) -> tuple[bool, bool]:
+    return any(b.inside and not b.outside for b in own), any(b.main and not b.outside for b in own)
 
 
-def extract(pages: list[str | None]) -> list[tuple[str, int]]:
-    """For the pages of one slice of a host: main text, and how many tokens repetition alone has removed."""
+def _stream(found: list[list]) -> tuple[list[str], np.ndarray]:
+    return [x.text for b in found for x in b], np.array([i for i, b in enumerate(found) for _ in b], np.int64)
+
+
+def extract(pages: list[str | None], frequent: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """For pages of a host: main text, and how many tokens repetition alone has removed.
+
+    ``frequent``: hashes of the host's frequent runs; without it, those of these pages.
+    """
     found = [blocks(p) for p in pages]
-    owner = np.array([i for i, b in enumerate(found) for _ in b], np.int64)
-    texts = [x.text for b in found for x in b]
-    covered, words = repeated_tokens(texts, owner) if texts else (np.zeros(0, bool), None)
+    texts, owner = _stream(found)
+    words, first, key = runs_of(texts, owner)
+    if frequent is None:
+        names, n = page_counts(words, first, key, owner)
+        frequent = names[n >= MIN_PAGES]
+    hits = first[np.isin(key, frequent)]
+    edge = np.zeros(len(words.start) + 1, np.int64)
+    np.add.at(edge, hits, 1)
+    np.add.at(edge, hits + REPEAT, -1)
+    covered = np.cumsum(edge[:-1]) > 0
     out, at = [], 0
     for own in found:
         kept, removed = [], 0
-        in_article = any(b.inside and not b.outside for b in own)
-        in_main = any(b.main and not b.outside for b in own)
+        in_article, in_main = _markup_decides(own)
         for i, b in enumerate(own, at):
             if b.outside or in_article and not b.inside:
                 continue
@@ -192,7 +204,7 @@ def extract(pages: list[str | None]) -> list[tuple[str, int]]:
             elif not in_main:
                 first, last = words.ptr[i], words.ptr[i + 1]
                 gone = covered[first:last]
-                if gone.sum() * 2 < len(gone):  # a common opening does not make a sentence boilerplate
+                if not gone.any():
                     kept.append(b.text)
                     continue
                 removed += int(gone.sum())
@@ -222,16 +234,49 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         "slice",
         F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / SLICE_PAGES))).cast("int"),
     )
-    sliced = sliced.drop("n").repartition("host", "slice").sortWithinPartitions("host", "slice")
+    id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    sliced = sliced.drop("n")
+    hosts = durable(rows.select("host", "html").mapInArrow(_undecided, "host string").distinct())
+    few = hosts.count() <= 100_000
+    counted = sliced.join(F.broadcast(hosts) if few else hosts, "host", "left_semi").repartition("host", "slice").sortWithinPartitions("host", "slice")
+    counted = durable(counted.mapInArrow(_by_slice(_count_slice), "host string, slice int, run long, n long"))
+    frequent = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).drop("n")
+    of_slices = counted.drop("n").join(frequent, ["host", "run"], "left_semi")
+    dealt = sliced.unionByName(of_slices, allowMissingColumns=True).repartition("host", "slice").sortWithinPartitions("host", "slice")
+    return dealt.mapInArrow(_by_slice(_extract_slice), f"page_id {id_type}, url {url_type}, text string, n_chars long, n_repeated long")
+
+
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts of the pages where repetition decides."""
+    for batch in batches:
+        found = set()
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            if host not in found and (own := blocks(page)) and not any(_markup_decides(own)):
+                found.add(host)
+        yield pa.record_batch([pa.array(sorted(found), pa.string())], ["host"])
+
+
+def _count_slice(table: pa.Table) -> pa.RecordBatch:
+    """On how many distinct pages of a slice each run is; repeated rows are one page and lie in one slice."""
+    pages = dict.fromkeys(zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
+    texts, owner = _stream([blocks(html) for _, _, html in pages])
+    run, n = page_counts(*runs_of(texts, owner), owner)
+    host, at = table.column("host")[0].as_py(), table.column("slice")[0].as_py()
+    return pa.record_batch([pa.array([host] * len(run), pa.string()), pa.array(np.full(len(run), at, np.int32)), pa.array(run), pa.array(n.astype(np.int64))], ["host", "slice", "run", "n"])
+
+
+def _extract_slice(table: pa.Table) -> pa.RecordBatch:
+    """The pages of a slice, by those of its runs that are frequent on the host (rows with a run)."""
+    frequent = table.column("run").drop_null().to_numpy()
+    one = table.filter(pc.is_null(table.column("run"))).combine_chunks().to_batches()[0]
+    texts, removed = zip(*extract(one.column("html").to_pylist(), frequent), strict=True)
+    return pa.record_batch(
+        [one.column("page_id"), one.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())],
+        ["page_id", "url", "text", "n_chars", "n_repeated"],
+    )
 
-    def of_slice(table: pa.Table) -> pa.RecordBatch:
-        texts, removed = zip(*extract(table.column("html").to_pylist()), strict=True)
-        one = table.combine_chunks().to_batches()[0]
-        return pa.record_batch(
-            [one.column("page_id"), one.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())],
-            ["page_id", "url", "text", "n_chars", "n_repeated"],
-        )
 
+def _by_slice(of_slice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
@@ -252,5 +297,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         if held:
             yield of_slice(pa.Table.from_batches(held))
 
-    id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    return sliced.mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long, n_repeated long")
+    return run

@@ -156,3 +156,13 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_every_query_is_registered():
     assert sorted(queries.QUERIES) == sorted([*(f"op{n}_{x}" for n, x in ((1, "sharding"), (2, "url_filter"), (3, "packing"), (4, "html_text"), (5, "quality"), (6, "minhash_dedup"), (7, "toxicity"), (8, "lm_score"), (9, "decontamination"), (10, "topk"))), "pipeline"])
+
+
+def test_runs_are_counted_over_all_slices_of_a_host(spark, monkeypatch):
+    """A notice on 4 of 60 pages, rarely twice in a slice, goes, also from a block that is mostly unique; a page given 3 times stays."""
+    monkeypatch.setattr(htmltext, "SLICE_PAGES", 4)
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    notice = "this rare notice stands on four of many pages"
+    pages = [(i, "http://h.example/x", f"<div>{body(i)} {notice if i % 15 == 0 else ''}</div>") for i in range(60)] + [(99, "http://h.example/x", f"<div>{body(99)}</div>")] * 3
+    got = htmltext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 63 and all(r.text == body(r.page_id) for r in got)
