@@ -54,8 +54,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The packed pieces of all documents, with a checksum in place of their ids."""
     ship(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(digest, packing.groups_for(docs.count()))
+    digest = durable(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(digest, packing.groups_for(digest.count()))
 
 
 STAGES = [

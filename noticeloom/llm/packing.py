@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import durable
+
 CAPACITY = 2048
 GROUP = 4000
 #: Characters below this are classified alike by both tokenizer libraries; other texts take the slower one.
@@ -141,11 +143,14 @@ def pack(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFram
     return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
-def groups_for(n_documents: int, group: int = GROUP) -> int:
-    return max(1, round(n_documents / group))
+def groups_for(n_pieces: int, group: int = GROUP) -> int:
+    return max(1, round(n_pieces / group))
 
 
 def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All of ``docs`` packed: the columns of :func:`token_pieces` (with ids) and those of :func:`pack`."""
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
-    return pack(pieces, groups_for(docs.count()), capacity)
+    columns = pieces.columns
+    pieces = durable(pieces.withColumn("_piece", F.monotonically_increasing_id()))  # document ids may repeat or be null
+    packed = pack(pieces.drop("ids"), groups_for(pieces.count()), capacity)
+    return packed.join(pieces.select("_piece", "ids"), "_piece").select(*columns, "sequence_id", "offset")

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import durable
 from . import decontam, htmltext, lmscore, neardup, packing, quality, sharding, topk, toxicity, urlrules
 from .folds import remainder
 
@@ -36,8 +37,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(digest, packing.groups_for(docs.count()))
+    digest = durable(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(digest, packing.groups_for(digest.count()))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

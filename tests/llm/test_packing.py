@@ -85,3 +85,10 @@ def test_round_trip(spark, odd_docs, no_docs):
             end += length
         assert end <= 512
     assert packing.packed_sequences(no_docs, PATH).count() == 0
+
+
+def test_a_very_long_document_is_dealt_over_groups(spark):
+    docs = spark.createDataFrame([(1, "word " * 24_000)], "doc_id long, text string").repartition(1)
+    got = packing.packed_sequences(docs, PATH, capacity=2).collect()
+    assert len({r.sequence_id >> 32 for r in got}) >= 3 and sorted(r.piece for r in got) == list(range(len(got)))
+    assert all(len(r.ids) == 4 * r.length for r in got)
