@@ -4,14 +4,21 @@ Texts are lower-cased (A-Z) words and the end.  The model sees the subword ids o
 steps: its class, by self-attention over the ids before it, and the id within its class given the id before, from
 smoothed counts over all training texts.  Both steps are normalised, so a text's score is a log-probability.  Attention runs in
 overlapping windows: the queries are ``STRIDE`` ids, the keys those and the ``STRIDE`` before them, masked to the past, so each
-id is scored once, with 16 to 31 ids before it.  Classes, frequent ids and all counts come from all training texts whole.
-The network starts from weights fitted on a bounded sample, then takes ``STEPS`` steps, each by the summed gradient of a part
-of the training texts; every id of every training text is in one of them.
+id is scored once, with 16 to 31 ids before it.
+
+Everything is learned from all training texts, whole: classes, frequent ids, counts, and the network, which starts from
+weights fitted on a bounded sample; then each partition goes on by gradient steps over every window of its own training texts,
+and the weights are averaged over the partitions by their ids.
+
+A memory of phrases stands beside the network, since so small a network cannot remember a corpus.  Texts are cut into
+phrases where two neighbouring ids have a hash divisible by ``PHRASE`` (and at the end), so equal passages are cut alike
+wherever they stand.  A phrase has probability ``(1 - MEMORY) * network + MEMORY * count / all``, where the counts are those of
+all training texts other than the one scored: a training text is judged by the others, like any other text.  Only phrases
+that recur between texts are changed by it; their sum stays within one.
 """
 
 from __future__ import annotations
 
-import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import durable, scratch_root
-from .wordhash import Words, raw_strings, slices
+from ..operators.durable import durable
+from .wordhash import Words, mix, raw_strings, slices
 
 STRIDE, DIM, CLASSES, HIDDEN = 16, 8, 48, 24
 #: Previous ids that are told apart within a class, ids that have counts of their own given them, and the smoothing mass.
 KINDS, COLUMNS, SMOOTH = 512, 4096, 20.0
 #: The network's first weights come from at most so many training texts, of which whole texts up to this many ids in all are used.
-SAMPLE_TEXTS, SAMPLE_IDS = 3000, 1_000_000
-#: Parts into which all training texts are dealt by hash, one for each later step; the first rate of these steps.
-STEPS, STEP_RATE = 24, 0.004
+SAMPLE_TEXTS, SAMPLE_IDS = 3000, 500_000
+#: Ids of a gradient step in a partition's pass over its training texts, and the rate of these steps.
+STEP_IDS, STEP_RATE = 1 << 13, 0.003
+#: Mean ids of a phrase, and the weight of the memory of phrases.
+PHRASE, MEMORY = 32, 0.1
 #: Ids that are classed by their neighbours, the neighbours that are told apart, and the least count of such ids.
 CLASSED, NEIGHBOURS, CLASSED_LEAST = 4000, 256, 5
 #: So many of the most frequent words have their counts sent to the tasks; the counts of all others are joined.
@@ -68,7 +77,7 @@ class Subwords(dict):
 
 @dataclass
 class AttentionModel:
-    """``w``: query, key and value rows per id (projections of one embedding), relative bias, output layers; ``group``: class of id."""
+    """``w``: query, key and value rows per kind of id (projections of one embedding), relative bias, output layers; ``group``: class of id."""
 
     w: dict[str, np.ndarray]
     group: np.ndarray
@@ -104,7 +113,8 @@ class AttentionModel:
         laid[place] = ids
         text = np.repeat(np.arange(len(size), dtype=np.int32), np.diff(padded))
         step = 1 << 14
-        parts = [_class_log_probs(self.w, self.group, laid, text, i, min(i + step, len(laid)))[0] for i in range(0, len(laid), step)]
+        kinds, targets = self.kind.take(laid), self.group.take(laid)
+        parts = [_class_log_probs(self.w, kinds, targets, self.kind[-1], text, i, min(i + step, len(laid)))[0] for i in range(0, len(laid), step)]
         out = np.concatenate([np.empty(0, np.float32), *parts]).take(place)
         before = np.concatenate([[len(self.group) - 1], ids[:-1]])
         out += self.pair.ravel().take(self.kind.take(before) * COLUMNS + self.column.take(ids))
@@ -112,66 +122,70 @@ class AttentionModel:
         return out
 
 
-def _context(ids: np.ndarray, text: np.ndarray, first: int, last: int, start_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids before each target, from STRIDE before the first to the last, padded to whole windows; and their texts.
+def _context(kinds: np.ndarray, text: np.ndarray, first: int, last: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds before each target, from STRIDE before the first to the last, padded to whole windows; and their texts.
 
     ``text`` is the number of the text of each id.  A text begins with the start mark in place of the last id of the one before.
     """
     end = first + -(-(last - first) // STRIDE) * STRIDE
-    high = min(end, len(ids))
-    context, owner = np.full(end - first + STRIDE, start_id, ids.dtype), np.full(end - first + STRIDE, -1, text.dtype)
-    here = slice(max(0, first - STRIDE), high)  # the targets that the context ids stand before
+    high = min(end, len(kinds))
+    context, owner = np.full(end - first + STRIDE, start, kinds.dtype), np.full(end - first + STRIDE, -1, text.dtype)
+    here = slice(max(0, first - STRIDE), high)  # the targets that the context stands before
     at = here.start - (first - STRIDE)
     owner[at : at + high - here.start] = text[here]
     before = slice(max(1, here.start), high)
     at = before.start - (first - STRIDE)
     inside = text[before] == text[before.start - 1 : high - 1]
-    context[at : at + high - before.start] = np.where(inside, ids[before.start - 1 : high - 1], start_id)
+    context[at : at + high - before.start] = np.where(inside, kinds[before.start - 1 : high - 1], start)
     return context, owner
 
 
+_OFFSET = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
 _ONES_KEYS, _ONES_CLASSES = np.ones((2 * STRIDE, 1), np.float32), np.ones(CLASSES, np.float32)
 
 
-def _class_log_probs(w: dict[str, np.ndarray], group: np.ndarray, ids: np.ndarray, text: np.ndarray, first: int, last: int, keep: bool = False):
-    """Log-probabilities of the classes of ids first..last.  ``take`` and sums as products are several times faster here."""
-    context, owner = _context(ids, text, first, last, len(group) - 1)
+def _class_log_probs(w: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, start: int, text: np.ndarray, first: int, last: int, keep: bool = False):
+    """Log-probabilities of the classes ``targets`` of ids first..last, from the ``kinds`` before them.
+
+    ``take``, work in place and sums as products are several times faster here.
+    """
+    context, owner = _context(kinds, text, first, last, start)
     windows = lambda x: np.lib.stride_tricks.sliding_window_view(x, 2 * STRIDE, axis=0)[::STRIDE]
     now = context[STRIDE:]
     q = w["Q"].take(now, axis=0).reshape(-1, STRIDE, DIM)
     k = np.ascontiguousarray(windows(w["K"].take(context, axis=0)))  # (rows, DIM, 2 * STRIDE)
     v = windows(w["V"].take(context, axis=0)).transpose(0, 2, 1)
     a = q @ k
-    a += w["bias"]
+    a += w["bias"]  # what lies ahead is far below zero
     np.minimum(a, 30, out=a)
     np.exp(a, out=a)
-    a *= _MASK
     spans = windows(owner)
     crossing = np.flatnonzero(spans[:, 0] != spans[:, -1])
     if len(crossing):  # attention stays in its text
         t = spans[crossing]
         a[crossing] *= t[:, None, :] == t[:, STRIDE:, None]
     total = a @ _ONES_KEYS.astype(a.dtype, copy=False)
-    mixed = a @ v
-    mixed /= total
     n = last - first
-    x = np.concatenate([mixed.reshape(-1, DIM), w["X"].take(now, axis=0)], axis=1)[:n]
-    h = x @ w["H"]
-    h += w["h"]
-    np.tanh(h, out=h)
-    logit = h @ w["O"]
-    logit += w["o"]
-    np.minimum(logit, 60, out=logit)
-    target = group.take(ids[first:last])
-    at_target = logit.ravel().take(np.arange(n) * CLASSES + target)
-    e = np.exp(logit, out=logit)
+    x = np.ones((len(now), 2 * DIM + 1), a.dtype)  # the last column of ones carries the bias
+    np.divide(a @ v, total, out=x.reshape(-1, STRIDE, 2 * DIM + 1)[:, :, :DIM])
+    x[:, DIM : 2 * DIM] = w["X"].take(now, axis=0)
+    x = x[:n]
+    h = np.ones((n, HIDDEN + 1), a.dtype)
+    np.tanh(x @ w["H"], out=h[:, :HIDDEN])
+    e = h @ w["O"]
+    np.minimum(e, 60, out=e)
+    target = targets[first:last]
+    cell = np.arange(0, n * CLASSES, CLASSES)
+    cell += target
+    at_target = e.ravel().take(cell)
+    np.exp(e, out=e)
     mass = e @ _ONES_CLASSES.astype(e.dtype, copy=False)
     out = at_target - np.log(mass)
-    return (out, (context, q, k.transpose(0, 2, 1), v, a / total, x, h, e / mass[:, None], target)) if keep else (out,)
-
-
-_OFFSET = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
-_MASK = (_OFFSET >= 0).astype(np.float32)
+    if not keep:
+        return (out,)
+    a /= total
+    e *= (1 / mass)[:, None]
+    return out, (context, q, k.transpose(0, 2, 1), v, a, x, h, e, cell)
 
 
 def _classed(count: np.ndarray) -> np.ndarray:
@@ -223,24 +237,26 @@ def _layout(count: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return group, kind, column
 
 
-def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], group: np.ndarray, kind: np.ndarray, ids: np.ndarray, text: np.ndarray, first: int, last: int) -> dict[str, np.ndarray]:
+def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, start: int, text: np.ndarray, first: int, last: int) -> dict[str, np.ndarray]:
     """Sums over ids first..last of the gradients of the cross-entropy; rows of tables are summed by kind first."""
-    _, (context, q, k, v, a, x, h, d, target) = _class_log_probs(w, group, ids, text, first, last, keep=True)
+    _, (context, q, k, v, a, x, h, d, cell) = _class_log_probs(w, kinds, targets, start, text, first, last, keep=True)
     n = last - first
-    d[np.arange(n), target] -= 1
-    g = {"O": h.T @ d, "o": d.sum(0)}
-    dh = (d @ w["O"].T) * (1 - h**2)
-    g["H"], g["h"] = x.T @ dh, dh.sum(0)
+    d.ravel()[cell] -= 1
+    g = {"O": h.T @ d}
+    dh = d @ w["O"][:HIDDEN].T
+    h = h[:, :HIDDEN]
+    dh *= 1 - h * h
+    g["H"] = x.T @ dh
     dx = np.zeros((len(q) * STRIDE, 2 * DIM), dh.dtype)
-    dx[:n] = dh @ w["H"].T
+    np.matmul(dh, w["H"][: 2 * DIM].T, out=dx[:n])
     dx = dx.reshape(-1, STRIDE, 2 * DIM)
-    dm, dcur = dx[:, :, :DIM], dx[:, :, DIM:]
+    dm = np.ascontiguousarray(dx[:, :, :DIM])
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE)
-    of = kind.take(context)
+    da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
+    da *= a
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), da.sum(axis=0).ravel(), 2 * STRIDE)
 
     def by_kind(use: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(use, rows[:, i], KINDS) for i in range(DIM)], axis=1)
@@ -251,7 +267,8 @@ def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], group: np.ndar
         out[1:] += y[:, STRIDE:]
         return out.reshape(-1, DIM)
 
-    rows = {"k": by_kind(of, unfold(dk)), "v": by_kind(of, unfold(dv)), "q": by_kind(of[STRIDE:], dq.reshape(-1, DIM)), "x": by_kind(of[STRIDE:], dcur.reshape(-1, DIM))}
+    now = context[STRIDE:]
+    rows = {"k": by_kind(context, unfold(dk)), "v": by_kind(context, unfold(dv)), "q": by_kind(now, dq.reshape(-1, DIM)), "x": by_kind(now, dx[:, :, DIM:].reshape(-1, DIM))}
     g["E"] = sum(rows[name] @ p[name].T for name in rows)
     return {**g, **{name: p["E"].T @ rows[name] for name in rows}}
 
@@ -272,7 +289,7 @@ class _Adam:
 
 
 def _model(p: dict[str, np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray]) -> AttentionModel:
-    return AttentionModel({k: x.astype(np.float32) for k, x in _tables(p, layout[1]).items()}, *layout)
+    return AttentionModel({k: x.astype(np.float32) for k, x in _tables(p).items()}, *layout)
 
 
 def train(texts: list[np.ndarray], size: int, end: int, epochs: int = 4, seed: int = 5) -> AttentionModel:
@@ -291,17 +308,18 @@ def train_weights(texts: list[np.ndarray], layout: tuple[np.ndarray, np.ndarray,
     group, kind, _ = layout
     end = len(group) - 1
     ids = np.concatenate([*texts, np.array([end], np.int32)])
+    kinds, targets = kind[ids], group[ids]
     text = np.repeat(np.arange(len(texts) + 1), [*(len(t) for t in texts), 1])
     embed = random.normal(0, 0.5, (KINDS, 2 * DIM))  # frequent ids have their own embedding, others that of their class
     p = {"E": embed, "q": random.normal(0, 0.3, (2 * DIM, DIM)), "k": random.normal(0, 0.3, (2 * DIM, DIM)), "v": random.normal(0, 0.3, (2 * DIM, DIM)),
-         "x": random.normal(0, 0.3, (2 * DIM, DIM)), "r": np.zeros(2 * STRIDE), "H": random.normal(0, 0.25, (2 * DIM, HIDDEN)), "h": np.zeros(HIDDEN),
-         "O": random.normal(0, 0.2, (HIDDEN, CLASSES)), "o": np.log(np.bincount(group[ids], minlength=CLASSES) + 1.0) - np.log(len(ids))}
+         "x": random.normal(0, 0.3, (2 * DIM, DIM)), "r": np.zeros(2 * STRIDE), "H": np.vstack([random.normal(0, 0.25, (2 * DIM, HIDDEN)), np.zeros(HIDDEN)]),
+         "O": np.vstack([random.normal(0, 0.2, (HIDDEN, CLASSES)), np.log(np.bincount(targets, minlength=CLASSES) + 1.0) - np.log(len(ids))])}
     adam, chunk = _Adam(p), 2048
     starts = np.arange(0, len(ids) - 1, chunk)
     for epoch in range(epochs):
         for first in random.permutation(starts):
             last = min(first + chunk, len(ids))
-            adam.step(_gradient(p, _tables(p, kind), group, kind, ids, text, first, last), last - first, 0.01 * (1 - epoch / (epochs + 1)))
+            adam.step(_gradient(p, _tables(p), kinds, targets, kind[end], text, first, last), last - first, 0.01 * (1 - epoch / (epochs + 1)))
     return p
 
 
@@ -318,43 +336,77 @@ def _joined(batch: pa.RecordBatch, dtype: str, most: int = 1 << 19) -> Iterator[
             size += len(raw)
 
 
-def fit_steps(p: dict[str, np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray], encoded: DataFrame, dtype: str) -> dict[str, np.ndarray]:
-    """One pass over all training texts (``ids``, ``step``): each step goes by the gradient of all texts of its part."""
-    group, kind, _ = layout
-    names, adam = sorted(p), _Adam(p)
-    sizes = [p[k].size for k in names]
-
-    def gradient_of(p: dict[str, np.ndarray]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low = {k: x.astype(np.float32) for k, x in p.items()}
-            w, total, n, chunk = _tables(low, kind), np.zeros(sum(sizes)), 0, 1 << 13
-            for batch in batches:
-                for ids, text in _joined(batch, dtype):
-                    for first in range(0, len(ids), chunk):
-                        g = _gradient(low, w, group, kind, ids, text, first, min(first + chunk, len(ids)))
-                        total += np.concatenate([g[k].ravel() for k in names])
-                    n += len(ids)
-            if n:
-                yield pa.record_batch([pa.array(np.arange(-1, len(total))), pa.array(np.concatenate([[n], total]))], ["at", "x"])
-
-        return run
-
-    for step in range(STEPS):
-        part = encoded.where(F.col("step") == step).select("ids")
-        got = part.mapInArrow(gradient_of(p), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        if not len(got):
-            continue
-        x = got.sort_by("at").column("x").to_numpy()
-        parts = np.split(x[1:], np.cumsum(sizes)[:-1])
-        adam.step({k: g.reshape(p[k].shape) for k, g in zip(names, parts, strict=True)}, x[0], STEP_RATE * (1 - step / STEPS))
-    return p
+def fit_everywhere(model: AttentionModel, p: dict[str, np.ndarray], encoded: DataFrame, dtype: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """One pass over all training texts (``ids``): the averaged weights, and the counts of pairs.
 
+    Each partition starts from ``p`` and takes a step for every ``STEP_IDS`` of its ids; of its weights the mean over its steps
+    counts, by its ids.  At most one row for each weight and pair is gathered.
+    """
+    names = sorted(p)
+    sizes = [p[k].size for k in names]
+    kind, group = model.kind.astype(np.int32), model.group
 
-def _tables(p: dict[str, np.ndarray], kind: np.ndarray) -> dict[str, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {k: x.astype(np.float32) for k, x in p.items()}
+        adam, mean, n, steps = _Adam(own), np.zeros(sum(sizes)), 0, 0
+        pairs = np.zeros(KINDS * COLUMNS, np.int64)
+        for batch in batches:
+            for ids, text in _joined(batch, dtype):
+                pairs += model.count_pairs(ids)
+                kinds, targets = kind.take(ids), group.take(ids)
+                for first in range(0, len(ids), STEP_IDS):
+                    last = min(first + STEP_IDS, len(ids))
+                    g = _gradient(own, _tables(own), kinds, targets, kind[-1], text, first, last)
+                    adam.step(g, last - first, STEP_RATE * (last - first) / STEP_IDS)
+                    mean += np.concatenate([own[k].ravel() for k in names])
+                    steps += 1
+                n += len(ids)
+        if n:
+            some = np.flatnonzero(pairs)
+            at, x = np.concatenate([np.arange(-1, len(mean)), len(mean) + some]), np.concatenate([[n], mean * (n / steps), pairs[some]])
+            yield pa.record_batch([pa.array(at), pa.array(x)], ["at", "x"])
+
+    got = encoded.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    at, x = got.column("at").to_numpy(), got.column("x").to_numpy()
+    found = np.zeros(1 + sum(sizes) + KINDS * COLUMNS)
+    found[at + 1] = x
+    if found[0]:
+        parts = np.split(found[1 : 1 + sum(sizes)] / found[0], np.cumsum(sizes)[:-1])
+        p = {k: part.reshape(p[k].shape) for k, part in zip(names, parts, strict=True)}
+    return p, found[1 + sum(sizes) :]
+
+
+def _tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The rows looked up in the forward pass: projections are applied to the embeddings once, not to every id of a text."""
-    out = {name: (p["E"] @ p[low])[kind] for name, low in (("Q", "q"), ("K", "k"), ("V", "v"), ("X", "x"))}
-    bias = p["r"][np.clip(_OFFSET, 0, None)]
-    return {**out, "bias": bias, "H": p["H"], "h": p["h"], "O": p["O"], "o": p["o"]}
+    out = {name: p["E"] @ p[low] for name, low in (("Q", "q"), ("K", "k"), ("V", "v"), ("X", "x"))}
+    bias = np.where(_OFFSET >= 0, p["r"][np.clip(_OFFSET, 0, None)], np.array(-1e4, p["r"].dtype))
+    return {**out, "bias": bias, "H": p["H"], "O": p["O"]}
+
+
+def phrases(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of some texts: where each begins and, last, where all end; and their hashes."""
+    u = ids.astype(np.uint64)
+    cut = np.zeros(len(ids) + 1, bool)
+    with np.errstate(over="ignore"):
+        pair = mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + u[1:])
+        cut[2:] = pair % np.uint64(PHRASE) == 0
+        cut[bounds[1:-1] + 1] = False  # these two ids are of different texts
+        cut[bounds] = True
+        start = np.flatnonzero(cut)
+        if len(start) < 2:
+            return start, np.empty(0, np.uint64)
+        n = np.diff(start)
+        offset = np.arange(len(ids)) - np.repeat(start[:-1], n)
+        term = mix(u + np.uint64(1) + (offset.astype(np.uint64) << np.uint64(32)))
+        return start, mix(np.add.reduceat(term, start[:-1]) + n.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
+
+
+def _remembered(network: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """log10 of the mixture of a phrase's probability (``network``: its log10) and ``count`` of ``total`` phrases."""
+    a = network + np.log10(1 - MEMORY)
+    seen = (count > 0) & (total > 0)
+    b = np.where(seen, np.log10(MEMORY) + np.log10(np.maximum(count, 1)) - np.log10(np.maximum(total, 1)), -np.inf)
+    return np.where(seen, np.maximum(a, b) + np.log10(1 + 10 ** -np.abs(np.where(seen, a - b, 0))), a)
 
 
 class _Tally:
@@ -377,31 +429,38 @@ class _Tally:
         key, at = np.unique(np.concatenate([np.empty(0, np.uint64), *self.keys]), return_inverse=True)
         n = np.bincount(at, np.concatenate([np.empty(0, np.int64), *self.counts]), len(key)).astype(np.int64)
         self.keys, self.counts, self.size = [], [], 0
-        return key.astype(np.int64), n
+        return key, n
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` of the hashed words of ``texts`` (t); ends are none."""
+def _key_counts(encoded: DataFrame, dtype: str) -> DataFrame:
+    """``(key, phrase, n)`` of the hashed words and the phrases of ``encoded`` (t, ids); ends are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
 
-        def rows() -> pa.RecordBatch:
-            key, n = tally.take()
-            return pa.record_batch([pa.array(key), pa.array(n)], ["word", "n"])
+        def rows(key: np.ndarray, n: np.ndarray, phrase: bool) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(key), phrase)), pa.array(n)], ["key", "phrase", "n"])
 
         for batch in batches:
             data, offsets = raw_strings(batch.column("t"))
             for a, b in slices(offsets):
+                ids, bounds = _decoded(batch.column("ids").slice(a, b - a), dtype)
+                yield rows(*np.unique(phrases(ids, bounds)[1], return_counts=True), True)
                 if tally.add(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1]).hashes()):
-                    yield rows()
-        yield rows()
+                    yield rows(*tally.take(), False)
+        yield rows(*tally.take(), False)
+
+    return encoded.select("t", "ids").mapInArrow(run, "key long, phrase boolean, n long").groupBy("key", "phrase").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def _decoded(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts, and where each text begins and the last ends."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) // np.dtype(dtype).itemsize for x in raw])])
 
 
 def _encoded(texts: DataFrame, vocabulary_path: str, dtype: str) -> DataFrame:
-    """``(ids, step)`` of ``texts`` (t, step)."""
+    """Adds the ``ids`` of ``t`` to ``texts`` (uid, id, t, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(vocabulary_path)
@@ -409,9 +468,9 @@ def _encoded(texts: DataFrame, vocabulary_path: str, dtype: str) -> DataFrame:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 ids = [subwords.ids(t).astype(dtype).tobytes() for t in some.column("t").to_pylist()]
-                yield pa.record_batch([pa.array(ids, pa.binary()), some.column("step")], ["ids", "step"])
+                yield pa.record_batch([*some.columns, pa.array(ids, pa.binary())], [*some.schema.names, "ids"])
 
-    return texts.select("t", "step").mapInArrow(run, "ids binary, step int")
+    return texts.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields) + ", ids binary")
 
 
 def _counted(encoded: DataFrame, keys, size: int, dtype: str) -> np.ndarray:
@@ -435,45 +494,45 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row; scores are log10 probabilities.
 
     Tokens are the words and one end for each text.  Learns from the rows for which ``learn`` holds.  A null or empty text has
-    one token, the end.  Repeated rows are scored each.  Without training rows the base is uniform.
+    one token, the end.  Repeated rows are scored each.  Without training rows the base is uniform.  Other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    # a hash threshold leaves about twice the sample before it is ordered, so no task gathers more however many texts there are
-    learned = rows.where("learn").count()
-    mark = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30))
-    drawn = rows.where("learn").where(mark < int((1 << 30) * min(1.0, 2 * SAMPLE_TEXTS / max(1, learned))))
-    sample = drawn.orderBy(mark, "t").limit(SAMPLE_TEXTS).select("t").toArrow().column("t").to_pylist()
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
     subwords = Subwords(vocabulary_path)
     vocabulary, end = subwords.size, subwords.end
-    texts, size = [], 0
-    for text in sample:
-        ids = subwords.ids(text)
-        if texts and size + len(ids) > SAMPLE_IDS:
-            continue
-        texts.append(ids)
-        size += len(ids)
-
-    # all training texts are encoded once, in a folder for each step
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    step = F.pmod(F.shiftright(F.xxhash64("id", "t"), 32), F.lit(STEPS)).cast("int")
-    path = f"{scratch_root(docs.sparkSession)}/{uuid.uuid4().hex}"
-    _encoded(rows.where("learn").withColumn("step", step), vocabulary_path, dtype).write.partitionBy("step").parquet(path)
-    encoded = docs.sparkSession.read.schema("ids binary, step int").parquet(path)
-    n_id = _counted(encoded, lambda ids: ids, vocabulary, dtype)
+    every = durable(_encoded(rows, vocabulary_path, dtype))  # texts are encoded once
+    training = every.where("learn")
+
+    # a hash threshold leaves about twice the sample before it is ordered, so no task gathers more however many texts there are
+    learned = training.count()
+    mark = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30))
+    drawn = training.where(mark < int((1 << 30) * min(1.0, 2 * SAMPLE_TEXTS / max(1, learned))))
+    texts, size = [], 0
+    for raw in drawn.orderBy(mark, "t").limit(SAMPLE_TEXTS).select("ids").toArrow().column("ids").to_pylist():
+        ids = np.frombuffer(raw, dtype).astype(np.int32)
+        if not texts or size + len(ids) <= SAMPLE_IDS:
+            texts.append(ids)
+            size += len(ids)
+    n_id = _counted(training, lambda ids: ids, vocabulary, dtype)
     top = _classed(n_id)
     place = _places(top, vocabulary)
-    table = _counted(encoded, lambda ids: _neighbour_keys(ids, place, end), len(top) * 2 * NEIGHBOURS, dtype)
+    table = _counted(training, lambda ids: _neighbour_keys(ids, place, end), len(top) * 2 * NEIGHBOURS, dtype)
     layout = _layout(n_id, _classes(n_id, top, table, end, 5))
     del table
-    model = _model(fit_steps(train_weights(texts, layout), layout, encoded, dtype), layout)
-    model.learn_counts(n_id, _counted(encoded, model.count_pairs, KINDS * COLUMNS, dtype))
-
-    counts = durable(_word_counts(rows.where("learn").select("t")))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    first = train_weights(texts, layout)
+    weights, n_pair = fit_everywhere(_model(first, layout), first, training.select("ids"), dtype)
+    model = _model(weights, layout)
+    model.learn_counts(n_id, n_pair)
+    del n_pair, texts
+
+    counts = durable(_key_counts(training, dtype))
+    total = {r["phrase"]: (r["n"], r["v"]) for r in counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    words_n, words_v = total.get(False, (0, 0))
+    n_phrases, _ = total.get(True, (0, 0))
     ends = int(n_id[end])  # one for each training text
-    n_train, v_train = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    # the words above a count that at most HEAD_WORDS reach, found from a histogram of some hundred rows
+    n_train, v_train = words_n + ends, words_v + (ends > 0)
+    # the keys above a count that at most HEAD_WORDS reach, found from a histogram of some hundred rows
     step = F.floor(F.log2("n") * 8).cast("int")
     levels = counts.groupBy(step.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
     words, least = 0, None
@@ -482,45 +541,76 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
         if words > HEAD_WORDS:
             break
         least = row["level"]
-    head = counts.where(step >= least if least is not None else F.lit(False)).toArrow()
-    head_word, head_n = head.column("word").to_numpy(), head.column("n").to_numpy()
-    order = np.argsort(head_word)
-    head_word, head_n = head_word[order], head_n[order]
+    head = counts.where(step >= least if least is not None else F.lit(False)).select("key", "n").toArrow()
+    head_key, head_n = head.column("key").to_numpy(), head.column("n").to_numpy()
+    order = np.argsort(head_key)
+    head_key, head_n = head_key[order], head_n[order]
     base = np.log10(n_train + 0.5 * (v_train + 1))
     end_score = float(np.log10(ends + 0.5) - base)
 
+    def frequent(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(head_key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(head_key, key), len(head_key) - 1)
+        return head_key[at] == key, head_n[at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(vocabulary_path)
         for batch in batches:
             data, offsets = raw_strings(batch.column("t"))
             for first, last in slices(offsets):
                 words = Words(data[offsets[first] : offsets[last]], offsets[first : last + 1])
-                n, h = last - first, words.hashes().astype(np.int64)
-                at = np.minimum(np.searchsorted(head_word, h), max(0, len(head_word) - 1))
-                hit = head_word[at] == h if len(head_word) else np.zeros(len(h), bool)
+                n, h = last - first, words.hashes().view(np.int64)
+                hit, count = frequent(h)
                 known = np.bincount(words.doc[hit], minlength=n)
-                part = np.bincount(words.doc[hit], np.log10(head_n[at[hit]] + 0.5) - base, n)
-                rest, owner = h[~hit], words.doc[~hit]
-                cuts = np.searchsorted(owner, np.arange(n + 1))
-                ids = [subwords.ids(t) for t in batch.column("t").slice(first, n).to_pylist()]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                log_p = model.log_probs(np.concatenate(ids), bounds).astype(np.float64)
-                score = np.add.reduceat(log_p, bounds[:-1]) / np.log(10)
+                part = np.bincount(words.doc[hit], np.log10(count[hit] + 0.5) - base, n)
+
+                ids, bounds = _decoded(batch.column("ids").slice(first, n), dtype)
+                start, phrase = phrases(ids, bounds)
+                phrase = phrase.view(np.int64)
+                network = np.add.reduceat(model.log_probs(ids, bounds).astype(np.float64), start[:-1]) / np.log(10)
+                doc = np.searchsorted(bounds, start[:-1], "right") - 1
+                mine = np.where(batch.column("learn").slice(first, n).to_numpy(zero_copy_only=False)[doc], 1, 0)
+                same = np.lexsort((phrase, doc))
+                fresh = np.flatnonzero(np.concatenate([[True], (np.diff(doc[same]) != 0) | (np.diff(phrase[same]) != 0)]))
+                own = np.empty(len(phrase), np.int64)  # how often the phrase is in its own text, if that is one of training
+                own[same] = np.repeat(np.diff(np.append(fresh, len(same))), np.diff(np.append(fresh, len(same))))
+                own *= mine
+                others = n_phrases - np.bincount(doc, mine, n)[doc]
+                seen, count = frequent(phrase)
+                score = np.bincount(doc[seen], _remembered(network[seen], count[seen] - own[seen], others[seen]), n).astype(float)
+
+                # what is left to the join: words (a phrase of null) and phrases, by text
+                key, owner = np.concatenate([h[~hit], phrase[~seen]]), np.concatenate([words.doc[~hit], doc[~seen]])
+                by_text, w = np.argsort(owner, kind="stable"), int((~hit).sum())
+                pad = lambda x: np.concatenate([np.zeros(w, x.dtype), x[~seen]])[by_text]
+                word = (np.arange(len(key)) < w)[by_text]
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(key[by_text]), pa.array(pad(network), mask=word), pa.array(pad(own), mask=word), pa.array(pad(others).astype(np.int64), mask=word)], ["key", "network", "own", "others"]
+                )
+                cuts = np.searchsorted(owner[by_text], np.arange(n + 1))
                 yield pa.record_batch(
                     [
                         batch.column("uid").slice(first, n), batch.column("id").slice(first, n), pa.array(np.diff(words.ptr) + 1, pa.int64()),
                         pa.array(known + (ends > 0), pa.int64()), pa.array(part + end_score), pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest, pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
                     ],
                     ["uid", "id", "n_tokens", "known", "part", "score", "rare"],
                 )
 
-    scored = rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "t")
-    scored = durable(scored.mapInArrow(run, f"uid long, id {id_type}, n_tokens long, known long, part double, score double, rare array<long>"))
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    sums = rare.groupBy("uid").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(base))).alias("rest"))
+    entry = "struct<key: long, network: double, own: long, others: long>"
+    scored = every.select("uid", "id", "t", "learn", "ids")
+    scored = durable(scored.mapInArrow(run, f"uid long, id {id_type}, n_tokens long, known long, part double, score double, rare array<{entry}>"))
+    rare = scored.select("uid", F.inline("rare")).join(counts.select("key", "n"), "key", "left")
+    count = F.coalesce("n", F.lit(0))
+    a, left = F.col("network") + F.lit(float(np.log10(1 - MEMORY))), count - F.col("own")
+    b = F.lit(float(np.log10(MEMORY))) + F.log10(left) - F.log10("others")
+    mixed = F.when((left > 0) & (F.col("others") > 0), F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b)))).otherwise(a)
+    word = F.col("network").isNull()
+    sums = rare.groupBy("uid").agg(
+        F.count(F.when(word, F.col("n"))).alias("more"), F.sum(F.when(word, F.log10(count + 0.5) - F.lit(float(base)))).alias("rest"), F.sum(F.when(~word, mixed)).alias("phrases")
+    )
     out = scored.drop("rare").join(sums, "uid", "left")
     return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("phrases", F.lit(0.0))).alias("score"),
     )

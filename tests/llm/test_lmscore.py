@@ -54,8 +54,7 @@ def test_next_id_probabilities_sum_to_one(model):
 def plain_attention(model, ids):
     """One id at a time, by the definition of the windows."""
     w, s, out = model.w, lmscore.STRIDE, []
-    end = len(model.group) - 1
-    context = [end, *ids[:-1]]
+    context = [model.kind[i] for i in (len(model.group) - 1, *ids[:-1])]
     for t in range(len(ids)):
         row = t % s
         seen = range(max(0, t - row - s), t + 1)
@@ -63,10 +62,10 @@ def plain_attention(model, ids):
         score = np.array([min(30, q @ w["K"][context[j]] + w["bias"][row, s + row - (t - j)]) for j in seen], float)
         a = np.exp(score) / np.exp(score).sum()
         mixed = sum(x * w["V"][context[j]] for x, j in zip(a, seen, strict=True))
-        h = np.tanh(np.concatenate([mixed, w["X"][context[t]]]) @ w["H"] + w["h"])
-        logit = (h @ w["O"] + w["o"]).astype(float)
+        h = np.tanh(np.concatenate([mixed, w["X"][context[t]], [1]]) @ w["H"])
+        logit = (np.append(h, 1) @ w["O"]).astype(float)
         group = model.group[ids[t]]
-        out.append(logit[group] - np.log(np.exp(logit).sum()) + model.pair[model.kind[context[t]], model.column[ids[t]]] + model.alone[ids[t]])
+        out.append(logit[group] - np.log(np.exp(logit).sum()) + model.pair[context[t], model.column[ids[t]]] + model.alone[ids[t]])
     return np.array(out)
 
 
@@ -134,8 +133,9 @@ def test_the_gradient_equals_differences():
     texts = [r.integers(0, 40, n).astype(np.int32) for n in (50, 21)]
     p = lmscore.train_weights(texts, layout, epochs=1)
     ids, text = np.concatenate(texts), np.repeat([0, 1], [50, 21])
-    loss = lambda: -lmscore._class_log_probs(lmscore._tables(p, layout[1]), group, ids, text, 0, len(ids))[0].sum()
-    g = lmscore._gradient(p, lmscore._tables(p, layout[1]), group, layout[1], ids, text, 0, len(ids))
+    kinds, targets = layout[1][ids], group[ids]
+    loss = lambda: -lmscore._class_log_probs(lmscore._tables(p), kinds, targets, layout[1][-1], text, 0, len(ids))[0].sum()
+    g = lmscore._gradient(p, lmscore._tables(p), kinds, targets, layout[1][-1], text, 0, len(ids))
     for name in p:
         flat = p[name].reshape(-1)
         for at in r.integers(0, flat.size, 4):
@@ -145,3 +145,42 @@ def test_the_gradient_equals_differences():
                 found.append(loss())
             flat[at] = kept
             assert abs((found[0] - found[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-3
+
+
+def test_phrases_are_cut_alike_wherever_they_stand():
+    r = np.random.default_rng(1)
+    shared = r.integers(0, 5000, 400).astype(np.int32)
+    own = [r.integers(0, 5000, n).astype(np.int32) for n in (37, 1, 90)]
+    texts = [np.concatenate([own[0], shared, own[1]]), np.concatenate([own[2], shared]), own[1], shared]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    start, key = lmscore.phrases(np.concatenate(texts), bounds)
+    assert start[0] == 0 and start[-1] == bounds[-1] and set(bounds) <= set(start.tolist())
+    found = [set(key[(start[:-1] >= a) & (start[:-1] < b)].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert len(found[0] & found[1] & found[3]) >= len(found[3]) - 2
+    for t, names in zip(texts, found, strict=True):  # a text alone is cut as among others
+        assert set(lmscore.phrases(t, np.array([0, len(t)]))[1].tolist()) == names
+
+
+def test_scores_equal_brute_force_and_a_text_is_not_its_own_memory(spark, monkeypatch):
+    """Scores are sums over phrases of the network mixed with the counts of the other training texts, frequent phrases or rare."""
+    kept, learn_counts = [], lmscore.AttentionModel.learn_counts
+    monkeypatch.setattr(lmscore.AttentionModel, "learn_counts", lambda self, *a: (kept.append(self), learn_counts(self, *a)))
+    docs = [(i, prose(i, 60)) for i in range(40)] + [(50 + i, prose(3, 60)) for i in range(3)] + [(60, prose(7, 60)), (61, prose(900, 60)), (62, "")]
+    learn = lambda i: i < 52
+    subwords = lmscore.Subwords(PATH)
+    for words in (0, 30):
+        monkeypatch.setattr(lmscore, "HEAD_WORDS", words)
+        got = {r.doc_id: r.score for r in lmscore.score_texts(spark.createDataFrame(rows(docs), DOCS), F.col("doc_id") < 52, PATH).collect()}
+        model, every = kept[-1], {i: subwords.ids(t) for i, t in docs}
+        cut = {i: lmscore.phrases(ids, np.array([0, len(ids)])) for i, ids in every.items()}
+        memory = Counter(k for i in every if learn(i) for k in cut[i][1].tolist())
+        for i, ids in every.items():
+            start, key = cut[i]
+            log_p, own, score = model.log_probs(ids, np.array([0, len(ids)])) / np.log(10), Counter(key.tolist() if learn(i) else []), 0.0
+            for a, b, k in zip(start[:-1], start[1:], key.tolist(), strict=True):
+                n, total = memory[k] - own[k], sum(memory.values()) - sum(own.values())
+                score += math.log10(0.9 * 10 ** log_p[a:b].sum() + 0.1 * n / total)
+            assert abs(score - got[i]) < 1e-3 * abs(score), i
+    alone = np.mean([got[i] for i in range(20, 40)])
+    assert got[60] > 0.7 * alone and got[3] > 0.7 * alone and got[52] > 0.7 * alone  # met elsewhere, and alone < 0
+    assert abs(got[61] - alone) < 0.25 * abs(alone)
