@@ -76,7 +76,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return topk.top_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+    return topk.top_products(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

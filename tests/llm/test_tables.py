@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import operator
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -104,29 +106,44 @@ def test_slices_of_a_large_host_and_odd_rows(spark, monkeypatch):
 
 
 def brute_top(vectors, k):
-    whole = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = {}
-    for q in whole:
+    """Rows, not ids: repeated rows and ids count each."""
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for a, (q, x) in enumerate(whole):
         if q % 50 == 0:
-            scores = sorted((-int(whole[q] @ c), i) for i, c in whole.items() if i != q and len(c) == len(whole[q]))
-            out[q] = [(i, -s) for s, i in scores[:k]]
-    return {q: v for q, v in out.items() if v}
+            scores = sorted((-min(max(sum(map(operator.mul, x, y)), 1 - 2**63), 2**63 - 1), i) for b, (i, y) in enumerate(whole) if a != b and len(x) == len(y))
+            out.update((q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1))
+    return out
 
 
 def test_products_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "CELL", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     r = np.random.default_rng(5)
     centres = r.normal(size=(6, 8))
-    vectors = [(i, [float(x) for x in (centres[i % 6] * r.uniform(0.2, 2) + 0.05 * r.normal(size=8)).astype(np.float32)]) for i in range(600)]
+    vectors = [(i, [float(x) for x in centres[i % 6] * r.uniform(0.2, 2) + 0.05 * r.normal(size=8)]) for i in range(600)]
     vectors += [(600 + i, [1.0] * 8) for i in range(150)]  # one very frequent vector, with ties
     vectors += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, []), (1250, [0.5, 0.5]), (1251, [0.25, 0.5]), (1300, [0.0] * 8), (1350, [-1.0] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit("c"))
-    got = {}
-    for x in topk.top_products(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
-        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    vectors += [(50, [2.0] * 8), (50, [-2.0] * 8), (7, [3.0] * 8), (7, [3.0] * 8), (7, [3.0] * 8), (100, vectors[100][1])]  # repeated ids and rows
+    vectors += [(1400, [1e16] + [0.0] * 7), (1401, [1e16, 1.0] + [0.5] * 6), (1450, [1e12, -1e12] + [1.0] * 6)]  # long, but finite
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("v", F.lit("c")).withColumn("row", F.lit("c"))
+    got = Counter(tuple(x) for x in topk.top_products(df, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(vectors, 5)
+    assert topk.top_products(df.limit(0), F.lit(True), 5).count() == 0
+
+
+def test_short_buckets_are_not_searched(spark, monkeypatch):
+    """The k-th score among the longest vectors keeps queries from buckets that cannot reach it."""
+    seen, search = [], topk.search_bucket
+    r = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in r.uniform(0.5, 1, 6) * (100 if i < 200 else 0.5)]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "_search", lambda cells, asked, *a, s=topk._search: (seen.append(asked.groupBy("bucket").count().collect()), s(cells, asked, *a))[1])
+    got = Counter(tuple(x) for x in topk.top_products(df, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_top(vectors, 5)
-    assert topk.top_products(df.limit(0), df.limit(0), 5).count() == 0
+    every = {x.bucket for x in topk.integer_vectors(df, F.lit(True), "vec_id", "embedding", 256).select(F.floor(F.log2("norm") * 8).alias("bucket")).distinct().collect()}
+    assert len({x["bucket"] for x in seen[1]}) < len(every)
+    assert search is topk.search_bucket
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
