@@ -27,6 +27,9 @@ def training_rows(labels: DataFrame, label: str, keep: Column, limits: dict[int,
 
 
 def labelled_texts(docs: DataFrame, rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, y, text)`` of the sampled rows; the sample is bounded, so it is broadcast."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")
+    """``(doc_id, y, text)`` of the sampled rows, one for each id; the sample is bounded, so it is broadcast.
+
+    Of documents that repeat an id the least text counts, so repeated ids do not widen the sample.  A null text is empty.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from noticeloom.llm import quality, toxicity
-from noticeloom.llm.folds import remainder
+from noticeloom.llm.folds import labelled_texts, remainder, training_rows
 from noticeloom.llm.wordhash import raw_strings
 from pyspark.sql import functions as F
 
@@ -27,25 +27,88 @@ def toxic_corpus(n: int, seed: int) -> tuple[list[str], np.ndarray]:
     return texts, np.array(y)
 
 
-def terms(texts: list[str]) -> list[np.ndarray]:
-    data, offsets = raw_strings(pa.array(texts))
-    doc, term = toxicity._terms(data, offsets)
-    return [term[doc == i] for i in range(len(texts))]
+def labelled(spark, texts, y):
+    docs = spark.createDataFrame(rows(list(enumerate(texts))), DOCS)
+    return docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
 
 
-def test_pairs_are_learned():
+def test_pairs_are_learned(spark):
     texts, y = toxic_corpus(1500, 1)
-    model = toxicity.train(terms(texts), y, epochs=120)
+    model = toxicity.fit(*labelled(spark, texts, y), F.lit(True))
     more, truth = toxic_corpus(400, 2)
     score = model.score(pa.array(more))
     assert ((score >= 0.7) == truth).mean() > 0.97
 
 
-def test_only_one_class_or_nothing():
+def test_pairs_whose_words_tell_nothing_alone_are_learned(spark):
+    """Toxic if both words stand there or neither: each alone is as frequent in toxic texts as in clean ones."""
+
+    def corpus(n: int, seed: int):
+        r, texts, y = random.Random(seed), [], []
+        for i in range(n):
+            both, either = r.random() < 0.5, r.random() < 0.5
+            words = prose(seed * 7919 + i, r.randint(20, 60)).split()
+            new = (["vermin", "martians"] if either else []) if both else (["vermin"] if either else ["martians"])
+            at = r.randrange(len(words))
+            texts.append(" ".join([*words[:at], *new, *words[at:]]))
+            y.append(int(both))
+        return texts, np.array(y)
+
+    model = toxicity.fit(*labelled(spark, *corpus(2000, 3)), F.lit(True))
+    more, truth = corpus(400, 4)
+    assert ((model.score(pa.array(more)) >= 0.7) == truth).mean() > 0.95
+
+
+def test_scores_equal_the_definition_over_all_pairs(spark):
+    """Brute force: the weights of the distinct known terms, and the products of all their pairs."""
+    texts, y = toxic_corpus(300, 5)
+    model = toxicity.fit(*labelled(spark, texts, y), F.lit(True))
+    for text in [*texts[:20], "", "vermin vermin martians", texts[0] * 40]:
+        _, found = toxicity._terms(*raw_strings(pa.array([text])))
+        at = [int(np.searchsorted(model.terms, t)) for t in sorted(set(found.tolist()) & set(model.terms.tolist()))]
+        logit = model.bias + sum(model.weight[i] for i in at) + sum(model.factor[i] @ model.factor[j] for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(model.score(pa.array([text]))[0] - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_chosen_terms_equal_a_count_in_python(spark):
+    texts, y = toxic_corpus(400, 6)
+    docs, labels = labelled(spark, texts, y)
+    got = toxicity._useful(docs.join(labels, "doc_id").select("doc_id", F.col("toxic").alias("y"), "text").repartition(5), int(y.sum()), int((1 - y).sum()))
+
+    def gain(present):
+        total = 0.0
+        for there in (True, False):
+            for label in (0, 1):
+                seen = sum(p == there and v == label for p, v in zip(present, y, strict=True))
+                total += seen * np.log(seen / (sum(p == there for p in present) * sum(y == label) / len(y))) if seen else 0
+        return 2 * total
+
+    name = lambda w: int(toxicity._terms(*raw_strings(pa.array([w])))[1][0])
+    words = [set(t.split()) for t in texts]
+    for w in ("vermin", "martians", "the", "of"):
+        if gain([w in own for own in words]) > toxicity.TERM_GAIN:
+            assert name(w) in got
+    assert name("vermin") in got and name("martians") in got
+
+
+def test_a_cut_is_in_the_widest_gap_with_the_least_errors():
+    assert toxicity._cut(np.array([0.0, 1, 2, 10, 11]), np.array([0, 0, 0, 1, 1])) == 6
+    assert toxicity._cut(np.array([0.0, 5, 2, 10, 11]), np.array([0, 0, 1, 1, 1])) in (1.0, 7.5)
+
+
+def test_only_one_class_or_nothing(spark):
     for y in (0, 1):
-        model = toxicity.train(terms(["a b", "c"]), np.array([y, y]))
+        model = toxicity.fit(*labelled(spark, ["a b", "c"], [y, y]), F.lit(True))
         assert ((model.score(pa.array(["x", None, ""])) > 0.5) == y).all()
-    assert toxicity.train([], np.zeros(0)).score(pa.array(["x"]))[0] < 0.5
+    docs, labels = labelled(spark, ["x"], [0])
+    assert toxicity.fit(docs.limit(0), labels.limit(0), F.lit(True)).score(pa.array(["x"]))[0] < 0.5
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs, labels = labelled(spark, [f"some text {i}" for i in range(20)], [i % 2 for i in range(20)])
+    many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("zzz")))
+    got = labelled_texts(many, training_rows(labels.unionByName(labels), "toxic", F.lit(True), {1: 5, 0: 5})).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and all(r.text.startswith("some") for r in got)
 
 
 def bad(seed: int, n: int) -> str:
