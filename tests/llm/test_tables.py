@@ -49,7 +49,7 @@ def judged(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-def test_urls_against_every_rule(spark, monkeypatch):
+def test_urls_against_every_rule(spark):
     r = random.Random(2)
     labels = ["com", "net", "a", "b", "example", "www"]
     host = lambda: ".".join(r.choice(labels) for _ in range(r.randint(1, 4)))
@@ -62,12 +62,26 @@ def test_urls_against_every_rule(spark, monkeypatch):
     known = spark.createDataFrame([*rules, (None, "/", "block")], "host string, path string, verdict string")
     want = {i: judged(u, rules) for i, u in enumerate(urls)}
     assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlrules.judge_urls(table, known).collect()} == want
-    monkeypatch.setattr(urlrules, "SWEEP_RULES", 3)  # the way for very many rules
-    assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlrules.judge_urls(table, known).collect()} == want
+    odd = table.withColumnRenamed("host", "Host").withColumn("_key", F.lit("k")).withColumn("Reversed_Host", F.lit("r")).withColumn("range_number", F.lit("n"))
+    got = urlrules.judge_urls(odd, known)
+    assert got.columns == ["page_id", "url", "_key", "Reversed_Host", "range_number", "host", "path", "rule", "verdict"]
+    got = got.collect()
+    assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == want and {(x._key, x.Reversed_Host, x.range_number) for x in got} == {("k", "r", "n")}
     assert urlrules.judge_urls(table.limit(0), known).count() == 0
     assert {x.verdict for x in urlrules.judge_urls(table, known.limit(0)).collect()} == {"allow"}
 
 
+def test_a_hot_url_fills_several_ranges(spark):
+    urls = [(i, "http://www.example.com/en/7") for i in range(3000)] + [(3000 + i, f"http://h{i}.example.{'net' if i % 2 else 'org'}/de/{i}") for i in range(600)]
+    rules = [("com", "/en", "block"), ("example.com", "/en/7", "allow"), ("net", "/", "block"), *((f"h{i}.example.org", f"/de/{i}", "block") for i in range(0, 600, 4))]
+    df = spark.createDataFrame(urls, "page_id long, url string").repartition(4)
+    got = urlrules.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).withColumn("task", F.spark_partition_id())
+    rows_ = got.collect()
+    assert sorted((x.page_id, x.host, x.path, x.rule, x.verdict) for x in rows_) == sorted((i, *judged(u, rules)) for i, u in urls)
+    hot = Counter(x.task for x in rows_ if x.page_id < 3000)
+    assert len(hot) >= 3 and max(hot.values()) < 2000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="ad">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div id="cookie-notice">We use cookies</div><!-- <p>gone</p> -->
 <article><header><h1>Head &eacute;</h1><p>by me</p></header><p>One&nbsp;<b>bold  <i>x</i></b><br>next
