@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z) words and the end.  The model sees the subword ids o
 steps: its class, by self-attention over the ids before it, and the id within its class given the id before, from
 smoothed counts over all training texts.  Both steps are normalised, so a text's score is a log-probability.  Attention runs in
 overlapping windows: the queries are ``STRIDE`` ids, the keys those and the ``STRIDE`` before them, masked to the past, so each
-id is scored once, with 16 to 31 ids before it.
+id is scored once, with 8 to 15 ids before it.
 
 Everything is learned from all training texts, whole: classes, frequent ids, counts, and the network, which starts from
 weights fitted on a bounded sample; then each partition goes on by gradient steps over every window of its own training texts,
@@ -22,24 +22,26 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .wordhash import Words, mix, raw_strings, slices
+from .wordhash import mix, slices
 
-STRIDE, DIM, CLASSES, HIDDEN = 16, 8, 48, 24
+STRIDE, DIM, CLASSES, HIDDEN = 8, 8, 48, 24
 #: Previous ids that are told apart within a class, ids that have counts of their own given them, and the smoothing mass.
 KINDS, COLUMNS, SMOOTH = 512, 4096, 20.0
 #: The network's first weights come from at most so many training texts, of which whole texts up to this many ids in all are used.
 SAMPLE_TEXTS, SAMPLE_IDS = 3000, 500_000
 #: Ids of a gradient step in a partition's pass over its training texts, and the rate of these steps.
-STEP_IDS, STEP_RATE = 1 << 13, 0.003
+STEP_IDS, STEP_RATE = 1 << 12, 0.003
 #: Mean ids of a phrase, and the weight of the memory of phrases.
-PHRASE, MEMORY = 32, 0.1
+PHRASE, MEMORY = 48, 0.1
 #: Ids that are classed by their neighbours, the neighbours that are told apart, and the least count of such ids.
 CLASSED, NEIGHBOURS, CLASSED_LEAST = 4000, 256, 5
 #: So many of the most frequent words have their counts sent to the tasks; the counts of all others are joined.
@@ -63,6 +65,8 @@ class Subwords(dict):
         self._encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
+        self.begins = np.zeros(self.size, bool)  # ids that begin a word: no other holds a blank
+        self.begins[[n for raw, n in ranks.items() if raw[:1] == b" "]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         ids = array("I", self._encode(" " + word.decode())).tobytes()
@@ -75,6 +79,12 @@ class Subwords(dict):
         return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32), self.end).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def subwords_of(vocabulary_path: str) -> Subwords:
+    """One for each worker, with the words it has met."""
+    return Subwords(vocabulary_path)
+
+
 @dataclass
 class AttentionModel:
     """``w``: query, key and value rows per kind of id (projections of one embedding), relative bias, output layers; ``group``: class of id."""
@@ -112,7 +122,7 @@ class AttentionModel:
         laid = np.full(padded[-1], len(self.group) - 1, ids.dtype)
         laid[place] = ids
         text = np.repeat(np.arange(len(size), dtype=np.int32), np.diff(padded))
-        step = 1 << 14
+        step = 1 << 12
         kinds, targets = self.kind.take(laid), self.group.take(laid)
         parts = [_class_log_probs(self.w, kinds, targets, self.kind[-1], text, i, min(i + step, len(laid)))[0] for i in range(0, len(laid), step)]
         out = np.concatenate([np.empty(0, np.float32), *parts]).take(place)
@@ -392,13 +402,55 @@ def phrases(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         cut[2:] = pair % np.uint64(PHRASE) == 0
         cut[bounds[1:-1] + 1] = False  # these two ids are of different texts
         cut[bounds] = True
-        start = np.flatnonzero(cut)
-        if len(start) < 2:
-            return start, np.empty(0, np.uint64)
-        n = np.diff(start)
-        offset = np.arange(len(ids)) - np.repeat(start[:-1], n)
-        term = mix(u + np.uint64(1) + (offset.astype(np.uint64) << np.uint64(32)))
-        return start, mix(np.add.reduceat(term, start[:-1]) + n.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
+    start = np.flatnonzero(cut)
+    return start, _run_hashes(u, start, 0x5851F42D4C957F2D)
+
+
+def words_of(ids: np.ndarray, bounds: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each word of some texts, and the hash of the word's ids; ends are no words.  Equal words have equal ids."""
+    first = begins.take(ids)
+    first[bounds[1:] - 1] = True
+    start = np.flatnonzero(first)
+    key = _run_hashes(ids.astype(np.uint64), np.append(start, len(ids)), 0xD1342543DE82EF95)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(start, bounds)))
+    word = np.ones(len(start), bool)
+    word[np.searchsorted(start, bounds[1:] - 1)] = False
+    return doc[word], key[word]
+
+
+def _run_hashes(u: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
+    if len(start) < 2:
+        return np.empty(0, np.uint64)
+    n = np.diff(start)
+    place = np.arange(len(u), dtype=np.int64)
+    place -= np.repeat(start[:-1], n)
+    term = mix(u + np.uint64(1) + (place.view(np.uint64) << np.uint64(32)))
+    return mix(np.add.reduceat(term, start[:-1]) + n.astype(np.uint64) * np.uint64(seed))
+
+
+class _Head:
+    """Counts of frequent keys, found by their high bits: keys are hashes, so almost all of these tell them apart."""
+
+    BITS = 20
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        order = np.argsort(key.view(np.uint64))
+        self.key, self.n = np.append(key[order], 0), np.append(n[order], 0)
+        top = (key[order].view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange(1 << self.BITS)).astype(np.int32)
+        self.most = int(np.bincount(top, minlength=1).max(initial=0))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its count."""
+        at = self.first.take((key.view(np.uint64) >> np.uint64(64 - self.BITS)).view(np.int64))
+        hit, n = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        for _ in range(self.most):
+            same = self.key.take(at) == key
+            same &= at < len(self.key) - 1
+            hit |= same
+            n[same] = self.n.take(at[same])
+            at = np.minimum(at + 1, len(self.key) - 1)
+        return hit, n
 
 
 def _remembered(network: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -432,25 +484,24 @@ class _Tally:
         return key, n
 
 
-def _key_counts(encoded: DataFrame, dtype: str) -> DataFrame:
-    """``(key, phrase, n)`` of the hashed words and the phrases of ``encoded`` (t, ids); ends are no words."""
+def _key_counts(encoded: DataFrame, vocabulary_path: str, dtype: str) -> DataFrame:
+    """``(key, phrase, n)`` of the hashed words and the phrases of ``encoded`` (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
+        tally, begins = _Tally(), subwords_of(vocabulary_path).begins
 
         def rows(key: np.ndarray, n: np.ndarray, phrase: bool) -> pa.RecordBatch:
             return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(key), phrase)), pa.array(n)], ["key", "phrase", "n"])
 
         for batch in batches:
-            data, offsets = raw_strings(batch.column("t"))
-            for a, b in slices(offsets):
-                ids, bounds = _decoded(batch.column("ids").slice(a, b - a), dtype)
+            for ids, text in _joined(batch, dtype):
+                bounds = np.searchsorted(text, np.arange(text[-1] + 2))
                 yield rows(*np.unique(phrases(ids, bounds)[1], return_counts=True), True)
-                if tally.add(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1]).hashes()):
+                if tally.add(words_of(ids, bounds, begins)[1]):
                     yield rows(*tally.take(), False)
         yield rows(*tally.take(), False)
 
-    return encoded.select("t", "ids").mapInArrow(run, "key long, phrase boolean, n long").groupBy("key", "phrase").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "key long, phrase boolean, n long").groupBy("key", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _decoded(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -460,17 +511,17 @@ def _decoded(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded(texts: DataFrame, vocabulary_path: str, dtype: str) -> DataFrame:
-    """Adds the ``ids`` of ``t`` to ``texts`` (uid, id, t, learn)."""
+    """``(uid, id, learn, ids)`` of ``texts`` (uid, id, learn, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(vocabulary_path)
+        subwords = subwords_of(vocabulary_path)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 ids = [subwords.ids(t).astype(dtype).tobytes() for t in some.column("t").to_pylist()]
-                yield pa.record_batch([*some.columns, pa.array(ids, pa.binary())], [*some.schema.names, "ids"])
+                yield pa.record_batch([*(some.column(c) for c in ("uid", "id", "learn")), pa.array(ids, pa.binary())], ["uid", "id", "learn", "ids"])
 
-    return texts.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields) + ", ids binary")
+    return texts.mapInArrow(run, f"uid long, id {texts.schema['id'].dataType.simpleString()}, learn boolean, ids binary")
 
 
 def _counted(encoded: DataFrame, keys, size: int, dtype: str) -> np.ndarray:
@@ -497,8 +548,8 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     one token, the end.  Repeated rows are scored each.  Without training rows the base is uniform.  Other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    subwords = Subwords(vocabulary_path)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("t"))
+    subwords = subwords_of(vocabulary_path)
     vocabulary, end = subwords.size, subwords.end
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     every = durable(_encoded(rows, vocabulary_path, dtype))  # texts are encoded once
@@ -506,10 +557,10 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
 
     # a hash threshold leaves about twice the sample before it is ordered, so no task gathers more however many texts there are
     learned = training.count()
-    mark = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30))
+    mark = F.pmod(F.xxhash64("id", "ids"), F.lit(1 << 30))
     drawn = training.where(mark < int((1 << 30) * min(1.0, 2 * SAMPLE_TEXTS / max(1, learned))))
     texts, size = [], 0
-    for raw in drawn.orderBy(mark, "t").limit(SAMPLE_TEXTS).select("ids").toArrow().column("ids").to_pylist():
+    for raw in drawn.orderBy(mark, "ids").limit(SAMPLE_TEXTS).select("ids").toArrow().column("ids").to_pylist():
         ids = np.frombuffer(raw, dtype).astype(np.int32)
         if not texts or size + len(ids) <= SAMPLE_IDS:
             texts.append(ids)
@@ -526,7 +577,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     model.learn_counts(n_id, n_pair)
     del n_pair, texts
 
-    counts = durable(_key_counts(training, dtype))
+    counts = durable(_key_counts(training, vocabulary_path, dtype))
     total = {r["phrase"]: (r["n"], r["v"]) for r in counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     words_n, words_v = total.get(False, (0, 0))
     n_phrases, _ = total.get(True, (0, 0))
@@ -542,65 +593,56 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
             break
         least = row["level"]
     head = counts.where(step >= least if least is not None else F.lit(False)).select("key", "n").toArrow()
-    head_key, head_n = head.column("key").to_numpy(), head.column("n").to_numpy()
-    order = np.argsort(head_key)
-    head_key, head_n = head_key[order], head_n[order]
+    frequent = _Head(head.column("key").to_numpy(), head.column("n").to_numpy())
     base = np.log10(n_train + 0.5 * (v_train + 1))
     end_score = float(np.log10(ends + 0.5) - base)
 
-    def frequent(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(head_key):
-            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(head_key, key), len(head_key) - 1)
-        return head_key[at] == key, head_n[at]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = subwords_of(vocabulary_path).begins
         for batch in batches:
-            data, offsets = raw_strings(batch.column("t"))
-            for first, last in slices(offsets):
-                words = Words(data[offsets[first] : offsets[last]], offsets[first : last + 1])
-                n, h = last - first, words.hashes().view(np.int64)
-                hit, count = frequent(h)
-                known = np.bincount(words.doc[hit], minlength=n)
-                part = np.bincount(words.doc[hit], np.log10(count[hit] + 0.5) - base, n)
-
+            size = pc.binary_length(batch.column("ids")).to_numpy()
+            for first, last in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)])):
+                n = last - first
                 ids, bounds = _decoded(batch.column("ids").slice(first, n), dtype)
+                word_doc, h = words_of(ids, bounds, begins)
+                h = h.view(np.int64)
+                hit, count = frequent.find(h)
+                known = np.bincount(word_doc[hit], minlength=n)
+                part = np.bincount(word_doc[hit], np.log10(count[hit] + 0.5) - base, n)
+
                 start, phrase = phrases(ids, bounds)
                 phrase = phrase.view(np.int64)
                 network = np.add.reduceat(model.log_probs(ids, bounds).astype(np.float64), start[:-1]) / np.log(10)
                 doc = np.searchsorted(bounds, start[:-1], "right") - 1
-                mine = np.where(batch.column("learn").slice(first, n).to_numpy(zero_copy_only=False)[doc], 1, 0)
+                mine = np.where(batch.column("learn").slice(first, n).to_numpy(zero_copy_only=False), 1, 0)
                 same = np.lexsort((phrase, doc))
                 fresh = np.flatnonzero(np.concatenate([[True], (np.diff(doc[same]) != 0) | (np.diff(phrase[same]) != 0)]))
                 own = np.empty(len(phrase), np.int64)  # how often the phrase is in its own text, if that is one of training
                 own[same] = np.repeat(np.diff(np.append(fresh, len(same))), np.diff(np.append(fresh, len(same))))
-                own *= mine
-                others = n_phrases - np.bincount(doc, mine, n)[doc]
-                seen, count = frequent(phrase)
-                score = np.bincount(doc[seen], _remembered(network[seen], count[seen] - own[seen], others[seen]), n).astype(float)
+                own *= mine[doc]
+                others = n_phrases - mine * np.bincount(doc, minlength=n)
+                seen, count = frequent.find(phrase)
+                score = np.bincount(doc[seen], _remembered(network[seen], count[seen] - own[seen], others[doc[seen]]), n).astype(float)
 
-                # what is left to the join: words (a phrase of null) and phrases, by text
-                key, owner = np.concatenate([h[~hit], phrase[~seen]]), np.concatenate([words.doc[~hit], doc[~seen]])
+                # what is left to the join: words (no network) and phrases, by text
+                key, owner = np.concatenate([h[~hit], phrase[~seen]]), np.concatenate([word_doc[~hit], doc[~seen]])
                 by_text, w = np.argsort(owner, kind="stable"), int((~hit).sum())
-                pad = lambda x: np.concatenate([np.zeros(w, x.dtype), x[~seen]])[by_text]
                 word = (np.arange(len(key)) < w)[by_text]
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(key[by_text]), pa.array(pad(network), mask=word), pa.array(pad(own), mask=word), pa.array(pad(others).astype(np.int64), mask=word)], ["key", "network", "own", "others"]
-                )
+                pad = lambda x, t: pa.array(np.concatenate([np.zeros(w, t), x[~seen].astype(t)])[by_text], mask=word)
+                entries = pa.StructArray.from_arrays([pa.array(key[by_text]), pad(network, np.float32), pad(own, np.int32)], ["key", "network", "own"])
                 cuts = np.searchsorted(owner[by_text], np.arange(n + 1))
                 yield pa.record_batch(
                     [
-                        batch.column("uid").slice(first, n), batch.column("id").slice(first, n), pa.array(np.diff(words.ptr) + 1, pa.int64()),
-                        pa.array(known + (ends > 0), pa.int64()), pa.array(part + end_score), pa.array(score),
+                        batch.column("uid").slice(first, n), batch.column("id").slice(first, n), pa.array(np.bincount(word_doc, minlength=n) + 1, pa.int64()),
+                        pa.array(known + (ends > 0), pa.int64()), pa.array(part + end_score), pa.array(score), pa.array(others, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
                     ],
-                    ["uid", "id", "n_tokens", "known", "part", "score", "rare"],
+                    ["uid", "id", "n_tokens", "known", "part", "score", "others", "rare"],
                 )
 
-    entry = "struct<key: long, network: double, own: long, others: long>"
-    scored = every.select("uid", "id", "t", "learn", "ids")
-    scored = durable(scored.mapInArrow(run, f"uid long, id {id_type}, n_tokens long, known long, part double, score double, rare array<{entry}>"))
-    rare = scored.select("uid", F.inline("rare")).join(counts.select("key", "n"), "key", "left")
+    entry = "struct<key: long, network: float, own: int>"
+    scored = durable(every.mapInArrow(run, f"uid long, id {id_type}, n_tokens long, known long, part double, score double, others long, rare array<{entry}>"))
+    rare = scored.select("uid", "others", F.inline("rare")).join(counts.select("key", "n"), "key", "left")
     count = F.coalesce("n", F.lit(0))
     a, left = F.col("network") + F.lit(float(np.log10(1 - MEMORY))), count - F.col("own")
     b = F.lit(float(np.log10(MEMORY))) + F.log10(left) - F.log10("others")
@@ -609,7 +651,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     sums = rare.groupBy("uid").agg(
         F.count(F.when(word, F.col("n"))).alias("more"), F.sum(F.when(word, F.log10(count + 0.5) - F.lit(float(base)))).alias("rest"), F.sum(F.when(~word, mixed)).alias("phrases")
     )
-    out = scored.drop("rare").join(sums, "uid", "left")
+    out = scored.drop("rare", "others").join(sums, "uid", "left")
     return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("phrases", F.lit(0.0))).alias("score"),

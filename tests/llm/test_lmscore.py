@@ -184,3 +184,28 @@ def test_scores_equal_brute_force_and_a_text_is_not_its_own_memory(spark, monkey
     alone = np.mean([got[i] for i in range(20, 40)])
     assert got[60] > 0.7 * alone and got[3] > 0.7 * alone and got[52] > 0.7 * alone  # met elsewhere, and alone < 0
     assert abs(got[61] - alone) < 0.25 * abs(alone)
+
+
+def test_words_are_told_by_their_ids():
+    subwords = lmscore.Subwords(PATH)
+    texts = ["the of THE untokenizableish", "", "x", None, "Ünï\x1cx of \x85 \x85 " + "w" * 500, "the\u00a0of the"]
+    every = [subwords.ids(t) for t in texts]
+    doc, key = lmscore.words_of(np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])]), subwords.begins)
+    want = [(i, w) for i, t in enumerate(texts) for w in tokens(t)[:-1]]
+    assert doc.tolist() == [i for i, _ in want]
+    names = {}
+    for k, (_, w) in zip(key.tolist(), want, strict=True):
+        assert names.setdefault(w, k) == k
+    assert len(set(names.values())) == len(names)
+
+
+def test_frequent_keys_are_found():
+    r = np.random.default_rng(1)
+    key = r.integers(-(2**63), 2**63 - 1, 5000)
+    key[:40] = (key[0] >> 44 << 44) + np.arange(40)  # equal high bits
+    head = lmscore._Head(key, np.arange(1, 5001))
+    asked = np.concatenate([key, key + 1000, [0]])
+    hit, n = head.find(asked)
+    want = dict(zip(key.tolist(), range(1, 5001), strict=True))
+    assert hit.tolist() == [k in want for k in asked.tolist()] and n.tolist() == [want.get(k, 0) for k in asked.tolist()]
+    assert not lmscore._Head(np.empty(0, np.int64), np.empty(0, np.int64)).find(asked)[0].any()
