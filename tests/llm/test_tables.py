@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import operator
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -94,6 +95,63 @@ def test_article_of_a_page():
     assert [t for t, _ in htmltext.extract([None, "", "just text", "<p>a<p>b", "<article>x", "<"])] == ["", "", "just text", "a\n\nb", "x", "<"]
 
 
+def test_no_text_is_lost_to_odd_markup():
+    one = lambda page: htmltext.extract([page])[0][0]
+    assert one('<div class="layout no-sidebar"><p>a b</p></div>') == "a b"
+    assert one('<div class="has-menu page"><p>a</p></div>') == "a"
+    assert one('<div class="main-banner-layout"><article><p>a</p></article></div>') == "a"
+    assert one('<div class="post-widget"><p>all there is</p></div>') == "all there is"
+    assert one('<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>') == "so x=1 holds"
+    for tag in ("svg", "select", "object", "iframe", "noscript"):
+        assert one(f"<article><p>a</p><{tag}><p>b</p></article>") == "a\n\nb"
+        assert one(f"<article><p>a</p><{tag}><p>no</p></{tag}><p>b</p></article>") == "a\n\nb"
+    assert one("<article><p title=it's>a</p><p>b 'c'</p></article>") == "a\n\nb 'c'"
+    assert one('<article><p title="x>y">a</p><p title=\'>\'>b</p><p title="never closed>c</p></article>') == "a\n\nb\n\nc"
+    assert one("<article><p>a</p><!-- open <p>b</p></article>") == "a\n\nb"
+    assert one("<p>1 < 2</p>") == "1 < 2"
+
+
+def test_a_page_of_open_quotes_takes_linear_time():
+    began = time.time()
+    htmltext.blocks('<p title="' * 200_000)
+    htmltext.blocks("<p a='" * 100_000 + "<svg>" * 50_000)
+    assert time.time() - began < 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_suffixes_and_their_common_prefixes_equal_a_plain_sort(tokens):
+    order, levels = htmltext.suffix_array(np.array(tokens, np.int64))
+    want = sorted(range(len(tokens)), key=lambda i: tokens[i:])
+    assert order.tolist() == want
+    shared = htmltext.common_prefixes(order, levels).tolist()
+    for k in range(1, len(want)):
+        a, b = tokens[want[k - 1] :], tokens[want[k] :]
+        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a b c d e f g h", "h g f e d c b a", "x", "y z", "p q r s t u v w x y", "one two three"]), max_size=5).map(" ".join), min_size=1, max_size=7))
+def test_unique_runs_equal_a_search_for_substrings(texts):
+    """Brute force: a token goes if some 8 tokens around it stand, one after another, on 3 pages."""
+    want = []
+    for text in texts:
+        words = text.split()
+        gone = [False] * len(words)
+        for i in range(len(words) - htmltext.REPEAT + 1):
+            part = f" {' '.join(words[i : i + htmltext.REPEAT])} "
+            if sum(part in f" {other} " for other in texts) >= htmltext.MIN_PAGES:
+                gone[i : i + htmltext.REPEAT] = [True] * htmltext.REPEAT
+        runs = "".join("\n" if g else f"{w} " for w, g in zip(words, gone, strict=True)).split("\n")
+        want.append(("\n\n".join(x.strip() for x in runs if x.strip()), sum(gone)))
+    assert htmltext.extract([f"<div>{t}</div>" for t in texts]) == want
+
+
+def test_repetition_marks_what_surrounds_an_article_too():
+    page = lambda i: f"<div>home news sport weather travel music films books</div><article><p>story {i} begins here and goes on</p></article>"
+    assert htmltext.extract([page(i) for i in range(4)]) == [(f"story {i} begins here and goes on", 8) for i in range(4)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([*"<>/p ab&;!-\"'=", "<p>", "</p>", "<article>", "<script>", "</div>"]), max_size=60).map("".join))
 def test_no_markup_crashes(page):
