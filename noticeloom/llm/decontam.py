@@ -8,8 +8,9 @@ Texts and items are compared in lower case with white space squeezed to single b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import ClassVar
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +21,7 @@ from ..operators.durable import durable
 
 EDIT_SHARE = 0.08
 #: Items are sent to the tasks in portions of at most so many characters; more of them mean more passes over the texts.
-PORTION_CHARS = 32_000_000
+PORTION_CHARS = 1_000_000
 
 
 def plain(text: str | None) -> str:
@@ -66,31 +67,43 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[int, str], ...], share: float) -> ahocorasick.Automaton:
-    found: dict[str, list[tuple[int, int]]] = {}
-    for n, (_, item) in enumerate(items):
-        for at, piece in pieces(item, budget(item, share)):
-            found.setdefault(piece, []).append((n, at))
-    automaton = ahocorasick.Automaton()
-    for piece, uses in found.items():
-        automaton.add_word(piece, (len(piece), uses))
-    automaton.make_automaton()
-    return automaton
+class Items:
+    """Benchmark items ``(id, plain text)`` and the automaton of their pieces, built once in a worker."""
 
+    _built: ClassVar[dict[str, ahocorasick.Automaton]] = {}
 
-def matches(text: str, items: tuple[tuple[int, str], ...], share: float) -> dict[int, tuple[int, int]]:
+    def __init__(self, items: tuple[tuple[int, str], ...], share: float):
+        self.items, self.share, self.name = items, share, uuid.uuid4().hex
+        self.budgets = [budget(item, share) for _, item in items]
+
+    def automaton(self) -> ahocorasick.Automaton:
+        found = self._built.get(self.name)
+        if found is None:
+            uses: dict[str, list[tuple[int, int]]] = {}
+            for n, (_, item) in enumerate(self.items):
+                for at, piece in pieces(item, self.budgets[n]):
+                    uses.setdefault(piece, []).append((n, at))
+            found = ahocorasick.Automaton()
+            for piece, where in uses.items():
+                found.add_word(piece, (len(piece), where))
+            found.make_automaton()
+            self._built.clear()  # one portion at a time
+            self._built[self.name] = found
+        return found
+
+
+def matches(text: str, known: Items) -> dict[int, tuple[int, int]]:
     """``item number -> (edits, end)`` of the best match of every item that occurs within its error budget."""
     best: dict[int, tuple[int, int]] = {}
     tried: dict[int, list[int]] = {}
-    text = plain(text)
-    for last, (size, uses) in _automaton(items, share).iter(text):
+    text, items = plain(text), known.items
+    for last, (size, uses) in known.automaton().iter(text) if items else ():
         for n, at in uses:
             start = last + 1 - size - at
             if n in best and best[n][0] == 0:
                 continue
             item = items[n][1]
-            k = budget(item, share)
+            k = known.budgets[n]
             before = tried.setdefault(n, [])
             if before and any(abs(start - x) <= k // 2 for x in before[-4:]):
                 continue  # the window tried reaches k further on either side than an alignment needs
@@ -132,11 +145,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
     found: DataFrame | None = None
     for items in _portions(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=items, known=Items(items, share)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, out = [], []
                 for row, text in enumerate(batch.column("t").to_pylist()):
-                    for n, (edits, end) in sorted(matches(text, items, share).items()) if text else ():
+                    for n, (edits, end) in sorted(matches(text, known).items()) if text else ():
                         rows.append(row)
                         out.append((items[n][0], edits, len(items[n][1]), end))
                 if out:
@@ -154,13 +167,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = EDIT_SHARE) -> DataFrame:
     """The rows whose text holds no item of ``benchmark`` within the error budget; all columns are kept."""
 
-    def holds(items: tuple[tuple[int, str], ...]) -> Column:
+    def holds(known: Items) -> Column:
         @F.arrow_udf("boolean")
         def hit(column: pa.Array) -> pa.Array:
-            return pa.array([bool(t) and bool(matches(t, items, share)) for t in column.to_pylist()], pa.bool_())
+            return pa.array([bool(t) and bool(matches(t, known)) for t in column.to_pylist()], pa.bool_())
 
         return hit(F.col(text_col))
 
     for i, items in enumerate(_portions(benchmark)):
-        docs = (durable(docs) if i else docs).where(~holds(items))
+        docs = (durable(docs) if i else docs).where(~holds(Items(items, share)))
     return docs

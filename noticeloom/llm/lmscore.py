@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.durable import durable
 from .wordhash import mix, slices
 
-STRIDE, DIM, CLASSES, HIDDEN = 8, 8, 48, 24
+STRIDE, DIM, CLASSES, HIDDEN = 8, 8, 32, 16
 #: Previous ids that are told apart within a class, ids that have counts of their own given them, and the smoothing mass.
 KINDS, COLUMNS, SMOOTH = 512, 4096, 20.0
 #: The network's first weights come from at most so many training texts, of which whole texts up to this many ids in all are used.
@@ -41,11 +41,11 @@ SAMPLE_TEXTS, SAMPLE_IDS = 3000, 500_000
 #: Ids of a gradient step in a partition's pass over its training texts, and the rate of these steps.
 STEP_IDS, STEP_RATE = 1 << 12, 0.003
 #: Mean ids of a phrase, and the weight of the memory of phrases.
-PHRASE, MEMORY = 48, 0.1
+PHRASE, MEMORY = 64, 0.1
 #: Ids that are classed by their neighbours, the neighbours that are told apart, and the least count of such ids.
 CLASSED, NEIGHBOURS, CLASSED_LEAST = 4000, 256, 5
 #: So many of the most frequent words have their counts sent to the tasks; the counts of all others are joined.
-HEAD_WORDS = 100_000
+HEAD_WORDS = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -269,7 +269,7 @@ def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], kinds: np.ndar
     g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), da.sum(axis=0).ravel(), 2 * STRIDE)
 
     def by_kind(use: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(use, rows[:, i], KINDS) for i in range(DIM)], axis=1)
+        return np.stack([np.bincount(use, column, KINDS) for column in rows.T.astype(np.float64, order="C")], axis=1)
 
     def unfold(y: np.ndarray) -> np.ndarray:  # a context id is a key of two windows
         out = np.zeros((len(context) // STRIDE, STRIDE, DIM), y.dtype)

@@ -1,8 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens by the sum-of-squares rule.
 
 A document longer than a sequence is cut into whole sequences, preceded by the rest; so one shorter piece of each document
-has to be placed.  Pieces are dealt evenly into groups of a few thousand, whatever their number, and every group is
-packed by itself: larger pieces first, each where the sum, over the gaps, of the squared number of open sequences with
+has to be placed; whole sequences are never grouped.  Shorter pieces are dealt evenly into groups of a few thousand, whatever
+their number, and every group is packed by itself: larger pieces first, each where the sum, over the gaps, of the squared number of open sequences with
 that gap becomes smallest (Csirik et al., 2006).  A group wastes at most a few sequences of some thousand.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
+from .urlrules import fresh_names
 
 CAPACITY = 2048
 GROUP = 4000
@@ -125,22 +126,31 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bin_of, offset_of
 
 
-def pack(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, n_groups: int | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` (1 to ``capacity``); all other columns are kept.
 
-    Pieces are dealt round robin inside each input partition, so that no key, not even a null one, makes a group large.
+    Whole pieces are sequences as they are.  Shorter ones are dealt round robin inside each input partition, so that no key, not
+    even a null one, makes a group large; ``n_groups`` follows from their number unless it is given.  Existing columns named
+    ``sequence_id`` or ``offset``, in any case, are replaced.
     """
+    pieces = pieces.select(*(F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")))
     columns = pieces.columns
-    dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7919, F.lit(max(1, n_groups))).cast("int"))
+    short = pieces.where(F.col("length") < capacity)
+    if n_groups is None:
+        n_groups = groups_for(short.count())
+    (name,) = fresh_names(pieces, "packing_group")
+    dealt = short.withColumn(name, F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7919, F.lit(max(1, n_groups))).cast("int"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("length", ascending=False, kind="stable")
         where, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
-        group = int(frame["_group"].iloc[0])
+        group = int(frame[name].iloc[0])
         return frame[columns].assign(sequence_id=where + (group << 32), offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    packed = dealt.groupBy(name).applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    whole = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(whole)
 
 
 def groups_for(n_pieces: int, group: int = GROUP) -> int:
@@ -151,6 +161,6 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """All of ``docs`` packed: the columns of :func:`token_pieces` (with ids) and those of :func:`pack`."""
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
     columns = pieces.columns
-    pieces = durable(pieces.withColumn("_piece", F.monotonically_increasing_id()))  # document ids may repeat or be null
-    packed = pack(pieces.drop("ids"), groups_for(pieces.count()), capacity)
-    return packed.join(pieces.select("_piece", "ids"), "_piece").select(*columns, "sequence_id", "offset")
+    pieces = durable(pieces.withColumn("piece_number", F.monotonically_increasing_id()))  # document ids may repeat or be null
+    packed = pack(pieces.drop("ids"), capacity=capacity)
+    return packed.join(pieces.select("piece_number", "ids"), "piece_number").select(*columns, "sequence_id", "offset")

@@ -1,7 +1,7 @@
 """Quality: attention-based multiple-instance learning (gated attention, Ilse et al., 2018).
 
 A text is a bag of passages of 64 words.  Every passage is measured (lengths, shares of capitals, punctuation, digits and
-repeated words, ...) and encoded by a small layer; gated attention weights, learned from the labels of whole documents,
+repeated words, ...), its words are hashed into buckets whose embeddings are learned, and both are encoded by a small layer; gated attention weights, learned from the labels of whole documents,
 mix the encodings; the mixture is scored.  So one bad passage can decide about a long text.
 """
 
@@ -19,7 +19,9 @@ from .folds import labelled_texts, training_rows
 from .wordhash import Words, raw_strings, slices
 
 PASSAGE = 64
-MEASURES = 16
+#: Columns of a passage: what is measured, and the buckets of its hashed words.
+MEASURED, BUCKETS = 16, 64
+MEASURES = MEASURED + BUCKETS
 THRESHOLD = 0.3
 _CLASS = np.zeros((4, 256), np.int32)
 for _b in range(256):
@@ -64,7 +66,10 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         total((per_word[0] == letters) & (letters > 1)) / n, total(per_word[2] > 0) / n, total((per_word[0] >= 2)) / n,
         total(letters > 25) / n,
     ]
-    out[filled] = np.stack(f, axis=1)
+    out[filled, :MEASURED] = np.stack(f, axis=1)
+    passage = np.repeat(bounds[:-1], count) + (np.arange(len(words.start)) - np.repeat(words.ptr[:-1], count)) // PASSAGE
+    bucket = (words.hashes() >> np.uint64(32)).astype(np.int64) % BUCKETS
+    out[:, MEASURED:] = np.bincount(passage * BUCKETS + bucket, minlength=len(row) * BUCKETS).reshape(-1, BUCKETS) / np.sqrt(np.maximum(size, 1))[:, None]
     return out, bounds
 
 
@@ -132,7 +137,11 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gates: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", limits: dict[int, int] | None = None) -> AttentionPooling:
-    """Fits on at most ``limits[y]`` labelled documents of each class (3,000 bad and 5,000 good by default)."""
+    """Fits on at most ``limits[y]`` labelled documents of each class (3,000 bad and 5,000 good by default).
+
+    Rows with a null id or label are left out, of repeated ids one text and the greater label count, other columns are ignored.
+    Without labelled rows every text is good.
+    """
     sample = labelled_texts(docs, training_rows(labels, label, keep, limits or {0: 3000, 1: 5000}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     digest = durable(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return packing.pack(digest, packing.groups_for(digest.count()))
+    return packing.pack(digest)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

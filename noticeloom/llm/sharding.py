@@ -57,8 +57,9 @@ def lookup_table(spark: SparkSession, shards: list[str], size: int = SIZE) -> Da
 def place(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataFrame:
     """Adds ``slot`` and ``shard`` to every row; equal keys go to one shard, a null key counts as the empty text.
 
-    Nothing is shuffled: the table of ``size`` rows is broadcast.  Columns of these names must not exist yet.
+    Nothing is shuffled: the table of ``size`` rows is broadcast.  Existing columns of these names, in any case, are replaced.
     """
     table = lookup_table(df.sparkSession, shards, size)
     slot = (_number(F.coalesce(F.col(key).cast("string"), F.lit("")), "key:") % size).cast("int")
-    return df.withColumn("slot", slot).join(F.broadcast(table), "slot", "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return df.select(slot.alias("slot"), *kept).join(F.broadcast(table), "slot", "left")

@@ -25,7 +25,7 @@ def odd_docs(spark):
     df = spark.createDataFrame(rows(texts), DOCS)
     from pyspark.sql import functions as F
 
-    for clash in ("id", "t", "cls", "n", "kept", "slot_", "_group", "score_", "uid", "key", "length_", "y"):
+    for clash in ("id", "t", "cls", "n", "kept", "slot_", "_group", "score_", "uid", "key", "length_", "y", "_key", "_id", "_rows", "_kept", "_piece", "shard", "Host", "Slot", "Sequence_ID", "copies", "document", "stays", "words", "packing_group", "piece_number"):
         df = df.withColumn(clash, F.lit("clash"))
     return df
 

@@ -36,7 +36,7 @@ def test_every_planted_item_is_found_and_nothing_else():
             item[at : at + r.randint(0, 1)] = r.choice(["", "q", "zz"[:1]])
         text = f"{prose(trial, 40)}  {''.join(item).upper()} \n{prose(trial + 999, 40)}"
         want = {j: least(items[j][1], decontam.plain(text))[0] for j in range(len(items))}
-        got = {j: e for j, (e, _) in decontam.matches(text, items, decontam.EDIT_SHARE).items()}
+        got = {j: e for j, (e, _) in decontam.matches(text, decontam.Items(tuple(items), decontam.EDIT_SHARE)).items()}
         assert set(got) == {j for j, e in want.items() if e <= decontam.budget(items[j][1], decontam.EDIT_SHARE)}
 
 
@@ -54,3 +54,12 @@ def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert decontam.benchmark_hits(odd_docs, benchmark.limit(0)).count() == 0
     assert decontam.without_contaminated(no_docs, benchmark).count() == 0
     assert decontam.without_contaminated(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
+
+
+def test_an_automaton_is_built_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(decontam, "pieces", lambda item, k, of=decontam.pieces: (built.append(item), of(item, k))[1])
+    known = decontam.Items(((1, "some benchmark item"), (2, "and another one")), 0.08)
+    for _ in range(50):
+        assert set(decontam.matches("x some benchmark item y", known)) == {0}
+    assert len(built) == 2

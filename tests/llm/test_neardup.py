@@ -5,9 +5,10 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
-from noticeloom.llm import neardup
+from noticeloom.llm import neardup, superminhash
 from noticeloom.llm.superminhash import signatures
 from noticeloom.llm.wordhash import Words, raw_strings, shingle_sets
 
@@ -114,3 +115,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert (by[5].component_id, by[5].kept, by[8].n_shingles) == (4, False, 1)
     assert by[6].kept and by[7].n_shingles > 1000
     assert neardup.near_duplicates(no_docs, 4).count() == 0
+
+
+def test_edge_pairs_agree_far_above_the_least_share():
+    """The measurement behind AGREE: pairs of sets with a similarity of exactly 0.8, by the size of their union."""
+    r = np.random.default_rng(8)
+    for union, n in ((10, 700), (50, 500), (200, 300), (1000, 100)):
+        sets, ptr = [], [0]
+        for _ in range(n):
+            value = np.unique(r.integers(0, 2**63, union + 20).astype(np.uint64))[:union]
+            value = value[r.permutation(union)]
+            tenth = union // 10
+            for own in (value[: 9 * tenth], np.concatenate([value[tenth : 9 * tenth], value[9 * tenth :]])):
+                sets.append(np.sort(own))
+                ptr.append(ptr[-1] + len(own))
+        sig = superminhash.signatures(np.concatenate(sets), np.array(ptr), neardup.POSITIONS)
+        share = (sig[::2] == sig[1::2]).mean(axis=1)
+        keys = superminhash.band_keys(sig, neardup.ROWS)
+        assert share.min() >= 0.62 > neardup.AGREE and (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
+def test_the_stage_tells_documents_with_one_id_apart(spark, odd_docs, tmp_path):
+    a, b = prose(50, 80), prose(51, 80)
+    docs = spark.createDataFrame(rows([(1, a), (1, b), (2, a + " more"), (3, b), (3, b), (4, ""), (4, ""), (None, prose(52, 60)), (None, prose(53, 60)), (5, prose(52, 60))]), DOCS)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()))
+    assert got == sorted([(True, 1, a), (True, 1, b), (True, 4, ""), (True, 4, ""), (False, 0, prose(52, 60)), (False, 0, prose(53, 60))])
+    kept = corpus_pipeline.near_duplicate_stage(spark, odd_docs, "")
+    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 6, 7, 8, 9}

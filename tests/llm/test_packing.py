@@ -8,6 +8,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from noticeloom.llm import packing
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,8 +88,16 @@ def test_round_trip(spark, odd_docs, no_docs):
     assert packing.packed_sequences(no_docs, PATH).count() == 0
 
 
-def test_a_very_long_document_is_dealt_over_groups(spark):
-    docs = spark.createDataFrame([(1, "word " * 24_000)], "doc_id long, text string").repartition(1)
-    got = packing.packed_sequences(docs, PATH, capacity=2).collect()
-    assert len({r.sequence_id >> 32 for r in got}) >= 3 and sorted(r.piece for r in got) == list(range(len(got)))
+def test_a_very_long_document_makes_no_large_group(spark):
+    """Its whole pieces are sequences as they are, and only what is shorter is grouped, by number."""
+    docs = spark.createDataFrame([(1, "word " * 24_000)] + [(2 + i, "word") for i in range(20)], "doc_id long, text string").repartition(1)
+    got = packing.packed_sequences(docs, PATH, capacity=4).collect()
+    long = [r for r in got if r.doc_id == 1]
+    assert len({r.sequence_id for r in long}) == len(long) > 4000 and sorted(r.piece for r in long) == list(range(len(long)))
     assert all(len(r.ids) == 4 * r.length for r in got)
+    short = [r for r in got if r.length < 4]
+    assert len({r.sequence_id for r in short}) == 10 + (len(short) > 20)
+    pieces = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(3).cast("long").alias("length"), F.lit("x").alias("packing_group"), F.lit(1).alias("Offset"))
+    dealt = packing.pack(pieces)
+    assert dealt.columns == ["doc_id", "length", "packing_group", "sequence_id", "offset"]
+    assert len({r.g for r in dealt.select(F.shiftright("sequence_id", 32).alias("g")).distinct().collect()}) >= 6
