@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from noticeloom.llm import decontam, neardup, packing, quality, toxicity
+from noticeloom.llm import decontam, neardup, packing, quality, toxicity, urlrules
 from noticeloom.llm.folds import remainder
 from noticeloom.operators.durable import durable, scratch_root
 from noticeloom.operators.shipping import ship
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the factorization machine scores below its threshold; empty and null texts stay."""
+    """Keeps what the factorization machine scores below its threshold; empty and null texts stay, repeated rows are judged each."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the attention model scores at its threshold or above."""
+    """Keeps what the attention model scores at its threshold or above; null texts are empty, repeated rows are judged each."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
@@ -33,29 +33,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; of repeated rows with one id, one."""
+    """Keeps one document of each group of near duplicates (five words, 0.8): the least by id, then by a hash of its text.
+
+    Documents are told apart by id and text: two texts with one id are two documents, and both stay if they are no near duplicates.
+    Of rows that repeat id and text one stays, whatever their other columns; texts without words have no duplicates and all stay.
+    A null id is the least.
+    """
     ship(spark)
-    found = neardup.near_duplicates(docs, width=5)
-    verdicts = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    verdicts = durable(verdicts.where("not _kept or _rows > 1"))  # most documents are neither
-    joined = docs.join(verdicts.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    single = joined.where("_rows is null").select(*docs.columns)
-    repeated = joined.where("_kept and _rows > 1").select(*docs.columns)
-    return single.unionByName(repeated.where("doc_id is null").unionByName(repeated.where("doc_id is not null").dropDuplicates(["doc_id"])))
+    doc, kept, rows, words = urlrules.fresh_names(docs, "document", "stays", "copies", "words")
+    identity = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    found = neardup.near_duplicates(docs.select(identity.alias("document"), "text"), width=5, id_col="document")
+    verdicts = found.groupBy(F.col("document").alias(doc)).agg(F.max("kept").alias(kept), F.count("*").alias(rows), F.max("n_shingles").alias(words))
+    verdicts = durable(verdicts.where(~F.col(kept) | (F.col(rows) > 1) & (F.col(words) > 0)))  # most documents are neither
+    same = F.struct(docs["doc_id"], F.xxhash64(docs["text"])).eqNullSafe(F.col(doc))
+    joined = docs.join(verdicts, same, "left")
+    single = joined.where(F.col(rows).isNull()).select(*docs.columns)
+    repeated = joined.where(F.col(kept) & (F.col(rows) > 1)).dropDuplicates([doc]).select(*docs.columns)
+    return single.unionByName(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its error budget."""
+    """Drops documents that hold a benchmark item within its error budget; null texts hold none, repeated rows are judged each."""
     ship(spark)
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents, with a checksum in place of their ids."""
+    """The packed pieces of all documents, with a checksum in place of their ids; a null text is empty, repeated rows are packed each."""
     ship(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     digest = durable(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return packing.pack(digest, packing.groups_for(digest.count()))
+    return packing.pack(digest)
 
 
 STAGES = [
