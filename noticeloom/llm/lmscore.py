@@ -19,6 +19,7 @@ that recur between texts are changed by it; their sum stays within one.
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -79,6 +80,18 @@ class Subwords(dict):
         return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32), self.end).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def keep_freed_memory() -> bool:
+    """Lets a worker keep the memory it frees, up to some hundred megabytes.
+
+    Temporary arrays of some hundred kilobytes are otherwise given back to the system and cleared by it again at every step, which
+    takes as long as the arithmetic.  Where the C library has no such setting nothing changes.
+    """
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    trim_threshold, top_pad, mmap_threshold = -1, -2, -3  # of glibc
+    return set_option is not None and all(set_option(k, v) for k, v in ((mmap_threshold, 32 << 20), (trim_threshold, 256 << 20), (top_pad, 64 << 20)))
+
+
 @lru_cache(maxsize=1)
 def subwords_of(vocabulary_path: str) -> Subwords:
     """One for each worker, with the words it has met."""
@@ -151,6 +164,7 @@ def _context(kinds: np.ndarray, text: np.ndarray, first: int, last: int, start:
 
 
 _OFFSET = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
+_LAG = np.clip(_OFFSET, 0, None)
 _ONES_KEYS, _ONES_CLASSES = np.ones((2 * STRIDE, 1), np.float32), np.ones(CLASSES, np.float32)
 
 
@@ -266,19 +280,18 @@ def _gradient(p: dict[str, np.ndarray], w: dict[str, np.ndarray], kinds: np.ndar
     da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
     da *= a
     dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    g["r"] = np.bincount(np.clip(_OFFSET, 0, None).ravel(), da.sum(axis=0).ravel(), 2 * STRIDE)
-
-    def by_kind(use: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(use, column, KINDS) for column in rows.T.astype(np.float64, order="C")], axis=1)
-
-    def unfold(y: np.ndarray) -> np.ndarray:  # a context id is a key of two windows
-        out = np.zeros((len(context) // STRIDE, STRIDE, DIM), y.dtype)
-        out[:-1] += y[:, :STRIDE]
-        out[1:] += y[:, STRIDE:]
-        return out.reshape(-1, DIM)
-
-    now = context[STRIDE:]
-    rows = {"k": by_kind(context, unfold(dk)), "v": by_kind(context, unfold(dv)), "q": by_kind(now, dq.reshape(-1, DIM)), "x": by_kind(now, dx[:, :, DIM:].reshape(-1, DIM))}
+    g["r"] = np.bincount(_LAG.ravel(), da.sum(axis=0).ravel(), 2 * STRIDE)
+
+    every = np.zeros((len(context), 4, DIM), dh.dtype)  # of keys, values, queries and the ids themselves, by place
+    windowed = every.reshape(-1, STRIDE, 4, DIM)
+    for i, y in enumerate((dk, dv)):  # a context id is a key of two windows
+        windowed[:-1, :, i] += y[:, :STRIDE]
+        windowed[1:, :, i] += y[:, STRIDE:]
+    every[STRIDE:, 2] = dq.reshape(-1, DIM)
+    every[STRIDE:, 3] = dx[:, :, DIM:].reshape(-1, DIM)
+    cells = context[:, None] * (4 * DIM) + np.arange(4 * DIM)  # one count over all columns
+    summed = np.bincount(cells.ravel(), every.ravel(), KINDS * 4 * DIM).reshape(KINDS, 4, DIM)
+    rows = {name: summed[:, i] for i, name in enumerate("kvqx")}
     g["E"] = sum(rows[name] @ p[name].T for name in rows)
     return {**g, **{name: p["E"].T @ rows[name] for name in rows}}
 
@@ -292,10 +305,11 @@ class _Adam:
         """``g``: sums of gradients over ``n`` ids."""
         self.t += 1
         for key, grad in g.items():
-            grad = grad / n
-            self.m[key] = 0.9 * self.m[key] + 0.1 * grad
-            self.s[key] = 0.99 * self.s[key] + 0.01 * grad * grad
-            self.p[key] -= rate * (self.m[key] / (1 - 0.9**self.t)) / (np.sqrt(self.s[key] / (1 - 0.99**self.t)) + 1e-8)
+            grad = (grad / n).astype(self.p[key].dtype, copy=False)
+            m, s = self.m[key], self.s[key]
+            m += 0.1 * (grad - m)
+            s += 0.01 * (grad * grad - s)
+            self.p[key] -= (rate / (1 - 0.9**self.t)) * m / (np.sqrt(s * (1 / (1 - 0.99**self.t))) + 1e-8)
 
 
 def _model(p: dict[str, np.ndarray], layout: tuple[np.ndarray, np.ndarray, np.ndarray]) -> AttentionModel:
@@ -354,11 +368,12 @@ def fit_everywhere(model: AttentionModel, p: dict[str, np.ndarray], encoded: Dat
     """
     names = sorted(p)
     sizes = [p[k].size for k in names]
-    kind, group = model.kind.astype(np.int32), model.group
+    kind, group = model.kind, model.group  # of the index type, which bincount and take want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own = {k: x.astype(np.float32) for k, x in p.items()}
-        adam, mean, n, steps = _Adam(own), np.zeros(sum(sizes)), 0, 0
+        adam, mean, n, steps = _Adam(own), {k: np.zeros(x.shape) for k, x in own.items()}, 0, 0
         pairs = np.zeros(KINDS * COLUMNS, np.int64)
         for batch in batches:
             for ids, text in _joined(batch, dtype):
@@ -368,12 +383,13 @@ def fit_everywhere(model: AttentionModel, p: dict[str, np.ndarray], encoded: Dat
                     last = min(first + STEP_IDS, len(ids))
                     g = _gradient(own, _tables(own), kinds, targets, kind[-1], text, first, last)
                     adam.step(g, last - first, STEP_RATE * (last - first) / STEP_IDS)
-                    mean += np.concatenate([own[k].ravel() for k in names])
+                    for k in names:
+                        mean[k] += own[k]
                     steps += 1
                 n += len(ids)
         if n:
-            some = np.flatnonzero(pairs)
-            at, x = np.concatenate([np.arange(-1, len(mean)), len(mean) + some]), np.concatenate([[n], mean * (n / steps), pairs[some]])
+            some, whole = np.flatnonzero(pairs), np.concatenate([mean[k].ravel() for k in names])
+            at, x = np.concatenate([np.arange(-1, len(whole)), len(whole) + some]), np.concatenate([[n], whole * (n / steps), pairs[some]])
             yield pa.record_batch([pa.array(at), pa.array(x)], ["at", "x"])
 
     got = encoded.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
@@ -389,7 +405,7 @@ def fit_everywhere(model: AttentionModel, p: dict[str, np.ndarray], encoded: Dat
 def _tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The rows looked up in the forward pass: projections are applied to the embeddings once, not to every id of a text."""
     out = {name: p["E"] @ p[low] for name, low in (("Q", "q"), ("K", "k"), ("V", "v"), ("X", "x"))}
-    bias = np.where(_OFFSET >= 0, p["r"][np.clip(_OFFSET, 0, None)], np.array(-1e4, p["r"].dtype))
+    bias = np.where(_OFFSET >= 0, p["r"][_LAG], np.array(-1e4, p["r"].dtype))
     return {**out, "bias": bias, "H": p["H"], "O": p["O"]}
 
 
@@ -598,6 +614,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, id_col: st
     end_score = float(np.log10(ends + 0.5) - base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         begins = subwords_of(vocabulary_path).begins
         for batch in batches:
             size = pc.binary_length(batch.column("ids")).to_numpy()
