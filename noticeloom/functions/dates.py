@@ -5,6 +5,8 @@ Every function takes ``now``: nothing reads the clock.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,20 @@ FORMATS = (
     "d-MMM-yyyy h:m a", "d-MMM-yyyy H:m", "d-MMM-yyyy", "d/M/yyyy h:m a", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy h:m a", "d-M-yyyy H:m",
     "d-M-yyyy", "d.M.yyyy H:m", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d MMM yyyy h:m a", "d MMM yyyy", "d MMMM yyyy",
 )
+_PARTS = {"MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "yyyy": r"\d{4}", "a": "[AaPp][Mm]", **{c: r"\d{1,2}" for c in "dMhHms"}}
 _MISSING = ("", "na", "n/a", "not available", "-")
 
 
+def _shape(form: str) -> str:
+    """What a text of a format looks like."""
+    return "^" + re.sub("MMMM|MMM|yyyy|[dMhHmsa]|[.]", lambda m: _PARTS.get(m[0], r"\."), form) + "$"
+
+
 def parse_datetime(raw: Column) -> Column:
     """An instant, or null.  Without an offset the text is Indian time."""
     text = F.trim(F.regexp_replace(raw, r"\s+", " "))
     text = F.when(~F.lower(text).isin(*_MISSING), text)
-    local = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
+    local = F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in FORMATS])  # only what has its shape is parsed
     offset = text.rlike(r"[Tt ]\d{1,2}:\d{2}.*(?:[Zz]|[+-]\d{2}:?\d{2})$")
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), text.try_cast("timestamp"))
     return F.coalesce(F.to_utc_timestamp(local, ZONE), F.when(offset, iso).otherwise(F.to_utc_timestamp(iso, ZONE)))
@@ -50,6 +58,18 @@ def ist_month_end(now: Column) -> Column:
     return F.to_utc_timestamp(F.add_months(first, 1).cast("timestamp"), ZONE) - F.expr("INTERVAL 1 MILLISECOND")
 
 
+def month_start(now: Column) -> Column:
+    """The first instant of ``now``'s Indian month."""
+    return F.to_utc_timestamp(F.date_trunc("month", F.from_utc_timestamp(now.cast("timestamp"), ZONE)), ZONE)
+
+
+def time_ago(instant: Column, now: Column) -> Column:
+    """``just now``, minutes, hours or days since an instant; null for none."""
+    seconds = -seconds_until(instant, now)
+    count = lambda unit, size: F.concat(F.floor(seconds / size).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, count("m ago", 60)).when(seconds < 86400, count("h ago", 3600)).otherwise(count("d ago", 86400))
+
+
 def deadline_bucket(instant: Column, now: Column) -> Column:
     days = days_remaining(instant, now)
     return F.when(days < 0, "closed").when(days <= 3, "urgent").when(days <= 7, "soon").when(days.isNotNull(), "later")

@@ -17,30 +17,35 @@ def _unescape_twice(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(html.unescape(t)))
 
 
-def clean_text(text: Column, limit: int | None = None) -> Column:
-    """Entities decoded twice, control characters and runs of blanks squeezed, two line breaks at most, '' becomes null."""
+def clean_text(text: Column, limit: int | None = 8000) -> Column:
+    """Entities decoded twice, then :func:`squeeze_text`."""
     out = F.when(text.contains("&"), _unescape_twice(text)).otherwise(text)
     return squeeze_text(out, limit)
 
 
-def squeeze_text(text: Column, limit: int | None = None) -> Column:
-    """:func:`clean_text` without entities; JVM-side only."""
-    out = F.regexp_replace(text, " ", " ")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
+def squeeze_text(text: Column, limit: int | None = 8000) -> Column:
+    """Control characters become blanks, runs of blanks one, none round a line break, two line breaks at most, '' becomes null.
+
+    A longer text is cut after ``limit`` characters and ends in an ellipsis.  JVM-side only.
+    """
+    out = F.regexp_replace(text, "\u00a0", " ")
+    out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
+    out = F.regexp_replace(out, r"[ \t\r]+", " ")
+    out = F.regexp_replace(out, r" ?\n ?", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"^\s+|\s+$", "")
+    out = F.regexp_replace(out, r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$", "")
     if limit is not None:
-        cut = F.concat(F.rtrim(F.substring(out, 1, limit - 1)), F.lit(ELLIPSIS))
+        cut = F.concat(F.regexp_replace(F.substring(out, 1, limit), r"[\s\p{Z}\x{85}]+$", ""), F.lit(ELLIPSIS))
         out = F.when(F.length(out) > limit, cut).otherwise(out)
     return F.nullif(out, F.lit(""))
 
 
-def safe_filename(name: Column, default: str = "document") -> Column:
+def safe_filename(name: Column, default: str = "download.bin") -> Column:
+    """The last part of a path in letters, digits, dots, lines and dashes; at most 180 characters."""
     base = F.element_at(F.split(F.coalesce(name, F.lit("")), r"[/\\]"), -1)
-    base = F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_")
-    base = F.substring(F.regexp_replace(base, r"^[._]+|[._]+$", ""), 1, 180)
-    return F.when(base == "", F.lit(default)).otherwise(base)
+    base = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9.-]+", "_"), r"^[._]+|[._]+$", "")
+    base = F.regexp_replace(base, r"_(?=\.)|(?<=\.)_", "")
+    return F.substring(F.when(base.isin("", ".", ".."), F.lit(default)).otherwise(base), 1, 180)
 
 
 def looks_like_url(text: Column) -> Column:
@@ -91,11 +96,21 @@ def authority_parts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"›|\|+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+#: Fixed value: the form of a portal's own notice number.
+NATIVE_ID = r"\d{4}_[A-Z0-9]+_\d+_\d+"
+
+
 def split_title_block(text: Column) -> Column:
-    """``Title [ID] [Ref]`` into its title and bracketed parts."""
-    brackets = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), 1), lambda p: F.trim(p)), lambda p: p != "")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]", " "), r"\s+", " "))
-    return F.struct(F.coalesce(F.nullif(plain, F.lit("")), F.get(brackets, F.lit(0))).alias("title"), brackets.alias("parts"))
+    """(title, ref, native) of ``Title [number] [ref]`` or ``[Title] [ref][number]``: brackets are told by the number's form."""
+    brackets = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), 1), lambda p: F.trim(p)), lambda p: p != "")
+    native = F.filter(brackets, lambda p: p.rlike(f"^{NATIVE_ID}$"))
+    others = F.filter(brackets, lambda p: ~p.rlike(f"^{NATIVE_ID}$"))
+    outside = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\[[^\[\]]+\]", " "), r"\s+", " "), r"^[ :-]+|[ :-]+$", "")
+    named = outside != ""
+    return F.struct(
+        squeeze_text(F.when(named, outside).otherwise(F.get(others, F.lit(0)))).alias("title"),
+        squeeze_text(F.when(named, F.get(others, F.lit(0))).otherwise(F.get(others, F.lit(1))), 200).alias("ref"), F.get(native, F.lit(0)).alias("native"),
+    )
 
 
 def feed_href(path: Column) -> Column:

@@ -8,7 +8,7 @@ plan that made it; in iterative jobs these multiply until planning itself become
 from __future__ import annotations
 
 import atexit
-import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -18,17 +18,26 @@ _roots: dict[str, str] = {}
 
 
 def _drop(spark: SparkSession, root: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
+    try:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has been stopped
+        if "://" not in root:
+            shutil.rmtree(root.removeprefix("file:"), ignore_errors=True)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's own folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """This application's own folder below ``spark.checkpoint.dir``.
+
+    Where that is unset it is below the warehouse, which a cluster shares too; a local session takes a temporary folder.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="checkpoints-")
+        base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         _roots[app] = f"{base.rstrip('/')}/tables-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _roots[app])
     return _roots[app]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.amounts import format_compact
 from ..functions.dates import days_until
 from ..functions.text import csv_guard, ics_escape, slug, xml_legal
+from .durable import durable
+from .ranks import with_places
 
 FEED_ROWS, SHARD_ROWS, DIGEST_ROWS = 200, 500, 15
 DETAIL_FIELDS = ("description", "documents", "corrigenda", "award", "scope", "eligibility", "ai", "organisation_chain", "period_of_work_days")
@@ -50,10 +55,10 @@ def gate(docs: DataFrame, previous: int | None, max_drop: float = 0.5, force: bo
 
 
 def manifest(docs: DataFrame, key: str = "id") -> DataFrame:
-    """(source, shard, n, digest): 500 ids a shard in id order per source, and the sha256 of its ids."""
-    at = F.row_number().over(W.partitionBy("source").orderBy(key)) - 1
-    rows = docs.select("source", F.col(key).cast("string").alias("k"), F.col(key).alias("_order"), F.floor(at / SHARD_ROWS).cast("int").alias("shard"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_order", "k"))), lambda x: x["k"]), ",")
+    """(source, shard, n, digest): 500 ids a shard in id order per source, and the sha256 of its ids.  A source of any size is sorted by ranges."""
+    rows = with_places(docs.select("source", key), ["source"], [F.col(key).asc()], [key])
+    rows = rows.select("source", F.floor((F.col("place") - 1) / SHARD_ROWS).cast("int").alias("shard"), F.struct("place", F.col(key).cast("string").alias("k")).alias("at"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["k"]), ",")
     return rows.groupBy("source", "shard").agg(F.count("*").cast("int").alias("n"), F.sha2(listed, 256).alias("digest"))
 
 
@@ -92,9 +97,20 @@ def digest(docs: DataFrame, now: Column, top: int = DIGEST_ROWS) -> DataFrame:
         )
     )
     rows = docs.select(F.explode(sections).alias("section"), "id", "value")
-    by = W.partitionBy("section")
-    out = rows.withColumn("place", F.row_number().over(by.orderBy(F.desc_nulls_last("value"), "id"))).withColumn("total", F.count("*").over(by).cast("int"))
-    return out.where(F.col("place") <= top).select("section", "place", "id", "value", "total")
+    place = F.row_number().over(W.partitionBy("section").orderBy(F.desc_nulls_last("value"), "id"))  # ranked alone, cut before the shuffle
+    top_rows = rows.withColumn("place", place).where(F.col("place") <= top)
+    totals = rows.groupBy("section").agg(F.count("*").cast("int").alias("total"))
+    return top_rows.join(totals, "section").select("section", "place", "id", "value", "total")
+
+
+def digest_text(docs: DataFrame, now: Column, stamp: str, top: int = DIGEST_ROWS) -> DataFrame:
+    """(section, text): each section of the digest in Markdown, with its total and one line a notice."""
+    found = digest(docs, now, top).join(docs.select("id", "title", "source"), "id")
+    amount = F.when(F.col("value").isNull(), "value not disclosed").otherwise(format_compact(F.col("value")))
+    line = F.concat(F.lit("- "), F.regexp_replace("title", r"([\\\\\\[\\]*_`])", r"\\\\$1"), F.lit(" — "), amount, F.lit(" ("), F.col("source"), F.lit(")"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n")
+    head = F.concat(F.lit("## "), F.initcap("section"), F.lit(" ("), F.max("total").cast("string"), F.lit(")\n"), F.lit(f"_{stamp}_\n\n"))
+    return found.groupBy("section").agg(F.concat(head, lines).alias("text"))
 
 
 def csv_columns(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,7 +119,19 @@ def csv_columns(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(docs: DataFrame, path: str, columns: list[str]) -> None:
-    csv_columns(docs, columns).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', lineSep="\n", encoding="UTF-8")
+    """As spreadsheets want it: the mark of UTF-8 before the header of every part, lines ended by CR and LF."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    quoted = lambda c: F.when(c.rlike('[",\r\n]'), cell(c)).otherwise(c)
+    text = csv_columns(docs, columns)
+    lines = text.select(F.concat(F.concat_ws(",", *[quoted(F.col(c)) for c in columns]), F.lit("\r")).alias("value"))
+    head = "\ufeff" + ",".join(columns) + "\r"
+
+    def headed(batches):
+        yield pa.record_batch([pa.array([head], pa.string())], ["value"])
+        for batch in batches:
+            yield pa.record_batch([batch.column(0).cast(pa.string())], ["value"])
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def write_json(docs: DataFrame, path: str) -> None:
@@ -118,6 +146,15 @@ def ics_event(now: Column) -> Column:
     )
 
 
+def calendar(docs: DataFrame, now: Column) -> DataFrame:
+    """(source, ics): the closing times of each source's notices as one calendar."""
+    event = F.struct("closing_at", "id", ics_event(now).alias("event"))
+    events = docs.where("closing_at is not null").groupBy("source").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    body = F.array_join(F.transform("events", lambda e: e["event"]), "\r\n")
+    head, tail = F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//notices//EN\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")
+    return events.select("source", F.concat(head, body, tail).alias("ics"))
+
+
 def field_rows(docs: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """One row for each field of each notice: (id, field, value)."""
     text = docs.select(F.col(key), *[csv_guard(F.col(f).cast("string")).alias(f) for f in fields])
@@ -145,8 +182,21 @@ def merge_archive(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Only the partitions present in ``rows`` are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "yyyy", "mm").parquet(path)
+    """Merges ``rows`` into the partitions they belong to; all other partitions, and earlier rows of these, stay."""
+    spark, by = rows.sparkSession, ["source", "yyyy", "mm"]
+    try:
+        earlier = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException:  # nothing is archived yet
+        earlier = None
+    if earlier is not None:
+        touched = rows.select(*by).distinct()
+        rows = durable(merge_archive(earlier.join(touched, by, "left_semi").select(*rows.columns), rows))  # read before it is replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def shift_days(docs: DataFrame, columns: list[str], days: int) -> DataFrame:
+    """Dates moved by whole days, so that a fixture keeps its distance from a later ``now``."""
+    return docs.withColumns({c: F.col(c) + F.make_dt_interval(F.lit(days)) for c in columns})
 
 
 def changed(old: DataFrame, new: DataFrame, volatile: tuple[str, ...] = ()) -> bool:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from functools import reduce
+from operator import or_
 from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import Query
+from .filters import Query, exact_match, keyword_all
 
 # Unit words, phrases and state names as readers type them.
 STATE_NAMES = (
@@ -24,56 +26,105 @@ STATE_ALIASES = {
     "andaman & nicobar": "Andaman and Nicobar Islands", "new delhi": "Delhi", "orissa": "Odisha", "pondicherry": "Puducherry", "uttaranchal": "Uttarakhand",
 }
 SOURCE_WORDS = {"gem": "gem_bids", "ge marketplace": "gem_bids", "cppp": "cppp_epublish", "epublish": "cppp_epublish", "central public procurement": "cppp_epublish", "ireps": "ireps"}
-# Phrases for amounts, and filler words.
-_UNIT = r"\s*(?:₹|rs\.?|inr)?\s*(\d[\d,]*(?:\.\d+)?)\s*(crores?|crs?|lakhs?|lacs?)(?![a-z])"
-_LOW = re.compile(r"(?:\b(?:above|over|more\s+than|at\s+least|min(?:imum)?)|>=?)" + _UNIT, re.I)
-_HIGH = re.compile(r"(?:\b(?:below|under|less\s+than|up\s*to|max(?:imum)?)|<=?)" + _UNIT, re.I)
-_FILLER = re.compile(r"(?:(?<=\s)|^)(?:closing|open|with|for|from|the|and|of|in)(?=\s|$)", re.I)
-
-
-def _spaced(phrase: str) -> str:
-    return r"\s+".join(re.escape(w) for w in phrase.split())
-
-
-def _take(text: str, pattern: re.Pattern[str] | str) -> tuple[str, re.Match[str] | None]:
-    """Cuts the first match out, so that it cannot leak into the keywords."""
-    found = re.search(pattern, text, re.I) if isinstance(pattern, str) else pattern.search(text)
-    return (f"{text[: found.start()]} {text[found.end() :]} ", found) if found else (text, None)
-
-
-def _rupees(found: re.Match[str]) -> float:
-    return float(found[1].replace(",", "")) * (1e7 if found[2].lower().startswith("cr") else 1e5)
+# The words of bounds and units, and filler words.  A space separates words, a bar alternatives; ``?`` may be missing.
+AT_LEAST = ("above", "over", "more than", "at least", "min", "minimum", ">", ">=")
+AT_MOST = ("below", "under", "less than", "up to", "upto", "max", "maximum", "<", "<=")
+UNITS = {"crore": 1e7, "crores": 1e7, "cr": 1e7, "crs": 1e7, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5}
+CURRENCY = "₹|rs|inr? .?"
+WITHIN = ("closing within DAYS day|days", "within|next DAYS day|days")
+FILLER = frozenset("closing open with for from the and of in".split())
+_TOKEN = re.compile(r"[<>]=?|\d[\d,]*(?:\.\d+)?|[^\W\d_]+|\S")
+
+
+class _Scan:
+    """The tokens of a text; phrases that are found are used up, and what is left are the keywords."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = list(_TOKEN.finditer(text))
+        self.words = [m[0].lower() for m in found]
+        self.spans = [m.span() for m in found]
+        self.free = [True] * len(found)
+
+    def _fits(self, at: int, phrase: list[str]) -> tuple[int, list[str]] | None:
+        """Where the phrase ends if it begins at a token, and its numbers and units."""
+        caught = []
+        for step in phrase:
+            word = self.words[at] if at < len(self.words) and self.free[at] else None
+            optional, step = step.endswith("?") and len(step) > 1, step.removesuffix("?")
+            if step == "DAYS":
+                fits = word is not None and word.isdigit() and len(word) <= 3
+            elif step == "NUMBER":
+                fits = word is not None and word[0].isdigit()
+            elif step == "UNIT":
+                fits = word in UNITS
+            else:
+                fits = word in step.split("|")
+            if fits:
+                if step.isupper():
+                    caught.append(word)
+                at += 1
+            elif not optional:
+                return None
+        return at, caught
+
+    def take(self, phrases, apart: str = "") -> tuple[str, list[str]] | None:
+        """Uses up the first of the phrases, in their order, that is there; ``apart``: characters it may not touch."""
+        for phrase in phrases:
+            steps = phrase if isinstance(phrase, list) else phrase.split()
+            for at in range(len(self.words)):
+                got = self._fits(at, steps)
+                if got and self._stands_apart(at, got[0], apart):
+                    self.free[at : got[0]] = [False] * (got[0] - at)
+                    return phrase, got[1]
+        return None
+
+    def _stands_apart(self, first: int, end: int, apart: str) -> bool:
+        before, after = self.text[: self.spans[first][0]][-1:], self.text[self.spans[end - 1][1] :][:1]
+        joined = lambda c: c and (apart == "any" and not c.isspace() or apart == "word" and (c.isalnum() or c in "_/-"))
+        return not joined(before) and not joined(after)
+
+    def earliest(self, phrases) -> list[str] | None:
+        """As :meth:`take`, but of the phrases the one that begins first."""
+        starts = [(at, -got[0], p) for p in phrases for at in range(len(self.words)) if (got := self._fits(at, p.split()))]
+        if not starts:
+            return None
+        at, end, phrase = min(starts)
+        caught = self._fits(at, phrase.split())[1]
+        self.free[at:-end] = [False] * (-end - at)
+        return caught
+
+    def left(self) -> str:
+        """What is not used up, word for word as typed, without filler words."""
+        kept, at = "", 0
+        for (first, last), free in zip(self.spans, self.free, strict=True):
+            kept += self.text[at:first] + (self.text[first:last] if free else " ")
+            at = last
+        return " ".join(w for w in kept.split() if w.lower() not in FILLER)
+
+
+def _tokens(phrase: str) -> list[str]:
+    return [m[0].lower() for m in _TOKEN.finditer(phrase)]
 
 
 def parse_query(text: str, states: dict[str, str] | None = None, sources: dict[str, str] | None = None) -> Query:
     """Days, month or week, lower and upper value, state, source word, then what is left without filler words."""
-    out, text = Query(), f" {text} "
-    for pattern in (r"closing\s+within\s+(\d{1,3})\s*days?\b", r"(?:within|next)\s+(\d{1,3})\s*days?\b"):
-        text, found = _take(text, pattern)
-        if found:
-            out = replace(out, closing_within_days=int(found[1]))
-            break
-    text, month = _take(text, r"(?:closing\s+)?this\s+month\b")
-    if month:
-        out = replace(out, closing_this_month=True)
-    else:
-        text, week = _take(text, r"(?:closing\s+)?this\s+week\b")
-        if week and out.closing_within_days is None:
-            out = replace(out, closing_within_days=7)
-    text, low = _take(text, _LOW)
-    text, high = _take(text, _HIGH)
-    out = replace(out, min_value=_rupees(low) if low else None, max_value=_rupees(high) if high else None)
-    for name, state in (states or {**STATE_ALIASES, **{n: n for n in STATE_NAMES}}).items():
-        text, found = _take(text, rf"(?<![\w/-]){_spaced(name)}(?![\w/-])")
-        if found:
-            out = replace(out, state=state)
-            break
-    for word, source in (sources or SOURCE_WORDS).items():
-        text, found = _take(text, rf"(?<!\S){_spaced(word)}(?!\S)")
-        if found:
-            out = replace(out, source=source)
-            break
-    return replace(out, keywords=" ".join(_FILLER.sub(" ", text).split()))
+    scan, found = _Scan(text), {}
+    if days := scan.take(WITHIN):
+        found["closing_within_days"] = int(days[1][0])
+    if scan.take(["closing? this month"]):
+        found["closing_this_month"] = True
+    elif scan.take(["closing? this week"]):
+        found.setdefault("closing_within_days", 7)
+    for name, bounds in (("min_value", AT_LEAST), ("max_value", AT_MOST)):
+        if amount := scan.earliest([f"{bound} {CURRENCY} NUMBER UNIT" for bound in bounds]):
+            found[name] = float(amount[0].replace(",", "")) * UNITS[amount[1]]
+    for field, names, apart in (("state", states or {**STATE_ALIASES, **{n: n for n in STATE_NAMES}}, "word"), ("source", sources or SOURCE_WORDS, "any")):
+        for name, meaning in names.items():
+            if scan.take([_tokens(name)], apart):
+                found[field] = meaning
+                break
+    return Query(keywords=scan.left(), **found)
 
 
 _URL = {"state": "state", "source": "source", "status": "status", "category": "category", "sort": "sort"}
@@ -105,6 +156,8 @@ def merge_hints(explicit: Query, parsed: Query, known_sources: set[str]) -> Quer
     return replace(out, keywords=parsed.keywords, closing_this_month=out.closing_this_month or parsed.closing_this_month)
 
 
+#: Weight of a word that is only near a term.
+FUZZY_WEIGHT = 0.45
 #: Field weights of ranked retrieval.
 BOOSTS = {"tender_number": 8.0, "ref": 6.0, "title": 3.5, "category": 2.0, "authority": 1.5, "state": 1.0, "city": 1.0}
 
@@ -113,30 +166,63 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[|›]", " ")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def search(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", k1: float = 1.2, b: float = 0.7, delta: float = 0.5) -> DataFrame:
+def search(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", k1: float = 1.2, b: float = 0.7, delta: float = 0.5, fuzzy: float = 0.0) -> DataFrame:
     """(id, terms, score): BM25+ (Lv and Zhai, 2011) per field, by field weight, terms by prefix.
 
-    The query's terms, few and known beforehand, are matched inside the scan: nothing is exploded, and document frequencies
-    and mean lengths are one aggregate row.  ``terms`` is how many distinct query terms a row has.
+    With ``fuzzy`` words within ``round(fuzzy * length)`` edits of a term count too, at ``FUZZY_WEIGHT``; short terms and those with a
+    digit never match so.  The query's terms, few and known beforehand, are matched inside the scan: nothing is exploded, and document
+    frequencies and mean lengths are one aggregate row.  ``terms`` is how many distinct query terms a row has.
     """
     asked = list(dict.fromkeys(re.findall(r"\w+", keywords.lower())))
     fields = {f: w for f, w in (boosts or BOOSTS).items() if f in df.columns}
     rows = df.select(key, *[tokens(F.col(f)).alias(f"t_{f}") for f in fields])
-    tf = lambda f, t: F.size(F.filter(f"t_{f}", lambda x: F.startswith(x, F.lit(t))))
+
+    def tf(f: str, t: str) -> Column:
+        whole = F.size(F.filter(f"t_{f}", lambda x: F.startswith(x, F.lit(t))))
+        edits = round(fuzzy * len(t))
+        if not edits or len(t) <= 3 or any(c.isdigit() for c in t):
+            return whole
+        near = F.filter(f"t_{f}", lambda x: ~F.startswith(x, F.lit(t)) & (F.levenshtein(x, F.lit(t), edits) >= 0))
+        return whole + F.lit(FUZZY_WEIGHT) * F.size(near)
+
     rows = rows.select(key, *[F.size(f"t_{f}").alias(f"n_{f}") for f in fields], *[tf(f, t).alias(f"f_{f}_{i}") for f in fields for i, t in enumerate(asked)])
     stats = rows.agg(
         F.count("*").alias("docs"), *[F.greatest(F.avg(f"n_{f}"), F.lit(1e-9)).alias(f"mean_{f}") for f in fields],
         *[F.count_if(F.col(f"f_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(asked))],
     )
-    scored = rows.join(F.broadcast(stats), how="cross")
-    score, terms = F.lit(0.0), F.lit(0)
+    hit = [reduce(or_, [F.col(f"f_{f}_{i}") > 0 for f in fields]) for i in range(len(asked))]
+    some = rows.where(reduce(or_, hit)) if hit else rows.limit(0)  # only rows with a term meet the one row of statistics
+    scored = some.join(F.broadcast(stats), how="cross")
+    score = F.lit(0.0)
     for i in range(len(asked)):
-        hit = F.lit(False)
         for f, weight in fields.items():
             n, many = F.col(f"f_{f}_{i}"), F.col(f"df_{f}_{i}")
             idf = F.log(1 + (F.col("docs") - many + 0.5) / (many + 0.5))
             part = delta + n * (k1 + 1) / (n + k1 * (1 - b + b * F.col(f"n_{f}") / F.col(f"mean_{f}")))
             score = score + F.when(n > 0, weight * idf * part).otherwise(0.0)
-            hit = hit | (n > 0)
-        terms = terms + hit.cast("int")
-    return scored.select(key, terms.alias("terms"), score.alias("score")).where("terms > 0")
+    return scored.select(key, sum((h.cast("int") for h in hit), F.lit(0)).alias("terms"), score.alias("score"))
+
+
+def search_hits(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", fuzzy: float = 0.2) -> DataFrame:
+    """(id, score): rows with all terms or, if there are none, with any; before them rows whose number or reference is the whole query.
+
+    Exact rows score ten times the best ranked one, at least ten.
+    """
+    asked = len(dict.fromkeys(re.findall(r"\w+", keywords.lower())))
+    found = search(df, keywords, boosts, key, fuzzy=fuzzy)
+    exact = df.where(exact_match(keywords)).select(key)
+    whole = found.agg(F.coalesce(F.max(F.col("terms") == asked), F.lit(False)).alias("whole"))
+    ranked = found.join(F.broadcast(whole), how="cross").where(~F.col("whole") | (F.col("terms") == asked)).select(key, "score")
+    top = ranked.agg(F.greatest(F.lit(1.0), F.coalesce(F.max("score"), F.lit(1.0))).alias("top"))
+    first = exact.join(F.broadcast(top), how="cross").select(key, (F.col("top") * 10).alias("score"))
+    return first.unionByName(ranked.join(exact, key, "left_anti"))
+
+
+def quick_search(df: DataFrame, keywords: str, limit: int = 50) -> DataFrame:
+    """The first rows of a scan that hold every term; the scan ends with the last of them."""
+    return df.where(keyword_all(keywords)).limit(limit) if keywords.strip() else df.limit(0)
+
+
+def palette(df: DataFrame, keywords: str, top: int = 6) -> DataFrame:
+    """The best few hits, for a list that opens while one types."""
+    return search_hits(df, keywords).orderBy(F.desc("score"), "id").limit(top)

@@ -80,3 +80,11 @@ def page_token(page: Column) -> Column:
 
 def zone_name(raw: Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(raw, r"[_\s]+", " ")))
+
+
+def evidence_field(json: Column) -> Column:
+    """(value, confidence, citation) of one field of a model answer; null without a citation, confidence is kept in 0..1."""
+    parsed = F.from_json(json, "value string, confidence double, citation string")
+    citation = F.nullif(F.trim(parsed["citation"]), F.lit(""))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"]))
+    return F.when(citation.isNotNull(), F.struct(parsed["value"].alias("value"), confidence.alias("confidence"), citation.alias("citation")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, ids, text
@@ -78,11 +79,15 @@ def q_merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return _upserted(spark, d).select("id", "category", value, F.date_format("closing_at", "yyyy-MM-dd").alias("closing"), "status", "is_new")
 
 
-@query(sql("SELECT id, field, CASE WHEN field = 'financial.estimated_value' THEN NULL ELSE old END AS old, CASE WHEN field = 'financial.estimated_value' THEN NULL ELSE new END AS new FROM c", _MERGE))
+def _tracked(spark: SparkSession, d: str) -> DataFrame:
+    """The upsert with values of two decimals, which print alike everywhere."""
+    store, fresh = (x.withColumn("value", F.col("value").cast("decimal(18,2)")) for x in _snapshots(spark, d))
+    return merge.upsert(store, fresh, "id", ["title", "category", "value", "closing_at", "status"], _TRACKED, overwritten=("status",))
+
+
+@query(sql("SELECT id, field, old, new FROM c", _MERGE.replace("old_value::VARCHAR AS old, value::VARCHAR AS new", "old_value::DECIMAL(18,2)::VARCHAR AS old, value::DECIMAL(18,2)::VARCHAR AS new")))
 def q_diff_changes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _upserted(spark, d).select("id", F.inline("changes"))
-    hide = lambda c: F.when(F.col("field") != "financial.estimated_value", F.col(c)).alias(c)  # noqa: E731  doubles print differently
-    return rows.select("id", "field", hide("old"), hide("new"))
+    return _tracked(spark, d).select("id", F.inline("changes"))
 
 
 @query(sql("SELECT CASE WHEN field = 'dates.bid_submission_end' THEN 'CRITICAL' WHEN field IN ('financial.estimated_value', 'status') THEN 'IMPORTANT' ELSE 'REVIEW' END AS severity, count(*) AS n FROM c GROUP BY 1", _MERGE))
@@ -95,24 +100,30 @@ def q_revision(spark: SparkSession, d: str) -> DataFrame:
     return _upserted(spark, d).select("id", "revision")
 
 
-@query(sql("SELECT id, coalesce((SELECT string_agg(CASE WHEN field = 'dates.bid_submission_end' THEN 'bid submission end: ' || old || ' → ' || new ELSE 'status: ' || old || ' → ' || new END, '; ' ORDER BY i) FROM c WHERE c.id = m.id AND field <> 'financial.estimated_value'), 'no tracked changes') AS summary FROM m", _MERGE))
+@query(sql("SELECT id, coalesce((SELECT string_agg(CASE field WHEN 'dates.bid_submission_end' THEN 'bid submission end' WHEN 'status' THEN 'status' ELSE 'estimated value' END || CASE WHEN old IS NULL THEN ' set to ' ELSE ': ' || old || ' → ' END || coalesce(new, 'None'), '; ' ORDER BY i) FROM c WHERE c.id = m.id), 'no tracked changes') AS summary FROM m", _MERGE.replace("old_value::VARCHAR AS old, value::VARCHAR AS new", "old_value::DECIMAL(18,2)::VARCHAR AS old, value::DECIMAL(18,2)::VARCHAR AS new")))
 def q_change_summary(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.filter("changes", lambda x: x["field"] != "financial.estimated_value")
-    return _upserted(spark, d).select("id", merge.change_summary(kept).alias("summary"))
+    return _tracked(spark, d).select("id", merge.change_summary(F.col("changes")).alias("summary"))
 
 
 @query("SELECT user_id, list(event_id ORDER BY event_id)[-50:] AS changes FROM events GROUP BY 1")
 def q_last50(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("all"))
+    """Ranked first, so that no more than 50 events of a user are gathered."""
+    last = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
+    rows = table(spark, d, "events").select("user_id", "event_id").withColumn("last", last).where(F.col("last") <= merge.LAST_CHANGES)
+    rows = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("all"))
     return rows.select("user_id", merge.append_history(F.slice("all", 1, 3), F.expr("slice(all, 4, greatest(size(all), 1))")).alias("changes"))
 
 
-@query(sql("SELECT count(*) FILTER (o.h = f.h) AS noop, count(*) FILTER (o.h <> f.h) AS rewritten FROM (SELECT id, sha256(concat_ws('|', title, category, status)) AS h FROM o) o JOIN (SELECT id, sha256(concat_ws('|', title, coalesce(category, ''), status)) AS h FROM f) f USING (id)", _MERGE))
+@query(sql("""SELECT count(*) FILTER (o.h = f.h) AS noop, count(*) FILTER (o.h <> f.h) AS rewritten, bit_xor(('0x' || substr(f.h, 1, 8))::BIGINT)::BIGINT AS mark FROM
+(SELECT id, sha256('{"title":"' || title || '","category":"' || category || '","status":"' || status || '"}') AS h FROM o) o
+JOIN (SELECT id, sha256('{"title":"' || title || '","category":' || coalesce('"' || category || '"', 'null') || ',"status":"' || status || '"}') AS h FROM f) f USING (id)""", _MERGE))
 def q_content_hash_noop(spark: SparkSession, d: str) -> DataFrame:
+    """Content hashes, over canonical JSON with its nulls, of both sides."""
     store, fresh = _snapshots(spark, d)
-    mark = F.sha2(F.concat_ws("|", "title", F.coalesce("category", F.lit("")), "status"), 256)
+    mark = ids.content_hash(F.col("title"), F.col("category"), F.col("status"))
     both = store.select("id", mark.alias("h")).join(fresh.select("id", mark.alias("g")), "id")
-    return both.agg(F.count_if(F.col("h") == F.col("g")).alias("noop"), F.count_if(F.col("h") != F.col("g")).alias("rewritten"))
+    number = F.conv(F.substring("g", 1, 8), 16, 10).cast("long")
+    return both.agg(F.count_if(F.col("h") == F.col("g")).alias("noop"), F.count_if(F.col("h") != F.col("g")).alias("rewritten"), F.bit_xor(number).alias("mark"))
 
 
 # ---- duplicates ------------------------------------------------------------------------------------------------------
@@ -146,14 +157,8 @@ def q_dedupe_groups(spark: SparkSession, d: str) -> DataFrame:
 # ---- text, amounts, dates --------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text[:200]), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
-def q_title_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.normalise_title(F.substring("text", 1, 200)).alias("title"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
-def q_title_normalize_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As ``q_title_normalize``, but of whole texts."""
+def q_title_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.normalise_title(F.col("text")).alias("title"))
 
 
@@ -193,8 +198,11 @@ def q_deadlines(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).select("id", dates.days_until(at, now()).alias("floor_days"), dates.days_remaining(at, now()).alias("ceil_days"), dates.deadline_bucket(at, now()).alias("bucket"))
 
 
-@query("SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g'), '') AS clean FROM documents")
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[ \t\r]+', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS t FROM a)
+SELECT doc_id, nullif(CASE WHEN length(t) > 8000 THEN regexp_replace(t[:8000], '[\s\p{Z}\x{85}]+$', '') || '…' ELSE t END, '') AS clean FROM b""")
 def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without entities, so that SQL can follow; the surveyed rule cuts at 8,000 characters."""
     return table(spark, d, "documents").select("doc_id", text.squeeze_text(F.col("text")).alias("clean"))
 
 
@@ -214,11 +222,22 @@ def q_geo_infer(spark: SparkSession, d: str) -> DataFrame:
     return geo.infer(rows, geo.builtin_gazetteer(spark), {"title": "work", "authority": "org"}).select("id", "state")
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Delhi' WHEN 1 THEN 'Kerala' WHEN 2 THEN 'Goa' WHEN 3 THEN 'Chandigarh' WHEN 4 THEN 'Lakshadweep' END AS state FROM customer""")
+@query("""WITH p AS (SELECT lpad((k % 900 + 100)::VARCHAR, 3, '0') || ['000', '036', '037', '210', '241', '550', '560', '999'][k // 900 + 1] AS pin FROM range(7200) r(k)),
+d AS (SELECT pin, pin[:3]::INT AS t, pin[:2]::INT AS z, pin::INT AS n FROM p)
+SELECT pin, CASE WHEN t = 160 THEN CASE WHEN n <= 160036 THEN 'Chandigarh' ELSE 'Punjab' END WHEN t = 396 THEN CASE WHEN n BETWEEN 396210 AND 396240 THEN 'Dadra and Nagar Haveli and Daman and Diu' ELSE 'Gujarat' END
+WHEN n // 10 = 68255 THEN 'Lakshadweep' WHEN t IN (605, 244) THEN NULL WHEN t = 403 THEN 'Goa' WHEN t = 194 THEN 'Ladakh' WHEN t IN (246, 248, 249, 262, 263) THEN 'Uttarakhand' WHEN t = 737 THEN 'Sikkim'
+WHEN t = 744 THEN 'Andaman and Nicobar Islands' WHEN t BETWEEN 790 AND 792 THEN 'Arunachal Pradesh' WHEN t IN (793, 794) THEN 'Meghalaya' WHEN t = 795 THEN 'Manipur' WHEN t = 796 THEN 'Mizoram'
+WHEN t IN (797, 798) THEN 'Nagaland' WHEN t = 799 THEN 'Tripura' WHEN t IN (814, 815, 816, 822) OR t BETWEEN 825 AND 829 THEN 'Jharkhand'
+WHEN z = 11 THEN 'Delhi' WHEN z IN (12, 13) THEN 'Haryana' WHEN z BETWEEN 14 AND 16 THEN 'Punjab' WHEN z = 17 THEN 'Himachal Pradesh' WHEN z IN (18, 19) THEN 'Jammu and Kashmir' WHEN z BETWEEN 20 AND 28 THEN 'Uttar Pradesh'
+WHEN z BETWEEN 30 AND 34 THEN 'Rajasthan' WHEN z BETWEEN 36 AND 39 THEN 'Gujarat' WHEN z BETWEEN 40 AND 44 THEN 'Maharashtra' WHEN z BETWEEN 45 AND 48 THEN 'Madhya Pradesh' WHEN z = 49 THEN 'Chhattisgarh'
+WHEN z = 50 THEN 'Telangana' WHEN z BETWEEN 51 AND 53 THEN 'Andhra Pradesh' WHEN z BETWEEN 56 AND 59 THEN 'Karnataka' WHEN z BETWEEN 60 AND 64 THEN 'Tamil Nadu' WHEN z BETWEEN 67 AND 69 THEN 'Kerala'
+WHEN z BETWEEN 70 AND 74 THEN 'West Bengal' WHEN z BETWEEN 75 AND 77 THEN 'Odisha' WHEN z = 78 THEN 'Assam' WHEN z IN (80, 81, 82, 84, 85) THEN 'Bihar' WHEN z = 83 THEN 'Jharkhand' END AS state FROM d""")
 def q_geo_pin(spark: SparkSession, d: str) -> DataFrame:
-    pins = F.array(*[F.lit(p) for p in ("110001", "682 001", "403001", "160017", "682555", "012345")])
-    pin = F.get(pins, (F.col("c_custkey") % 6).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", geo.pin_state(pin).alias("state"))
+    """All 900 three-digit prefixes, each with eight endings."""
+    k = F.col("id")
+    ends = F.array(*[F.lit(e) for e in ("000", "036", "037", "210", "241", "550", "560", "999")])
+    pin = F.concat((k % 900 + 100).cast("string"), F.get(ends, F.floor(k / 900).cast("int")))
+    return spark.range(7200).select(pin.alias("pin")).select("pin", geo.pin_state(F.col("pin")).alias("state"))
 
 
 # ---- matching and search ---------------------------------------------------------------------------------------------
@@ -303,11 +322,12 @@ def q_status_fold(spark: SparkSession, d: str) -> DataFrame:
     return health.status_fold(health.with_history(_runs(spark, d)))
 
 
-@query("SELECT event_type AS source, count(*) FILTER (value > 5) AS healthy, count(*) FILTER (value <= 5) AS weak, strftime(max(ts) FILTER (value > 5), '%Y-%m-%d %H:%M') AS last_success FROM events GROUP BY 1")
+@query(_RUNS + "SELECT source, count(*) FILTER (NOT degraded AND ok AND discovered > 0) AS healthy, count(*) FILTER (degraded) AS degraded, strftime(max(run_at) FILTER (ok AND discovered > 0), '%Y-%m-%d') AS last_success FROM h GROUP BY 1")
 def q_portal_health(spark: SparkSession, d: str) -> DataFrame:
-    good = F.col("value") > 5
-    last = F.date_format(F.max(F.when(good, F.col("ts"))), "yyyy-MM-dd HH:mm").alias("last_success")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count_if(good).alias("healthy"), F.count_if(F.col("value") <= 5).alias("weak"), last)
+    runs = health.with_history(_runs(spark, d))
+    good = F.col("ok") & (F.col("discovered") > 0)
+    last = F.date_format(F.max(F.when(good, F.col("run_at"))), "yyyy-MM-dd").alias("last_success")
+    return runs.groupBy("source").agg(F.count_if(good & ~F.col("degraded")).alias("healthy"), F.count_if("degraded").alias("degraded"), last)
 
 
 # ---- parsing, documents, JSON ----------------------------------------------------------------------------------------
@@ -315,7 +335,7 @@ def q_portal_health(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of whole documents, without the surveyed caps; the fold depends on order, so tests hold golden values instead of SQL."""
+    """Chunks of whole documents without the surveyed caps (60 chunks of at most 2,800 characters; longer ones are split here); the fold depends on order, so tests hold golden values instead of SQL."""
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
     return chunks.chunks(pages, most=None)
 
@@ -362,10 +382,11 @@ def q_page_plan(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, CASE flag WHEN 'a' THEN 'procurement.title' ELSE 'work.period_of_work_days' END AS path, arg_min(l_quantity::INT, o)::VARCHAR AS value FROM (SELECT id, flag, l_quantity, min(o) OVER (PARTITION BY id, flag) AS m, o FROM r WHERE flag IN ('a', 'n')) WHERE o = m GROUP BY 1, 2""")
 def q_label_fields(spark: SparkSession, d: str) -> DataFrame:
     """Label and value rows mapped to fields; the first value of a field stays."""
-    label = F.when(F.col("l_returnflag") == "A", "Tender Title :").when(F.col("l_returnflag") == "N", "Period of  Work(Days)").otherwise("Other")
+    label = F.when(F.col("l_returnflag") == "A", "Tender Title :").when(F.col("l_returnflag") == "N", "Period of  Work :").otherwise("Other")
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.min("l_quantity").alias("q"))
     value = F.col("q").cast("int").cast("string")
-    return listings.label_fields(rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), label.alias("label"), value.alias("value")))
+    rows = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), label.alias("label"), value.alias("value"))
+    return listings.label_fields(rows).select("id", "path", "value")
 
 
 ORACLE_SQL["q_label_fields"] = """WITH r AS (SELECT l_orderkey AS id, l_returnflag AS flag, l_linenumber AS o, min(l_quantity) AS q FROM lineitem GROUP BY ALL)
@@ -405,5 +426,5 @@ def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     def merged(store: DataFrame | None, batch: DataFrame) -> DataFrame:
         return incremental.latest_by_key(batch if store is None else store.unionByName(batch), ["user_id"], "event_id")
 
-    incremental.upsert_stream(rows, f"{out}/store", merged, f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/store/v=0").select("user_id", "event_id", "event_type")
+    incremental.upsert_stream(rows, f"{out}/store", ["user_id"], merged, f"{out}/state").awaitTermination()
+    return incremental.stored(spark, f"{out}/store").select("user_id", "event_id", "event_type")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_until
 from ..operators import filters as P
 from ..operators import overlay, publish
 from ..operators import queue as Q
-from ..operators.durable import durable
+from ..operators.ranks import with_places
 from .notices import CORRIGENDA, notices, now, sql, table, with_corrigenda
 
 QUERIES: dict = {}
@@ -33,16 +32,9 @@ def day(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
-@query(sql("""SELECT id, state, category, value, (SELECT count(*) FROM n WHERE lower(state) = 'nation_3' AND value IS NULL AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household')) AS hidden_unknown
-FROM n WHERE lower(state) = 'nation_3' AND value BETWEEN 100000 AND 400000 AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household') ORDER BY value DESC, id LIMIT 100"""))
-def q_structured_filter(spark: SparkSession, d: str) -> DataFrame:
-    found = P.run_query(notices(spark, d), BAND, now())
-    return found.orderBy(*P.ordering("value")).limit(100).select("id", "state", "category", "value", "hidden_unknown")
-
-
 @query(sql("""SELECT id, state, category, value, (SELECT count(*) FROM n WHERE lower(state) = 'nation_3' AND value IS NULL AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household')) AS hidden_unknown
 FROM n WHERE lower(state) = 'nation_3' AND value BETWEEN 100000 AND 400000 AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'supply') AND contains(lower(concat_ws(' ', title, authority, category, ref, tender_number, id::VARCHAR)), 'household') ORDER BY value DESC, id"""))
-def q_structured_filter_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_structured_filter(spark: SparkSession, d: str) -> DataFrame:
     found = P.run_query(notices(spark, d), BAND, now())
     return found.orderBy(*P.ordering("value")).select("id", "state", "category", "value", "hidden_unknown")
 
@@ -108,52 +100,22 @@ def q_exact_match(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).where(P.exact_match(" REF/117 ")).select("id", "ref")
 
 
-def _ranked(rows: DataFrame, sort: str, n: int = 200) -> DataFrame:
-    top = rows.orderBy(*P.ordering(sort)).limit(n)
-    return top.withColumn("place", F.row_number().over(W.orderBy(*P.ordering(sort)))).select("place", "id")
-
-
-@query(sql("SELECT row_number() OVER (ORDER BY closing_at ASC NULLS LAST, id)::INT AS place, id FROM n QUALIFY place <= 200"))
-def q_sort_closing(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(notices(spark, d), "closing")
-
-
-@query(sql("SELECT row_number() OVER (ORDER BY value DESC NULLS LAST, id)::INT AS place, id FROM n QUALIFY place <= 200"))
-def q_sort_value(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(notices(spark, d), "value")
-
-
-@query(sql("SELECT row_number() OVER (ORDER BY first_seen_at DESC NULLS LAST, id)::INT AS place, id FROM n QUALIFY place <= 200"))
-def q_sort_newest(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(notices(spark, d), "newest")
-
-
 def _placed(rows: DataFrame, sort: str) -> DataFrame:
-    """All rows with their places: sorted by ranges, a place is the place within its range after the rows of the ranges before."""
-    order = P.ordering(sort)
-    at = F.monotonically_increasing_id()
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("within"), "id")
-    ordered = durable(ordered)  # ranges are drawn from a sample: the counts and the rows have to be of one run
-    before, total = [], 0
-    for part, n in sorted(ordered.groupBy("part").count().collect()):
-        before.append((part, total))
-        total += n
-    ranges = rows.sparkSession.createDataFrame(before, "part long, before long")  # one row for a partition
-    return ordered.join(F.broadcast(ranges), "part").select((F.col("before") + F.col("within") + 1).cast("int").alias("place"), "id")
+    return with_places(rows, [], P.ordering(sort), ["id"]).select("place", "id")
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY closing_at ASC NULLS LAST, id)::INT AS place, id FROM n"))
-def q_sort_closing_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_sort_closing(spark: SparkSession, d: str) -> DataFrame:
     return _placed(notices(spark, d), "closing")
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY value DESC NULLS LAST, id)::INT AS place, id FROM n"))
-def q_sort_value_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_sort_value(spark: SparkSession, d: str) -> DataFrame:
     return _placed(notices(spark, d), "value")
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY first_seen_at DESC NULLS LAST, id)::INT AS place, id FROM n"))
-def q_sort_newest_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_sort_newest(spark: SparkSession, d: str) -> DataFrame:
     return _placed(notices(spark, d), "newest")
 
 
@@ -272,13 +234,8 @@ def q_timeline(spark: SparkSession, d: str) -> DataFrame:
     return publish.timeline(rows, {"published": "published_at", "seen": "first_seen_at", "closing": "closing_at"}).select("id", "place", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("event_at"))
 
 
-@query(sql("""SELECT id, field, value FROM (SELECT id, 'state' AS field, state AS value FROM n UNION ALL SELECT id, 'status', status FROM n UNION ALL SELECT id, 'category', category FROM n) WHERE id % 10 = 1"""))
-def q_field_rows(spark: SparkSession, d: str) -> DataFrame:
-    return publish.field_rows(notices(spark, d).where("id % 10 = 1"), ["state", "status", "category"])
-
-
 @query(sql("""SELECT id, 'state' AS field, state AS value FROM n UNION ALL SELECT id, 'status', status FROM n UNION ALL SELECT id, 'category', category FROM n"""))
-def q_field_rows_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_field_rows(spark: SparkSession, d: str) -> DataFrame:
     return publish.field_rows(notices(spark, d), ["state", "status", "category"])
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.amounts import parse_amount, parse_plain_number
 from ..functions.dates import parse_datetime
 from ..functions.ids import canonical_id, fallback_id
-from ..functions.text import org_chain, split_title_block
+from ..functions.text import NATIVE_ID, org_chain, split_title_block, squeeze_text
 
 
 class _Tables(HTMLParser):
@@ -199,7 +200,7 @@ def to_notices(rows: DataFrame, source: str, now: Column) -> DataFrame:
     """Listed rows as notices: title, ids, chain, times, status by deadline."""
     block = split_title_block(F.col("title_block"))
     out = rows.withColumn("b", block).select(
-        "url", "serial", F.lit(source).alias("source"), F.col("b.title").alias("title"), F.element_at("b.parts", -1).alias("native"), F.get("b.parts", F.lit(0)).alias("ref"),
+        "url", "serial", F.lit(source).alias("source"), F.col("b.title").alias("title"), F.col("b.native").alias("native"), F.col("b.ref").alias("ref"),
         org_chain(F.col("chain")).alias("authority"), parse_datetime(F.col("published")).alias("published_at"), parse_datetime(F.col("closing")).alias("closing_at"), "link",
     )
     out = out.withColumn("source_tender_id", fallback_id(F.col("native"), F.col("title"), F.col("ref")))
@@ -234,24 +235,50 @@ def title_tail(cell: Column) -> Column:
     return F.when(cell.rlike(pattern), parts).otherwise(whole)
 
 
-#: Labels of detail pages and where their values belong; fixed words of the portals.
+# Labels of detail pages and where their values belong.
 LABELS = {
-    "tender title": "procurement.title", "title": "procurement.title", "work description": "procurement.description", "tender category": "procurement.category",
-    "product category": "procurement.subcategory", "tender type": "procurement.tender_type", "contract type": "procurement.contract_type", "organisation chain": "organization.authority",
-    "location": "geography.location_text", "pincode": "geography.pincode", "tender value in ₹": "financial.estimated_value", "emd amount in ₹": "financial.emd_amount",
-    "tender fee in ₹": "financial.tender_fee", "published date": "dates.published_at", "bid opening date": "dates.bid_opening_at", "pre bid meeting date": "dates.pre_bid_meeting_at",
-    "bid submission start date": "dates.bid_submission_start", "bid submission end date": "dates.bid_submission_end", "clarification start date": "dates.clarification_start",
-    "clarification end date": "dates.clarification_end", "period of work(days)": "work.period_of_work_days", "bid validity(days)": "work.bid_validity_days",
-    "nda/pre qualification": "eligibility.prequalification_text", "tender id": "identity.source_tender_id", "tender reference number": "identity.reference_number",
+    "tender title": "procurement.title", "tender ref no": "identity.reference_number", "tender id": "identity.source_tender_id", "organisation name": "organization.authority",
+    "organisation chain": "organization.authority", "tender category": "procurement.category", "product category": "procurement.subcategory", "tender type": "procurement.tender_type",
+    "form of contract": "procurement.contract_type", "tender value": "financial.estimated_value", "tender value in rupees": "financial.estimated_value", "emd amount": "financial.emd_amount",
+    "emd fee": "financial.emd_amount", "earnest money deposit": "financial.emd_amount", "tender fee": "financial.tender_fee", "document fee": "financial.tender_fee",
+    "work item description": "work.scope", "work item title": "procurement.title", "bid submission start date": "dates.bid_submission_start", "bid submission end date": "dates.bid_submission_end",
+    "bid opening date": "dates.bid_opening_at", "pre-bid meeting date": "dates.pre_bid_meeting_at", "publish date": "dates.published_at", "document download end date": "dates.clarification_end",
+    "clarification start date": "dates.clarification_start", "clarification end date": "dates.clarification_end", "period of work": "work.period_of_work_days",
+    "contract period": "work.period_of_work_days", "bid validity days": "work.bid_validity_days", "location": "geography.location_text", "pincode": "geography.pincode",
 }
 
 
+def typed_value(path: Column, label: Column, value: Column) -> Column:
+    """(text, number, instant) of a detail value by where it belongs; all null where it says nothing."""
+    amount = F.coalesce(parse_plain_number(value), parse_amount(value))
+    days = F.regexp_extract(F.regexp_replace(value, ",", ""), r"\d+", 0).try_cast("double")
+    native = F.coalesce(F.nullif(F.regexp_extract(value, rf"\[({NATIVE_ID})\]", 1), F.lit("")), F.trim(value))
+    number = F.when(path.startswith("financial."), amount).when(path == "work.period_of_work_days", days)
+    instant = F.when(path.startswith("dates."), parse_datetime(value))
+    plain = ~path.startswith("financial.") & ~path.startswith("dates.") & (path != "work.period_of_work_days")
+    text = F.when(path == "identity.source_tender_id", native).when(path.startswith("geography."), squeeze_text(value, 300)).when(label == "organisation chain", org_chain(value))
+    text = F.when(plain, text.otherwise(squeeze_text(value)))
+    return F.struct(F.when(text != "NA", text).alias("text"), number.alias("number"), instant.alias("instant"))
+
+
 def label_fields(details: DataFrame, key: str = "id") -> DataFrame:
-    """(id, path, value): the first non-empty value of each mapped label of (id, ordinal, label, value)."""
+    """(id, path, value, text, number, instant): the first value of each mapped label of (id, ordinal, label, value) that says something."""
     names = details.sparkSession.createDataFrame(list(LABELS.items()), "name string, path string")
     clean = F.trim(F.regexp_replace(F.lower("label"), r"[\s:]+", " "))
     rows = details.withColumn("name", clean).where(F.trim("value") != "").join(F.broadcast(names), "name")
-    return rows.groupBy(key, "path").agg(F.min_by("value", "ordinal").alias("value"))
+    rows = rows.withColumn("typed", typed_value(F.col("path"), F.col("name"), F.col("value")))
+    rows = rows.where("typed.text is not null or typed.number is not null or typed.instant is not null")
+    first = rows.groupBy(key, "path").agg(F.min_by(F.struct("value", "typed"), "ordinal").alias("first"))
+    return first.select(key, "path", "first.value", "first.typed.*")
+
+
+def rekeyed(rows: DataFrame, fields: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with a made-up number take the one that their detail page shows, and a new ``id``; ``fields`` is that of :func:`label_fields`."""
+    shown = fields.where("path = 'identity.source_tender_id'").select(F.col(key).alias("shown_key"), F.col("text").alias("shown"))
+    joined = rows.join(shown, F.col(key) == F.col("shown_key"), "left")
+    fresh = F.col("source_tender_id").startswith("hash:") & F.col("shown").isNotNull()
+    named = {"source_tender_id": F.when(fresh, F.col("shown")).otherwise(F.col("source_tender_id")), key: F.when(fresh, canonical_id(F.col("source"), F.col("shown"))).otherwise(F.col(key))}
+    return joined.withColumns(named).drop("shown", "shown_key")
 
 
 def planned_pages(totals: DataFrame, budget: int, day: int, key: str = "source", total: str = "pages") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,16 +25,58 @@ def latest_by_key(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def upsert_stream(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Runs ``merge(store, batch)`` for each micro-batch and publishes a new version of the store at ``path``.
+def _manifests(spark: SparkSession, path: str) -> dict[int, dict[int, int]]:
+    """Versions by number: the version in which each bucket was last written.  One small row for a bucket."""
+    try:
+        rows = spark.read.parquet(f"{path}/versions").select("v", "bucket", "written").collect()
+    except AnalysisException:
+        return {}
+    out: dict[int, dict[int, int]] = {}
+    for v, bucket, written in rows:
+        out.setdefault(v, {})[bucket] = written
+    return out
 
-    Versions are numbered by batch, so a replayed batch writes the same version again; a version is complete or absent.
+
+def _read(spark: SparkSession, path: str, buckets: dict[int, int]) -> DataFrame | None:
+    paths = [f"{path}/rows/v={v}/bucket={b}" for b, v in sorted(buckets.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version of an upserted store."""
+    versions = _manifests(spark, path)
+    return _read(spark, path, versions[max(versions)])
+
+
+def _forget(spark: SparkSession, path: str, versions: dict[int, dict[int, int]]) -> None:
+    """Deletes buckets that neither of the two latest versions refers to."""
+    kept = {(b, v) for n in sorted(versions)[-2:] for b, v in versions[n].items()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for b, v in {x for m in versions.values() for x in m.items()} - kept:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/rows/v={v}/bucket={b}")
+        old.getFileSystem(conf).delete(old, True)
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Runs ``merge(store, batch)`` for each micro-batch and publishes a new version of the store at ``path``; :func:`stored` reads it.
+
+    Rows lie in ``buckets`` by hash of ``keys``; a micro-batch reads and rewrites only the buckets it touches.  Versions are numbered by
+    batch, so a replayed batch writes the same version again; a version is complete or absent.  Older ones are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        store = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        merge(store, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        versions = {v: m for v, m in _manifests(spark, path).items() if v < number}
+        known = versions[max(versions)] if versions else {}
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}
+        if not touched and known:
+            return
+        old = _read(spark, path, {b: v for b, v in known.items() if b in touched})
+        merge(old, batch).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/v={number}")
+        now = {**known, **dict.fromkeys(touched, number)}
+        spark.createDataFrame([(b, v) for b, v in now.items()], "bucket int, written long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={number}")
+        _forget(spark, path, {**versions, number: now})
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -15,7 +15,7 @@ def apply(spark, values, function, kind="string"):
 def test_amounts(spark):
     raw = ["Rs 2.45 Cr", "₹ 5 crore", "INR 1.2 crores", "Rs. 12,34,567.50", "about 3 lakhs", "₹10 lakh", "no money", None, "", "Rs 0", "room 12"]
     assert apply(spark, raw, amounts.parse_amount) == [24500000.0, 50000000.0, 12000000.0, 1234567.5, 300000.0, 1000000.0, None, None, None, None, None]
-    assert apply(spark, ["1,23,456", " 12.5 ", "12a", "", None, "1,234,567"], amounts.parse_plain_number) == [123456.0, 12.5, None, None, None, 1234567.0]
+    assert apply(spark, ["1,23,456", " 12.5 ", "12a", "", None, "1,234,567", "₹ 12,34,567.89", "Rs. 500", "INR 7", "0"], amounts.parse_plain_number) == [123456.0, 12.5, None, None, None, 1234567.0, 1234567.89, 500.0, 7.0, None]
     values = [25000000.0, 320000.0, 5000.0, None, 10625000.0]
     assert apply(spark, values, amounts.format_compact, "double") == ["₹2.50 Cr", "₹3.20 L", "₹5,000", None, "₹1.06 Cr"]
     assert apply(spark, [25000000.0, 320000.0, 20000000.0], amounts.format_trimmed, "double") == ["₹2.5 Cr", "₹3.2 L", "₹2 Cr"]
@@ -45,13 +45,13 @@ def test_portal_timestamps(spark):
 
 
 def test_texts(spark):
-    assert apply(spark, ["a &amp;amp; b", "x  y\t z", "  ", None, "1\n\n\n\n2", "l" * 20], lambda c: text.clean_text(c, 10)) == ["a & b", "x y z", None, None, "1\n\n2", "l" * 9 + "…"]
-    assert apply(spark, ["../a/b c?.pdf", "", None, "..."], text.safe_filename) == ["b_c_.pdf", "document", "document", "document"]
+    assert apply(spark, ["a &amp;amp; b", "x  y\t z", "  ", None, "1\n\n\n\n2", "l" * 20], lambda c: text.clean_text(c, 10)) == ["a & b", "x y z", None, None, "1\n\n2", "l" * 10 + "…"]
+    assert apply(spark, ["../a/b c?.pdf", "", None, "...", "a__b_._c", "C:\\x\\y.zip"], text.safe_filename) == ["b_c.pdf", "download.bin", "download.bin", "download.bin", "a_b.c", "y.zip"]
     assert apply(spark, ["=1+1", "-x", "@y", "ok", "\tz"], text.csv_guard) == ["'=1+1", "'-x", "'@y", "ok", "'\tz"]
     assert apply(spark, ["Road & Bridge (Ph-2)", None, "सड़क X!"], text.normalise_title)[:2] == ["road bridge ph 2", ""]
     assert apply(spark, ["A||B || ||C", "A"], text.org_chain) == ["A › B › C", "A"]
-    block = apply(spark, ["Road works [2026_X_1] [REF/1]", "[Only title] [R][I]"], text.split_title_block)
-    assert (block[0].title, block[0].parts) == ("Road works", ["2026_X_1", "REF/1"]) and block[1].title == "Only title"
+    block = apply(spark, ["Road works [2026_XY_1_2] [REF/1]", "[Only title] [R][2026_XY_1_2]", "[T]", "plain", "Road [REF/2]"], text.split_title_block)
+    assert [(b.title, b.ref, b.native) for b in block] == [("Road works", "REF/1", "2026_XY_1_2"), ("Only title", "R", "2026_XY_1_2"), ("T", None, None), ("plain", None, None), ("Road", "REF/2", None)]
     assert apply(spark, ["a;b,c\nd"], text.ics_escape) == ["a\\;b\\,c\\nd"]
     assert apply(spark, ["feeds/all.xml", "../x", "http://x", "/abs"], text.feed_href) == ["feeds/all.xml", None, None, None]
     assert apply(spark, ["x\u0001y퟿"], text.xml_legal) == ["xy퟿"]
@@ -69,7 +69,7 @@ def test_ids(spark):
     assert got[1].f == "hash:" + hashlib.sha256(b"T|R").hexdigest()[:16]
 
 
-@pytest.mark.parametrize("pin, state", [("110001", "Delhi"), ("160017", "Chandigarh"), ("160055", "Punjab"), ("396230", "Dadra and Nagar Haveli and Daman and Diu"), ("396001", "Gujarat"), ("682555", "Lakshadweep"), ("403 001", "Goa"), ("605001", None), ("012345", None), ("11000", None), ("744101", "Andaman and Nicobar Islands")])
+@pytest.mark.parametrize("pin, state", [("110001", "Delhi"), ("160017", "Chandigarh"), ("160055", "Punjab"), ("396230", "Dadra and Nagar Haveli and Daman and Diu"), ("396001", "Gujarat"), ("682555", "Lakshadweep"), ("403 001", "Goa"), ("605001", None), ("012345", None), ("11000", None), ("744101", "Andaman and Nicobar Islands"), ("814112", "Jharkhand"), ("246001", "Uttarakhand"), ("244001", None), ("262001", "Uttarakhand"), ("829001", "Jharkhand"), ("823001", "Bihar")])
 def test_pins(spark, pin, state):
     from noticeloom.operators.geo import pin_state
 

@@ -92,7 +92,7 @@ def test_chunks():
 
 
 LISTING = """<table><tr><th>S.No</th><th>e-Published Date</th><th>Closing</th><th>Opening</th><th>Title and Ref</th><th>Chain</th></tr>
-<tr><td>1.</td><td>01-Aug-2026 09:00 AM</td><td>20-Aug-2026 03:00 PM</td><td>21-Aug-2026</td><td><a href="/t?id=1">[Road works] [R/1][2026_PWD_1]</a></td><td>PWD||Div 1</td></tr>
+<tr><td>1.</td><td>01-Aug-2026 09:00 AM</td><td>20-Aug-2026 03:00 PM</td><td>21-Aug-2026</td><td><a href="/t?id=1">[Road works] [R/1][2026_PWD_1_1]</a></td><td>PWD||Div 1</td></tr>
 <tr><td>2.</td><td>01-Aug-2026</td><td>NA</td><td></td><td>Bridge [R/2]</td><td>PWD</td></tr><tr><td>total</td></tr>
 <table><tr><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td></tr></table>"""
 
@@ -101,7 +101,15 @@ def test_listing_pages(spark):
     pages = spark.createDataFrame([("u", LISTING), ("v", None), ("w", "<table><tr><td>no")], "url string, html string")
     now = F.lit("2026-08-05 00:00:00").cast("timestamp")
     got = listings.to_notices(listings.parse_listings(pages), "pwd", now).orderBy("serial").collect()
-    assert [(r.title, r.source_tender_id, r.status, r.authority) for r in got] == [("Road works", "2026_PWD_1", "active", "PWD › Div 1"), ("Bridge", "R/2", "unknown", "PWD")]
+    assert [(r.title, r.ref, r.native, r.status, r.authority) for r in got] == [("Road works", "R/1", "2026_PWD_1_1", "active", "PWD › Div 1"), ("Bridge", "R/2", None, "unknown", "PWD")]
+    assert got[0].source_tender_id == "2026_PWD_1_1" and got[1].source_tender_id.startswith("hash:")
+    details = [(got[1].id, 1, "Tender ID :", "[2026_PWD_2_7]"), (got[1].id, 2, "Tender Value", "Rs. 12,34,567"), (got[1].id, 3, "EMD Amount", "NA"), (got[1].id, 4, "Publish Date", "05-Aug-2026 03:30 PM"), (got[1].id, 5, "Period Of Work", "90 days"), (got[1].id, 6, "Organisation Chain", "A||B")]
+    fields = listings.label_fields(spark.createDataFrame(details, "id string, ordinal int, label string, value string"))
+    by = {r.path: r for r in fields.collect()}
+    assert by["financial.estimated_value"].number == 1234567 and "financial.emd_amount" not in by and by["work.period_of_work_days"].number == 90 and by["organization.authority"].text == "A › B"
+    assert by["dates.published_at"].instant.hour == 10 and by["identity.source_tender_id"].text == "2026_PWD_2_7"
+    again = {r.serial: r for r in listings.rekeyed(listings.to_notices(listings.parse_listings(pages), "pwd", now), fields).collect()}
+    assert again[2].source_tender_id == "2026_PWD_2_7" and again[2].id != got[1].id and again[1].id == got[0].id
     assert got[0].link == "/t?id=1" and len(got[0].id) == 24
     orgs = spark.createDataFrame([("<table><tr><td>1.</td><td>Alpha</td><td><a href='/a'>12</a></td></tr><tr><td>2</td><td>Beta</td><td><a href='/b'>30</a></td></tr></table>",)] * 2, "html string")
     assert [(r.name, r.n) for r in listings.largest(listings.organisations(orgs), 5).collect()] == [("Beta", 30), ("Alpha", 12)]
@@ -147,7 +155,13 @@ def test_publishing(spark, tmp_path):
     old = spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string")
     assert {r.id: r.v for r in publish.merge_archive(old, old.where("id = 2").withColumn("v", F.lit("new"))).collect()} == {1: "old", 2: "new"}
     publish.write_csv(df, f"{tmp_path}/csv", ["id", "title"])
-    assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 250
+    parts = [p.read_bytes() for p in sorted((tmp_path / "csv").glob("part-*"))]
+    lines = b"".join(p.removeprefix("\ufeffid,title\r\n".encode()) for p in parts)
+    assert all(p.startswith("\ufeffid,title\r\n".encode()) for p in parts) and lines.count(b"\r\n") == lines.count(b"\n") == 250
+    stamped = df.limit(1).select(F.lit("s").alias("source"), F.lit("2026").alias("yyyy"), F.lit("01").alias("mm"), F.lit(1).alias("id"), F.lit("new").alias("v"))
+    publish.write_archive(stamped.unionByName(stamped.withColumns({"id": F.lit(2), "mm": F.lit("02")})), f"{tmp_path}/archive")
+    publish.write_archive(stamped.withColumns({"id": F.lit(3)}).unionByName(stamped.withColumn("v", F.lit("newer"))), f"{tmp_path}/archive")
+    assert {(r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/archive").collect()} == {(1, "newer"), (2, "new"), (3, "new")}
 
 
 def test_queue_and_answers(spark):
@@ -165,10 +179,13 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     for i, rows in enumerate(([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")], [("b", 3, "w"), ("c", 1, "q")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    merged = lambda store, batch: incremental.latest_by_key(batch if store is None else store.unionByName(batch), ["k"], "n")
-    incremental.upsert_stream(stream, f"{tmp_path}/out", merged, f"{tmp_path}/state").awaitTermination()
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    assert {(r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out/v={versions[-1]}").collect()} == {("a", "z"), ("b", "w"), ("c", "q")}
+    merged = lambda store, batch: incremental.latest_by_key(batch if store is None else store.unionByName(batch.select(*store.columns)), ["k"], "n")
+    incremental.upsert_stream(stream, f"{tmp_path}/out", ["k"], merged, f"{tmp_path}/state").awaitTermination()
+    assert {(r.k, r.v) for r in incremental.stored(spark, f"{tmp_path}/out").collect()} == {("a", "z"), ("b", "w"), ("c", "q")}
+    versions = incremental._manifests(spark, f"{tmp_path}/out")
+    named = {(b, v) for n in sorted(versions)[-2:] for b, v in versions[n].items()}
+    there = {(int(p.name.split("=")[1]), int(p.parent.name.split("=")[1])) for p in (tmp_path / "out" / "rows").glob("v=*/bucket=*")}
+    assert there == named and len(versions) == 3  # nothing else is kept, and untouched buckets are not written again
 
 
 def test_other_grammars(spark):
@@ -208,14 +225,14 @@ def test_chunks_without_caps_hold_the_whole_text(spark):
     assert "".join(t for _, _, t in got).replace("\n", "") == "".join(long)
     pages = spark.createDataFrame([(1, 1, "\n\n".join(long))], "doc long, page int, text string")
     assert chunks.chunks(pages, most=None).count() == len(got) > chunks.MOST
-    assert {"q_chunk_pages", "q_title_normalize_whole"} <= set(domain.QUERIES)
+    assert {"q_chunk_pages", "q_title_normalize"} <= set(domain.QUERIES)
 
 
 def test_whole_titles_are_not_cut(spark, tmp_path):
     from noticeloom.plans import domain
 
     spark.createDataFrame([(1, "Word, " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert domain.q_title_normalize_whole(spark, str(tmp_path)).first()["title"] == " ".join(["word"] * 100)
+    assert domain.q_title_normalize(spark, str(tmp_path)).first()["title"] == " ".join(["word"] * 100)
 
 
 def test_places_go_over_all_rows_and_ranges(spark):
@@ -232,3 +249,24 @@ def test_places_go_over_all_rows_and_ranges(spark):
     want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
     assert [x.id for x in sorted(got)] == [i for i, _ in want] and sorted(x.place for x in got) == list(range(1, 1001))
     assert relational._placed(spark.createDataFrame([], "id long, value double"), "value").count() == 0
+
+
+def test_search_hits_and_quick_forms(spark):
+    rows = [(1, "REF/7", "road works", "T1"), (2, "x", "REF/7 road", "T2"), (3, "y", "raod bridge", "T3"), (4, "z", "nothing", "T4"), (5, "w", "road bridge works", "T5")]
+    df = spark.createDataFrame(rows, "id int, ref string, title string, tender_number string").withColumns({"authority": F.lit("a"), "category": F.lit("c")})
+    got = search.search_hits(df, "ref/7").orderBy(F.desc("score")).collect()
+    assert got[0].id == 1 and got[0].score >= 10 and {r.id for r in got} == {1, 2}
+    assert {r.id for r in search.search_hits(df, "road bridge").collect()} == {5}  # rows with all terms
+    assert {r.id for r in search.search_hits(df, "bridge zzzz").collect()} == {3, 5}  # else with any
+    assert {r.id for r in search.search_hits(df, "bridgo").collect()} == {3, 5} and search.search_hits(df, "rxad").count() > 0
+    assert search.search_hits(df, "t9").count() == 0 and search.search_hits(df, "").count() == 0
+    assert {r.id for r in search.quick_search(df, "road works").collect()} == {1, 5} and search.quick_search(df, " ").count() == 0
+    assert search.palette(df, "road", top=2).count() == 2
+
+
+def test_places_of_names_and_pins(spark):
+    rows = [(1, "Nagpur - 440030 road", "x"), (2, "Tender 440030 of 2026", "x"), (3, "PIN Code: 403001", "x"), (4, "Road at Goa, 403001", "x"), (5, "Punjab National Bank branch", "x"), (6, "Andhra works", "x"), (7, "pin–682555", "Kerala")]
+    df = spark.createDataFrame(rows, "id int, title string, org string")
+    got = {r.id: r.state for r in geo.infer(df, geo.builtin_gazetteer(spark), {"title": "work", "org": "org"}).collect()}
+    assert got == {3: "Goa", 4: "Goa", 6: "Andhra Pradesh", 7: "Lakshadweep"}
+    assert [r.p for r in df.orderBy("id").select(geo.loose_pins(F.col("title")).alias("p")).collect()] == [["440030"], [], [], ["403001"], [], [], ["682555"]]
