@@ -138,6 +138,16 @@ def write_json(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_queue(queue: DataFrame, path: str) -> None:
+    """A queue as JSON lines, one for each item, nulls included; the last line of an item counts (:func:`queue.pending`)."""
+    queue.write.mode("append").json(path, ignoreNullFields=False)
+
+
+def write_pages(pages: DataFrame, path: str, doc: str = "doc") -> None:
+    """Extracted pages (doc, page, text) as gzip JSON lines, a folder for each document, so that one is read or replaced alone."""
+    pages.sortWithinPartitions(doc, "page").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(doc).json(path, compression="gzip")
+
+
 def ics_event(now: Column) -> Column:
     at = lambda c: F.date_format(c.cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'")
     return F.concat_ws(

@@ -146,6 +146,33 @@ def q_publication_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(listings.in_window(now(), 45, "published", keep_undated=True)).select("id")
 
 
+@query(sql("SELECT id::VARCHAR AS url, ref AS number, region AS zone, title, strftime(published_at, '%d-%m-%Y') AS start, strftime(closing_at, '%d-%m-%Y') AS \"end\", '/f/' || id::VARCHAR || '.pdf' AS link, '/active/' || (id + 20)::VARCHAR AS next FROM n"))
+def q_paged_table(spark: SparkSession, d: str) -> DataFrame:
+    """Offset-paged tables and the address of the next page."""
+    cells = [F.col("ref"), F.col("region"), F.col("title"), F.date_format("published_at", "dd-MM-yyyy"), F.date_format("closing_at", "dd-MM-yyyy"), F.concat(F.lit('<a href="/f/'), text_of("id"), F.lit('.pdf">file</a>'))]
+    row = F.concat(*[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells])
+    page = F.concat(F.lit("<table class=CustmTable><tr><th>No</th><th>Zone</th><th>Title</th><th>Start</th><th>End</th><th>File</th></tr><tr>"), row, F.lit('</tr></table><ul class=pagination><a href="/active/0">1</a><a rel="next" href="/active/'), (F.col("id") + 20).cast("string"), F.lit('">2</a></ul>'))
+    pages = notices(spark, d).select(text_of("id").alias("url"), page.alias("html"))
+    return listings.parse_paged(pages).join(pages.select("url", listings.next_page(F.col("html")).alias("next")), "url")
+
+
+@query(sql("SELECT id::VARCHAR AS url, id::VARCHAR AS number, title || ' & more' AS title, strftime(closing_at, '%B %d, %Y') AS published, 'https://p/' || id::VARCHAR AS link FROM n"))
+def q_post_grid(spark: SparkSession, d: str) -> DataFrame:
+    key = text_of("id")
+    post = F.concat(F.lit('<div class="pp-post-wrap post-'), key, F.lit(' x"><h2 class="pp-post-title"><a class=y href="https://p/'), key, F.lit('">'), "title", F.lit(" &amp; <b>more</b></a></h2><span class=pp-post-date> "), F.date_format("closing_at", "MMMM dd, yyyy"), F.lit('</span></div><div class="pp-post-wrap"><p>no title</p></div>'))
+    return listings.parse_posts(notices(spark, d).select(key.alias("url"), post.alias("html")))
+
+
+@query("""WITH a AS (SELECT event_type AS source, event_id, event_id % 7 < 3 AS ok FROM events),
+f AS (SELECT *, (NOT ok AND NOT coalesce(lag(ok) OVER (PARTITION BY source ORDER BY event_id), TRUE) AND NOT coalesce(lag(ok, 2) OVER (PARTITION BY source ORDER BY event_id), TRUE)) AS failed3 FROM a),
+s AS (SELECT source, min(event_id) AS stop FROM f WHERE failed3 GROUP BY 1)
+SELECT f.source, event_id, ok FROM f LEFT JOIN s ON f.source = s.source WHERE stop IS NULL OR event_id <= stop""")
+def q_crawl_stop(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl stops with its third failure in a row."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("source"), "event_id", (F.col("event_id") % 7 < 3).alias("ok"))
+    return listings.still_crawled(rows, at="event_id").select("source", "event_id", "ok")
+
+
 # ---- landed records --------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -183,6 +184,36 @@ def _document_rows(page: str | None) -> list[dict]:
     return [{"link": h, "title": t or h.rsplit("/", 1)[-1]} for h, t in first.items()]
 
 
+def _paged_rows(page: str | None) -> list[dict]:
+    """Number, zone, title, start, end and file of offset-paged tables; a row has dates in both date cells."""
+    out = []
+    for row in (row for table in tables(page) for row in table if len(row) >= 6):
+        (number, _), (zone, _), (title, link), (start, _), (end, _), (_, file) = row[:6]
+        if title and any(c.isdigit() for c in start) and any(c.isdigit() for c in end):
+            out.append({"number": number, "zone": zone, "title": title, "start": start, "end": end, "link": link or file})
+    return out
+
+
+_POST = re.compile(r"""<div\s[^>]*class=["'][^"']*\bpp-post-wrap\b""", re.I)
+_POST_LINK = re.compile(r"""<h2[^>]*pp-post-title[^>]*>.*?<a\s[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>""", re.I | re.S)
+_POST_DATE = re.compile(r"""<span[^>]*pp-post-date[^>]*>(.*?)</span>""", re.I | re.S)
+
+
+def _post_rows(page: str | None) -> list[dict]:
+    """Number, title, date and link of a post grid; each post reaches to the next one."""
+    page, out = page or "", []
+    begins = [m.start() for m in _POST.finditer(page)]
+    plain = lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", t)).split())
+    for at, end in zip(begins, [*begins[1:], len(page)], strict=True):
+        link, date = _POST_LINK.search(page, at, end), _POST_DATE.search(page, at, end)
+        number = re.search(r"\bpost-(\d+)\b", page[at : page.find(">", at)])
+        if link:
+            out.append({"number": number and number[1], "title": plain(link[2]), "published": date and plain(date[1]), "link": link[1]})
+    return out
+
+
+parse_paged = _row_parser(_paged_rows, "number zone title start end link")
+parse_posts = _row_parser(_post_rows, "number title published link")
 parse_widget = _row_parser(_widget_rows, "title ref closing opening link")
 parse_district = _row_parser(_district_rows, "title start end link")
 parse_stamped = _row_parser(_stamped_rows, "title published link")
@@ -190,6 +221,21 @@ parse_options = _row_parser(_option_rows, "value name")
 parse_documents = _row_parser(_document_rows, "link title")
 
 
+def next_page(page: Column) -> Column:
+    """The address that a page names as its next one."""
+    found = F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<a\s(?=[^>]*\brel=["']?next)[^>]*?href=["']([^"']+)""", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def still_crawled(attempts: DataFrame, source: str = "source", at: str = "at", most: int = 3) -> DataFrame:
+    """Attempts (ok) up to where a crawl stops: the failure that is the ``most``-th one after another."""
+    by = W.partitionBy(source).orderBy(at)
+    rows = attempts.withColumn("run_", F.sum(F.col("ok").cast("int")).over(by))
+    rows = rows.withColumn("failed_", F.sum((~F.col("ok")).cast("int")).over(W.partitionBy(source, "run_").orderBy(at)))
+    stopped = F.coalesce(F.max(F.col("failed_") >= most).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    return rows.withColumn("stopped_", stopped).where("not stopped_").drop("run_", "failed_", "stopped_")
+
+
 def has_later_page(page: Column, current: int) -> Column:
     """Whether a listing links to a page after ``current``."""
     numbers = F.transform(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"[?&/](?:page|paged)[=/](\d+)"), 1), lambda n: n.try_cast("int"))

@@ -270,3 +270,16 @@ def test_places_of_names_and_pins(spark):
     got = {r.id: r.state for r in geo.infer(df, geo.builtin_gazetteer(spark), {"title": "work", "org": "org"}).collect()}
     assert got == {3: "Goa", 4: "Goa", 6: "Andhra Pradesh", 7: "Lakshadweep"}
     assert [r.p for r in df.orderBy("id").select(geo.loose_pins(F.col("title")).alias("p")).collect()] == [["440030"], [], [], ["403001"], [], [], ["682555"]]
+
+
+def test_queue_lines_and_page_folders(spark, tmp_path):
+    item = spark.createDataFrame([("t", 1, None, 5)], "task string, id int, priority int, line int")
+    publish.write_queue(item, f"{tmp_path}/queue")
+    publish.write_queue(item.withColumns({"line": F.lit(6), "priority": F.lit(2)}).withColumn("enqueued_at", F.lit(1)), f"{tmp_path}/queue")
+    log = spark.read.json(f"{tmp_path}/queue")
+    assert log.count() == 2 and [(r.id, r.priority) for r in queue.pending(log, log.limit(0)).collect()] == [(1, 2)]
+    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "doc string, page int, text string")
+    publish.write_pages(pages, f"{tmp_path}/pages")
+    publish.write_pages(pages.where("doc = 'a' and page = 1").withColumn("text", F.lit("new")), f"{tmp_path}/pages")
+    assert {(r.doc, r.page, r.text) for r in spark.read.json(f"{tmp_path}/pages").collect()} == {("a", 1, "new"), ("b", 1, None)}
+    assert list((tmp_path / "pages" / "doc=a").glob("*.json.gz"))
