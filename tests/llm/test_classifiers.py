@@ -138,6 +138,32 @@ def test_one_bad_passage_decides():
     assert ((score >= 0.5) == y[held]).mean() > 0.95
 
 
+def test_quality_scores_equal_the_definition():
+    """Brute force: passages of 64 words, their measures and hashed words one by one, gates, attention and mixture by loops."""
+    texts = [prose(i, n) for i, n in enumerate((1, 63, 64, 65, 200))] + ["", " \n", bad(3, 150), "ÜBER \x85 12 !! a a a", "w" * 5000]
+    data, offsets = raw_strings(pa.array([*texts, None]))
+    x, b = quality.measures(data, offsets)
+    bags = [x[b[i] : b[i + 1]].astype(float) for i in range(len(texts))]
+    model = quality.train(bags, np.arange(len(bags)) % 2.0, epochs=3)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    for text, got, bag in zip(texts, model.score(pa.array(texts)), bags, strict=True):
+        words = text.encode().split()
+        passages = [words[i : i + quality.PASSAGE] for i in range(0, len(words), quality.PASSAGE)] or [[]]
+        assert len(passages) == len(bag)
+        weight, encoded = [], []
+        for own, row in zip(passages, bag, strict=True):
+            if own:
+                chars = sum(map(len, own))
+                assert abs(row[0] - np.log1p(len(own)) / 4) < 1e-6 and abs(row[6] - len({v.lower() for v in own}) / len(own)) < 1e-6
+                assert abs(row[4] - sum(chr(c).isdigit() for v in own for c in v if c < 128) / chars) < 1e-6
+                assert abs((row[quality.MEASURED :] * len(own) ** 0.5).sum() - len(own)) < 1e-3
+            h = np.tanh((row - w["shift"]) * w["scale"] @ w["E"] + w["e"])
+            weight.append(np.exp(sum(a * np.tanh(h @ w["V"][:, k]) / (1 + np.exp(-(h @ w["U"][:, k]))) for k, a in enumerate(w["a"]))))
+            encoded.append(h)
+        z = sum(a * h for a, h in zip(weight, encoded, strict=True)) / sum(weight)
+        assert abs(got - 1 / (1 + np.exp(-(z @ w["c"] + w["b"][0])))) < 1e-4
+
+
 def test_gradient_is_right():
     r = np.random.default_rng(1)
     w = {"E": r.normal(size=(16, 5)), "e": r.normal(size=5), "V": r.normal(size=(5, 3)), "U": r.normal(size=(5, 3)), "a": r.normal(size=3), "c": r.normal(size=5), "b": r.normal(size=1)}
