@@ -111,7 +111,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = RANGES * tasks
-    sample = sorted(r[0] for r in urls.select(key_name).orderBy(F.rand(17)).limit(SAMPLED * ranges).collect())
+    share = min(1.0, SAMPLED * ranges / max(1, urls.count()))  # so about as many keys are gathered from any number of urls
+    sample = sorted(r[0] for r in urls.select(key_name).sample(share, 17).collect())
     cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
 
     @F.arrow_udf("int")
