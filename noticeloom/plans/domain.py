@@ -209,20 +209,28 @@ def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
 # ---- geography -------------------------------------------------------------------------------------------------------
 
 
-_STATES = ("Kerala", "Tamil Nadu", "New Delhi", "Orissa", "Goa", "West Bengal", "Punjab")
-
-
-@query(sql("SELECT id, ['Kerala', 'Tamil Nadu', 'Delhi', 'Odisha', 'Goa', 'West Bengal', 'Punjab'][(id % 7 + 1)::INT] AS state FROM n WHERE id % 2 = 0"))
+#: What titles name, and the state, district and evidence that have to be told from it.
+_PLANTED = (
+    ("Kerala", "Kerala", None, "state:kerala"), ("TAMIL NADU", "Tamil Nadu", None, "state:tamil nadu"), ("New Delhi", None, None, None), ("Orissa", "Odisha", None, "state:orissa"),
+    ("Pune", "Maharashtra", "Pune", "place:pune"), ("the Old Lighthouse and Pilot Station at Vizhinjam Point", "Kerala", None, "place:old lighthouse and pilot station at vizhinjam point"),
+    ("Nasik", "Maharashtra", "Nashik", "place:nasik"), ("Aurangabad", None, None, None), ("Pune - 411001", "Maharashtra", "Pune", "pincode,place:pune"), ("Sultanpur", None, None, None),
+    ("Pune and Nagpur", "Maharashtra", None, "place:nagpur,place:pune"), ("Pune for Kochi", None, None, None), ("Tender-110025", None, None, None), ("PIN code no.: 403 001", "Goa", None, "pincode"),
+    ("Kochi & Kalyan", "Kerala", "Ernakulam", "place:kochi"), ("Punjab National Bank", None, None, None),
+)
+_PLACES = (("Kochi", "Kerala", "Ernakulam"), ("Sultanpur", "Uttar Pradesh", None), ("Old Lighthouse and Pilot Station at Vizhinjam Point", "Kerala", None))
+
+
+@query(sql("SELECT id, state, district, evidence FROM (SELECT id, (id % 16)::INT AS k FROM n) JOIN p USING (k) WHERE p.state IS NOT NULL",
+           "p(k, state, district, evidence) AS (VALUES " + ", ".join("(" + ", ".join([str(k), *("NULL" if x is None else f"'{x}'" for x in row[1:])]) + ")" for k, row in enumerate(_PLANTED)) + ")"))
 def q_geo_infer(spark: SparkSession, d: str) -> DataFrame:
-    """State names planted in titles; every second notice names two states, from which none can be told."""
-    names = F.array(*[F.lit(s) for s in _STATES])
-    pick = lambda k: F.get(names, F.pmod(F.col("id") + k, F.lit(len(_STATES))).cast("int"))
-    title = F.concat(F.lit("Road works at "), F.upper(pick(0)), F.when(F.col("id") % 2 == 1, F.concat(F.lit(" and "), pick(1))).otherwise(F.lit(" district")))
-    rows = notices(spark, d).select("id", title.alias("title"), "authority")
-    return geo.infer(rows, geo.builtin_gazetteer(spark), {"title": "work", "authority": "org"}).select("id", "state")
+    """Places planted in titles: states, districts, a name of eight words, PINs, weak, ambiguous and several names."""
+    named = F.get(F.array(*[F.lit(p[0]) for p in _PLANTED]), F.pmod("id", F.lit(len(_PLANTED))).cast("int"))
+    rows = notices(spark, d).select("id", F.concat(F.lit("Road works at "), named).alias("title"), "authority")
+    places = spark.createDataFrame(_PLACES, "name string, state string, district string")
+    return geo.infer(rows, geo.gazetteer(spark, places), {"title": "work", "authority": "org"}).withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("""WITH p AS (SELECT lpad((k % 900 + 100)::VARCHAR, 3, '0') || ['000', '036', '037', '210', '241', '550', '560', '999'][k // 900 + 1] AS pin FROM range(7200) r(k)),
+@query("""WITH p AS (SELECT DISTINCT (o_orderkey % 900 + 100)::VARCHAR || ['000', '036', '037', '210', '241', '550', '560', '999'][(o_orderkey // 900 % 8 + 1)::INT] AS pin FROM orders),
 d AS (SELECT pin, pin[:3]::INT AS t, pin[:2]::INT AS z, pin::INT AS n FROM p)
 SELECT pin, CASE WHEN t = 160 THEN CASE WHEN n <= 160036 THEN 'Chandigarh' ELSE 'Punjab' END WHEN t = 396 THEN CASE WHEN n BETWEEN 396210 AND 396240 THEN 'Dadra and Nagar Haveli and Daman and Diu' ELSE 'Gujarat' END
 WHEN n // 10 = 68255 THEN 'Lakshadweep' WHEN t IN (605, 244) THEN NULL WHEN t = 403 THEN 'Goa' WHEN t = 194 THEN 'Ladakh' WHEN t IN (246, 248, 249, 262, 263) THEN 'Uttarakhand' WHEN t = 737 THEN 'Sikkim'
@@ -233,11 +241,11 @@ WHEN z BETWEEN 30 AND 34 THEN 'Rajasthan' WHEN z BETWEEN 36 AND 39 THEN 'Gujarat
 WHEN z = 50 THEN 'Telangana' WHEN z BETWEEN 51 AND 53 THEN 'Andhra Pradesh' WHEN z BETWEEN 56 AND 59 THEN 'Karnataka' WHEN z BETWEEN 60 AND 64 THEN 'Tamil Nadu' WHEN z BETWEEN 67 AND 69 THEN 'Kerala'
 WHEN z BETWEEN 70 AND 74 THEN 'West Bengal' WHEN z BETWEEN 75 AND 77 THEN 'Odisha' WHEN z = 78 THEN 'Assam' WHEN z IN (80, 81, 82, 84, 85) THEN 'Bihar' WHEN z = 83 THEN 'Jharkhand' END AS state FROM d""")
 def q_geo_pin(spark: SparkSession, d: str) -> DataFrame:
-    """All 900 three-digit prefixes, each with eight endings."""
-    k = F.col("id")
+    """PINs made of the keys of orders: every three-digit prefix, with eight endings."""
+    k = F.col("o_orderkey")
     ends = F.array(*[F.lit(e) for e in ("000", "036", "037", "210", "241", "550", "560", "999")])
-    pin = F.concat((k % 900 + 100).cast("string"), F.get(ends, F.floor(k / 900).cast("int")))
-    return spark.range(7200).select(pin.alias("pin")).select("pin", geo.pin_state(F.col("pin")).alias("state"))
+    pin = F.concat((k % 900 + 100).cast("string"), F.get(ends, (F.floor(k / 900) % 8).cast("int")))
+    return table(spark, d, "orders").select(pin.alias("pin")).distinct().select("pin", geo.pin_state(F.col("pin")).alias("state"))
 
 
 # ---- matching and search ---------------------------------------------------------------------------------------------
