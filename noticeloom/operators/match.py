@@ -60,15 +60,16 @@ def bucket(score: Column) -> Column:
 
 
 def similar(df: DataFrame, item_id: int | str, top: int = 5) -> DataFrame:
-    """Active notices like one: state, category, authority (nulls are equal) and more than two shared title words count 2 each.
+    """Active notices like one: 2 points for the state, 3 for the category, 2 for the authority (nulls are equal), 2 if more than two
+    of their title's words, repeats included, are found somewhere in its title.
 
     The one notice is a single broadcast row.
     """
     one = df.where(F.col("id") == item_id).limit(1)
     one = one.select(*[F.col(c).alias(f"_{c}") for c in ("id", "state", "category", "authority", "title")])
-    words = F.filter(F.split(F.lower(F.coalesce("_title", F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
-    shared = F.size(F.filter(words, lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w)))
-    points = sum((F.when(F.col(c).eqNullSafe(F.col(f"_{c}")), 2).otherwise(0) for c in ("state", "category", "authority")), F.lit(0))
+    words = F.split(F.lower(F.coalesce("title", F.lit(""))), r"(?U)\s+")
+    shared = F.size(F.filter(words, lambda w: F.contains(F.lower(F.coalesce("_title", F.lit(""))), w)))
+    points = sum((F.when(F.col(c).eqNullSafe(F.col(f"_{c}")), n).otherwise(0) for c, n in (("state", 2), ("category", 3), ("authority", 2))), F.lit(0))
     points = points + F.when(shared > 2, 2).otherwise(0)
     others = df.where("status = 'active'").join(F.broadcast(one), how="cross").where("id <> _id")
     return others.withColumn("points", points).where("points >= 4").orderBy(F.desc("points"), "id").limit(top).select("id", "points")

@@ -267,8 +267,8 @@ def q_for_you(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("bucket", match.bucket(F.col("score"))).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query(sql("""SELECT y.id, (CASE WHEN y.state IS NOT DISTINCT FROM x.state THEN 2 ELSE 0 END + CASE WHEN y.category IS NOT DISTINCT FROM x.category THEN 2 ELSE 0 END + CASE WHEN y.authority IS NOT DISTINCT FROM x.authority THEN 2 ELSE 0 END
- + CASE WHEN len(list_filter(list_filter(string_split(lower(x.title), ' '), lambda w: length(w) > 3), lambda w: contains(lower(y.title), w))) > 2 THEN 2 ELSE 0 END)::INT AS points
+@query(sql("""SELECT y.id, (CASE WHEN y.state IS NOT DISTINCT FROM x.state THEN 2 ELSE 0 END + CASE WHEN y.category IS NOT DISTINCT FROM x.category THEN 3 ELSE 0 END + CASE WHEN y.authority IS NOT DISTINCT FROM x.authority THEN 2 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(lower(y.title), ' '), lambda w: contains(lower(x.title), w))) > 2 THEN 2 ELSE 0 END)::INT AS points
 FROM n x, n y WHERE x.id = 7 AND y.id <> 7 AND y.status = 'active' AND points >= 4 ORDER BY points DESC, y.id LIMIT 5"""))
 def q_similar(spark: SparkSession, d: str) -> DataFrame:
     return match.similar(notices(spark, d), 7)

@@ -239,11 +239,18 @@ def q_field_rows(spark: SparkSession, d: str) -> DataFrame:
     return publish.field_rows(notices(spark, d), ["state", "status", "category"])
 
 
-@query("""SELECT l.doc_id AS id, CASE WHEN d.n_chars * 100000.0 >= 1e8 THEN least(CASE WHEN toxic = 1 THEN 3 ELSE 4 END, 1) ELSE CASE WHEN toxic = 1 THEN 3 ELSE 4 END END AS priority FROM labels l JOIN documents d USING (doc_id)""")
+_REASONS = ("user_requested", "corrigendum", "changed", "new", "closing_soon", "historical", "extraction", "unheard of", None)
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars * 100000.0 AS value, (doc_id % 9)::INT AS k FROM documents),
+named AS (SELECT doc_id, CASE k WHEN 0 THEN 'user_requested' WHEN 1 THEN 'corrigendum_analysis' WHEN 2 THEN 'corrigendum_analysis' WHEN 3 THEN CASE WHEN value >= 1e8 THEN 'new_high_value' ELSE 'new_tender' END
+ WHEN 4 THEN 'closing_soon' WHEN 6 THEN 'document_extraction' ELSE 'historical_enrichment' END AS name FROM d)
+SELECT doc_id AS id, name, list_position(['user_requested', 'corrigendum_analysis', 'new_high_value', 'new_tender', 'closing_soon', 'document_extraction', 'historical_enrichment'], name)::INT AS priority FROM named""")
 def q_queue_priority(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    reason = F.when(F.col("toxic") == 1, "changed").otherwise("historical")
-    return rows.select(F.col("doc_id").alias("id"), Q.priority(reason, F.col("n_chars") * F.lit(100000.0)).alias("priority"))
+    """Every reason, an unknown one and none, with values on both sides of the bound."""
+    reason = F.get(F.array(*[F.lit(r) for r in _REASONS]), (F.col("doc_id") % 9).cast("int"))
+    name = Q.priority_name(reason, F.col("n_chars") * F.lit(100000.0))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), name.alias("name"), Q.priority(name).alias("priority"))
 
 
 @query("""SELECT event_type AS task, user_id AS id, max(event_id) AS enqueued_at FROM events WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = events.event_type AND e.user_id = events.user_id AND e.event_id % 97 = 0) GROUP BY ALL""")

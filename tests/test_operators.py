@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, merge, publish, queue, search, workspace
+from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, match, merge, publish, queue, search, workspace
 from noticeloom.sources import listings, records
 from noticeloom.streaming import incremental
 from pyspark.sql import functions as F
@@ -170,8 +170,18 @@ def test_queue_and_answers(spark):
     assert [r.o for r in df.select(queue.repair_json(F.col("v")).alias("o")).collect()] == ['{"a": 1}', '{"b": 2}', '{"c": {"d": 3}}', None, None, None, None]
     items = spark.createDataFrame([(i, "2026-01-01 00:00:00", i < 3) for i in range(50)], "id int, at string, interactive boolean").withColumn("at", F.col("at").cast("timestamp"))
     assert queue.admitted(items, cap=40).where("admitted").count() == 32
-    value = spark.createDataFrame([("historical", 2e8), ("historical", 1.0), ("interactive", 2e8), ("other", None)], "r string, v double")
-    assert [x.p for x in value.coalesce(1).select(queue.priority(F.col("r"), F.col("v")).alias("p")).collect()] == [1, 4, 0, 4]
+    late = items.withColumn("interactive", F.col("id") >= 45)  # 45 background requests spend 32, so the reserve is left for what follows
+    assert [r.id for r in queue.admitted(late).where("admitted").orderBy("id").collect()] == [*range(32), *range(45, 50)]
+    assert queue.admitted(items, cap=5, reserve=1.0).where("admitted").count() == 3 and queue.admitted(items.limit(0)).count() == 0
+    value = spark.createDataFrame([("historical", 2e8), ("new", 1.0), ("new", 1e8), ("user_requested", 2e8), ("other", None), (None, None), ("changed", 1.0)], "r string, v double")
+    got = [x.p for x in value.coalesce(1).select(queue.priority(queue.priority_name(F.col("r"), F.col("v"))).alias("p")).collect()]
+    assert got == [7, 4, 3, 1, 7, 7, 2] and value.select(queue.priority(F.lit("?")).alias("p")).first().p == 99
+
+
+def test_similar_counts_words_of_the_other_title(spark):
+    rows = [(1, "X", "a", "q", "Supply of the pumps"), (2, "X", "b", "r", "of the of"), (3, "Y", "a", "r", "valves"), (4, None, "a", "q", "other"), (5, "X", "a", "q", "pump"), (6, None, None, None, "the pumps of"), (7, "X", "b", "q", None)]
+    df = spark.createDataFrame([(*r, "closed" if r[0] == 5 else "active") for r in rows], "id int, state string, category string, authority string, title string, status string")
+    assert [tuple(r) for r in match.similar(df, 1).collect()] == [(4, 5), (2, 4), (7, 4)]
 
 
 def test_stream_upsert_over_several_batches(spark, tmp_path):
