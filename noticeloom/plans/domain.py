@@ -12,7 +12,7 @@ from ..functions import amounts, dates, ids, text
 from ..operators import chunks, dedupe, filters, geo, health, match, merge, search
 from ..operators import queue as Q
 from ..operators.durable import scratch_root
-from ..schema import violations
+from ..schema import canonical_columns, violations
 from ..sources import listings
 from ..streaming import incremental
 from .notices import notices, now, sql, table
@@ -206,6 +206,42 @@ def q_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.squeeze_text(F.col("text")).alias("clean"))
 
 
+def _canonical(spark: SparkSession, d: str, fresh: bool) -> DataFrame:
+    """Customers as canonical rows, as stored and as scraped anew, with nulls, empty arrays and awards in turn."""
+    k = F.col("c_custkey")
+    every = lambda n, c: F.when(k % n != 0, c)
+    document = F.struct(F.concat(F.lit("new " if fresh else "old "), "c_name").alias("title"), F.lit(None).cast("string").alias("type"), F.col("c_name").alias("source_url"), k.cast("long").alias("file_size"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("text_extracted"))
+    award = F.struct(F.col("c_mktsegment").alias("winning_bidder"), every(4, F.col("c_acctbal")).alias("award_value"), F.lit(None).cast("timestamp").alias("awarded_at"), F.lit(None).cast("string").alias("source_url"))
+    when = F.lit("2026-02-02 00:00:00" if fresh else "2026-01-01 00:00:00").cast("timestamp")
+    values = {
+        "schema_version": F.lit("1.0.0"), "canonical_id": k.cast("string"), "identity.source": F.lit("new" if fresh else "old"),
+        "procurement.title": every(3, F.concat(F.lit("Title "), "c_name")) if fresh else F.concat(F.lit("Title "), "c_name"),
+        "procurement.category": F.col("c_mktsegment") if fresh else every(2, F.col("c_mktsegment")), "financial.estimated_value": every(5, k + 1) if fresh else k,
+        "documents": F.when(k % 4 == 0, F.slice(F.array(document), 1, 0)).when(k % 4 == 1, F.array(document)) if fresh else F.array(document), "status": F.lit("closed") if fresh else F.when(k % 6 == 0, "closed").otherwise("active"),
+        "possible_duplicate_group": F.when(k % 2 == 0, "").otherwise("dup:new") if fresh else F.lit("dup:old"), "provenance.official_source_url": F.lit("new" if fresh else "old"), "provenance.scraped_at": when,
+        "provenance.first_seen_at": when, "provenance.last_seen_at": when, "provenance.parser_version": F.lit("2" if fresh else "1"), "award": F.when(k % 7 == 0, award) if fresh else F.lit(None),
+    }
+    rows = table(spark, d, "customer").where(k % 10 != 9 if fresh else k % 10 != 8)
+    return rows.select(*canonical_columns(values))
+
+
+@query("""SELECT k AS id, NOT has_old AS is_new, title, category, value, documents, award, CASE WHEN has_new THEN 'closed' WHEN k % 6 = 0 THEN 'closed' ELSE 'active' END AS status, CASE WHEN has_old AND (NOT has_new OR k % 2 = 0) THEN 'dup:old' WHEN k % 2 = 0 THEN '' ELSE 'dup:new' END AS dup,
+ CASE WHEN has_old THEN 'old' ELSE 'new' END AS source, CASE WHEN NOT has_old THEN '2026-02-02' ELSE '2026-01-01' END AS first_seen, CASE WHEN has_old AND has_new THEN '2026-03-03' WHEN has_new THEN '2026-02-02' ELSE '2026-01-01' END AS last_seen, CASE WHEN has_new THEN '2' ELSE '1' END AS parser, has_old AND has_new AS changed
+FROM (SELECT c_custkey AS k, k % 10 <> 8 AS has_old, k % 10 <> 9 AS has_new,
+ CASE WHEN has_old OR k % 3 <> 0 THEN 'Title ' || c_name END AS title, CASE WHEN has_new OR k % 2 <> 0 THEN c_mktsegment END AS category, CASE WHEN has_new AND k % 5 <> 0 THEN k + 1 WHEN has_old THEN k END::DOUBLE AS value,
+ CASE WHEN has_new AND k % 4 = 1 THEN 'new ' || c_name WHEN has_old THEN 'old ' || c_name WHEN k % 4 = 0 THEN '' END AS documents, CASE WHEN has_new AND k % 7 = 0 THEN c_mktsegment || CASE WHEN k % 4 <> 0 THEN ' with value' ELSE '' END END AS award FROM customer)""")
+def q_merge_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Nested rows merged whole: nulls and empty arrays blank nothing, awards are replaced, the first sighting stays."""
+    rows = merge.merge_canonical(_canonical(spark, d, False), _canonical(spark, d, True), F.lit("2026-03-03 00:00:00"))
+    day = lambda c: F.date_format(f"provenance.{c}", "yyyy-MM-dd")
+    award = F.concat("award.winning_bidder", F.when(F.col("award.award_value").isNotNull(), " with value").otherwise(""))
+    return rows.select(
+        F.col("canonical_id").cast("long").alias("id"), "is_new", F.col("procurement.title").alias("title"), F.col("procurement.category").alias("category"), F.col("financial.estimated_value").alias("value"),
+        F.array_join(F.transform("documents", lambda x: x["title"]), ",").alias("documents"), award.alias("award"), "status", F.col("possible_duplicate_group").alias("dup"), F.col("identity.source").alias("source"),
+        day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), F.col("provenance.parser_version").alias("parser"), "changed",
+    )
+
+
 # ---- geography -------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 STATUSES = ("active", "closed", "cancelled", "awarded", "retendered", "unknown")
 _CANONICAL = """
@@ -34,6 +34,19 @@ def canonical_schema() -> StructType:
     return StructType.fromDDL(_CANONICAL)
 
 
+def canonical_columns(values: dict[str, Column]) -> list[Column]:
+    """All canonical columns from values by dotted names, such as ``procurement.title``; what is not named is null."""
+
+    def made(kind: DataType, path: str) -> Column:
+        if path in values:
+            return values[path].cast(kind)
+        if isinstance(kind, StructType) and any(name.startswith(f"{path}.") for name in values):
+            return F.struct(*[made(f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind])
+        return F.lit(None).cast(kind)
+
+    return [made(f.dataType, f.name).alias(f.name) for f in canonical_schema()]
+
+
 #: Sections whose non-null fields overwrite on a merge.
 SECTIONS = ("procurement", "organization", "geography", "financial", "dates", "eligibility", "work")
 
