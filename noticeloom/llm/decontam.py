@@ -2,7 +2,8 @@
 
 A test item of ``m`` characters may be hidden in a text with up to ``k`` edits.  It is cut into ``k + 1`` pieces, one of
 which must then occur unchanged.  All pieces of all items are searched at once by an Aho-Corasick automaton; around every
-hit, Myers' bit-parallel algorithm finds the least edit distance of the item to a part of the text.
+hit, Myers' bit-parallel algorithm finds the least edit distance of the item to a part of the text; where a text has many such
+hits, as pieces of templated items give, they are verified in one numpy pass over blocks of 64 characters.
 Texts and items are compared in lower case with white space squeezed to single blanks.
 """
 
@@ -13,15 +14,21 @@ from collections.abc import Iterator
 from typing import ClassVar
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.durable import durable
 
 EDIT_SHARE = 0.08
 #: Items are sent to the tasks in portions of at most so many characters; more of them mean more passes over the texts.
 PORTION_CHARS = 1_000_000
+#: From so many items of one text on, they are verified together, up to the second number at once.
+MANY, TOGETHER = 6, 2048
+#: Letter tables that a worker keeps.
+KEPT_TABLES = 5_000
 
 
 def plain(text: str | None) -> str:
@@ -67,6 +74,51 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def letter_table(pattern: str, letters: dict[str, int]) -> np.ndarray:
+    """For each block of 64 characters of the pattern and each letter, the places that have it; letter 0 is in no pattern."""
+    table = np.zeros((-(-len(pattern) // 64), len(letters) + 1), np.uint64)
+    place = np.arange(len(pattern))
+    np.bitwise_or.at(table, (place // 64, [letters[c] for c in pattern]), np.uint64(1) << (place % 64).astype(np.uint64))
+    return table
+
+
+def myers_many(tables: list[np.ndarray], size: np.ndarray, code: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """``myers`` of many patterns (tables and sizes) and windows (a column of letters each, and its length) at once.
+
+    A pattern is a column of blocks of 64 characters, taken block after block: a block takes the differences that leave the block above it at
+    every character of the window and hands its own on.
+    """
+    n, one = len(tables), np.uint64(1)
+    rows, best, end = np.arange(n), size.copy(), np.zeros(n, np.int64)
+    enters = np.zeros(code.shape, np.int8)  # a match may begin anywhere: nothing enters the first block
+    for block in range(int(-(-size.max(initial=1) // 64))):
+        equal = np.stack([t[min(block, len(t) - 1)] for t in tables])
+        last = (size - 1) // 64 == block
+        high = np.where(last, (size - 1) % 64, 63).astype(np.uint64)
+        plus, minus = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(n, np.uint64)
+        for j in range(len(code)):
+            eq, enter = equal[rows, code[j]], enters[j]
+            down_in, up_in = (enter < 0).astype(np.uint64), (enter > 0).astype(np.uint64)
+            vertical = eq | minus
+            eq = eq | down_in
+            diagonal = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(diagonal | plus), plus & diagonal
+            leaves = ((up >> high) & one).astype(np.int8) - ((down >> high) & one).astype(np.int8)
+            enters[j] = leaves
+            up, down = up << one | up_in, down << one | down_in
+            plus, minus = down | ~(vertical | up), up & vertical
+        if last.any():  # below lies the score of a match that ends at each character
+            run = size[last] + np.cumsum(enters[:, last].astype(np.int64), axis=0)
+            run[np.arange(len(code))[:, None] >= length[last]] = np.iinfo(np.int64).max
+            if len(code):
+                at = run.argmin(axis=0)
+                least = run[at, np.arange(run.shape[1])]
+                better = least < size[last]
+                where = np.flatnonzero(last)[better]
+                best[where], end[where] = least[better], at[better] + 1
+    return list(zip(best.tolist(), end.tolist(), strict=True))
+
+
 class Items:
     """Benchmark items ``(id, plain text)`` and the automaton of their pieces, built once in a worker."""
 
@@ -75,6 +127,23 @@ class Items:
     def __init__(self, items: tuple[tuple[int, str], ...], share: float):
         self.items, self.share, self.name = items, share, uuid.uuid4().hex
         self.budgets = [budget(item, share) for _, item in items]
+        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for _, item in items for c in item}))}
+        self.tables: dict[int, np.ndarray] = {}
+
+    def distances(self, text: str, asked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """Least edits, and where they end, of items ``n`` in ``text[low:high]``, all in one pass."""
+        for n, _, _ in asked:
+            if n not in self.tables:
+                if len(self.tables) >= KEPT_TABLES:
+                    self.tables.clear()
+                self.tables[n] = letter_table(self.items[n][1], self.letters)
+        own = [self.tables.get(n) if n in self.tables else letter_table(self.items[n][1], self.letters) for n, _, _ in asked]
+        first, last = min(low for _, low, _ in asked), max(high for _, _, high in asked)
+        part = np.fromiter((self.letters.get(c, 0) for c in text[first:last] + "\0"), np.intp)
+        low = np.array([x for _, x, _ in asked]) - first
+        length = np.minimum([x for _, _, x in asked], min(last, len(text))) - first - low
+        code = part[np.minimum(low + np.arange(int(length.max(initial=0)))[:, None], len(part) - 1)]
+        return myers_many(own, np.array([len(self.items[n][1]) for n, _, _ in asked]), code, length)
 
     def automaton(self) -> ahocorasick.Automaton:
         found = self._built.get(self.name)
@@ -97,24 +166,34 @@ def matches(text: str, known: Items) -> dict[int, tuple[int, int]]:
     best: dict[int, tuple[int, int]] = {}
     tried: dict[int, list[int]] = {}
     text, items = plain(text), known.items
+    asked: list[tuple[int, int, int]] = []
+
+    def verify() -> None:
+        if len(asked) >= MANY:
+            found = known.distances(text, asked)
+        else:
+            found = [myers(items[n][1], text[low:high]) for n, low, high in asked]
+        for (n, low, _), (edits, end) in zip(asked, found, strict=True):
+            if edits <= known.budgets[n] and (n not in best or edits < best[n][0]):
+                best[n] = (edits, low + end)
+        asked.clear()
+
     for last, (size, uses) in known.automaton().iter(text) if items else ():
         for n, at in uses:
             start = last + 1 - size - at
             if n in best and best[n][0] == 0:
                 continue
-            item = items[n][1]
-            k = known.budgets[n]
             before = tried.setdefault(n, [])
-            if before and any(abs(start - x) <= k // 2 for x in before[-4:]):
+            if before and any(abs(start - x) <= known.budgets[n] // 2 for x in before[-4:]):
                 continue  # the window tried reaches k further on either side than an alignment needs
             before.append(start)
-            if text.startswith(item, max(start, 0)) and start >= 0:
-                best[n] = (0, start + len(item))
+            if start >= 0 and text.startswith(items[n][1], start):
+                best[n] = (0, start + len(items[n][1]))
                 continue
-            low = max(0, start - 2 * k)
-            edits, end = myers(item, text[low : start + len(item) + 2 * k])
-            if edits <= k and (n not in best or edits < best[n][0]):
-                best[n] = (edits, low + end)
+            asked.append((n, max(0, start - 2 * known.budgets[n]), start + len(items[n][1]) + 2 * known.budgets[n]))
+            if len(asked) >= TOGETHER:
+                verify()
+    verify()
     return best
 
 
@@ -141,6 +220,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, edits int, n_chars int, end_at int"
     found: DataFrame | None = None
     for items in _portions(benchmark):
@@ -155,7 +235,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
                 if out:
                     columns = list(zip(*out, strict=True))
                     yield pa.record_batch(
-                        [batch.column("id").take(pa.array(rows)), pa.array(columns[0]), *(pa.array(c, pa.int32()) for c in columns[1:])],
+                        [batch.column("id").take(pa.array(rows)), pa.array(columns[0], kind), *(pa.array(c, pa.int32()) for c in columns[1:])],
                         ["doc_id", "item_id", "edits", "n_chars", "end_at"],
                     )
 

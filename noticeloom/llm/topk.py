@@ -123,8 +123,24 @@ def _matrix(table: pa.Table, dim: int) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), dim)
 
 
-def _search(cells: DataFrame, asked: DataFrame, k: int, keys: list[str], id_type: str) -> DataFrame:
+def _blocked(queries: DataFrame, needs: Column) -> DataFrame:
+    """Adds ``block``: queries that need candidates of about the same length, up to QUERY_BLOCK of them in the mean."""
+    leveled = durable(queries.withColumn("needs", needs))
+    counts = leveled.groupBy("dim", "needs").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
+    block = F.concat_ws("/", "needs", F.pmod(F.xxhash64("row"), "blocks"))
+    return leveled.join(counts, ["dim", "needs"]).withColumn("block", block).drop("needs", "blocks")
+
+
+def wanted_cells(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+    """A copy of each candidate for every block of queries that its cell is asked by; a cell that none asks for is not copied or shuffled."""
+    wanted = durable(asked.groupBy("dim", "bucket", "part").agg(F.collect_set("block").alias("blocks")))
+    return dealt.join(wanted, ["dim", "bucket", "part"]).select("dim", "bucket", "part", F.explode("blocks").alias("block"), "row", "id", "v")
+
+
+def _search(dealt: DataFrame, asked: DataFrame, k: int, id_type: str) -> DataFrame:
     """``(q_row, query_id, vec_id, score)`` of every cell and the queries dealt to it."""
+    keys = ["dim", "bucket", "part", "block"]
+    cells = wanted_cells(dealt, asked)
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
         names = ["q_row", "query_id", "vec_id", "score"]
@@ -150,22 +166,20 @@ def top_products(df: DataFrame, ask: Column, k: int, scale: int = 256, id_col: s
     level = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 8)).otherwise(-100_000).cast("int")
     vectors = integer_vectors(df, ask, id_col, vector_col, scale).withColumn("bucket", level)
     vectors = durable(vectors.withColumn("row", F.monotonically_increasing_id()))  # fixes the numbers of the rows
-    n_asked = vectors.where("asks").count()
-    blocks = max(1, -(-n_asked // QUERY_BLOCK))
     sizes = durable(vectors.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")))
-    dealt = vectors.join(sizes.select("dim", "bucket", "parts"), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
-    cells = dealt.select("dim", "bucket", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "row", "id", "v")
-    asked = vectors.where("asks").select("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row", "id", "v", "norm")
-    keys = ["dim", "bucket", "part", "block"]
+    dealt = vectors.join(sizes.select("dim", "bucket", "parts"), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).select("dim", "bucket", "part", "row", "id", "v")
+    queries = vectors.where("asks").select("dim", "row", "id", "v", "norm")
 
     seed = sizes.groupBy("dim").agg(F.max(F.struct((F.col("n") > 4 * k).alias("enough"), "bucket")).alias("s")).select("dim", F.col("s.bucket").alias("bucket"))
-    seed = seed.withColumn("part", F.lit(0))
-    found = _search(cells.join(seed, ["dim", "bucket", "part"], "left_semi"), asked.join(seed, "dim").withColumn("theta", F.lit(float("-inf"))), k, keys, id_type)
+    asked = _blocked(queries.withColumn("theta", F.lit(float("-inf"))), F.lit(0)).join(seed, "dim").withColumn("part", F.lit(0))
+    found = _search(dealt, asked, k, id_type)
     theta = durable(found.groupBy("q_row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("theta")))
 
-    asked = asked.join(theta.withColumnRenamed("q_row", "row"), "row", "left").join(sizes, "dim")
-    reaches = F.col("theta").isNull() | (F.col("theta") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("theta"))
+    asked = queries.join(theta.withColumnRenamed("q_row", "row"), "row", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+    needs = F.when((F.col("theta") > 0) & (F.col("norm") > 0), F.floor(F.log2(F.col("theta") / F.col("norm")) * 8)).otherwise(-100_000)
+    asked = _blocked(asked, needs.cast("int")).join(sizes, "dim")
+    reaches = (F.col("theta") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("theta"))
     asked = asked.where(reaches).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    got = _search(cells, asked.withColumn("theta", F.coalesce("theta", F.lit(float("-inf")))), k, keys, id_type)
+    got = _search(dealt, asked, k, id_type)
     rank = F.row_number().over(W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -63,3 +63,36 @@ def test_an_automaton_is_built_once(monkeypatch):
     for _ in range(50):
         assert set(decontam.matches("x some benchmark item y", known)) == {0}
     assert len(built) == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abc ", min_size=1, max_size=150), st.text("abcx ", max_size=180)), min_size=1, max_size=8))
+def test_many_at_once_equal_one_by_one(pairs):
+    known = decontam.Items(tuple((i, p) for i, (p, _) in enumerate(pairs)), 0.1)
+    text, asked = "".join(w for _, w in pairs), []
+    for n, (_, w) in enumerate(pairs):
+        low = sum(len(x) for _, x in pairs[:n])
+        asked.append((n, low, low + len(w) + 7 * n))  # some windows reach into others or beyond the end
+    assert known.distances(text, asked) == [decontam.myers(pairs[n][0], text[low:high]) for n, low, high in asked]
+
+
+def test_items_of_one_template_take_no_longer_than_few(monkeypatch):
+    import time
+
+    template = prose(1, 25)
+    items = tuple((i, decontam.plain(f"{prose(100 + i, 4)} {template} {prose(5000 + i, 4)}")) for i in range(2000))
+    known = decontam.Items(items, decontam.EDIT_SHARE)
+    text = f"{prose(2, 60)} {items[7][1].replace('e', 'o', 3)} {prose(3, 60)}"
+    known.automaton()
+    began = time.time()
+    got = decontam.matches(text, known)
+    assert 7 in got and time.time() - began < 3
+    monkeypatch.setattr(decontam, "MANY", 10**9)
+    assert {n: got[n] for n in sorted(got)[:5]} == {n: x for n, x in decontam.matches(text, decontam.Items(items, decontam.EDIT_SHARE)).items() if n in sorted(got)[:5]}
+
+
+def test_ids_of_any_type(spark):
+    for kind, value in (("int", 3), ("string", "x"), ("short", 4), ("date", __import__("datetime").date(2026, 1, 2))):
+        docs = spark.createDataFrame([(1, "a benchmark item stands here")], "doc_id int, text string")
+        hits = decontam.benchmark_hits(docs, spark.createDataFrame([(value, "benchmark item")], f"item_id {kind}, text string"))
+        assert [(r.doc_id, r.item_id, r.edits) for r in hits.collect()] == [(1, value, 0)]
