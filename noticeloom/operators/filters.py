@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ist_month_end, seconds_until
 from ..functions.text import state_key
+from .durable import durable
 
 DAY = 86400
 
@@ -117,21 +118,25 @@ def keyword_hits(keywords: str, hay: Column | None = None) -> Column:
 def relaxed(df: DataFrame, keywords: str, hay: Column | None = None) -> DataFrame:
     """Rows with all terms; only if there is none and several terms are asked, rows with any, most hits first by ``hits``.
 
-    Both passes share one scan: whether any row has all terms is a one-row aggregate.
+    The table is read once: rows with any term are written with a flag, and whether one of them has all is asked of these.
     """
     if len([t for t in keywords.split() if len(t) > 1]) < 2:
         return df.where(keyword_all(keywords, hay)).withColumn("hits", keyword_hits(keywords, hay))
-    scored = df.withColumn("_all", keyword_all(keywords, hay)).withColumn("hits", keyword_hits(keywords, hay)).where("hits > 0 or _all")
-    strict = not scored.where("_all").limit(1).isEmpty()
+    scored = durable(df.withColumn("_all", keyword_all(keywords, hay)).withColumn("hits", keyword_hits(keywords, hay)).where("hits > 0 or _all"))
+    strict = not scored.where("_all").isEmpty()
     return (scored.where("_all") if strict else scored).drop("_all")
 
 
+#: Columns that identify a row to a reader.
+EXACT_FIELDS = ("id", "ref", "tender_number")
+
+
 def exact_match(query: str) -> Column:
     asked = query.strip().lower()
     if len(asked) < 3:
         return F.lit(False)
     found = F.lit(False)
-    for column in ("id", "ref", "tender_number"):
+    for column in EXACT_FIELDS:
         found = found | F.coalesce(F.lower(F.trim(F.col(column).cast("string"))) == asked, F.lit(False))
     return found
 
@@ -149,6 +154,6 @@ def ordering(sort: str | None) -> list[Column]:
 def run_query(df: DataFrame, query: Query, now: Column) -> DataFrame:
     """Scope, keywords (relaxed if nothing has all), structure, value rule; with the count of hidden unknown values in each row."""
     found = relaxed(df.where(structure(query, now)), query.keywords) if query.keywords else df.where(structure(query, now)).withColumn("hits", F.lit(0))
-    judged = found.withColumn("verdict", value_verdict(query))
+    judged = durable(found.withColumn("verdict", value_verdict(query)).where("verdict in ('ok', 'unknown')"))
     hidden = judged.agg(F.count_if(F.col("verdict") == "unknown").alias("hidden_unknown"))
     return judged.where("verdict = 'ok'").drop("verdict").join(F.broadcast(hidden), how="cross")

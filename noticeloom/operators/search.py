@@ -8,10 +8,11 @@ from functools import reduce
 from operator import or_
 from urllib.parse import parse_qs, urlencode
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .filters import Query, exact_match, keyword_all
+from .durable import durable
+from .filters import EXACT_FIELDS, Query, exact_match, keyword_all
 
 # Unit words, phrases and state names as readers type them.
 STATE_NAMES = (
@@ -166,56 +167,76 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[|›]", " ")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def search(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", k1: float = 1.2, b: float = 0.7, delta: float = 0.5, fuzzy: float = 0.0) -> DataFrame:
-    """(id, terms, score): BM25+ (Lv and Zhai, 2011) per field, by field weight, terms by prefix.
+def asked_terms(keywords: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", keywords.lower())))
 
-    With ``fuzzy`` words within ``round(fuzzy * length)`` edits of a term count too, at ``FUZZY_WEIGHT``; short terms and those with a
-    digit never match so.  The query's terms, few and known beforehand, are matched inside the scan: nothing is exploded, and document
-    frequencies and mean lengths are one aggregate row.  ``terms`` is how many distinct query terms a row has.
+
+def edits_of(term: str, fuzzy: float) -> int:
+    """Edits within which a word is near ``term``; short terms and those with a digit have to be met exactly."""
+    return 0 if len(term) <= 3 or any(c.isdigit() for c in term) else round(fuzzy * len(term))
+
+
+def ranked(rows: DataFrame, fields: dict[str, float], n_terms: int, key: str, docs: int, means: dict[str, float], k1: float = 1.2, b: float = 0.7, delta: float = 0.5) -> DataFrame:
+    """(key, terms, score) of ``rows`` with at least one term, by BM25+ (Lv and Zhai, 2011) per field and field weight.
+
+    ``rows`` have for each field its length ``n_f``, and for each field and term how many words begin with the term, ``w_f_i``, and how many are only
+    near it, ``c_f_i``.  ``terms`` is how many distinct query terms a row has.  Document frequencies are one aggregate row.
     """
-    asked = list(dict.fromkeys(re.findall(r"\w+", keywords.lower())))
-    fields = {f: w for f, w in (boosts or BOOSTS).items() if f in df.columns}
-    rows = df.select(key, *[tokens(F.col(f)).alias(f"t_{f}") for f in fields])
-
-    def tf(f: str, t: str) -> Column:
-        whole = F.size(F.filter(f"t_{f}", lambda x: F.startswith(x, F.lit(t))))
-        edits = round(fuzzy * len(t))
-        if not edits or len(t) <= 3 or any(c.isdigit() for c in t):
-            return whole
-        near = F.filter(f"t_{f}", lambda x: ~F.startswith(x, F.lit(t)) & (F.levenshtein(x, F.lit(t), edits) >= 0))
-        return whole + F.lit(FUZZY_WEIGHT) * F.size(near)
-
-    rows = rows.select(key, *[F.size(f"t_{f}").alias(f"n_{f}") for f in fields], *[tf(f, t).alias(f"f_{f}_{i}") for f in fields for i, t in enumerate(asked)])
-    stats = rows.agg(
-        F.count("*").alias("docs"), *[F.greatest(F.avg(f"n_{f}"), F.lit(1e-9)).alias(f"mean_{f}") for f in fields],
-        *[F.count_if(F.col(f"f_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(asked))],
-    )
-    hit = [reduce(or_, [F.col(f"f_{f}_{i}") > 0 for f in fields]) for i in range(len(asked))]
-    some = rows.where(reduce(or_, hit)) if hit else rows.limit(0)  # only rows with a term meet the one row of statistics
-    scored = some.join(F.broadcast(stats), how="cross")
+    pairs = [(f, i) for i in range(n_terms) for f in fields]
+    tf = {(f, i): F.col(f"w_{f}_{i}") + F.lit(FUZZY_WEIGHT) * F.col(f"c_{f}_{i}") for f, i in pairs}
+    many = rows.agg(*[F.count_if(tf[p] > 0).alias(f"df_{p[0]}_{p[1]}") for p in pairs])
+    scored = rows.join(F.broadcast(many), how="cross")
+    hit = [reduce(or_, [tf[f, i] > 0 for f in fields]) for i in range(n_terms)]
     score = F.lit(0.0)
-    for i in range(len(asked)):
-        for f, weight in fields.items():
-            n, many = F.col(f"f_{f}_{i}"), F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("docs") - many + 0.5) / (many + 0.5))
-            part = delta + n * (k1 + 1) / (n + k1 * (1 - b + b * F.col(f"n_{f}") / F.col(f"mean_{f}")))
-            score = score + F.when(n > 0, weight * idf * part).otherwise(0.0)
+    for f, i in pairs:
+        n, held = tf[f, i], F.col(f"df_{f}_{i}")
+        idf = F.log(1 + (F.lit(float(docs)) - held + 0.5) / (held + 0.5))
+        part = delta + n * (k1 + 1) / (n + k1 * (1 - b + b * F.col(f"n_{f}") / F.lit(float(means[f"mean_{f}"]))))
+        score = score + F.when(n > 0, fields[f] * idf * part).otherwise(0.0)
     return scored.select(key, sum((h.cast("int") for h in hit), F.lit(0)).alias("terms"), score.alias("score"))
 
 
-def search_hits(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", fuzzy: float = 0.2) -> DataFrame:
-    """(id, score): rows with all terms or, if there are none, with any; before them rows whose number or reference is the whole query.
+def search(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", fuzzy: float = 0.0) -> DataFrame:
+    """(id, terms, score) without an index (see ``textindex`` for a stored one): terms by prefix, see ``ranked``.
 
-    Exact rows score ten times the best ranked one, at least ten.
+    With ``fuzzy`` words within ``round(fuzzy * length)`` edits of a term count too, at ``FUZZY_WEIGHT``; short terms and those with a
+    digit never match so.  The table is read and cut into words once: rows with a term are written, and all else reads these.
     """
-    asked = len(dict.fromkeys(re.findall(r"\w+", keywords.lower())))
+    asked = asked_terms(keywords)
+    fields = {f: w for f, w in (boosts or BOOSTS).items() if f in df.columns}
+    if not asked or not fields:
+        return df.select(key, F.lit(0).alias("terms"), F.lit(0.0).alias("score")).limit(0)
+    words = df.select(key, *[tokens(F.col(f)).alias(f"t_{f}") for f in fields])
+
+    def counts(f: str, i: int) -> list[Column]:
+        t, edits = asked[i], edits_of(asked[i], fuzzy)
+        near = F.size(F.filter(f"t_{f}", lambda x: ~F.startswith(x, F.lit(t)) & (F.levenshtein(x, F.lit(t), edits) >= 0))) if edits else F.lit(0)
+        return [F.size(F.filter(f"t_{f}", lambda x: F.startswith(x, F.lit(t)))).alias(f"w_{f}_{i}"), near.alias(f"c_{f}_{i}")]
+
+    columns = [c for f in fields for c in (F.size(f"t_{f}").alias(f"n_{f}"), *(x for i in range(len(asked)) for x in counts(f, i)))]
+    some = reduce(or_, [F.col(f"{mark}_{f}_{i}") > 0 for mark in "wc" for f in fields for i in range(len(asked))])
+    all_rows = Observation()
+    observed = words.select(key, *columns).observe(all_rows, F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(f"n_{f}").cast("long")).alias(f"sum_{f}") for f in fields])
+    rows = durable(observed.where(some))
+    docs = all_rows.get["docs"]
+    means = {f"mean_{f}": max((all_rows.get[f"sum_{f}"] or 0) / max(docs, 1), 1e-9) for f in fields}
+    return ranked(rows, fields, len(asked), key, docs=docs, means=means)
+
+
+def first_exact(found: DataFrame, exact: DataFrame, n_terms: int, key: str) -> DataFrame:
+    """(key, score): ``exact`` rows at ten times the best score, at least ten, then the found rows with all terms, or with any if there are none."""
+    found = durable(found)
+    best = found.agg(F.max("terms").alias("most"), F.max("score").alias("top"), F.max(F.when(F.col("terms") == n_terms, F.col("score"))).alias("top_whole")).first()
+    whole = best.most == n_terms
+    hits = (found.where(F.col("terms") == n_terms) if whole else found).select(key, "score")
+    first = exact.select(key, F.lit(10 * max(1.0, (best.top_whole if whole else best.top) or 1.0)).alias("score"))
+    return first.unionByName(hits.join(exact.select(key), key, "left_anti"))
+
+
+def search_hits(df: DataFrame, keywords: str, boosts: dict[str, float] | None = None, key: str = "id", fuzzy: float = 0.2) -> DataFrame:
+    """(id, score): rows with all terms or, if there are none, with any; before them rows whose number or reference is the whole query."""
     found = search(df, keywords, boosts, key, fuzzy=fuzzy)
-    exact = df.where(exact_match(keywords)).select(key)
-    whole = found.agg(F.coalesce(F.max(F.col("terms") == asked), F.lit(False)).alias("whole"))
-    ranked = found.join(F.broadcast(whole), how="cross").where(~F.col("whole") | (F.col("terms") == asked)).select(key, "score")
-    top = ranked.agg(F.greatest(F.lit(1.0), F.coalesce(F.max("score"), F.lit(1.0))).alias("top"))
-    first = exact.join(F.broadcast(top), how="cross").select(key, (F.col("top") * 10).alias("score"))
-    return first.unionByName(ranked.join(exact, key, "left_anti"))
+    return first_exact(found, df.where(exact_match(keywords)).select(key), len(asked_terms(keywords)), key)
 
 
 def quick_search(df: DataFrame, keywords: str, limit: int = 50) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, ids, text
-from ..operators import dedupe, filters, geo, health, match, overlay, publish, search, workspace
+from ..operators import dedupe, filters, geo, health, match, overlay, publish, search, textindex, workspace
 from ..operators import queue as Q
+from ..operators.durable import scratch_root
 from ..schema import violations
 from ..sources import listings, records
 from .notices import notices, now, sql, table
@@ -352,46 +356,98 @@ def q_merge_bookmarks(spark: SparkSession, d: str) -> DataFrame:
 # ---- search ----------------------------------------------------------------------------------------------------------
 
 
-@query(sql("""SELECT id FROM n WHERE contains(lower(title), 'machinery') AND regexp_matches(lower(title), '(^|[^a-z0-9])nation')"""))
+def _hits(fields: dict[str, float], terms: dict[str, int], value: str = "") -> str:
+    """SQL of hits: BM25+ over the fields, terms by prefix and words within so many edits, exact rows of ``value`` first."""
+    words = ", ".join(f"list_filter(regexp_split_to_array(lower({f}::VARCHAR), '[^a-z0-9]+'), lambda w: w <> '') AS t_{f}" for f in fields)
+    pairs = [(f, i, t, e) for f in fields for i, (t, e) in enumerate(terms.items())]
+    tf = ", ".join(
+        f"len(list_filter(t_{f}, lambda w: starts_with(w, '{t}'))) + " + (f"0.45::DOUBLE * len(list_filter(t_{f}, lambda w: NOT starts_with(w, '{t}') AND levenshtein(w, '{t}') <= {e}))" if e else "0::DOUBLE") + f" AS f_{f}_{i}"
+        for f, i, t, e in pairs
+    )
+    stats = ", ".join(f"avg(len(t_{f})) AS mean_{f}" for f in fields) + ", " + ", ".join(f"count(*) FILTER (f_{f}_{i} > 0) AS df_{f}_{i}" for f, i, *_ in pairs)
+    score = " + ".join(f"CASE WHEN f_{f}_{i} > 0 THEN {fields[f]}::DOUBLE * ln(1 + (docs - df_{f}_{i} + 0.5::DOUBLE) / (df_{f}_{i} + 0.5::DOUBLE)) * (0.5::DOUBLE + f_{f}_{i} * 2.2::DOUBLE / (f_{f}_{i} + 1.2::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * len(t_{f}) / mean_{f}))) ELSE 0 END" for f, i, *_ in pairs)
+    held = " + ".join("(" + " + ".join(f"f_{f}_{i}" for f in fields) + " > 0)::INT" for i in range(len(terms)))
+    return sql(f"""SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM r WHERE held = (SELECT most FROM m) AND NOT is_exact OR held > 0 AND (SELECT most FROM m) < {len(terms)} AND NOT is_exact
+ UNION ALL SELECT id, 10 * greatest(1, coalesce((SELECT CASE WHEN most = {len(terms)} THEN (SELECT max(score) FROM r WHERE held = most) ELSE top END FROM m), 1)) FROM r WHERE is_exact)""",
+               f"w AS (SELECT id, lower(trim(ref)) = '{value}' OR lower(trim(tender_number)) = '{value}' OR id::VARCHAR = '{value}' AS is_exact, {words} FROM n)", f"tf AS (SELECT *, {tf} FROM w)", f"st AS (SELECT count(*)::DOUBLE AS docs, {stats} FROM tf)",
+               f"r AS (SELECT id, is_exact, {held} AS held, {score} AS score FROM tf, st)", "m AS (SELECT max(held) AS most, max(score) FILTER (held > 0) AS top FROM r)")
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query(_hits({"title": 3.5, "category": 2.0}, {"machinery": 0, "nation": 0}))
 def q_search_all_terms(spark: SparkSession, d: str) -> DataFrame:
     """Hits over several fields; where rows with all terms exist, only these."""
-    return search.search_hits(notices(spark, d), "machinery nation", {"title": 3.5, "category": 2.0}, fuzzy=0.0).select("id")
+    return _rounded(search.search_hits(notices(spark, d), "machinery nation", {"title": 3.5, "category": 2.0}, fuzzy=0.0))
 
 
-@query(sql("SELECT id, true AS first FROM n WHERE ref = 'REF/5'"))
+@query(_hits({"ref": 6.0, "title": 3.5}, {"ref": 0, "5": 0}, "ref/5"))
 def q_exact_first(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose reference is the whole query come before all ranked ones."""
-    found = search.search_hits(notices(spark, d), "ref/5", {"ref": 6.0, "title": 3.5}, fuzzy=0.0)
-    top = found.agg(F.max("score").alias("top"))
-    return found.join(F.broadcast(top), how="cross").where(F.col("score") == F.col("top")).select("id", F.lit(True).alias("first"))
+    return _rounded(search.search_hits(notices(spark, d), "ref/5", {"ref": 6.0, "title": 3.5}, fuzzy=0.0))
 
 
-@query(sql("SELECT id FROM n WHERE len(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: starts_with(w, 'machinary') OR levenshtein(w, 'machinary') <= 2)) > 0"))
+@query(_hits({"title": 3.5}, {"machinary": 2}))
 def q_search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """A misspelt word finds what is at most a fifth of its length away."""
-    return search.search(notices(spark, d), "machinary", {"title": 3.5}, fuzzy=0.2).select("id")
+    return _rounded(search.search_hits(notices(spark, d), "machinary", {"title": 3.5}, fuzzy=0.2))
+
+
+_INDEXED = {"tender_number": 8.0, "ref": 6.0, "title": 3.5, "category": 2.0, "authority": 1.5, "state": 1.0}
+
+
+def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    return textindex.build_index(notices(spark, d), f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
 
 
-@query(sql("SELECT count(*) AS n FROM (SELECT 1 FROM n WHERE contains(lower(title), 'machinery') LIMIT 50)"))
+@query(_hits(_INDEXED, {"furnitrue": 2, "urgent": 1, "natoin": 1}))
+def q_index_all_fields(spark: SparkSession, d: str) -> DataFrame:
+    """From a stored index: three words, two misspelt, over all fields."""
+    return _rounded(textindex.search_hits_index(_index(spark, d), "furnitrue Urgent, natoin"))
+
+
+@query(_hits(_INDEXED, {"ref": 0, "12": 0}, "ref/12"))
+def q_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """From a stored index: a reference as a whole, then what shares its words."""
+    return _rounded(textindex.search_hits_index(_index(spark, d), " REF/12 "))
+
+
+@query("""WITH t AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM documents)
+SELECT term, count(*) AS rows, NOT starts_with(term, 'lic') AS near FROM t WHERE starts_with(term, 'lic') OR levenshtein(term, 'versoin') <= 1 OR levenshtein(term, 'versionn') <= 2 GROUP BY 1""")
+def q_index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of whole documents: a range of prefixes, and words near two others by shared deletions."""
+    index = textindex.build_index(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), f"{scratch_root(spark)}/index-{uuid.uuid4().hex}", ("text",))
+    near = {*textindex.near_terms(index, "versoin", 1), *textindex.near_terms(index, "versionn", 2)}
+    found = index.table("terms").where(F.startswith("term", F.lit("lic")) | F.col("term").isin(*near, ""))
+    return found.select("term", "rows", (~F.startswith("term", F.lit("lic"))).alias("near"))
+
+
+@query(sql("SELECT least(50, count(*)) AS n, 0::BIGINT AS others FROM n WHERE contains(lower(title), 'machinery')"))
 def q_quick_search(spark: SparkSession, d: str) -> DataFrame:
-    """At most 50 of the rows with every term; which ones is the scan's choice, so they are counted."""
-    found = search.quick_search(notices(spark, d), "machinery")
-    return found.where(filters.keyword_all("machinery")).agg(F.count("*").alias("n"))
+    """At most 50 of the rows with every term; which ones is the scan's choice, so those that hold it and others are counted."""
+    holds = filters.keyword_all("machinery")
+    return search.quick_search(notices(spark, d), "machinery").agg(F.count_if(holds).alias("n"), F.count_if(~holds).alias("others"))
 
 
-@query(sql("SELECT id FROM n WHERE ref = 'REF/9' ORDER BY id LIMIT 6"))
+@query(_hits({f: w for f, w in _INDEXED.items()}, {"ref": 0, "9": 0}, "ref/9") + " ORDER BY score DESC, id LIMIT 6")
 def q_palette(spark: SparkSession, d: str) -> DataFrame:
-    exact = filters.exact_match("ref/9")
-    found = search.palette(notices(spark, d), "ref/9")
-    return found.join(notices(spark, d).where(exact).select("id"), "id").select("id")
+    return _rounded(search.palette(notices(spark, d), "ref/9"))
 
 
-@query(sql("SELECT id, 'q=' || replace(category, ' ', '+') || '&min=' || (id % 9 + 1)::VARCHAR || '.0' AS url FROM (SELECT DISTINCT ON (category) category, min(id) OVER (PARTITION BY category) AS id FROM n)"))
+@query("""SELECT c_custkey AS id, 'q=' || replace(c_mktsegment, ' ', '+') || '&min=' || (c_custkey % 9 + 1)::VARCHAR || '.0' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '&within=' || (c_custkey % 4)::VARCHAR END || CASE WHEN c_custkey % 2 = 0 THEN '&month=1' ELSE '' END
+ || '&state=' || replace(replace(c_name, '#', '%23'), ' ', '+') AS url FROM customer""")
 def q_url_form(spark: SparkSession, d: str) -> DataFrame:
-    """Queries as URLs, read back and written again: one for each category."""
-    rows = notices(spark, d).groupBy("category").agg(F.min("id").alias("id")).collect()
-    out = [(r.id, search.to_url(search.from_url(search.to_url(filters.Query(keywords=r.category, min_value=float(r.id % 9 + 1)))))) for r in rows]
-    return spark.createDataFrame(out, "id long, url string")
+    """Queries as URLs, read back and written again in the tasks."""
+
+    @F.pandas_udf("string")
+    def written(words: pd.Series, least: pd.Series, within: pd.Series, month: pd.Series, state: pd.Series) -> pd.Series:
+        asked = (filters.Query(keywords=w, min_value=float(m), closing_within_days=int(k) or None, closing_this_month=bool(even), state=s) for w, m, k, even, s in zip(words, least, within, month, state, strict=True))
+        return pd.Series([search.to_url(search.from_url(search.to_url(q))) for q in asked])
+
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(key.alias("id"), written("c_mktsegment", key % 9 + 1, key % 4, key % 2 == 0, "c_name").alias("url"))
 
 
 # ---- functions -------------------------------------------------------------------------------------------------------

@@ -6,7 +6,3 @@ from . import domain, landed, relational
 
 QUERIES = {**relational.QUERIES, **domain.QUERIES, **landed.QUERIES}
 ORACLE_SQL = {**relational.ORACLE_SQL, **domain.ORACLE_SQL, **landed.ORACLE_SQL}
-
-#: Former names of queries over all rows.
-for _name in ("q_title_normalize", "q_sort_closing", "q_sort_value", "q_sort_newest", "q_structured_filter", "q_field_rows"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
