@@ -82,6 +82,52 @@ def test_health_fold_and_stream_agree(spark, tmp_path):
     assert {x.source: x.status for x in spark.table("health").collect()} == batch
 
 
+def test_history_in_stretches_equals_the_plain_fold(spark):
+    r = random.Random(11)
+    runs = [(f"s{s}", i, r.random() < 0.7, r.choice([0, 0, 5]), r.random() < 0.03) for s in range(5) for i in sorted(r.sample(range(400), 120))]
+    df = spark.createDataFrame(runs, "source string, run_at int, ok boolean, discovered int, captcha boolean").repartition(3)
+    want, status = {}, {}
+    for s, i, ok, n, captcha in runs:
+        state, prior, failures = status.get(s, ("PAUSED" if s == "s1" else "EXPERIMENTAL", 0, 0))
+        good = ok and n > 0
+        failures = 0 if good else failures + 1
+        degraded = ok and n == 0 and prior >= 3 or not ok and failures >= 2
+        want[s, i] = (prior, failures, degraded)
+        if captcha:
+            state = "CAPTCHA_LIMITED"
+        elif degraded:
+            state = "DEGRADED"
+        elif good:
+            state = "ACTIVE" if state in health.RECOVERABLE else state
+        elif not ok:
+            state = "TEMPORARILY_BROKEN"
+        status[s] = (state, prior + good, failures)
+    for size in (1, 7, 1000):
+        found = health.with_history(df, cut=F.floor(F.col("run_at") / size))
+        assert {(x.source, x.run_at): (x.prior_nonzero, x.consecutive_failures, x.degraded) for x in found.collect()} == want
+        folded = {x.source: (x.status, x.runs) for x in health.status_fold(found, cut=F.floor(F.col("run_at") / size)).collect()}
+        assert folded == {s: (state, 120) for s, (state, _, _) in status.items() if s != "s1"} | {"s1": folded["s1"]}
+    quiet = found.where("source = 's1'").select("source", "run_at", F.lit(True).alias("ok"), F.lit(0).alias("discovered"), F.lit(False).alias("captcha"), F.lit(False).alias("degraded"))
+    assert health.status_fold(quiet, initial="PAUSED").first().status == "PAUSED"
+
+
+def test_state_that_expires_goes_to_the_archive(spark, tmp_path):
+    schema = "k string, at timestamp, n int"
+    days = ("2026-01-01", "2026-03-01", "2026-07-15", "2026-12-01", "2027-09-01")
+    for i, keys in enumerate(("ab", "b", "c", "d", "e")):
+        rows = spark.createDataFrame([(k, f"{days[i]} 00:00:00", i) for k in keys], "k string, at string, n int").withColumn("at", F.col("at").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = incremental.expired(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), ["k"], "at", 180)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    # a has not been seen for 180 days when c comes; b is seen again in March and lives on until December; e is the latest
+    assert sorted((r.k, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
 def test_chunks():
     pages = [(1, "1. Scope of work\n\nThe work is large.\n\nSecond paragraph."), (2, "2.1 Terms\n\n" + "T" * 1500 + "\n\nAfter")]
     got = chunks.chunk_document(pages)
@@ -192,10 +238,13 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     merged = lambda store, batch: incremental.latest_by_key(batch if store is None else store.unionByName(batch.select(*store.columns)), ["k"], "n")
     incremental.upsert_stream(stream, f"{tmp_path}/out", ["k"], merged, f"{tmp_path}/state").awaitTermination()
     assert {(r.k, r.v) for r in incremental.stored(spark, f"{tmp_path}/out").collect()} == {("a", "z"), ("b", "w"), ("c", "q")}
-    versions = incremental._manifests(spark, f"{tmp_path}/out")
-    named = {(b, v) for n in sorted(versions)[-2:] for b, v in versions[n].items()}
+    versions = incremental._versions(spark, f"{tmp_path}/out")
+    named = {(b, v) for n in versions for b, v in incremental._manifest(spark, f"{tmp_path}/out", n).items()}
     there = {(int(p.name.split("=")[1]), int(p.parent.name.split("=")[1])) for p in (tmp_path / "out" / "rows").glob("v=*/bucket=*")}
-    assert there == named and len(versions) == 3  # nothing else is kept, and untouched buckets are not written again
+    assert there == named and versions == [1, 2]  # nothing else is kept, manifests included, and untouched buckets are not written again
+    gone = incremental.take_out(spark, f"{tmp_path}/out", ["k"], F.col("k") != "b")
+    assert {r.k for r in gone.collect()} == {"a", "c"} and [tuple(r) for r in incremental.stored(spark, f"{tmp_path}/out").select("k", "n", "v").collect()] == [("b", 3, "w")]
+    assert incremental.take_out(spark, f"{tmp_path}/out", ["k"], F.lit(False)).count() == 0 and incremental._versions(spark, f"{tmp_path}/out") == [2, 3]
 
 
 def test_other_grammars(spark):
