@@ -7,8 +7,9 @@ token it covers.  The rest are the page's unique runs.
 
 Repetition cannot tell a passage that many articles print from a notice, nor a reader's comment, which is unique, from the article.
 There the markup decides: blocks inside ``<article>`` (or a main element) stay although they repeat, and blocks in menus, footers, adverts,
-comments and the like go although they are unique.  Marks that are only a part of a class name are weak: they do not hold for an
-element with an article inside, and not where nothing else would be left of a page.
+comments and the like go although they are unique.  Marks that are only a part of a class name are weak: they do not hold for an element with an article inside or with half of the
+page's text, and no class name holds where nothing else would be left of a page.  A form goes if it has little text, the less so without controls; a menu or
+sidebar that is never closed ends where an article begins, and hidden elements are text like others.
 
 On hosts with a page where repetition has to decide alone, runs are counted over all slices of the host: counted by slice, summed by host,
 and each slice gets back those of its runs that are frequent on the host.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ from .wordhash import Words, mix, raw_strings
 SLICE_PAGES = 256
 #: A run of so many tokens on at least so many distinct pages of a host is boilerplate.
 REPEAT, MIN_PAGES = 8, 3
+#: A form with so many characters of text besides its controls stands around an article.
+FORM_CHARS = 300
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page; only scripts and styles may run to the end of a page that does not close them.
@@ -45,14 +49,17 @@ _BLOCK = frozenset(
     " thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_OUTSIDE = frozenset("nav footer aside form head menu dialog button".split())
+_OUTSIDE = frozenset("nav footer aside head menu dialog button".split())
+_CONTROLS = frozenset("input select textarea button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar cookie cookies"
     " consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus"
     " reply replies respond nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar share sharing social related"
-    " recommended recommendations widget toolbar pagination pager copyright disclaimer".split()
+    " recommended recommendations widget toolbar pagination pager copyright disclaimer responses discussion".split()
 )
+#: Of these, what readers write: there may be more of it than of the article.
+_READERS = frozenset("comment comments disqus reply replies respond responses discussion".split())
 _QUOTED = re.compile(r"=\s*([\"'])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
@@ -63,11 +70,21 @@ _ABOUT = frozenset("no non not without with has have hide hidden is".split())
 
 @dataclass
 class Mark:
-    """A class or id that says an element is no content; ``weak`` if only a part of a name says so."""
+    """A class or id that says an element is no content, or a form; ``weak`` if only a part of a name says so."""
 
     weak: bool
     above: Mark | None
+    readers: bool = False
+    form: bool = False
     live: bool = True
+    controls: int = 0
+    chars: int = 0
+
+    def chain(self) -> Iterator[Mark]:
+        mark: Mark | None = self
+        while mark is not None:
+            yield mark
+            mark = mark.above
 
 
 @dataclass
@@ -78,46 +95,76 @@ class Block:
     outside: bool  # in a menu, footer, advert or the like
     mark: Mark | None = None
 
-    def excluded(self, weakly: bool = True) -> bool:
-        """Whether the markup says that it is no content, with or without weak marks."""
-        mark = self.mark
-        while mark is not None and not (mark.live and (weakly or not mark.weak)):
-            mark = mark.above
-        return self.outside or mark is not None
+    def excluded(self, level: int = 0) -> bool:
+        """Whether the markup says that it is no content; level 1 is without weak marks, level 2 without any names."""
+        return self.outside or any(m.live and (m.form and (level < 2 or m.controls > 0) or level == 0 or level == 1 and not m.weak) for m in (self.mark.chain() if self.mark else ()))
+
+
+def _settled(found: list[Block]) -> list[Block]:
+    """Lifts the marks of forms around an article, and weak marks of elements with half of the text."""
+    marks = {id(m): m for b in found if b.mark for m in b.mark.chain()}
+    if not marks:
+        return found
+    for b in found:
+        for m in b.mark.chain() if b.mark and not b.outside else ():
+            m.chars += len(b.text)
+    for m in marks.values():
+        m.live &= not m.form or m.chars < FORM_CHARS
+    firm = lambda b: b.outside or any(m.live and (m.form and m.controls > 0 or m.readers or not m.weak) for m in (b.mark.chain() if b.mark else ()))
+    total = sum(len(b.text) for b in found if not firm(b))
+    for m in marks.values():
+        if m.weak and not m.readers and not m.controls and 2 * m.chars >= total:
+            m.live = False
+    return found
 
 
-def _named(value: str) -> tuple[bool, bool]:
-    """Whether class names or an id mark an element at all, and by a whole name."""
-    found = False
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether class names or an id mark an element at all, by a whole name, and as written by readers."""
+    found = readers = False
     for name in value.split():
         if name in _MARKS:
-            return True, True
+            return True, True, name in _READERS
         parts = _SPLIT.split(name)
-        found |= any(part in _MARKS and (not i or parts[i - 1] not in _ABOUT) for i, part in enumerate(parts))
-    return found, False
+        said = [part for i, part in enumerate(parts) if part in _MARKS and (not i or parts[i - 1] not in _ABOUT)]
+        found |= bool(said)
+        readers |= any(part in _READERS for part in said)
+    return found, False, readers
 
 
-def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether the attributes say that an element is no content, is marked so by a name, weakly so, or is the main content."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, False, False, False
-    out = named = whole = main = False
+def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether the attributes say that an element is no content, is marked so by a name, weakly so, by readers, or is the main content."""
+    if not attributes or "=" not in attributes:
+        return False, False, False, False, False
+    out = named = whole = readers = main = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             if tag not in ("html", "body", "main"):
-                some, entire = _named(value)
+                some, entire, written = _named(value)
                 named |= some
                 whole |= entire
+                readers |= written
             main |= "articlebody" in _SPLIT.split(value)
         elif name == "role":
             out |= value in _ROLES
             main |= value == "main"
         elif name == "itemprop":
             main |= value == "articlebody"
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            out = True
-    return out, named, named and not whole, main
+    return out, named, named and not whole, readers, main
+
+
+class _Balance:
+    """Where elements of a name begin and end on a page; each name is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.places = page, {}
+
+    def open_after(self, tag: str, at: int, depth: int) -> bool:
+        """Whether what is left of the page from ``at`` on closes fewer elements than ``depth`` and those it opens itself."""
+        if tag not in self.places:
+            self.places[tag] = tuple([m.start() for m in re.finditer(rf"<{slash}{tag}\b", self.page, re.I)] for slash in ("", "/"))
+        begins, ends = (len(x) - bisect_left(x, at) for x in self.places[tag])
+        return ends < begins + depth
 
 
 class _Scanner:
@@ -167,7 +214,7 @@ def blocks(page: str | None) -> list[Block]:
                 _, inside, main, outside, header, mark = stack[-1] if stack else ground
                 found.append(Block(text, inside, main, outside or header and not (heading and (inside or main)), mark))
 
-    scanner, unclosed, at, size = _Scanner(page), set(), 0, len(page)
+    scanner, balance, unclosed, at, size = _Scanner(page), _Balance(page), set(), 0, len(page)
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
@@ -210,6 +257,9 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         single = attributes.endswith("/")
+        if tag in _CONTROLS and stack and stack[-1][5] and not (tag == "input" and re.search(r"type\s*=\s*[\"']?hidden", attributes, re.I)):
+            for m in stack[-1][5].chain():
+                m.controls += m.form
         if tag in _RAW and not single and tag not in unclosed:
             close = _RAW_END[tag].search(page, at)
             if close or tag in _ENDLESS:
@@ -227,8 +277,13 @@ def blocks(page: str | None) -> list[Block]:
             heading = tag in _HEADINGS
         if tag in _VOID or tag in _RAW or single and tag not in _BLOCK:
             continue
+        if tag in ("article", "main"):  # a menu or sidebar that is never closed ends here
+            for i, (open_tag, *_) in enumerate(stack):
+                if open_tag in _OUTSIDE and balance.open_after(open_tag, begin, sum(x[0] == open_tag for x in stack[i:])):
+                    del stack[i:]
+                    break
         _, inside, main, outside, header, mark = stack[-1] if stack else ground
-        out, named, weak, is_main = _marked(tag, attributes)
+        out, named, weak, readers, is_main = _marked(tag, attributes)
         outside |= out or tag in _OUTSIDE
         if (tag == "article" or tag == "main" or is_main) and not named and not outside:
             above = mark
@@ -236,10 +291,12 @@ def blocks(page: str | None) -> list[Block]:
                 above.live &= not above.weak
                 above = above.above
         if named:
-            mark = Mark(weak, mark)
+            mark = Mark(weak, mark, readers)
+        if tag == "form":
+            mark = Mark(True, mark, form=True)
         stack.append((tag, inside or tag == "article" and not outside and not named, main or tag == "main" or is_main, outside, header or tag == "header", mark))
     flush()
-    return found
+    return _settled(found)
 
 
 def suffix_array(token: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -359,10 +416,10 @@ def extract(pages: list[str | None], frequent: np.ndarray | None = None) -> list
     for own in found:
         in_article, in_main = _markup_decides(own)
         spans = [covered[r.words.ptr[i] : r.words.ptr[i + 1]] for i in range(at, at + len(own))]
-        for weakly in (True, False):  # weak marks do not leave a page without text
+        for level in (0, 1, 2):  # names do not leave a page without text
             kept, removed = [], 0
             for b, gone, i in zip(own, spans, range(at, at + len(own)), strict=True):
-                if b.excluded(weakly) or in_article and not b.inside or not in_article and in_main and not b.main:
+                if b.excluded(level) or in_article and not b.inside or not in_article and in_main and not b.main:
                     removed += int(gone.sum())
                 elif in_article or in_main:
                     kept.append(b.text)

@@ -111,6 +111,33 @@ def test_no_text_is_lost_to_odd_markup():
     assert one("<p>1 < 2</p>") == "1 < 2"
 
 
+def test_what_stands_around_or_in_an_article_by_its_text():
+    one = lambda page: htmltext.extract([page])[0][0]
+    story = "a long story with many words that goes on and on " * 8
+    assert one('<form id="aspnetForm"><div><p>whole page body</p></div></form>') == "whole page body"
+    assert one(f'<form><input type="hidden" name="v"><input type="text"><p>{story}</p></form>') == story.strip()
+    assert one('<p>text</p><form><label>name</label><input><button>go</button></form>') == "text"
+    assert one("<article><p>a</p><form><p>mail me</p><textarea>x</textarea></form></article>") == "a"
+    assert one("<form><article><p>a</p></article><input></form>") == "a"
+    assert one('<article class="menu"><p>all there is</p></article>') == "all there is"
+    assert one('<article><p>the story</p></article><article class="promo"><p>other</p></article>') == "the story"
+    for tag in ("nav", "aside"):
+        assert one(f"<{tag}><a>menu</a><article><p>story</p></article><{tag}>more</{tag}>") == "story"  # the first is never closed
+        assert one(f"<{tag}><article><p>a card</p></article></{tag}><article><p>story</p></article>") == "story"
+    assert one('<article><p hidden>x</p><p style="display:none">y</p><p aria-hidden="true">z</p></article>') == "x\n\ny\n\nz"
+    assert one(f'<p>a line</p><div class="post-widget-area"><p>{story}</p></div>') == f"a line\n\n{story.strip()}"
+    assert one(f'<p>{story}</p><div class="post-widget-area"><p>a line</p></div>') == story.strip()
+    assert one(f'<article><p>story</p><section id="responses"><article><p>{story}</p></article></section></article>') == "story"
+    assert one(f'<p>story</p><div class="post-comments-area"><p>{story}</p></div>') == "story"
+
+
+def test_a_page_of_open_menus_takes_linear_time():
+    began = time.time()
+    htmltext.blocks("<aside><article><p>x</p></article></aside>" * 20_000)
+    htmltext.blocks("<nav>x<article><p>y</p></article>" * 20_000)
+    assert time.time() - began < 20
+
+
 def test_a_page_of_open_quotes_takes_linear_time():
     began = time.time()
     htmltext.blocks('<p title="' * 200_000)
