@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,13 +56,45 @@ def blocked_pairs(df: DataFrame, key: str = "id") -> DataFrame:
     return pairs.select(side("k", False).alias("a"), side("k", True).alias("b"), gap.alias("gap_s"), side("title", False).alias("title_a"), side("title", True).alias("title_b"))
 
 
-def similar_links(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, score) of blocked pairs at the threshold.  A native bound on the lengths spares most ratios."""
-    least = (threshold - AUTHORITY - STATE - CLOSING) / TITLE
+#: Characters counted apart by the bound of the ratio; all others are counted together, which only loosens it.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _bag(title: Column) -> list[Column]:
+    """How often each of LETTERS is in a title, and how many other characters."""
+    counts = [F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))) for c in LETTERS]
+    return [*counts, F.length(F.translate(title, LETTERS, ""))]
+
+
+def within_bound(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs whose titles may reach the threshold: the matcher's ratio is at most that of their lengths, and at most that of the characters they
+    have in common whatever the order.  Both bounds are native, so most pairs never meet the matcher."""
+    least = (threshold - AUTHORITY - STATE - CLOSING) / TITLE - 1e-9
     la, lb = F.length("title_a"), F.length("title_b")
-    near = pairs.where(2 * F.least(la, lb) / (la + lb) >= least - 1e-9)
+    near = pairs.where(2 * F.least(la, lb) >= least * (la + lb))
+    common = reduce(add, [F.least(x, y) for x, y in zip(_bag(F.col("title_a")), _bag(F.col("title_b")), strict=True)])
+    return near.where(2 * common >= least * (la + lb))
+
+
+def similar_links(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, score) of blocked pairs at the threshold."""
     score = F.lit(TITLE) * _ratio("title_a", "title_b") + AUTHORITY + STATE + CLOSING
-    return near.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    return within_bound(pairs, threshold).select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+
+
+def duplicate_report(reference: DataFrame, similar: DataFrame, exact: int = 0) -> DataFrame:
+    """One row of how many unions each phase made: exact ids (counted by the merge), shared references, then similarity over what these left apart.
+
+    A phase makes as many unions as it lowers the number of groups: nodes less components, whatever the order of links.
+    """
+
+    def unions(links: DataFrame) -> int:
+        found = connected_components(links)
+        return found.count() - found.select("root").distinct().count()
+
+    by_reference = unions(reference.select("a", "b"))
+    both = unions(reference.select("a", "b").unionByName(similar.select("a", "b")))
+    return reference.sparkSession.createDataFrame([(exact, by_reference, both - by_reference)], "exact_source_id int, reference_number int, possible_duplicate_groups int")
 
 
 def duplicate_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -15,7 +15,8 @@ from .durable import durable
 from .ranks import with_places
 
 FEED_ROWS, SHARD_ROWS, DIGEST_ROWS = 200, 500, 15
-DETAIL_FIELDS = ("description", "documents", "corrigenda", "award", "scope", "eligibility", "ai", "organisation_chain", "period_of_work_days")
+# What only the page of one notice needs.
+DETAIL_FIELDS = ("documents", "ai", "award", "portal", "fee", "pre_bid_meeting_at", "city", "opening_at", "last_seen_at")
 
 
 def published_number(number: str = "tender_number", source_id: str = "source_tender_id") -> Column:
@@ -24,17 +25,36 @@ def published_number(number: str = "tender_number", source_id: str = "source_ten
     return F.coalesce(number, F.when(~made_up, F.col(source_id)))
 
 
-def search_docs(canonical: DataFrame) -> DataFrame:
-    """The flat projection of canonical rows that readers search."""
-    c = F.col
-    return canonical.select(
-        c("canonical_id").alias("id"), c("procurement.title").alias("title"), F.coalesce("organization.authority", "organization.organization").alias("authority"),
-        c("geography.state").alias("state"), c("geography.city").alias("city"), c("procurement.category").alias("category"), c("financial.estimated_value").alias("value"),
-        c("dates.published_at").alias("published_at"), c("dates.bid_submission_end").alias("closing_at"), c("status"), c("identity.source").alias("source"),
-        c("identity.reference_number").alias("ref"), F.coalesce("identity.tender_number", F.when(~c("identity.source_tender_id").rlike("^(hash|bid):"), c("identity.source_tender_id"))).alias("tender_number"),
-        F.coalesce(F.size("corrigenda"), F.lit(0)).alias("corrigenda_count"), c("provenance.first_seen_at").alias("first_seen_at"),
-        c("provenance.official_source_url").alias("url"), c("procurement.description").alias("description"), c("documents"), c("corrigenda"), c("award"),
+def search_docs(canonical: DataFrame, now: Column, retention_days: int = 30, inferred: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
+    """The flat projection of canonical rows that readers search; rows closed for longer than the retention are left out.
+
+    The status is the effective one.  ``inferred`` (id, state, district) fills an empty state, and then an empty district, and marks it;
+    ``artifacts`` (id, summary, eligibility, risk) become ``ai``, whose fields are null without any.
+    """
+    c, closing = F.col, F.col("dates.bid_submission_end")
+    status = F.when((F.col("status") == "active") & (closing < now), "closed").otherwise(F.col("status"))
+    rows = canonical.where(closing.isNull() | (closing >= now - F.make_dt_interval(F.lit(retention_days)))).select(
+        c("canonical_id").alias("id"), c("procurement.title").alias("title"), c("organization.authority").alias("authority"), F.nullif("geography.state", F.lit("")).alias("state"),
+        F.nullif("geography.district", F.lit("")).alias("district"), c("geography.city").alias("city"), c("procurement.category").alias("category"), c("procurement.procurement_type").alias("type"),
+        c("financial.estimated_value").alias("value"), c("financial.emd_amount").alias("emd"), c("financial.tender_fee").alias("fee"), c("dates.published_at").alias("published_at"),
+        closing.alias("closing_at"), c("dates.pre_bid_meeting_at").alias("pre_bid_meeting_at"), c("dates.bid_opening_at").alias("opening_at"), status.alias("status"),
+        c("identity.source").alias("source"), c("identity.source_portal").alias("portal"), c("identity.reference_number").alias("ref"),
+        published_number("identity.tender_number", "identity.source_tender_id").alias("tender_number"), c("provenance.official_source_url").alias("url"),
+        c("provenance.first_seen_at").alias("first_seen_at"), c("provenance.last_seen_at").alias("last_seen_at"), "documents",
+        F.coalesce(F.size("corrigenda"), F.lit(0)).alias("corrigenda_count"), "award",
     )
+    if artifacts is None:
+        rows = rows.withColumn("ai", F.struct(*[F.lit(None).cast("string").alias(n) for n in ("summary", "eligibility", "risk")]))
+    else:
+        found = artifacts.select(F.col("id").alias("artifact_id"), F.struct("summary", "eligibility", "risk").alias("ai"))
+        rows = rows.join(found, F.col("id") == F.col("artifact_id"), "left").drop("artifact_id")
+    if inferred is None:
+        return rows.withColumn("state_inferred", F.lit(False))
+    told = inferred.select(F.col("id").alias("told_id"), F.col("state").alias("told_state"), F.col("district").alias("told_district"))
+    rows = rows.join(told, F.col("id") == F.col("told_id"), "left")
+    fills = F.col("state").isNull() & F.col("told_state").isNotNull()
+    filled = {"state_inferred": fills, "district": F.when(fills, F.coalesce("district", "told_district")).otherwise(F.col("district")), "state": F.coalesce("state", "told_state")}
+    return rows.withColumns(filled).drop("told_id", "told_state", "told_district")
 
 
 def slim(docs: DataFrame) -> DataFrame:

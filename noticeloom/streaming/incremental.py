@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.durable import durable
+from ..operators.snapshots import files, versions_of
 from ..operators.health import RECOVERABLE
 
 
@@ -26,22 +27,6 @@ def latest_by_key(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path`` and the path itself."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions whose manifest is whole, from the names of their folders."""
-    system, folder = _files(spark, f"{path}/versions")
-    if not system.exists(folder):
-        return []
-    names = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("v=")]
-    whole = [n for n in names if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-    return sorted(int(n.getName()[2:]) for n in whole)
-
-
 def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     """The version in which each bucket was last written: one small row for a bucket."""
     rows = spark.read.schema("bucket int, written long").parquet(f"{path}/versions/v={version}").collect()
@@ -55,12 +40,12 @@ def _read(spark: SparkSession, path: str, buckets: dict[int, int]) -> DataFrame
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """The latest whole version of an upserted store."""
-    return _read(spark, path, _manifest(spark, path, _versions(spark, path)[-1]))
+    return _read(spark, path, _manifest(spark, path, versions_of(spark, path)[-1]))
 
 
 def _forget(spark: SparkSession, path: str) -> None:
     """Deletes all versions but the two latest, and the buckets that only they refer to; what is left stays of bounded size."""
-    numbers = _versions(spark, path)
+    numbers = versions_of(spark, path)
     old, kept = numbers[:-2], numbers[-2:]
     if not old:
         return
@@ -68,14 +53,14 @@ def _forget(spark: SparkSession, path: str) -> None:
     for n in old:
         gone = {(b, v) for b, v in _manifest(spark, path, n).items()} - used
         for name in [*(f"rows/v={v}/bucket={b}" for b, v in gone), f"versions/v={n}"]:
-            system, folder = _files(spark, f"{path}/{name}")
+            system, folder = files(spark, f"{path}/{name}")
             system.delete(folder, True)
 
 
 def _publish(spark: SparkSession, path: str, number: int, known: dict[int, int], rows: DataFrame, touched: set[int], bucket: Column) -> None:
     """Writes the touched buckets as version ``number``, then its manifest, which makes it the latest."""
     rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/v={number}")
-    system, folder = _files(spark, f"{path}/rows/v={number}")
+    system, folder = files(spark, f"{path}/rows/v={number}")
     there = {int(s.getPath().getName()[7:]) for s in system.listStatus(folder) if s.getPath().getName().startswith("bucket=")}
     now = {b: v for b, v in known.items() if b not in touched} | dict.fromkeys(there, number)
     manifest = spark.createDataFrame([(b, v) for b, v in now.items()], "bucket int, written long")
@@ -88,7 +73,7 @@ def take_out(spark: SparkSession, path: str, keys: list[str], leaves: Column, bu
 
     Archive what is returned before the next change of the store, whose buckets before and after are both kept until then.
     """
-    numbers, bucket = _versions(spark, path), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    numbers, bucket = versions_of(spark, path), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     known = _manifest(spark, path, numbers[-1])
     gone = durable(stored(spark, path).where(leaves))
     touched = {r[0] for r in gone.select(bucket.alias("b")).distinct().collect()}
@@ -109,7 +94,7 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], merge: Callable
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         number += first
-        earlier = [v for v in _versions(spark, path) if v < number]
+        earlier = [v for v in versions_of(spark, path) if v < number]
         known = _manifest(spark, path, earlier[-1]) if earlier else {}
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}

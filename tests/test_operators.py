@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, match, merge, publish, queue, search, workspace
+from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, match, merge, publish, queue, search, snapshots, workspace
 from noticeloom.sources import listings, records
 from noticeloom.streaming import incremental
 from pyspark.sql import functions as F
@@ -82,6 +82,21 @@ def test_health_fold_and_stream_agree(spark, tmp_path):
     assert {x.source: x.status for x in spark.table("health").collect()} == batch
 
 
+def test_duplicates_by_phase_and_the_bound_of_the_ratio(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(12)
+    titles = ["".join(r.choice("aab c1é") for _ in range(r.randint(1, 25))).strip() or "x" for _ in range(120)]
+    pairs = spark.createDataFrame([(i, j, 0, titles[i], titles[j]) for i in range(120) for j in range(i)], "a long, b long, gap_s long, title_a string, title_b string")
+    want = {(a, b) for a in range(120) for b in range(a) if 0.45 * SequenceMatcher(None, titles[a], titles[b]).ratio() + 0.55 >= 0.8}
+    asked = dedupe.within_bound(pairs, 0.8).count()
+    assert {(x.a, x.b) for x in dedupe.similar_links(pairs, 0.8).collect()} == want and len(want) <= asked < pairs.count() / 2
+    links = lambda *ab: spark.createDataFrame(ab, "a long, b long")
+    report = dedupe.duplicate_report(links((1, 2), (2, 3), (5, 6)), links((1, 3), (3, 5), (8, 9)), exact=4).first().asDict()
+    assert report == {"exact_source_id": 4, "reference_number": 3, "possible_duplicate_groups": 2}
+    assert tuple(dedupe.duplicate_report(spark.createDataFrame([], "a long, b long"), links((1, 2))).first()) == (0, 0, 1)
+
+
 def test_history_in_stretches_equals_the_plain_fold(spark):
     r = random.Random(11)
     runs = [(f"s{s}", i, r.random() < 0.7, r.choice([0, 0, 5]), r.random() < 0.03) for s in range(5) for i in sorted(r.sample(range(400), 120))]
@@ -238,13 +253,13 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     merged = lambda store, batch: incremental.latest_by_key(batch if store is None else store.unionByName(batch.select(*store.columns)), ["k"], "n")
     incremental.upsert_stream(stream, f"{tmp_path}/out", ["k"], merged, f"{tmp_path}/state").awaitTermination()
     assert {(r.k, r.v) for r in incremental.stored(spark, f"{tmp_path}/out").collect()} == {("a", "z"), ("b", "w"), ("c", "q")}
-    versions = incremental._versions(spark, f"{tmp_path}/out")
+    versions = snapshots.versions_of(spark, f"{tmp_path}/out")
     named = {(b, v) for n in versions for b, v in incremental._manifest(spark, f"{tmp_path}/out", n).items()}
     there = {(int(p.name.split("=")[1]), int(p.parent.name.split("=")[1])) for p in (tmp_path / "out" / "rows").glob("v=*/bucket=*")}
     assert there == named and versions == [1, 2]  # nothing else is kept, manifests included, and untouched buckets are not written again
     gone = incremental.take_out(spark, f"{tmp_path}/out", ["k"], F.col("k") != "b")
     assert {r.k for r in gone.collect()} == {"a", "c"} and [tuple(r) for r in incremental.stored(spark, f"{tmp_path}/out").select("k", "n", "v").collect()] == [("b", 3, "w")]
-    assert incremental.take_out(spark, f"{tmp_path}/out", ["k"], F.lit(False)).count() == 0 and incremental._versions(spark, f"{tmp_path}/out") == [2, 3]
+    assert incremental.take_out(spark, f"{tmp_path}/out", ["k"], F.lit(False)).count() == 0 and snapshots.versions_of(spark, f"{tmp_path}/out") == [2, 3]
 
 
 def test_other_grammars(spark):
@@ -331,6 +346,31 @@ def test_places_of_names_and_pins(spark):
     assert [r.p for r in df.orderBy("id").select(geo.loose_pins(F.col("title")).alias("p")).collect()] == [["440030"], [], [], ["403001"], [], [], ["682555"]]
 
 
+def test_publishing_by_difference(spark, tmp_path):
+    path, schema = f"{tmp_path}/p", "id string, n int, v string"
+    files = lambda: {(str(f.relative_to(tmp_path)), f.stat().st_mtime_ns) for f in (tmp_path / "p").rglob("*") if f.is_file()}
+    shard, rows = F.substring("id", 1, 1), [(f"{c}{i}", i, None if i % 3 else "é\n") for c in "abc" for i in range(20)]
+    first = snapshots.publish(spark.createDataFrame(rows, schema), path, shard, 0.5)
+    assert (first.version, first.rows, first.written) == (0, 60, ("a", "b", "c"))
+    before = files()
+    again = snapshots.publish(spark.createDataFrame(rows[::-1], schema).repartition(5), path, shard, 0.5)
+    assert again == snapshots.Published(0, 60) and files() == before  # nothing is written
+    with pytest.raises(ValueError):
+        snapshots.publish(spark.createDataFrame(rows[:20], schema), path, shard, 0.5)
+    with pytest.raises(ValueError):
+        snapshots.publish(spark.createDataFrame([], schema), path, shard, 0.5)
+    assert files() == before and {tuple(r) for r in snapshots.published(spark, path, schema).collect()} == set(rows)
+    new = [("a0", 99, "new"), *rows[1:40], ("d1", 1, None)]  # a differs, b stays, c goes, d comes
+    third = snapshots.publish(spark.createDataFrame(new, schema), path, shard, 0.5)
+    assert (third.version, third.written, third.removed) == (1, ("a", "d"), ("c",))
+    assert {tuple(r) for r in snapshots.published(spark, path, schema).collect()} == set(new)
+    assert {r.id for r in snapshots.published(spark, path, schema, ["d", "c"]).collect()} == {"d1"}
+    snapshots.publish(spark.createDataFrame(new[20:], schema), path, shard, 0.9)
+    assert not list((tmp_path / "p" / "rows" / "v=0").glob("shard=[ac]/*.gz")) and list((tmp_path / "p" / "rows" / "v=0").glob("shard=b/*.gz"))
+    assert snapshots.versions_of(spark, path) == [1, 2] and snapshots.publish(spark.createDataFrame([], schema), path, shard, 0.5, force=True).rows == 0
+    assert snapshots.published(spark, path, schema).count() == 0
+
+
 def test_queue_lines_and_page_folders(spark, tmp_path):
     item = spark.createDataFrame([("t", 1, None, 5)], "task string, id int, priority int, line int")
     publish.write_queue(item, f"{tmp_path}/queue")
