@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, ids, text
-from ..operators import dedupe, filters, geo, health, match, overlay, publish, search, textindex, workspace
+from ..operators import dedupe, filters, geo, health, match, overlay, publish, search, snapshots, textindex, workspace
 from ..operators import queue as Q
 from ..operators.durable import scratch_root
-from ..schema import violations
+from ..schema import canonical_columns, violations
 from ..sources import listings, records
 from .notices import notices, now, sql, table
 
@@ -214,10 +214,68 @@ def q_probe(spark: SparkSession, d: str) -> DataFrame:
 # ---- publishing ------------------------------------------------------------------------------------------------------
 
 
-@query(sql("SELECT id, lower(substr(id::VARCHAR, 1, 2)) AS shard, title AS description FROM n"))
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    """Notices as canonical rows, through the search projection; some closed for long, some without a state that is told elsewhere."""
+    k = F.col("id")
+    every = lambda n, c: F.when(k % n != 0, c)
+    number = lambda n: (k % n).cast("double")
+    document = F.struct(F.col("title"), F.lit(None).cast("string").alias("type"), F.lit("u").alias("source_url"), F.lit(None).cast("long").alias("file_size"), F.lit(None).cast("string").alias("hash"), F.lit(True).alias("text_extracted"))
+    noted = F.struct(F.lit("c").alias("source_ref"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("source_url"))
+    award = F.struct(F.col("authority").alias("winning_bidder"), F.lit(1.0).alias("award_value"), F.lit(None).cast("timestamp").alias("awarded_at"), F.lit(None).cast("string").alias("source_url"))
+    values = {
+        "canonical_id": text_of("id"), "procurement.title": F.col("title"), "organization.authority": every(5, F.col("authority")), "geography.state": F.when(k % 4 == 0, "").otherwise(F.col("state")),
+        "geography.district": F.when(k % 8 == 0, "D").otherwise(F.lit(None)), "geography.city": every(3, F.col("region")), "procurement.category": F.col("category"), "procurement.procurement_type": F.lit("works"),
+        "financial.estimated_value": F.col("value"), "financial.emd_amount": number(7), "financial.tender_fee": number(9), "dates.published_at": F.col("published_at"), "dates.bid_submission_end": every(11, F.col("closing_at")),
+        "dates.pre_bid_meeting_at": F.col("published_at"), "dates.bid_opening_at": F.col("closing_at"), "status": F.col("status"), "identity.source": F.col("source"), "identity.source_portal": F.lit("https://p"),
+        "identity.reference_number": F.col("ref"), "identity.source_tender_id": F.concat(F.when(k % 2 == 0, "hash:").otherwise("T"), text_of("id")), "provenance.official_source_url": F.concat(F.lit("https://p/"), text_of("id")),
+        "provenance.first_seen_at": F.col("first_seen_at"), "provenance.last_seen_at": F.col("closing_at"), "documents": F.when(k % 2 == 0, F.array(document)), "corrigenda": F.when(k % 3 == 0, F.array(noted, noted)), "award": F.when(k % 6 == 0, award),
+    }
+    told = notices(spark, d).where("id % 16 < 8").select(text_of("id").alias("id"), F.lit("Kerala").alias("state"), F.lit("Kollam").alias("district"))
+    artifacts = notices(spark, d).where("id % 10 = 0").select(text_of("id").alias("id"), F.lit("s").alias("summary"), F.lit(None).cast("string").alias("eligibility"), F.lit("r").alias("risk"))
+    return publish.search_docs(notices(spark, d).select(*canonical_columns(values)), now().cast("timestamp"), 30, told, artifacts)
+
+
+_DOCS = """p AS (SELECT id, title, CASE WHEN id % 5 <> 0 THEN authority END AS authority, CASE WHEN id % 4 <> 0 THEN state WHEN id % 16 < 8 THEN 'Kerala' END AS state, id % 4 = 0 AND id % 16 < 8 AS state_inferred,
+ CASE WHEN id % 8 = 0 THEN 'D' WHEN id % 4 = 0 AND id % 16 < 8 THEN 'Kollam' END AS district, CASE WHEN id % 3 <> 0 THEN region END AS city, category, value, (id % 7)::DOUBLE AS emd, (id % 9)::DOUBLE AS fee, published_at, closing_at AS opening_at,
+ CASE WHEN id % 11 <> 0 THEN closing_at END AS closing_at, CASE WHEN id % 11 <> 0 AND status = 'active' AND closing_at < now THEN 'closed' ELSE status END AS status, source, ref, CASE WHEN id % 2 = 1 THEN 'T' || id::VARCHAR END AS tender_number, first_seen_at,
+ CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS documents, CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS corrigenda_count, CASE WHEN id % 6 = 0 THEN authority END AS award, CASE WHEN id % 10 = 0 THEN 's/r' ELSE '' END AS ai FROM n WHERE id % 11 = 0 OR closing_at >= now - INTERVAL 30 DAY)"""
+
+
+@query(sql("""SELECT id, title, authority, state, district, city, category, 'works' AS type, value, emd, fee, strftime(published_at, '%Y-%m-%d') AS published, strftime(closing_at, '%Y-%m-%d') AS closing, strftime(published_at, '%Y-%m-%d') AS pre_bid,
+ strftime(opening_at, '%Y-%m-%d') AS opening, status, source, 'https://p' AS portal, ref, tender_number, 'https://p/' || id::VARCHAR AS url, strftime(first_seen_at, '%Y-%m-%d') AS first_seen, strftime(opening_at, '%Y-%m-%d') AS last_seen, documents, corrigenda_count, award, ai, state_inferred FROM p""", _DOCS))
+def q_search_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the search projection, with retention, effective status, inferred state and artifacts."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return _published(spark, d).select(
+        F.col("id").cast("long").alias("id"), "title", "authority", "state", "district", "city", "category", "type", "value", "emd", "fee", day("published_at").alias("published"), day("closing_at").alias("closing"),
+        day("pre_bid_meeting_at").alias("pre_bid"), day("opening_at").alias("opening"), "status", "source", "portal", "ref", "tender_number", "url", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"),
+        F.coalesce(F.size("documents"), F.lit(0)).alias("documents"), "corrigenda_count", F.col("award.winning_bidder").alias("award"), F.concat_ws("/", "ai.summary", "ai.eligibility", "ai.risk").alias("ai"), "state_inferred",
+    )
+
+
+@query(sql("SELECT id, substr(id::VARCHAR, 1, 2) AS shard, fee, city, award, 'https://p' AS portal, ai FROM p", _DOCS))
 def q_detail_shards(spark: SparkSession, d: str) -> DataFrame:
-    rows = notices(spark, d).withColumn("description", F.col("title"))
-    return publish.detail_shards(rows).select("id", "shard", "description")
+    rows = publish.detail_shards(_published(spark, d))
+    return rows.select(F.col("id").cast("long").alias("id"), "shard", "fee", "city", F.col("award.winning_bidder").alias("award"), "portal", F.concat_ws("/", "ai.summary", "ai.eligibility", "ai.risk").alias("ai"))
+
+
+@query(sql("SELECT to_json({'id': id::VARCHAR, 'state': state, 'district': district, 'category': category, 'type': 'works', 'status': status, 'source': source, 'ref': ref, 'tender_number': tender_number, 'corrigenda_count': corrigenda_count, 'state_inferred': state_inferred})::VARCHAR AS row FROM p", _DOCS))
+def q_slim(spark: SparkSession, d: str) -> DataFrame:
+    """The list that readers load: what is left of a row without details, as JSON; times and amounts print differently elsewhere."""
+    rows = publish.slim(_published(spark, d)).drop("title", "authority", "value", "emd", "published_at", "closing_at", "url", "first_seen_at")
+    order = ["id", "state", "district", "category", "type", "status", "source", "ref", "tender_number", "corrigenda_count", "state_inferred"]
+    return rows.select(F.to_json(F.struct(*order, *[c for c in rows.columns if c not in order]), {"ignoreNullFields": "false"}).alias("row"))
+
+
+@query(sql("""SELECT shard, count(*) AS rows, max(CASE WHEN id % 100 = 7 THEN 1 ELSE 0 END) AS written FROM (SELECT id, (c_custkey % 40)::VARCHAR AS shard FROM n JOIN customer ON authority = c_name) WHERE shard <> '7' GROUP BY 1"""))
+def q_publish_difference(spark: SparkSession, d: str) -> DataFrame:
+    """A table published twice: shards without a changed row keep the version that wrote them, one has gone."""
+    path = f"{scratch_root(spark)}/published-{uuid.uuid4().hex}"
+    rows = notices(spark, d).join(table(spark, d, "customer").select(F.col("c_name").alias("authority"), (F.col("c_custkey") % 40).cast("string").alias("shard")), "authority").select("id", "title", "shard")
+    snapshots.publish(rows, path, F.col("shard"), 0.5)
+    changed = rows.withColumn("title", F.when(F.col("id") % 100 == 7, F.concat("title", F.lit(" (corrected)"))).otherwise(F.col("title")))
+    snapshots.publish(changed.where("shard <> '7'"), path, F.col("shard"), 0.5)
+    return snapshots.manifest_of(spark, path).select("shard", "rows", F.col("written").cast("int").alias("written"))
 
 
 @query(sql("SELECT id, tender_number FROM (SELECT id, CASE WHEN id % 3 = 0 THEN tender_number WHEN id % 3 = 1 THEN 'S/' || id::VARCHAR END AS tender_number FROM n)"))
@@ -227,12 +285,6 @@ def q_published_number(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", publish.published_number().alias("tender_number"))
 
 
-@query(sql("SELECT * FROM (SELECT count(*) AS n_columns FROM (SELECT unnest(['id', 'title', 'state', 'value']))), (SELECT count(*) AS n FROM n)"))
-def q_slim(spark: SparkSession, d: str) -> DataFrame:
-    rows = publish.slim(notices(spark, d).select("id", "title", "state", "value", F.lit("x").alias("description"), F.lit("y").alias("scope")))
-    return rows.agg(F.lit(len(rows.columns)).cast("long").alias("n_columns"), F.count("*").alias("n"))
-
-
 @query(sql("SELECT source, count(*) AS events, min(strftime(closing_at, '%Y%m%dT%H%M%SZ')) AS first FROM n GROUP BY 1"))
 def q_calendar(spark: SparkSession, d: str) -> DataFrame:
     """One calendar for each source, counted by its events and read by its first."""
