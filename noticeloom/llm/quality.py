@@ -23,6 +23,8 @@ PASSAGE = 64
 MEASURED, BUCKETS = 16, 64
 MEASURES = MEASURED + BUCKETS
 THRESHOLD = 0.3
+#: Passages of a labelled text in the fit; of a longer text neighbours are averaged, so that all of it counts and its share is bounded.
+BAG = 128
 _CLASS = np.zeros((4, 256), np.int32)
 for _b in range(256):
     _c = chr(_b)
@@ -73,6 +75,15 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, bounds
 
 
+def bounded_bag(passages: np.ndarray) -> np.ndarray:
+    """At most BAG rows: means of neighbouring passages, about as many in each, over the whole text."""
+    n = len(passages)
+    if n <= BAG:
+        return passages
+    first = np.arange(BAG) * n // BAG
+    return (np.add.reduceat(passages, first, axis=0, dtype=np.float64) / np.diff(np.append(first, n))[:, None]).astype(passages.dtype)
+
+
 @dataclass
 class AttentionPooling:
     """``weights``: shift and scale of the measures, encoder, gates, attention and output layers."""
@@ -137,7 +148,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gates: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", limits: dict[int, int] | None = None) -> AttentionPooling:
-    """Fits on at most ``limits[y]`` labelled documents of each class (3,000 bad and 5,000 good by default).
+    """Fits on at most ``limits[y]`` labelled documents of each class (3,000 bad and 5,000 good by default), and on BAG rows of each.
 
     Rows with a null id or label are left out, of repeated ids one text and the greater label count, other columns are ignored.
     Without labelled rows every text is good.
@@ -150,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
             found = []
             for first, last in slices(offsets):
                 x, bounds = measures(data[offsets[first] : offsets[last]], offsets[first : last + 1])
-                found += [x[bounds[i] : bounds[i + 1]].astype("<f4").tobytes() for i in range(last - first)]
+                found += [bounded_bag(x[bounds[i] : bounds[i + 1]]).astype("<f4").tobytes() for i in range(last - first)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
 
     id_type = sample.schema["doc_id"].dataType.simpleString()

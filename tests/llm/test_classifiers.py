@@ -195,3 +195,15 @@ def test_whole_queries_on_odd_rows(spark, odd_docs, no_docs):
             got = docs.select(column(model, F.col("text")).alias("s")).collect()
             assert len(got) == docs.count() and all(0 <= r.s <= 1 for r in got)
         module.fit(train.limit(0), labels.limit(0), fold)
+
+
+def test_a_long_text_takes_no_more_room_in_the_fit():
+    import numpy as np
+    from noticeloom.llm import quality
+
+    x = np.random.default_rng(1).random((1000, 5)).astype(np.float32)
+    for n in (1, 127, 128, 129, 200, 256, 1000):
+        bag = quality.bounded_bag(x[:n])
+        assert len(bag) == min(n, quality.BAG)
+        cuts = [i * n // len(bag) for i in range(len(bag))] + [n]
+        assert np.allclose(bag, [x[a:b].mean(0) for a, b in zip(cuts, cuts[1:])], atol=1e-6)
