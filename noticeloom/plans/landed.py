@@ -12,8 +12,9 @@ from ..functions import amounts, dates, ids, text
 from ..operators import dedupe, filters, geo, health, match, overlay, publish, search, snapshots, textindex, workspace
 from ..operators import queue as Q
 from ..operators.durable import scratch_root
+from ..operators.ranks import with_places
 from ..schema import canonical_columns, violations
-from ..sources import listings, records
+from ..sources import bids, listings, records
 from .notices import notices, now, sql, table
 
 QUERIES: dict = {}
@@ -192,6 +193,77 @@ def q_api_records(spark: SparkSession, d: str) -> DataFrame:
     return got.select("source_tender_id", "title", "status", F.date_format("closing_at", "yyyy-MM-dd HH:mm:ss").alias("closing"), "description")
 
 
+_PAGE = 500
+_BIDS = f"""b AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY id) - 1) // {_PAGE} + 1 AS page FROM n),
+u AS (SELECT * FROM b WHERE page <= CASE source WHEN 'portal_0' THEN 2 WHEN 'portal_1' THEN 1 WHEN 'portal_2' THEN 2 ELSE 4 END)"""
+
+
+def _bid_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Notices as answers of a bid API, 500 to a page: an error on page 3, a page that repeats the first, a total of two pages, a cap of four."""
+    k, one = F.col("id"), lambda c: F.array(c.cast("string"))
+    kind = F.when(k % 4 == 0, 2).when(k % 4 == 1, 5).otherwise(1)
+    doc = F.struct(
+        one(F.when(k % 3 != 0, F.concat(F.lit("GEM/"), text_of("id")))).alias("b_bid_number"), one(k).alias("b_id"), one(kind).alias("b_bid_type"), F.when(k % 8 == 0, 1).otherwise(0).alias("b_eval_type"),
+        F.array("category", "state").alias("b_category_name"), F.when(k % 2 == 0, F.col("title")).otherwise(F.col("category")).alias("bd_category_name"), (k % 5).alias("b_buyer_status"), (k % 7).alias("b_total_quantity"),
+        F.unix_millis(F.col("closing_at").cast("timestamp")).alias("final_end_date_sort"), (k % 6 == 0).alias("is_high_value"), one(k % 2).alias("ba_is_global_tendering"), F.col("region").alias("ba_official_details_minName"),
+        F.when(k % 3 == 0, F.col("authority")).alias("ba_official_details_deptName"), F.when(k % 8 == 1, F.concat(F.lit("P/"), text_of("id"))).alias("b_bid_number_parent"), F.when(k % 4 == 1, k).alias("b_id_parent"),
+    )
+    placed = with_places(notices(spark, d).select("source", "id", doc.alias("doc")), ["source"], [F.col("id").asc()], ["id", "doc"])
+    page = (F.floor((F.col("place") - 1) / _PAGE) + 1).cast("int")
+    rows = placed.select("source", page.alias("page"), "id", "doc")
+    again = rows.where("source = 'portal_1' and page = 1").withColumn("page", F.lit(2))
+    rows = rows.where("source <> 'portal_1' or page <> 2").unionByName(again)
+    docs = F.transform(F.array_sort(F.collect_list(F.struct("id", "doc"))), lambda x: x["doc"])
+    total = F.when(F.col("source") == "portal_2", 2 * _PAGE).otherwise(10**9)
+    answer = F.struct(F.when((F.col("source") == "portal_0") & (F.col("page") == 3), 500).otherwise(200).alias("code"), F.struct(F.struct(total.alias("numFound"), "docs").alias("response")).alias("response"))
+    return rows.groupBy("source", "page").agg(docs.alias("docs")).select("source", "page", F.to_json(answer).alias("body"))
+
+
+@query(sql("""SELECT CASE WHEN id % 3 <> 0 THEN 'GEM/' || id::VARCHAR ELSE 'bid:' || id::VARCHAR END AS bid, source, CASE WHEN id % 2 = 0 THEN title ELSE category END AS title, category, CASE WHEN id % 4 < 2 THEN 'ra' ELSE 'open' END AS tender_type,
+ CASE WHEN id % 4 < 2 THEN 'auction' END AS type, ['active', 'closed', 'closed', 'awarded', 'unknown'][(id % 5 + 1)::INT] AS status, CASE WHEN id % 4 < 2 AND id % 8 = 1 THEN 'P/' || id::VARCHAR END AS ref,
+ region || CASE WHEN id % 3 = 0 THEN ' — ' || authority ELSE '' END AS authority, strftime(closing_at, '%Y-%m-%d %H:%M:%S') AS closing,
+ nullif(array_to_string(list_filter([CASE WHEN id % 7 > 0 THEN 'Quantity: ' || (id % 7)::VARCHAR END, CASE WHEN id % 2 = 0 THEN 'Item details: ' || title END, CASE WHEN id % 6 = 0 THEN 'High-value bid' END, CASE WHEN id % 2 = 1 THEN 'Global tender enquiry' END, CASE WHEN id % 8 = 1 THEN 'Reverse auction on bid P/' || id::VARCHAR END], lambda x: x IS NOT NULL), '; '), '') AS description,
+ CASE WHEN id % 4 = 1 THEN 'https://b/showdirectradocumentPdf/' || id::VARCHAR || ' https://b/showbidDocument/' || id::VARCHAR WHEN id % 8 = 0 THEN 'https://b/list-ra-schedules/' || id::VARCHAR WHEN id % 4 = 0 THEN 'https://b/showradocumentPdf/' || id::VARCHAR ELSE 'https://b/showbidDocument/' || id::VARCHAR END AS documents FROM u""", _BIDS))
+def q_bid_records(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a bid API in the canonical shape, from the pages before paging stops."""
+    found = bids.bid_docs(_bid_pages(spark, d), _PAGE, {f"portal_{i}": 4 for i in range(4)})
+    rows = bids.bids(found, "https://b", "https://b/all", now().cast("timestamp"))
+    return rows.select(
+        F.col("identity.source_tender_id").alias("bid"), F.col("identity.source").alias("source"), F.col("procurement.title").alias("title"), F.col("procurement.category").alias("category"), F.col("procurement.tender_type").alias("tender_type"),
+        F.col("procurement.procurement_type").alias("type"), "status", F.col("identity.reference_number").alias("ref"), F.col("organization.authority").alias("authority"),
+        F.date_format("dates.bid_submission_end", "yyyy-MM-dd HH:mm:ss").alias("closing"), F.col("procurement.description").alias("description"), F.array_join(F.transform("documents", lambda x: x["source_url"]), " ").alias("documents"),
+    )
+
+
+@query(sql(f"""SELECT source, page::INT AS page, page <= CASE source WHEN 'portal_0' THEN 2 WHEN 'portal_1' THEN 1 WHEN 'portal_2' THEN 2 ELSE 4 END AS used, CASE WHEN source = 'portal_0' AND page = 3 THEN 'error' WHEN source = 'portal_1' AND page = 2 THEN 'nothing new'
+ WHEN source = 'portal_2' AND page = 2 THEN 'total' WHEN source = 'portal_3' AND page = 5 THEN 'cap' END AS stop FROM (SELECT DISTINCT source, page FROM b) WHERE (SELECT count(*) FROM n) >= {5 * 4 * _PAGE}""", _BIDS))
+def q_paging_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Each rule by which paging stops, where the table has pages enough."""
+    found = bids.with_stops(bids.answers(_bid_pages(spark, d)), _PAGE, {f"portal_{i}": 4 for i in range(4)})
+    enough = notices(spark, d).agg((F.count("*") >= 5 * 4 * _PAGE).alias("enough"))
+    return found.select("source", "page", "used", "stop").join(F.broadcast(enough), how="cross").where("enough").drop("enough")
+
+
+@query(sql("""SELECT CASE WHEN id % 3 = 0 THEN (id + 1000000)::VARCHAR ELSE 'ireps:Z' || (id % 4)::VARCHAR || ':' || id::VARCHAR END AS source_tender_id, CASE WHEN id % 3 = 0 THEN (id + 1000000)::VARCHAR || ' | ' || title || ' | ' || strftime(published_at, '%d/%m/%Y') ELSE title || ' | ' || state || ' | ' || strftime(published_at, '%d/%m/%Y') END AS title,
+ strftime(closing_at, '%Y-%m-%d') AS closing FROM n WHERE id % 5 > 0"""))
+def q_zone_results(spark: SparkSession, d: str) -> DataFrame:
+    """Search results of a zone in a table without column names; rows without a serial are none."""
+    key = F.col("id")
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    numbered = F.when(key % 3 == 0, F.concat(cell((key + 1_000_000).cast("string")), cell("title"))).otherwise(F.concat(cell("title"), cell("state")))
+    page = F.concat(F.lit("<table><tr>"), cell(F.when(key % 5 == 0, "S.No.").otherwise(text_of("id"))), numbered, cell(day("published_at")), cell(F.lit("Closing "), day("closing_at"), F.lit(" 15:00")), F.lit("</tr></table>"))
+    rows = listings.parse_zone_results(notices(spark, d).select(F.concat(F.lit("Z"), (key % 4).cast("string")).alias("url"), page.alias("html")))
+    found = listings.zone_notices(rows, F.col("url"))
+    return found.select("source_tender_id", "title", F.date_format(F.from_utc_timestamp("closing_at", "Asia/Kolkata"), "yyyy-MM-dd").alias("closing"))
+
+
+@query(sql("SELECT ref, min(id) AS id FROM n WHERE state IN ('NATION_1', 'NATION_2', 'NATION_3') AND state <> 'NATION_2' GROUP BY 1"))
+def q_crawl_states(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of a reference among the states that a crawl includes and does not skip."""
+    return bids.crawled(notices(spark, d), "ref", "id", include=("NATION_1", "NATION_2", "NATION_3"), skip=("NATION_2",)).select("ref", "id")
+
+
 @query("SELECT event_id AS id, (event_id // 100)::INT AS page FROM events WHERE event_id // 100 < 7")
 def q_paged_records(spark: SparkSession, d: str) -> DataFrame:
     """Paging stops at its cap; ids are dense here, so every page before is whole."""

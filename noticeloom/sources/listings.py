@@ -175,6 +175,25 @@ def _option_rows(page: str | None) -> list[dict]:
     return [{"value": v.strip(), "name": " ".join(n.split())} for v, n in found if v.strip() not in ("", "0", "-1") and n.strip()]
 
 
+_NUMBER = re.compile(r"\d{6,12}")
+_DAY = re.compile(r"\d{2}/\d{2}/\d{4}")
+
+
+def _zone_rows(page: str | None) -> list[dict]:
+    """Rows of a table whose columns are not named: four cells or more, the first a serial; the number is a cell of 6 to 12 digits among
+    the next two, the title what the next three say, the closing time the last cell with a date."""
+    out = []
+    for row in (row for table in tables(page) for row in table):
+        cells = [c for c, _ in row]
+        if len(cells) < 4 or not cells[0].isdigit():
+            continue
+        dates = [c for c in cells if _DAY.search(c)]
+        number = next((c for c in cells[1:3] if _NUMBER.fullmatch(c)), None)
+        closing = re.sub(r"[^0-9/: ]", "", dates[-1]).strip().replace("/", "-") if dates else None
+        out.append({"serial": cells[0], "number": number, "title": " | ".join(c for c in cells[1:4] if c) or None, "closing": closing})
+    return out
+
+
 def _document_rows(page: str | None) -> list[dict]:
     """Document links, one for each address."""
     found = re.findall(r"""<a\s[^>]*?href=["']([^"']+\.(?:pdf|xlsx?|docx?|zip))["'][^>]*>(.*?)</a>""", page or "", re.I | re.S)
@@ -217,6 +236,7 @@ parse_posts = _row_parser(_post_rows, "number title published link")
 parse_widget = _row_parser(_widget_rows, "title ref closing opening link")
 parse_district = _row_parser(_district_rows, "title start end link")
 parse_stamped = _row_parser(_stamped_rows, "title published link")
+parse_zone_results = _row_parser(_zone_rows, "serial number title closing")
 parse_options = _row_parser(_option_rows, "value name")
 parse_documents = _row_parser(_document_rows, "link title")
 
@@ -254,6 +274,12 @@ def to_notices(rows: DataFrame, source: str, now: Column) -> DataFrame:
     return out.withColumn("status", status).withColumn("id", canonical_id(F.col("source"), F.col("source_tender_id")))
 
 
+def zone_notices(rows: DataFrame, zone: Column) -> DataFrame:
+    """Results of a zone's search as notices; one without a number is told by its zone and serial."""
+    named = F.coalesce("number", F.concat_ws(":", F.lit("ireps"), zone, "serial"))
+    return rows.where("title is not null").select(named.alias("source_tender_id"), "title", parse_datetime(F.col("closing")).alias("closing_at"))
+
+
 def first_occurrence(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key; rows without one are all kept."""
     named = rows.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

@@ -55,9 +55,9 @@ def sources_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
 
 
 def unwrapped(json: Column, name: str) -> Column:
-    """A field of a search answer: lists of one value count as the value."""
+    """A field of a search answer: a list counts as its first value, an empty one or one of null as nothing."""
     raw = F.get_json_object(json, f"$.{name}")
-    return F.coalesce(F.get_json_object(json, f"$.{name}[0]"), raw)
+    return F.when(raw.rlike(r"^\[\s*(?:null\b|\])"), F.lit(None)).otherwise(F.coalesce(F.get_json_object(json, f"$.{name}[0]"), raw))
 
 
 def json_records(landed: DataFrame, source: str, body: str = "body") -> DataFrame:
