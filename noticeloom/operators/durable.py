@@ -30,14 +30,17 @@ def _drop(spark: SparkSession, root: str) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """This application's own folder below ``spark.checkpoint.dir``.
 
-    Where that is unset it is below the warehouse, which a cluster shares too; a local session takes a temporary folder.
+    Where that is unset it is below the warehouse, if a cluster shares that, else it has to be set; a local session takes a temporary folder.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="checkpoints-")
-        base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        if not base:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+            if base.startswith(("/", "file:")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on one machine")
         _roots[app] = f"{base.rstrip('/')}/tables-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _roots[app])
     return _roots[app]

@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, ids, text
-from ..operators import chunks, dedupe, filters, geo, health, match, merge, search
+from ..operators import chunks, dedupe, filters, geo, health, jsonrules, match, merge, search
 from ..operators import queue as Q
 from ..operators.durable import scratch_root
+from ..operators.once import once
 from ..schema import canonical_columns, violations
-from ..sources import listings
+from ..sources import listings, records
 from ..streaming import incremental
 from .notices import notices, now, sql, table
 
@@ -415,6 +416,35 @@ def q_validate(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark, d).select("id", violations(rules).alias("broken"))
 
 
+_EVENT_SCHEMA = {
+    "type": "object", "required": ["k", "user"], "additionalProperties": False,
+    "properties": {"k": {"type": "integer", "minimum": 10}, "user": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "kind": {"enum": ["click", "view", "purchase"]}}}, "tags": {"type": "array", "items": {"type": "string"}}},
+}
+
+
+@query("""WITH e AS (SELECT event_id, (props->>'$.k')::INT AS k, event_type FROM events)
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '$.user required' WHEN event_id % 11 = 0 THEN '$.more additionalProperties' WHEN k < 10 THEN '$.k minimum' WHEN event_id % 5 = 0 THEN '$.user.id required'
+ WHEN event_type NOT IN ('click', 'view', 'purchase') THEN '$.user.kind enum' WHEN event_id % 3 = 0 THEN '$.tags[1] type' END AS shown,
+ (event_id % 7 = 0)::INT + (event_id % 11 = 0)::INT + (k < 10)::INT + (event_id % 7 <> 0 AND event_id % 5 = 0)::INT + (event_id % 7 <> 0 AND event_type NOT IN ('click', 'view', 'purchase'))::INT + (event_id % 3 = 0)::INT AS broken FROM e""")
+def q_json_schema(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON Schema over records with planted errors: how many, and the one to show."""
+    key, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    user = F.concat(F.lit(',"user":{'), F.when(key % 5 != 0, F.concat(F.lit('"id":'), key.cast("string"), F.lit(","))).otherwise(""), F.lit('"kind":"'), F.col("event_type"), F.lit('"}'))
+    body = F.concat(F.lit('{"k":'), k, F.when(key % 7 != 0, user).otherwise(""), F.when(key % 3 == 0, ',"tags":["a",1]').otherwise(',"tags":[]'), F.when(key % 11 == 0, ',"more":null').otherwise(""), F.lit("}"))
+    rows = once(table(spark, d, "events").select("event_id", body.alias("body")), found=jsonrules.errors(F.col("body"), _EVENT_SCHEMA))
+    shown = jsonrules.best(F.col("found"))
+    return rows.select("event_id", F.concat(shown["path"], F.lit(" "), shown["rule"]).alias("shown"), F.size("found").alias("broken"))
+
+
+@query(sql("SELECT id, ref, title FROM n WHERE id = (SELECT max(id) FROM n)"))
+def q_point_read(spark: SparkSession, d: str) -> DataFrame:
+    """One row of a store in buckets by its key."""
+    rows = notices(spark, d).select("id", "ref", "title")
+    name = f"keyed_{uuid.uuid4().hex}"
+    store = records.write_keyed(rows, f"{scratch_root(spark)}/{name}", name, "id", 16)
+    return records.point_read(spark, store, rows.agg(F.max("id")).first()[0], "id")
+
+
 @query("""WITH t AS (SELECT event_type AS source, (count(*) // 10)::INT AS pages FROM events GROUP BY 1), q AS (SELECT *, least(pages, greatest(1, floor(120 * pages / sum(pages) OVER ())))::INT AS quota FROM t)
 SELECT DISTINCT source, ((floor(i * (pages / quota))::BIGINT + 3) % pages + 1)::INT AS page FROM (SELECT *, unnest(range(0, quota)) AS i FROM q)""")
 def q_page_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -95,6 +95,18 @@ def canonical_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def write_keyed(df: DataFrame, path: str, name: str, key: str = "canonical_id", buckets: int = 64) -> str:
+    """Writes rows as a table in buckets by ``key``, sorted by it, at ``path``, and returns its name: a point read opens one bucket of it."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(f"`{name}`")
+    return name
+
+
+def point_read(spark: SparkSession, name: str, value: str, key: str = "canonical_id") -> DataFrame:
+    """The row of one key of a table in buckets: one bucket is listed, and in it only row groups whose range holds the key."""
+    return spark.table(f"`{name}`").where(F.col(key) == value)
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Landed files with their kind by magic bytes; too large and legacy office files are rejected with a reason."""
     rows = spark.read.format("binaryFile").load(path)
