@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.amounts import format_compact
-from ..functions.dates import days_until
+from ..functions.dates import ZONE, days_until, ist_day
 from ..functions.text import csv_guard, ics_escape, slug, xml_legal
 from .durable import durable
 from .ranks import with_places
@@ -107,30 +106,52 @@ def atom(entries: DataFrame, base: str = "https://feeds.example.org") -> DataFra
     return listed.select("feed", F.concat(head, body, F.lit("</feed>")).alias("xml"))
 
 
+# The sections of the digest by their names, and its words.
+SECTIONS = {"new": "New Today", "closing": "Closing Soon (7 days)"}
+STAMP, NO_LINE = "_Generated ", "- none"
+
+
 def digest(docs: DataFrame, now: Column, top: int = DIGEST_ROWS) -> DataFrame:
-    """(section, place, id, value, total): the most valuable new notices and those closing in [0, 8) days, with section totals."""
+    """(section, place, id, value, total): the most valuable notices first seen on the Indian day of ``now`` and those closing in [0, 8) days, with
+    section totals.  An undisclosed value counts as 0."""
     day = days_until(F.col("closing_at"), now)
-    sections = F.array_compact(
-        F.array(
-            F.when(F.col("first_seen_at") >= now - F.expr("INTERVAL 1 DAY"), "new"),
-            F.when((F.col("status") == "active") & day.between(0, 7), "closing"),
-        )
-    )
+    sections = F.array_compact(F.array(F.when(ist_day(F.col("first_seen_at")) == ist_day(now), "new"), F.when((F.col("status") == "active") & day.between(0, 7), "closing")))
     rows = docs.select(F.explode(sections).alias("section"), "id", "value")
-    place = F.row_number().over(W.partitionBy("section").orderBy(F.desc_nulls_last("value"), "id"))  # ranked alone, cut before the shuffle
+    place = F.row_number().over(W.partitionBy("section").orderBy(F.desc(F.coalesce("value", F.lit(0))), "id"))  # ranked alone, cut before the shuffle
     top_rows = rows.withColumn("place", place).where(F.col("place") <= top)
     totals = rows.groupBy("section").agg(F.count("*").cast("int").alias("total"))
     return top_rows.join(totals, "section").select("section", "place", "id", "value", "total")
 
 
-def digest_text(docs: DataFrame, now: Column, stamp: str, top: int = DIGEST_ROWS) -> DataFrame:
-    """(section, text): each section of the digest in Markdown, with its total and one line a notice."""
-    found = digest(docs, now, top).join(docs.select("id", "title", "source"), "id")
-    amount = F.when(F.col("value").isNull(), "value not disclosed").otherwise(format_compact(F.col("value")))
-    line = F.concat(F.lit("- "), F.regexp_replace("title", r"([\\\\\\[\\]*_`])", r"\\\\$1"), F.lit(" — "), amount, F.lit(" ("), F.col("source"), F.lit(")"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n")
-    head = F.concat(F.lit("## "), F.initcap("section"), F.lit(" ("), F.max("total").cast("string"), F.lit(")\n"), F.lit(f"_{stamp}_\n\n"))
-    return found.groupBy("section").agg(F.concat(head, lines).alias("text"))
+def digest_text(docs: DataFrame, now: Column, stamp: str, heading: str, top: int = DIGEST_ROWS) -> DataFrame:
+    """One row, ``text``: the digest in Markdown, its heading and stamp, then each section with its total and one line a notice."""
+    kept = docs.select("id", "title", "url", "authority", "closing_at")
+    found = digest(docs, now, top).join(kept, "id")
+    amount = F.when(F.coalesce("value", F.lit(0)) != 0, F.concat(F.lit("₹"), F.format_string("%.2f", F.bround(F.col("value") / 1e7, 2)), F.lit(" Cr"))).otherwise("value not disclosed")
+    closes = F.coalesce(F.date_format(F.from_utc_timestamp(F.col("closing_at").cast("timestamp"), ZONE), "dd MMM HH:mm"), F.lit("—"))
+    line = F.concat(F.lit("- ["), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(") — "), F.coalesce("authority", F.lit("")), F.lit(" — "), amount, F.lit(" — closes "), closes)
+    lines = found.groupBy("section").agg(F.max("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    every = docs.sparkSession.createDataFrame([(i, k, name) for i, (k, name) in enumerate(SECTIONS.items())], "i int, section string, name string")
+    part = F.concat(F.lit("## "), "name", F.lit(" ("), F.coalesce("total", F.lit(0)).cast("string"), F.lit(")\n\n"), F.coalesce("lines", F.lit(NO_LINE)), F.lit("\n"))
+    parts = every.join(lines, "section", "left").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))
+    return parts.select(F.concat(F.lit(f"# {heading}\n\n{STAMP}{stamp}_\n\n"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n")).alias("text"))
+
+
+def without_stamp(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.startswith(STAMP)), "\n")
+
+
+def write_digest(text: DataFrame, path: str) -> bool:
+    """Writes the digest unless it differs from the one at ``path`` by its stamp only; whether it was written."""
+    spark, bare = text.sparkSession, lambda frame: frame.select(without_stamp(F.col("text"))).first()[0]
+    try:
+        old = bare(spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\n\z", "").alias("text")))
+    except AnalysisException:  # none is there yet
+        old = None
+    if old is not None and old == bare(text):
+        return False
+    text.coalesce(1).write.mode("overwrite").text(path)
+    return True
 
 
 def csv_columns(docs: DataFrame, columns: list[str]) -> DataFrame:

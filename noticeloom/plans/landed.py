@@ -357,21 +357,25 @@ def q_published_number(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", publish.published_number().alias("tender_number"))
 
 
-@query(sql("SELECT source, count(*) AS events, min(strftime(closing_at, '%Y%m%dT%H%M%SZ')) AS first FROM n GROUP BY 1"))
+@query(sql(r"""SELECT source, count(*) AS events, md5('BEGIN:VCALENDAR' || e || 'VERSION:2.0' || e || 'PRODID:-//notices//EN' || e || string_agg('BEGIN:VEVENT' || e || 'UID:' || id::VARCHAR || '@notices' || e || 'DTSTAMP:' || strftime(now, '%Y%m%dT%H%M%SZ') || e
+ || 'DTSTART:' || strftime(closing_at, '%Y%m%dT%H%M%SZ') || e || 'SUMMARY:' || title || e || 'END:VEVENT', chr(13) || chr(10) ORDER BY closing_at, id) || e || 'END:VCALENDAR' || e) AS ics FROM (SELECT *, chr(13) || chr(10) AS e FROM n) GROUP BY source, e"""))
 def q_calendar(spark: SparkSession, d: str) -> DataFrame:
-    """One calendar for each source, counted by its events and read by its first."""
+    """One calendar for each source: its events, and a hash of all of it."""
     found = publish.calendar(notices(spark, d), now())
     events = F.size(F.regexp_extract_all("ics", F.lit("BEGIN:VEVENT\r\n"), F.lit(0))).cast("long")
-    whole = F.col("ics").startswith("BEGIN:VCALENDAR\r\n") & F.col("ics").endswith("END:VCALENDAR\r\n")
-    return found.where(whole).select("source", events.alias("events"), F.regexp_extract("ics", r"DTSTART:(\S+)", 1).alias("first"))
+    return found.select("source", events.alias("events"), F.md5("ics").alias("ics"))
 
 
-@query(sql("SELECT section, count(*)::INT AS total, least(count(*), 15)::INT AS lines FROM t GROUP BY 1", """t AS (SELECT 'new' AS section, id, value FROM n WHERE first_seen_at >= now - INTERVAL 1 DAY
-UNION ALL SELECT 'closing', id, value FROM n WHERE status = 'active' AND floor(date_diff('second', now, closing_at) / 86400.0) BETWEEN 0 AND 7)"""))
+@query(sql(r"""SELECT '# Digest' || chr(10) || chr(10) || '_Generated 1 Jan 1998_' || chr(10) || chr(10) || string_agg('## ' || s.name || ' (' || coalesce(total, 0)::VARCHAR || ')' || chr(10) || chr(10) || coalesce(lines, '- none') || chr(10), chr(10) ORDER BY i) AS text
+FROM (VALUES (0, 'new', 'New Today'), (1, 'closing', 'Closing Soon (7 days)')) s(i, section, name) LEFT JOIN (
+ SELECT section, max(total) AS total, string_agg('- [' || title || '](https://p/' || id::VARCHAR || ') — ' || authority || ' — ' || CASE WHEN value IS NULL THEN 'value not disclosed' ELSE '₹' || printf('%.2f', value / 1e7) || ' Cr' END || ' — closes ' || strftime(closing_at + INTERVAL 330 MINUTE, '%d %b %H:%M'), chr(10) ORDER BY place) AS lines
+ FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY coalesce(value, 0) DESC, id) AS place, count(*) OVER (PARTITION BY section) AS total FROM t) WHERE place <= 15 GROUP BY 1) x USING (section)""",
+           """t AS (SELECT 'new' AS section, * FROM n WHERE (first_seen_at + INTERVAL 330 MINUTE)::DATE = (now + INTERVAL 330 MINUTE)::DATE
+UNION ALL SELECT 'closing', * FROM n WHERE status = 'active' AND floor(date_diff('second', now, closing_at) / 86400.0) BETWEEN 0 AND 7)"""))
 def q_digest_text(spark: SparkSession, d: str) -> DataFrame:
-    found = publish.digest_text(notices(spark, d), now(), "1998-01-01")
-    lines = F.size(F.regexp_extract_all("text", F.lit("(?m)^- "), F.lit(0)))
-    return found.select("section", F.regexp_extract("text", r"^## \w+ \((\d+)\)\n_1998-01-01_\n", 1).cast("int").alias("total"), lines.alias("lines"))
+    """The whole digest as it is published."""
+    rows = notices(spark, d).withColumn("url", F.concat(F.lit("https://p/"), text_of("id")))
+    return publish.digest_text(rows, now(), "1 Jan 1998", "Digest")
 
 
 @query(sql("SELECT id, strftime(closing_at + INTERVAL 40 DAY, '%Y-%m-%d') AS closing_at FROM n"))
@@ -607,10 +611,17 @@ def q_authority_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", chain.alias("chain"), text.authority_parts(chain).alias("parts"))
 
 
-@query(r"SELECT c_custkey, 'Name ' || c_name AS legal, 'a\;b\,' || c_name || '\n' AS escaped, 5 AS terms FROM customer")
+@query(r"SELECT c_custkey, 'Name ' || c_name AS legal, 'a\;b\,' || c_name || '\n' AS escaped, (c_custkey % 5 + 2)::INT AS terms FROM customer")
 def q_text_escapes(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("Name\x01 "), "c_name", F.lit("\x0b"))
-    return table(spark, d, "customer").select("c_custkey", text.xml_legal(raw).alias("legal"), text.ics_escape(F.concat(F.lit("a;b,"), "c_name", F.lit("\r\n"))).alias("escaped"), text.term_count(F.lit("a/b_c-d  e")).alias("terms"))
+    return table(spark, d, "customer").select("c_custkey", text.xml_legal(raw).alias("legal"), text.ics_escape(F.concat(F.lit("a;b,"), "c_name", F.lit("\r\n"))).alias("escaped"), text.term_count(F.concat(F.repeat(F.lit("a-/ "), (F.col("c_custkey") % 5).cast("int")), F.lit("b__"), "c_name", F.lit(" "))).alias("terms"))
+
+
+@query("SELECT c_custkey, 'A&B ' || c_name || ' <x> é' AS clean FROM customer")
+def q_clean_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that were encoded once or twice."""
+    raw = F.concat(F.lit("\u00a0A&amp;amp;B\t "), "c_name", F.lit(" &lt;x&amp;gt;\x01&eacute; "))
+    return table(spark, d, "customer").select("c_custkey", text.clean_text(raw).alias("clean"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h.example/a%20b' WHEN 1 THEN 'https://h.example/x/y.pdf' WHEN 2 THEN 'https://h.example/dir/z.pdf' ELSE 'https://o.example/q' END AS url FROM pages""")

@@ -170,8 +170,8 @@ def q_facets(spark: SparkSession, d: str) -> DataFrame:
     return long.where("item <> ''").distinct()
 
 
-@query(sql("""SELECT section, row_number() OVER (PARTITION BY section ORDER BY value DESC NULLS LAST, id)::INT AS place, id, value, count(*) OVER (PARTITION BY section)::INT AS total FROM (
-SELECT 'new' AS section, id, value FROM n WHERE first_seen_at >= now - INTERVAL 1 DAY UNION ALL
+@query(sql("""SELECT section, row_number() OVER (PARTITION BY section ORDER BY coalesce(value, 0) DESC, id)::INT AS place, id, value, count(*) OVER (PARTITION BY section)::INT AS total FROM (
+SELECT 'new' AS section, id, value FROM n WHERE (first_seen_at + INTERVAL 330 MINUTE)::DATE = (now + INTERVAL 330 MINUTE)::DATE UNION ALL
 SELECT 'closing', id, value FROM n WHERE status = 'active' AND floor(date_diff('second', now, closing_at) / 86400.0) BETWEEN 0 AND 7) QUALIFY place <= 15"""))
 def q_digest_top15(spark: SparkSession, d: str) -> DataFrame:
     return publish.digest(notices(spark, d), now())

@@ -346,6 +346,22 @@ def test_places_of_names_and_pins(spark):
     assert [r.p for r in df.orderBy("id").select(geo.loose_pins(F.col("title")).alias("p")).collect()] == [["440030"], [], [], ["403001"], [], [], ["682555"]]
 
 
+def test_digest_is_written_only_if_more_than_its_stamp_differs(spark, tmp_path):
+    rows = [(1, "Road", "https://x/1", "PWD", "2026-01-02 10:00:00", "2026-01-01 20:00:00", "active", 2.5e7), (2, None, None, None, "2026-01-03 10:00:00", "2025-12-31 18:00:00", "active", 0.0), (3, "Old", "u", "A", None, "2026-01-02 17:00:00", "closed", None)]
+    df = spark.createDataFrame(rows, "id int, title string, url string, authority string, closing_at string, first_seen_at string, status string, value double")
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("closing_at", "first_seen_at")})
+    at = F.lit("2026-01-02 04:00:00").cast("timestamp")
+    text = publish.digest_text(df, at, "noon", "Digest")
+    assert text.first().text == (  # the day is the Indian one
+        "# Digest\n\n_Generated noon_\n\n## New Today (2)\n\n- [Road](https://x/1) — PWD — ₹2.50 Cr — closes 02 Jan 15:30\n- [Old](u) — A — value not disclosed — closes —\n\n"
+        "## Closing Soon (7 days) (2)\n\n- [Road](https://x/1) — PWD — ₹2.50 Cr — closes 02 Jan 15:30\n- [Untitled]() —  — value not disclosed — closes 03 Jan 15:30\n"
+    )
+    assert publish.digest_text(df.limit(0), at, "x", "D").first().text.count("- none") == 2
+    path = f"{tmp_path}/digest"
+    assert publish.write_digest(text, path) and not publish.write_digest(publish.digest_text(df, at, "later", "Digest"), path)
+    assert publish.write_digest(publish.digest_text(df.where("id > 1"), at, "later", "Digest"), path)
+
+
 def test_publishing_by_difference(spark, tmp_path):
     path, schema = f"{tmp_path}/p", "id string, n int, v string"
     files = lambda: {(str(f.relative_to(tmp_path)), f.stat().st_mtime_ns) for f in (tmp_path / "p").rglob("*") if f.is_file()}
