@@ -145,7 +145,7 @@ def write_digest(text: DataFrame, path: str) -> bool:
     """Writes the digest unless it differs from the one at ``path`` by its stamp only; whether it was written."""
     spark, bare = text.sparkSession, lambda frame: frame.select(without_stamp(F.col("text"))).first()[0]
     try:
-        old = bare(spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\n\z", "").alias("text")))
+        old = bare(spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("text")))
     except AnalysisException:  # none is there yet
         old = None
     if old is not None and old == bare(text):

@@ -25,7 +25,7 @@ RESTRICTED = "POLICY_RESTRICTED"
 
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     """(source, page, body): every file below ``source=.../page=N`` as one text."""
-    rows = spark.read.option("wholetext", True).option("basePath", path).text(path)
+    rows = spark.read.option("basePath", path).text(path, wholetext=True)
     return rows.select(F.col("source").cast("string").alias("source"), F.col("page").cast("int").alias("page"), F.col("value").alias("body"))
 
 

@@ -25,10 +25,10 @@ SOURCES = {
     "again": ([answer([1, 2]), answer([2, 1]), answer([3, 4])], "nothing new", [1]),
     "empty": ([answer([1, 2]), answer([]), answer([3, 4])], "empty", [1]),
     "code": ([answer([1, 2]), answer([3, 4], code=500), answer([5, 6])], "error", [1]),
-    "text": ([answer([1, 2]), "<html>no</html>", answer([5, 6])], "error", [1]),
+    "text": ([answer([1, 2]), "<html>\n<p>no</p>\n</html>", answer([5, 6])], "error", [1]),
     "cap": ([answer([1, 2]), answer([3, 4]), answer([5, 6]), answer([7, 8])], "cap", [1, 2, 3]),
     "hole": ([answer([1, 2]), None, answer([5, 6])], "missing page", [1]),
-    "partly": ([answer([1, 2]), answer([2, 3]), answer([4])], "short page", [1, 2, 3]),
+    "partly": ([answer([1, 2]).replace(", ", ",\n"), answer([2, 3]), answer([4])], "short page", [1, 2, 3]),
 }
 
 
