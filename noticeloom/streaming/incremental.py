@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.durable import durable
 from ..operators.snapshots import files, versions_of
 from ..operators.health import RECOVERABLE
+from ..operators.publish import archive_partition, write_archive
 
 
 def first_by_key(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
@@ -106,6 +107,19 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], merge: Callable
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def move_to_archive(spark: SparkSession, path: str, keys: list[str], archive: str, now: Column, days: int, buckets: int = 16) -> int:
+    """Rows of an upserted store that closed more than ``days`` ago are merged into the archive and then leave the store; how many.
+
+    They are archived first: if the job ends between the two, the next run finds them in both places and merges them again.
+    """
+    old = durable(archive_partition(stored(spark, path), now, days).drop("partition"))
+    count = old.count()
+    if count:
+        write_archive(old, archive)
+        take_out(spark, path, keys, F.coalesce(F.col("closing_at") < now - F.make_dt_interval(F.lit(days)), F.lit(False)), buckets)
+    return count
+
+
 _STATE = "status string, failures int, nonzero int"
 
 

@@ -126,6 +126,24 @@ def test_history_in_stretches_equals_the_plain_fold(spark):
     assert health.status_fold(quiet, initial="PAUSED").first().status == "PAUSED"
 
 
+def test_closed_rows_move_from_the_store_to_the_archive(spark, tmp_path):
+    schema = "k string, source string, closing_at timestamp, n int"
+    rows = [("a", "s", "2025-01-05", 1), ("b", "s", "2025-12-30", 2), ("c", "t", "2025-02-01", 3), ("d", "t", None, 4)]
+    spark.createDataFrame(rows, "k string, source string, closing_at string, n int").withColumn("closing_at", F.col("closing_at").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    incremental.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/s", ["k"], lambda store, batch: batch, f"{tmp_path}/c").awaitTermination()
+    moved = lambda: incremental.move_to_archive(spark, f"{tmp_path}/s", ["k"], f"{tmp_path}/a", F.lit("2026-01-01").cast("timestamp"), 180)
+    assert moved() == 2 and {r.k for r in incremental.stored(spark, f"{tmp_path}/s").collect()} == {"b", "d"}
+    assert {(r.k, r.source, r.yyyy, r.mm) for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {("a", "s", 2025, 1), ("c", "t", 2025, 2)} and moved() == 0
+
+
+def test_an_upsert_blanks_neither_arrays_nor_fields(spark):
+    kind = "k int, docs array<string>, place struct<state: string, tags: array<int>>, v int"
+    store = spark.createDataFrame([(1, ["a"], ("Goa", [1]), 5), (2, ["b"], None, None), (3, None, ("Goa", None), 1)], kind)
+    fresh = spark.createDataFrame([(1, [], (None, []), None), (2, ["c", "d"], ("Kerala", [2]), 7), (4, [], (None, None), None)], kind)
+    got = {r.k: (r.docs, r.place and tuple(r.place), r.v, r.is_new, r.is_noop) for r in merge.upsert(store, fresh, "k", ["docs", "place", "v"], {"v": "v"}).collect()}
+    assert got == {1: (["a"], ("Goa", [1]), 5, False, True), 2: (["c", "d"], ("Kerala", [2]), 7, False, False), 3: (None, ("Goa", None), 1, False, True), 4: ([], (None, None), None, True, False)}
+
+
 def test_state_that_expires_goes_to_the_archive(spark, tmp_path):
     schema = "k string, at timestamp, n int"
     days = ("2026-01-01", "2026-03-01", "2026-07-15", "2026-12-01", "2027-09-01")
