@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from operator import add
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalise_title
+from .durable import durable
 from .graph import connected_components
 
 SLOT = 6 * 3600
@@ -22,11 +27,43 @@ AUTHORITY, STATE, CLOSING, TITLE = 0.25, 0.15, 0.15, 0.45
 
 
 def reference_links(df: DataFrame, ref: Column, key: str = "id", source: str = "source") -> DataFrame:
-    """(a, b): neighbours, by key, that share a trimmed, upper-cased reference and come from different sources."""
-    keyed = df.select(F.upper(F.trim(ref)).alias("_ref"), F.col(key).alias("b"), F.col(source).alias("_source")).where("_ref <> ''")
-    by = W.partitionBy("_ref").orderBy("b")
-    before = keyed.withColumn("a", F.lag("b").over(by)).withColumn("_before", F.lag("_source").over(by))
-    return before.where("a is not null and _before <> _source").select("a", "b")
+    """(a, b): neighbours, by key, that share a trimmed, upper-cased reference and come from different sources.
+
+    Rows are sorted by ranges of reference and key, so one that many rows have, as a placeholder is, fills several tasks.  A task compares
+    neighbours and hands on its first and last row; these, two a task, are compared across the ranges.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    keyed = df.select(F.upper(F.trim(ref)).alias("ref"), F.col(key).alias("k"), F.col(source).cast("string").alias("source")).where("ref <> '' and k is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        range_number, before = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks()
+            if before is None:
+                yield from edge(rows.slice(0, 1), 2 * range_number)
+            ahead, behind = rows.slice(1), rows.slice(0, len(rows) - 1)
+            same = pc.equal(ahead["ref"], behind["ref"])
+            other = pc.fill_null(pc.not_equal(ahead["source"], behind["source"]), False)
+            hits = pc.and_(same, other)
+            a, b = behind["k"].filter(hits), ahead["k"].filter(hits)
+            if len(a):
+                none = pa.nulls(len(a))
+                yield from pa.table([none.cast(pa.int32()), none.cast(pa.string()), a, none.cast(pa.string()), b], ["spot", "ref", "k", "source", "b"]).to_batches()
+            before = batch.slice(batch.num_rows - 1)
+        if before is not None:
+            yield from edge(pa.Table.from_batches([before]), 2 * range_number + 1)
+
+    def edge(row: pa.Table, spot: int) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array([spot], pa.int32()), row["ref"].cast(pa.string()), row["k"], row["source"].cast(pa.string()), pa.nulls(1).cast(row["k"].type)]
+        yield from pa.table(columns, ["spot", "ref", "k", "source", "b"]).to_batches()
+
+    found = durable(keyed.repartitionByRange("ref", "k").sortWithinPartitions("ref", "k").mapInArrow(run, f"spot int, ref string, k {kind}, source string, b {kind}"))
+    by = W.partitionBy(F.lit(1)).orderBy("spot")  # two rows a range
+    edges = found.where("spot is not null").select("ref", "source", F.col("k").alias("b"), *[F.lag(c).over(by).alias(f"before_{c}") for c in ("ref", "source", "k", "spot")], "spot")
+    across = edges.where("spot % 2 = 0 and ref = before_ref and source <> before_source").select(F.col("before_k").alias("a"), "b")
+    return found.where("spot is null").select(F.col("k").alias("a"), "b").unionByName(across)
 
 
 @F.pandas_udf(DoubleType())

@@ -71,6 +71,24 @@ def test_dedupe_by_reference_and_similarity(spark):
     assert [(r.a, r.b) for r in similar] == [(1, 4)] and similar[0].score >= 0.88
 
 
+def test_reference_links_over_ranges_equal_neighbours_in_plain_python(spark):
+    r = random.Random(13)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (0, 1, 400):
+            rows = [(f"k{i:03d}", r.choice(["s1", "s2", None]), r.choice(["na"] * 5 + [f" r{j}" for j in range(40)] + [None, " "])) for i in range(n)]
+            groups = {}
+            for k, source, ref in sorted(rows, key=lambda x: x[0]):
+                if ref and ref.strip():
+                    groups.setdefault(ref.strip().upper(), []).append((k, source))
+            want = sorted((x[0], y[0]) for g in groups.values() for x, y in zip(g, g[1:]) if x[1] and y[1] and x[1] != y[1])
+            df = spark.createDataFrame(rows, "id string, source string, ref string").repartition(3)
+            assert sorted(tuple(x) for x in dedupe.reference_links(df, F.col("ref")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_health_fold_and_stream_agree(spark, tmp_path):
     r = random.Random(4)
     runs = [(f"s{s}", i, r.random() < 0.8, r.choice([0, 0, 5, 9]), r.random() < 0.05) for s in range(4) for i in range(30)]
