@@ -71,6 +71,30 @@ def test_dedupe_by_reference_and_similarity(spark):
     assert [(r.a, r.b) for r in similar] == [(1, 4)] and similar[0].score >= 0.88
 
 
+def test_components_by_contraction_equal_union_find(spark, monkeypatch):
+    r = random.Random(14)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {}
+    for x in root:
+        want.setdefault(find(x), set()).add(x)
+    monkeypatch.setattr(graph, "REMNANT", 3)  # so that rounds of contraction come first
+    found = {}
+    for row in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect():
+        found.setdefault(row.root, set()).add(row.node)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_reference_links_over_ranges_equal_neighbours_in_plain_python(spark):
     r = random.Random(13)
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
