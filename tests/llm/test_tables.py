@@ -270,8 +270,14 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == kept[-1]
 
 
+def test_cells_that_no_query_asks_for_are_not_copied(spark):
+    dealt = spark.createDataFrame([(4, b, p, 10 * b + p, b, [1.0]) for b in range(3) for p in range(2)], "dim int, bucket int, part int, row long, id int, v array<double>")
+    asked = spark.createDataFrame([(4, 1, 0, "x"), (4, 1, 0, "x"), (4, 1, 0, "y"), (4, 2, 1, "y")], "dim int, bucket int, part int, block string")
+    assert sorted((r.bucket, r.part, r.block) for r in topk.wanted_cells(dealt, asked).collect()) == [(1, 0, "x"), (1, 0, "y"), (2, 1, "y")]
+
+
 def test_every_query_is_registered():
-    assert sorted(queries.QUERIES) == sorted([*(f"op{n}_{x}" for n, x in ((1, "sharding"), (2, "url_filter"), (3, "packing"), (4, "html_text"), (5, "quality"), (6, "minhash_dedup"), (7, "toxicity"), (8, "lm_score"), (9, "decontamination"), (10, "topk"))), "pipeline"])
+    assert sorted(queries.QUERIES) == sorted([*(f"op{n}_{x}" for n, x in ((1, "sharding"), (2, "url_filter"), (3, "packing"), (4, "html_text"), (5, "quality"), (6, "minhash_dedup"), (7, "toxicity"), (8, "lm_score"), (9, "decontamination"), (10, "topk"), (11, "lexical_search"), (12, "simhash_dedup"), (13, "vector_codes"))), "pipeline"])
 
 
 def test_runs_are_counted_over_all_slices_of_a_host(spark, monkeypatch):
