@@ -6,7 +6,8 @@ Five Parquet tables below one folder, each sorted by its look-up column, so that
   term and id, so a word that every row has fills many files;
 - ``terms (term, fields, rows)``: the dictionary;
 - ``variants (variant, term)``: what is left of a word of up to VARIANT_LENGTH characters if up to two are deleted; two words within two edits
-  have one in common (the deletion neighbourhood), so near words are found by equality;
+  have one in common (the deletion neighbourhood), so near words are found by equality.  Words of digits only have none: they grow with the rows,
+  and are near only to a word with as few other characters as edits, for which the dictionary is filtered;
 - ``exact (value, id)``: identifying values as a whole;
 - ``fields (field, rows, mean)``: the statistics of ranking.
 
@@ -15,18 +16,26 @@ A prefix is a range of terms.  Scores are those of ``search.search``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .durable import durable
-from .search import BOOSTS, EXACT_FIELDS, asked_terms, edits_of, first_exact, ranked, tokens
+from .search import BOOSTS, EXACT_FIELDS, asked_terms, edits_of, first_exact, ranked
 
 #: Longer words are near to others by a filter on the dictionary's lengths, not by deletions.
 VARIANT_LENGTH, VARIANT_EDITS = 14, 2
+#: Words without variants.
+NUMBER = "^[0-9]+$"
+#: What ``search.tokens`` cuts at.
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -53,26 +62,53 @@ def _deletions(word: str, most: int) -> set[str]:
     return found
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, field, id, tf, n) of (id, field, text): a row for each distinct word of a text, and one without a word for the text itself.
+
+    Texts are in lower case and cut as ``search.tokens`` cuts them.  A batch comes out in the order of the postings, so that sorts merge few runs.
+    """
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("id")))
+        lists = pc.split_pattern_regex(batch.column("text"), WORD_BREAK)
+        cut = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(cut.dictionary)
+        terms, place = cut.dictionary.take(order), np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        word, text = place[cut.indices.to_numpy()], pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        if len(terms) and not terms[0].as_py():  # before, after or between breaks
+            word, text = word[word > 0], text[word > 0]
+        found, tf = np.unique(word * batch.num_rows + text, return_counts=True)
+        at = pa.array(np.concatenate([found % batch.num_rows, np.arange(batch.num_rows)]))
+        term = pa.concat_arrays([terms.take(pa.array(found // batch.num_rows)), pa.nulls(batch.num_rows, terms.type)])
+        counts = pa.array(np.concatenate([tf, np.zeros(batch.num_rows, np.int64)]), pa.int32())
+        n = pa.array(np.bincount(text, minlength=batch.num_rows), pa.int32())
+        yield pa.RecordBatch.from_arrays([term, batch.column("field").take(at), batch.column("id").take(at), counts, n.take(at)], ["term", "field", "id", "tf", "n"])
+
+
 def build_index(df: DataFrame, path: str, fields: tuple[str, ...] = tuple(BOOSTS), key: str = "id") -> TextIndex:
     """Writes the index of ``df``, which replaces one at ``path``; ``fields`` that ``df`` lacks are left out.  ``key`` tells rows apart."""
     fields = tuple(f for f in fields if f in df.columns)
-    words = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields])
-    texts = df.select(F.col(key).alias("id"), F.inline(words)).withColumn("n", F.size("words"))
-    statistics = texts.groupBy("field").agg(F.count("*").alias("rows"), F.greatest(F.avg("n"), F.lit(1e-9)).alias("mean"))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("text")) for f in fields])
+    texts = df.select(F.col(key).alias("id"), F.inline(cells))
+    kind = texts.schema["id"].dataType.simpleString()
+    # written, as ranges are drawn from a sample, and words are cut and counted once for all tables
+    counted = durable(texts.mapInArrow(_counted, f"term string, field string, id {kind}, tf int, n int"))
+    statistics = counted.where("term is null").groupBy("field").agg(F.count("*").alias("rows"), F.greatest(F.avg("n"), F.lit(1e-9)).alias("mean"))
     statistics.coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-    counted = texts.select("id", "field", "n", F.explode("words").alias("term")).groupBy("term", "field", "id", "n").agg(F.count("*").cast("int").alias("tf"))
-    postings = counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "field", "id", "tf", "n")
+    postings = counted.where("term is not null").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     index = TextIndex(df.sparkSession, path)
-    terms = index.table("postings").groupBy("term").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.count("*").alias("rows"))
+    by_field = index.table("postings").groupBy("term", "field").agg(F.count("*").alias("rows"))  # so that sets are made of few rows
+    terms = durable(by_field.groupBy("term").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.sum("rows").alias("rows")))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    short = index.table("terms").where(F.length("term") <= VARIANT_LENGTH)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = index.table("terms").where((F.length("term") <= VARIANT_LENGTH) & ~F.col("term").rlike(NUMBER)).repartition(tasks, "term")
     one = short.select("term", F.array("term").alias("zero")).withColumn("one", _without_one(F.col("zero")))
     variants = one.select("term", F.explode(F.array_distinct(F.concat("zero", "one", _without_one(F.col("one"))))).alias("variant"))
-    variants.repartitionByRange("variant").sortWithinPartitions("variant").select("variant", "term").write.mode("overwrite").parquet(f"{path}/variants")
+    durable(variants).repartitionByRange("variant").sortWithinPartitions("variant").select("variant", "term").write.mode("overwrite").parquet(f"{path}/variants")
     values = [F.lower(F.trim(F.col(key if c == "id" else c).cast("string"))) for c in EXACT_FIELDS if c == "id" or c in df.columns]
     exact = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.array_compact(F.array(*values)))).alias("value"))
-    exact.repartitionByRange("value").sortWithinPartitions("value").select("value", "id").write.mode("overwrite").parquet(f"{path}/exact")
+    durable(exact).repartitionByRange("value").sortWithinPartitions("value").select("value", "id").write.mode("overwrite").parquet(f"{path}/exact")
     return index
 
 
@@ -82,6 +118,9 @@ def near_terms(index: TextIndex, term: str, edits: int) -> list[str]:
         some = index.table("variants").where(reduce(or_, [F.col("variant") == v for v in sorted(_deletions(term, edits))])).select("term").distinct()
     else:
         some = index.table("terms").where(F.length("term").between(len(term) - edits, len(term) + edits)).select("term")
+    if edits <= VARIANT_EDITS and len(term) + edits <= VARIANT_LENGTH and sum(c not in "0123456789" for c in term) <= edits:  # so near to words of digits, which have no variants
+        numbers = index.table("terms").where(F.length("term").between(len(term) - edits, len(term) + edits) & F.col("term").rlike(NUMBER))
+        some = some.unionByName(numbers.select("term"))
     close = F.levenshtein("term", F.lit(term), edits).between(0, edits) & ~F.startswith("term", F.lit(term))
     return [r.term for r in some.where(close).collect()]
 

@@ -77,3 +77,22 @@ def test_rebuilt_and_empty(spark, notices, tmp_path):
     textindex.build_index(notices, path)
     index = textindex.build_index(notices.limit(0), path)
     assert index.table("postings").count() == 0 and textindex.search_hits_index(index, "road").count() == 0
+
+
+def test_words_are_cut_and_counted_once_a_row(spark, tmp_path):
+    texts = ["", None, " . ", "A b|a › B_c", "Ünï É é ½ ٣ 中文 x²", "İstanbul ΣΑΣ ﬁ", "7 007 7", "a" * 40]
+    df = spark.createDataFrame([(i if i else None, t, t and t[::-1]) for i, t in enumerate(texts)], "id int, title string, category string").repartition(3)
+    index = textindex.build_index(df, f"{tmp_path}/i", ("title", "category"))
+    cells = df.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), search.tokens(F.col(f)).alias("w")) for f in ("title", "category")])))
+    want = cells.select("id", "field", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("term", "field", "id", "n").agg(F.count("*").cast("int").alias("tf")).select("term", "field", "id", "tf", "n")
+    assert sorted(map(str, index.table("postings").collect())) == sorted(map(str, want.collect()))
+    assert {r.field: (r.rows, r.mean) for r in index.table("fields").collect()} == {r.field: (r.r, r.m) for r in cells.groupBy("field").agg(F.count("*").alias("r"), F.avg(F.size("w")).alias("m")).collect()}
+
+
+def test_numbers_have_no_variants_and_are_found_near(spark, tmp_path):
+    """They grow with the rows: 37 variants of each number of 8 digits."""
+    index = textindex.build_index(spark.createDataFrame([(i, str(10_000_000 + i)) for i in range(50)] + [(90, "word 12 1a")], "id int, title string"), f"{tmp_path}/i", ("title",))
+    assert sorted(r.term for r in index.table("variants").select("term").distinct().collect()) == ["1a", "word"]
+    words = [r.term for r in index.table("terms").collect()]
+    for term in ("10000003", "1000000x", "1b", "ab", "abc", "wrod"):
+        assert sorted(textindex.near_terms(index, term, 2)) == sorted(w for w in words if near(w, term) <= 2 and not w.startswith(term))
