@@ -1,7 +1,7 @@
 """Landed answers of a bid API: pages, the rules by which paging stops, records in the canonical shape; sources read by their family.
 
-Pages lie as whole files in folders ``source=.../page=N``, which Spark lists and prunes, in any store that it reads.  A page is one row, so what orders
-pages - a window over a source's pages - never holds their contents' rows.
+Pages lie as whole files in folders ``source=.../page=N``, which Spark lists and prunes, in any store that it reads.  What orders pages - a window over a
+source's pages - holds a page's number, total and counts, never its contents, which are joined to the result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import portal_timestamp
 from ..functions.ids import canonical_id
 from ..functions.text import clean_text
+from ..operators.durable import durable
 from ..operators.once import once
 from ..schema import canonical_columns
 from . import listings
@@ -53,21 +54,25 @@ def with_stops(found: DataFrame, size: int = PAGE_SIZE, caps: dict[str, int] | N
     reached end it after.  A page without a total has the last one told before.
     """
     most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (caps or {"": cap}).items() for x in pair]), F.col("source")), F.lit(cap))
+    columns = found.columns
+    found = durable(found.withColumn("row_", F.monotonically_increasing_id()))  # pages are read once, and each keeps its number
     ids = found.select("source", "page", F.explode("docs").alias("doc")).select("source", "page", native_id(F.col("doc")).alias("id")).where("id is not null")
     fresh = ids.groupBy("source", "id").agg(F.min("page").alias("page")).groupBy("source", "page").agg(F.count("*").alias("fresh"))
-    rows = found.join(fresh.select(F.col("source").alias("s_"), F.col("page").alias("p_"), "fresh"), (F.col("source") == F.col("s_")) & (F.col("page") == F.col("p_")), "left").drop("s_", "p_")
+    slim = found.select("row_", "source", "page", "error", "total", F.size("docs").alias("docs_"))
+    rows = slim.join(fresh.select(F.col("source").alias("s_"), F.col("page").alias("p_"), "fresh"), (F.col("source") == F.col("s_")) & (F.col("page") == F.col("p_")), "left").drop("s_", "p_")
     by = W.partitionBy("source").orderBy("page")
     told = F.last("total", ignorenulls=True).over(by)
     rows = rows.withColumn("told_", told).withColumn("gap_", F.col("page") - F.coalesce(F.lag("page").over(by), F.lit(0)))
     before = (
-        F.when(F.col("page") > most, "cap").when(F.col("gap_") > 1, "missing page").when(F.col("error").isNotNull(), "error").when(F.size("docs") == 0, "empty")
+        F.when(F.col("page") > most, "cap").when(F.col("gap_") > 1, "missing page").when(F.col("error").isNotNull(), "error").when(F.col("docs_") == 0, "empty")
         .when(F.coalesce("fresh", F.lit(0)) == 0, "nothing new")
     )
-    after = F.when(F.size("docs") < size, "short page").when(F.col("page") * size >= F.col("told_"), "total")
+    after = F.when(F.col("docs_") < size, "short page").when(F.col("page") * size >= F.col("told_"), "total")
     rows = rows.withColumn("before_", before).withColumn("stop", F.coalesce(before, after))
     ended = F.coalesce(F.max(F.col("stop").isNotNull()).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     rows = rows.withColumn("ended_", ended)
-    return rows.withColumn("used", ~F.col("ended_") & F.col("before_").isNull()).withColumn("stop", F.when(~F.col("ended_"), F.col("stop"))).drop("before_", "ended_", "told_", "gap_", "fresh")
+    stops = rows.select(F.col("row_").alias("of_"), (~F.col("ended_") & F.col("before_").isNull()).alias("used"), F.when(~F.col("ended_"), F.col("stop")).alias("stop"))
+    return found.join(stops, F.col("row_") == F.col("of_")).select(*columns, "used", "stop")
 
 
 def bid_docs(pages: DataFrame, size: int = PAGE_SIZE, caps: dict[str, int] | None = None, cap: int = 50) -> DataFrame:

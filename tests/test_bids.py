@@ -96,3 +96,12 @@ def test_crawl_of_included_states(spark):
     df = spark.createDataFrame([("a", 1, "Goa"), ("a", 0, "Kerala"), ("b", 2, None), ("c", 3, "Goa"), (None, 4, "Goa")], "k string, o int, state string")
     got = lambda **how: sorted((r.k or "", r.o) for r in bids.crawled(df, "k", "o", **how).collect())
     assert got() == [("", 4), ("a", 0), ("b", 2), ("c", 3)] and got(include=("Goa",)) == [("", 4), ("a", 1), ("c", 3)] and got(skip=("Goa",)) == [("a", 0), ("b", 2)]
+
+
+def test_windows_over_pages_do_not_hold_their_records(spark, landed):
+    found = bids.with_stops(bids.answers(landed), 2)
+    text = spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    sections = [part for part in text.split("\n\n") if ") Window" in part.split("\n")[0]]
+    assert sections and not any("docs#" in part for part in sections)
+    twice = bids.with_stops(bids.answers(landed.unionByName(landed)), 2)  # a page that landed twice stays two rows
+    assert twice.count() == 2 * found.count() and twice.columns == found.columns
