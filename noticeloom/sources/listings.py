@@ -68,9 +68,27 @@ class _Tables(HTMLParser):
             self.tables.append(self._open.pop())
 
 
+# Plain markup: these tags in lower case, attributes quoted or of simple characters, no character references, comments or raw text.
+_ATTRIBUTES = r"""(?:\s+[a-z-]+=(?:"[^"<>&]*"|'[^'<>&]*'|[^\s"'<>&=`/]+))*+"""
+_TAG = rf"<(/?)(html|body|table|thead|tbody|tr|td|th|a|b|br|p|div|span|ul|li|img)({_ATTRIBUTES})\s*+>"
+_PLAIN = re.compile(rf"(?:[^<&]++|{_TAG.replace('(/?)(', '/?+(?:').replace(f'({_ATTRIBUTES})', _ATTRIBUTES)})*+")
+_PIECE = re.compile(rf"{_TAG}([^<]*)")
+_ATTRIBUTE = re.compile(r"""([a-z-]+)=(?:"([^"]*)"|'([^']*)'|([^\s"']+))""")
+
+
 def tables(page: str | None) -> list[list[list[tuple[str, str | None]]]]:
-    parser = _Tables()
-    parser.feed(page or "")
+    """Plain markup is cut by one expression, which gives the same tables in less time; all else goes through the parser."""
+    parser, page = _Tables(), page or ""
+    if not _PLAIN.fullmatch(page):
+        parser.feed(page)
+    else:
+        for end, tag, attributes, text in _PIECE.findall(page):
+            if end:
+                parser.handle_endtag(tag)
+            else:
+                parser.handle_starttag(tag, [(k, x or y or z) for k, x, y, z in _ATTRIBUTE.findall(attributes)] if tag == "a" else [])
+            if text:
+                parser.handle_data(text)
     parser.close()
     return parser.tables
 

@@ -218,6 +218,19 @@ LISTING = """<table><tr><th>S.No</th><th>e-Published Date</th><th>Closing</th><t
 <table><tr><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td></tr></table>"""
 
 
+def test_plain_markup_gives_the_same_tables_without_the_parser(monkeypatch):
+    r = random.Random(12)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<td class=x>", "<a href='/x?id=1'>", '<a href="q" href=z>', "<a href=\"\">", "</a>", "<br>", "text ", " x\n y", "1 > 2", "é", "&amp;", "<!-- c -->", "<script>", "<TD>", "<br/>"]
+    for _ in range(2000):
+        page = "".join(r.choice(pieces[: r.choice([17, 22])]) for _ in range(r.randint(0, 25)))
+        parser = listings._Tables()
+        parser.feed(page)
+        parser.close()
+        assert listings.tables(page) == parser.tables
+    monkeypatch.setattr(listings._Tables, "feed", None)  # plain pages do not ask for it
+    assert listings.tables('<table><tr><td>1</td><td><a class=k href="/t">T</a></td></tr></table>') == [[[("1", None), ("T", "/t")]]]
+
+
 def test_listing_pages(spark):
     pages = spark.createDataFrame([("u", LISTING), ("v", None), ("w", "<table><tr><td>no")], "url string, html string")
     now = F.lit("2026-08-05 00:00:00").cast("timestamp")
