@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -147,6 +148,32 @@ def test_the_gradient_equals_differences():
             assert abs((found[0] - found[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-3
 
 
+def test_a_step_makes_no_index_of_every_weight_and_adam_equals_its_formula():
+    """What a step costs is the arrays it makes; one index of every place and weight was the largest of them."""
+    r = np.random.default_rng(4)
+    group = np.arange(lmscore.COLUMNS) % lmscore.CLASSES
+    layout = lmscore._layout(np.arange(lmscore.COLUMNS)[::-1], group)
+    text = r.integers(0, 600, 3 * lmscore.STEP_IDS).astype(np.int32)
+    p = {k: x.astype(np.float32) for k, x in lmscore.train_weights([text[:500]], layout, epochs=1).items()}
+    args = (p, lmscore._tables(p), layout[1][text], group[text], layout[1][-1], np.zeros(len(text), np.int64), lmscore.STEP_IDS, 2 * lmscore.STEP_IDS)
+    g = lmscore._gradient(*args)
+    tracemalloc.start()
+    lmscore._gradient(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1350 * lmscore.STEP_IDS  # bytes an id
+    want = {k: x.astype(float) for k, x in p.items()}
+    adam = lmscore._Adam(p)
+    m, s = ({k: np.zeros(x.shape) for k, x in want.items()} for _ in range(2))
+    for t in (1, 2, 3):
+        adam.step(g, lmscore.STEP_IDS, 0.01)
+        for k, x in g.items():
+            m[k] += 0.1 * (x / lmscore.STEP_IDS - m[k])
+            s[k] += 0.01 * ((x / lmscore.STEP_IDS) ** 2 - s[k])
+            want[k] -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+    assert all(np.allclose(p[k], want[k], atol=1e-4) for k in want)
+
+
 def test_phrases_are_cut_alike_wherever_they_stand():
     r = np.random.default_rng(1)
     shared = r.integers(0, 5000, 400).astype(np.int32)
