@@ -712,7 +712,7 @@ def q_evidence_fields(spark: SparkSession, d: str) -> DataFrame:
 def q_dedupe_links(spark: SparkSession, d: str) -> DataFrame:
     """Groups over both kinds of links, shared references and similar titles; the similarity is no SQL function."""
     rows = notices(spark, d)
-    links = dedupe.reference_links(rows, F.col("ref")).unionByName(dedupe.similar_links(dedupe.blocked_pairs(rows)).select("a", "b"))
+    links = dedupe.reference_links(rows, F.col("ref")).unionByName(dedupe.similar_forest(rows))
     return dedupe.duplicate_groups(links)
 
 

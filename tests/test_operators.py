@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
+from functools import reduce
 
 import pytest
 from noticeloom.operators import chunks, dedupe, filters, geo, graph, health, match, merge, publish, queue, search, snapshots, workspace
@@ -71,6 +73,42 @@ def test_dedupe_by_reference_and_similarity(spark):
     assert [(r.a, r.b) for r in similar] == [(1, 4)] and similar[0].score >= 0.88
 
 
+NOTICE = "id long, source string, ref string, title string, authority string, state string, closing_at string"
+
+
+def noticed(spark, rows):
+    return spark.createDataFrame(rows, NOTICE).withColumn("closing_at", F.col("closing_at").cast("timestamp"))
+
+
+def test_the_forest_of_similar_links_joins_the_same_groups(spark):
+    r = random.Random(21)
+    titles = ["bacccbc", "bacbccc", "Bacccbc", "abcbacb", "bcbabcb", "road", "", None]  # some ratios differ by which title stands first
+    forms = [(t, u) for t in titles[:5] for u in titles[:5]]
+    ratio = lambda t, u: SequenceMatcher(None, t.lower(), u.lower()).ratio()
+    assert any(ratio(t, u) != ratio(u, t) for t, u in forms)
+    for threshold in (0.8, 0.88, 0.95):
+        rows = [(r.randrange(140) if i % 9 == 0 else 200 + i, r.choice(["s1", "s2", "s3", None]), None, r.choice(titles), r.choice(["P", "p", "Q", ""]), r.choice(["Goa", "Goa", None]),
+                 r.choice(["2026-01-01 05:59:59", "2026-01-01 06:00:00", "2026-01-01 12:00:00", "2026-01-03 00:00:00", None])) for i in range(260)]
+        df = noticed(spark, rows)
+        every = {(x.a, x.b) for x in dedupe.similar_links(dedupe.blocked_pairs(df), threshold).collect()}
+        forest = {(x.a, x.b) for x in dedupe.similar_forest(df, threshold=threshold).collect()}
+        groups = lambda links: sorted(map(sorted, reduce(lambda found, e: [g for g in found if not g & set(e)] + [set(e).union(*[g for g in found if g & set(e)])], links, [])))
+        assert groups({e for e in every if e[0] != e[1]}) == groups({e for e in forest if e[0] != e[1]}) and 0 < len(forest) < len(every) and forest <= every
+
+
+def test_links_of_copies_grow_with_the_rows(spark, monkeypatch):
+    from noticeloom.plans import landed
+
+    n, given = 300, []
+    rows = [(i, f"portal_{i % 4}", None, "Road works", "PWD", "Goa", "2026-01-01 10:00:00") for i in range(n)]
+    monkeypatch.setattr(landed, "notices", lambda *_: noticed(spark, rows))
+    whole = dedupe.duplicate_groups
+    monkeypatch.setattr(dedupe, "duplicate_groups", lambda links: (given.append(links.count()), whole(links))[1])
+    found = landed.q_dedupe_links(spark, "").collect()
+    assert sorted((x.id, x.possible_duplicate_group, x.members) for x in found) == [(i, "dup:0", n) for i in range(n)]
+    assert given[0] <= 2 * n + 50  # all pairs are 33,750
+
+
 def test_components_by_contraction_equal_union_find(spark, monkeypatch):
     r = random.Random(14)
     edges = [(r.randrange(120), r.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (None, 3)]
