@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from noticeloom.llm import lmscore
 from pyspark.sql import functions as F
@@ -236,3 +237,33 @@ def test_frequent_keys_are_found():
     want = dict(zip(key.tolist(), range(1, 5001), strict=True))
     assert hit.tolist() == [k in want for k in asked.tolist()] and n.tolist() == [want.get(k, 0) for k in asked.tolist()]
     assert not lmscore._Head(np.empty(0, np.int64), np.empty(0, np.int64)).find(asked)[0].any()
+
+
+def test_a_batch_of_texts_encodes_each_word_once_and_equals_word_by_word():
+    subwords = lmscore.Subwords(PATH)
+    asked, encode = [], subwords._encode
+    subwords._encode = lambda text: (asked.append(text), encode(text))[1]
+    odd = ["the of THE the", "", None, "  lead\ttrail \n\r\x0b\x0c ", "Ünï\x1cx of \x85 \x85 " + "w" * 500, "\x00 a\x00b \x1c\x1d", "   ", "İI ﬁ 😀 x　y the of", "<|endoftext|>"]
+    texts = pa.array(odd + ["common words here"] * 200)
+    for some in (texts, texts.slice(3, 5), texts.slice(0, 0)):  # a slice begins within the buffers of its column
+        asked.clear()
+        ids, bounds = subwords.batch(some)
+        words = {w for t in some.to_pylist() for w in tokens(t)[:-1]}
+        assert len(asked) == 1 and sorted(w for w in asked[0].split(" ") if w) == sorted(words)
+        for t, a, b in zip(some.to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == [i for w in tokens(t)[:-1] for i in encode(" " + w)] + [subwords.end]
+
+
+def test_a_gradient_step_makes_no_copies_of_its_inputs_for_columns_of_ones():
+    r = np.random.default_rng(4)
+    group = np.arange(lmscore.COLUMNS) % lmscore.CLASSES
+    layout = lmscore._layout(np.arange(lmscore.COLUMNS)[::-1], group)
+    text = r.integers(0, 600, 3 * lmscore.STEP_IDS).astype(np.int32)
+    p = {k: x.astype(np.float32) for k, x in lmscore.train_weights([text[:500]], layout, epochs=1).items()}
+    args = (p, lmscore._tables(p), layout[1][text], group[text], layout[1][-1], np.zeros(len(text), np.int64), lmscore.STEP_IDS, 2 * lmscore.STEP_IDS)
+    lmscore._gradient(*args)
+    tracemalloc.start()
+    lmscore._gradient(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1100 * lmscore.STEP_IDS  # bytes an id
